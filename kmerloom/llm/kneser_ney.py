@@ -293,7 +293,7 @@ def block_scores(docs: DataFrame, model: DataFrame, *, order: int, materialize)
     scored = scored.select(F.col("lang").alias("slang"), F.col("key").alias("skey"), "score")
     met = asked.join(scored, asked["lang"].eqNullSafe(scored["slang"]) & (asked["key"] == scored["skey"])).select("block", "lang", "key", "score")
 
-    def total(key, rows: pa.Table, own: pa.Table) -> pa.Table:
+    def total(key, rows, own):
         arrays = {}
         code = rows.column("lang").combine_chunks().dictionary_encode()
         names = [*code.dictionary.to_pylist(), None]

@@ -216,13 +216,28 @@ def identify(docs: DataFrame, trained: dict, *, doc_id: str = "doc_id", text: st
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), has_letter(F.col(text)).alias("known")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def learn_and_identify(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_chars: int = 60_000, max_docs: int = 200, segment: int = 1024
-) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: learns from the rows with crc32(doc_id) mod 4 <> 2 and a
-    language, and predicts every row from its text alone."""
-    fold = F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.coalesce(fold == 2, F.lit(False)).alias("held_out"))
-    trained = train(base.filter("not held_out and lang is not null"), sample_chars=sample_chars, max_docs=max_docs)
-    out = identify(base.withColumn("doc_id", F.struct("doc_id", "held_out")), trained, segment=segment)
+def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_chars: int = 60_000, max_docs: int = 200) -> dict:
+    """A model of the rows with a language whose crc32(doc_id) mod 4 is not 2 (those are held out)."""
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    return train(base.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()), sample_chars=sample_chars, max_docs=max_docs)
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def learn_and_identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", segment: int = 1024, **learning) -> DataFrame:
+    """doc_id, held_out, lang_pred, score: learns as learn() does, and predicts every row from its
+    text alone."""
+    trained = learn(docs, doc_id=doc_id, text=text, **learning)
+    rows = docs.select(F.struct(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out")).alias("own"), F.col(text).alias("text"))
+    out = identify(rows, trained, doc_id="own", text="text", segment=segment)
     return out.select("doc_id.doc_id", "doc_id.held_out", "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, trained: dict, *, text: str = "text", min_score: float = 0.0, segment: int = 1024) -> DataFrame:
+    """The rows of docs whose language is known: not `und`, and with a score above min_score. Rows
+    travel whole through the prediction, so that nothing is joined back."""
+    rows = docs.select(F.struct(*docs.columns).alias("own"), F.col(text).alias("text"))
+    out = identify(rows, trained, doc_id="own", text="text", segment=segment)
+    return out.filter((F.col("lang_pred") != "und") & (F.col("score") > min_score)).select("doc_id.*")

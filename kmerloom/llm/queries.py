@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, common, hilbert_ann, langid, mixing, packing, quality_classifier, quality_rules, warc
+from . import chunk_dedup, common, hilbert_ann, jaccard_join, langid, mixing, packing, quality_classifier, quality_rules, suffix_dedup, warc
 
 load = common.load
 
@@ -38,6 +38,11 @@ def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.learn_and_identify(load(spark, sf_dir, "documents"))
 
@@ -51,6 +56,11 @@ def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_substrings(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path=tokenizer_path())
 

@@ -25,18 +25,38 @@ def merge_spans(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]
     return [(a, b) for a, b in out]
 
 
+#: Up to this many row numbers (16 bytes each) are broadcast to pick out rows before a shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def with_rows(docs: DataFrame, per_row: DataFrame) -> DataFrame:
+    """docs joined with per_row (a written table, one row per row_no) on row_no.
+
+    While few rows are asked for, only their texts are shuffled; else all are.
+    """
+    if per_row.count() <= MAX_BROADCAST_ROWS:
+        docs = docs.join(F.broadcast(per_row.select("row_no")), "row_no", "left_semi")
+    return docs.join(per_row.hint("shuffle_merge"), "row_no")
+
+
+def without_rows(docs: DataFrame, per_row: DataFrame) -> DataFrame:
+    """The rows of docs whose row_no per_row lacks."""
+    few = per_row.count() <= MAX_BROADCAST_ROWS
+    ids = per_row.select("row_no")
+    return docs.join(F.broadcast(ids) if few else ids, "row_no", "left_anti")
+
+
 def remove_spans(docs: DataFrame, spans: DataFrame, *, doc_id: str, text: str) -> DataFrame:
     """The rows of docs plus n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
 
-    spans: row_no, spans array<struct<a, b>> for the documents that lose something, where docs has
-    a unique row_no. kept_text decodes the kept bytes, with U+FFFD where a cut splits a character.
+    spans: a written table row_no, spans array<struct<a, b>> for the documents that lose something,
+    where docs has a unique row_no. kept_text leaves out the bytes of characters that a cut splits.
     """
-    joined = docs.join(spans, "row_no", "left")
     added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    whole = joined.filter("spans is null").drop("spans")
+    whole = without_rows(docs, spans)
     body = F.coalesce(F.col(text), F.lit(""))
     whole = whole.withColumns({"n_bytes": F.octet_length(body).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.sha2(body.cast("binary"), 256), "kept_text": F.col(text)})
-    own = [c for c in docs.columns]
+    own = docs.columns
 
     def cut(batches):
         for batch in batches:
@@ -49,13 +69,13 @@ def remove_spans(docs: DataFrame, spans: DataFrame, *, doc_id: str, text: str) -
                     kept.append(raw[at:a])
                     at = b
                 rest = b"".join([*kept, raw[at:]])
-                for column, value in zip(out, (len(raw), len(raw) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace"))):
+                for column, value in zip(out, (len(raw), len(raw) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore"))):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in own] + [pa.array(c, k) for c, k in zip(out, kinds)], names=own + [x.split()[0] for x in added.split(", ")])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + added
-    return whole.unionByName(joined.filter("spans is not null").mapInArrow(cut, schema))
+    return whole.unionByName(with_rows(docs, spans).mapInArrow(cut, schema))
 
 
 def numbered(docs: DataFrame, doc_id: str, name: str) -> DataFrame:
