@@ -37,20 +37,22 @@ def from_packed(packed: ColumnOr, n: ColumnOr) -> Column:
     null if there are fewer."""
     packed, n = _c(packed), _c(n)
 
-    def base(i: Column) -> Column:
-        byte = F.get(packed, F.floor(i / 4).cast("int"))
-        return seq.code_to_base(F.pmod(F.floor(byte / F.pow(F.lit(4.0), F.pmod(i, F.lit(4)))), F.lit(4)).cast("int"))
+    def four(byte: Column) -> Column:
+        return F.concat(*[seq.code_to_base(F.shiftright(byte.cast("int"), 2 * j).bitwiseAND(F.lit(3))) for j in range(4)])
 
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(n <= 4 * F.size(packed), F.array_join(F.transform(places, base), ""))
+    return F.when(n <= 4 * F.size(packed), F.left(F.array_join(F.transform(packed, four), ""), n))
 
 
 def to_packed(s: ColumnOr) -> Column:
     """Byte values of a sequence, four bases each, lowest bits first."""
-    codes = seq.codes(s)
-    groups = F.when(F.size(codes) > 0, F.sequence(F.lit(0), F.floor((F.size(codes) - 1) / 4).cast("int"))).otherwise(F.array().cast("array<int>"))
-    part = lambda g, j: F.coalesce(F.get(codes, g * 4 + j), F.lit(0)) * (4**j)
-    return F.transform(groups, lambda g: part(g, 0) + part(g, 1) + part(g, 2) + part(g, 3))
+    s = _c(s)
+    starts = F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s), F.lit(4))).otherwise(F.array().cast("array<int>"))
+
+    def byte(i: Column) -> Column:
+        codes = [seq.base_to_code(F.substring(s, i + j, F.lit(1))) * 4**j for j in range(4)]
+        return codes[0] + codes[1] + codes[2] + codes[3]
+
+    return F.transform(starts, byte)
 
 
 def sequences(df: DataFrame, seq_id: str, text: str, *, label: str | None = None, clean=only_bases) -> DataFrame:
