@@ -14,7 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 CRLF = "\r\n"
+MAX_BROADCAST_REVISITS = 1_000_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -42,12 +45,15 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
     response and the others are revisits of it. Equality is that of SHA-1 and length; the largest
     id is a partial aggregate, and only ids and digests are joined, so a payload shared by a third
     of the pages meets in no task. Null payloads are empty, a null URL is an empty one. Line ends
-    in URLs, which would end the header, become blanks.
+    in URLs, which would end the header, become blanks. Pages without an id are left out; repeated
+    rows give records with equal ids, which assemble() makes one capture of.
     """
-    base = pages.select(F.col(page_id).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "[\\r\\n]", " ").alias("uri"), F.coalesce(F.col(payload), F.lit("")).alias("body"))
+    base = pages.select(F.col(page_id).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "[\\r\\n]", " ").alias("uri"), F.coalesce(F.col(payload), F.lit("")).alias("body")).filter("id is not null")
     digest = base.select("id", F.sha1(F.col("body").cast("binary")).alias("sha"), F.octet_length("body").alias("n"))
     original = digest.filter(F.col("n") >= min_revisit_bytes).groupBy("sha", "n").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    revisits = digest.join(original, ["sha", "n"]).filter("id <> first").select("id", "first").distinct()
+    revisits = materialize(digest.join(original, ["sha", "n"]).filter("id <> first").select("id", "first").distinct(), "warc-revisits")
+    # The payloads are shuffled only if the revisits (ids, 32 bytes each) are too many to broadcast.
+    revisits = F.broadcast(revisits) if revisits.count() <= MAX_BROADCAST_REVISITS else revisits
     rows = base.withColumn("sha", F.sha1(F.col("body").cast("binary"))).join(revisits, "id", "left")
     ident, uri = F.col("id"), F.col("uri")
 
