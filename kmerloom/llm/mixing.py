@@ -27,10 +27,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def solve_exponent(shares: DataFrame, budget_ratio: float, target_entropy: float | None, max_repeats: float | None) -> float:
+def solve_exponent(shares: DataFrame, budget_ratio: float | None, target_entropy: float | None, max_repeats: float | None) -> float:
     """The exponent for a table of positive shares `p`.
 
-    budget_ratio: budget over available tokens. Each pass evaluates the 2**LEVELS - 1 midpoints
+    budget_ratio: budget over available tokens; None for the budget that gives the largest source
+    one epoch. Each pass evaluates the 2**LEVELS - 1 midpoints
     that LEVELS bisection steps could visit in one aggregation, so that only one row of sums per
     pass reaches the driver, whatever the number of sources.
     """
@@ -38,13 +39,13 @@ def solve_exponent(shares: DataFrame, budget_ratio: float, target_entropy: float
     def too_flat(a: float, z: float, zl: float, low: float, floor_h: float) -> bool:
         entropy = math.log(z) - a * zl / z
         flat = target_entropy is not None and entropy > max(target_entropy, floor_h)
-        repeats = math.exp((a - 1) * low) * budget_ratio / z
+        repeats = math.exp((a - 1) * (low - high)) if budget_ratio is None else math.exp((a - 1) * low) * budget_ratio / z
         return flat or (max_repeats is not None and repeats > max_repeats)
 
-    at_one = shares.agg(F.sum(F.col("p") * F.log("p")).alias("zl"), F.min(F.log("p")).alias("low")).first()
+    at_one = shares.agg(F.sum(F.col("p") * F.log("p")).alias("zl"), F.min(F.log("p")).alias("low"), F.max(F.log("p")).alias("high")).first()
     if at_one["low"] is None:
         return 1.0
-    floor_h = -at_one["zl"]
+    floor_h, high = -at_one["zl"], at_one["high"]
     lo, hi = 0.0, 1.0  # the largest exponent always meets the entropy's lower end
     for _ in range(PASSES):
         n = 2**LEVELS
@@ -80,8 +81,10 @@ def mix_sources(
     """The rows of docs, each as often as the mixture takes it, plus mix_tokens, mix_epoch,
     mix_block, mix_block_key and mix_doc_key.
 
-    Reading order of the mixture: mix_epoch, mix_block_key, mix_block, mix_doc_key. budget_tokens
-    defaults to the tokens there are. A document is taken in the partial epoch if it still fits
+    Reading order of the mixture: mix_epoch, mix_block_key, mix_block, mix_doc_key. By default the
+    budget is the least that takes every document once: the source with the largest share gets one
+    epoch and smaller ones up to max_repeats. With budget_tokens, sources may also get less than an
+    epoch. A document is taken in the partial epoch if it still fits
     the budget in that order, so no source exceeds its budget.
 
     Nulls: a null source is a source of its own, a null text has no tokens, a null id is ordered
@@ -98,14 +101,17 @@ def mix_sources(
 
     sizes = materialize(docs.select(key.alias("_src"), tokens.alias("_t")).groupBy("_src").agg(F.sum("_t").alias("_avail"), F.count(F.lit(1)).alias("_docs")), "mix-sizes")
     total = sizes.agg(F.sum("_avail")).first()[0] or 0
-    budget = total if budget_tokens is None else budget_tokens
-    shares = sizes.filter("_avail > 0").select((F.col("_avail") / F.lit(float(max(total, 1)))).alias("p"))
-    alpha = solve_exponent(shares, budget / max(total, 1), target_entropy, max_repeats)
-    norm = shares.agg(F.sum(F.exp(F.log("p") * alpha))).first()[0] or 1.0
-
-    weight = F.exp(F.log(F.col("_avail") / F.lit(float(max(total, 1)))) * alpha) / norm
+    share = F.log(F.col("_avail") / F.lit(float(max(total, 1))))
+    shares = sizes.filter("_avail > 0").select(F.exp(share).alias("p"))
+    alpha = solve_exponent(shares, None if budget_tokens is None else budget_tokens / max(total, 1), target_entropy, max_repeats)
+    facts = shares.agg(F.sum(F.exp(F.log("p") * alpha)).alias("z")).first()
+    if budget_tokens is None:
+        most = sizes.filter("_avail > 0").agg(F.max(share)).first()[0] or 0.0
+        tokens_of = F.col("_avail") * F.exp((share - most) * (alpha - 1))
+    else:
+        tokens_of = F.exp(share * alpha) / (facts["z"] or 1.0) * float(budget_tokens)
     plan = (
-        sizes.withColumn("_budget", F.when(F.col("_avail") > 0, F.floor(weight * float(budget)).cast("long")).otherwise(0))
+        sizes.withColumn("_budget", F.when(F.col("_avail") > 0, F.floor(tokens_of).cast("long")).otherwise(0))
         .withColumn("_epochs", F.when(F.col("_avail") > 0, F.floor(F.col("_budget") / F.col("_avail"))).otherwise(1).cast("int"))
         .withColumn("_rest", F.when(F.col("_avail") > 0, F.col("_budget") - F.col("_epochs") * F.col("_avail")).otherwise(0))
         .withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("_avail") / block_tokens)).cast("long"))

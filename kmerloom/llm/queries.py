@@ -73,5 +73,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: mix_sources with its defaults: seed 17, blocks of 2**20 tokens, at most two repeats.
+MIXING_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS src, coalesce(CAST(doc_id AS VARCHAR), '') AS ident,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS t FROM documents),
+sz AS (SELECT src, CAST(sum(t) AS BIGINT) AS avail FROM d GROUP BY src),
+p AS (SELECT src, ln(avail / CAST((SELECT sum(avail) FROM sz) AS DOUBLE)) AS lp FROM sz WHERE avail > 0),
+ends AS (SELECT min(lp) AS low, max(lp) AS high FROM p),
+bisection AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
+  UNION ALL
+  SELECT i + 1, CASE WHEN exp(((lo + hi) / 2 - 1) * (low - high)) > 2.0 THEN (lo + hi) / 2 ELSE lo END,
+         CASE WHEN exp(((lo + hi) / 2 - 1) * (low - high)) > 2.0 THEN hi ELSE (lo + hi) / 2 END
+  FROM bisection, ends WHERE i < 30),
+plan AS (
+  SELECT sz.src, CASE WHEN avail > 0 THEN CAST(floor(avail * exp((lp - high) * (hi - 1))) AS BIGINT) ELSE 0 END AS budget, avail,
+         greatest(1, CAST(ceil(avail / 1048576.0) AS BIGINT)) AS blocks
+  FROM sz LEFT JOIN p USING (src), ends, (SELECT hi FROM bisection WHERE i = 30)),
+rows_ AS (
+  SELECT d.*, CASE WHEN avail > 0 THEN budget // avail ELSE 1 END AS epochs, CASE WHEN avail > 0 THEN budget % avail ELSE 0 END AS rest,
+         CAST('0x' || substr(md5('17:' || ident), 1, 12) AS BIGINT) % blocks AS block
+  FROM d JOIN plan USING (src)),
+keyed AS (SELECT *, md5(concat_ws(':', '17', src, epochs, block)) AS bkey, md5(concat_ws(':', '17', epochs, ident)) AS dkey FROM rows_),
+taken AS (SELECT *, epochs + CASE WHEN rest > 0 AND sum(t) OVER (PARTITION BY src ORDER BY bkey, block, dkey RANGE UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS n FROM keyed),
+dealt AS (SELECT *, unnest(range(0, n)) AS e FROM taken)
+SELECT doc_id, source, t AS mix_tokens, CAST(e AS INTEGER) AS mix_epoch, block AS mix_block,
+       md5(concat_ws(':', '17', src, e, block)) AS mix_block_key, md5(concat_ws(':', '17', e, ident)) AS mix_doc_key
+FROM dealt
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_temperature_mixing": MIXING_SQL}
