@@ -64,6 +64,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _scores(q_reps: bytes, q_vecs: bytes, reps: bytes, vecs: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, candidate ids and the inner products of two packed chunks."""
+    q, ids = np.frombuffer(q_reps, np.int64), np.frombuffer(reps, np.int64)
+    return q, ids, np.frombuffer(q_vecs).reshape(len(q), width) @ np.frombuffer(vecs).reshape(len(ids), width).T
+
+
 class _Best:
     """The best k candidates of each query seen by one task; at most `room` queries at once."""
 
@@ -197,21 +203,45 @@ def nearest_neighbours(
     index = materialize(index.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("curve"))), "ann-index")
     numbered = packed.join(index, ["curve", "first_key", "first_rep"])
 
+    # A query's own chunks give a score that its k + 1 best must reach, so that later comparisons
+    # hand on the few candidates that can still matter, whatever the number of tasks.
+    def first_look(batches):
+        for batch in batches:
+            for q_reps, q_vecs, reps, vecs in zip(*[batch.column(c).to_pylist() for c in ("q_reps", "q_vecs", "reps", "vecs")]):
+                q, ids, s = _scores(q_reps, q_vecs, reps, vecs, width)
+                take = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
+                yield pa.RecordBatch.from_pydict({"query_rep": np.repeat(q, take.shape[1]), "rep": ids[take].ravel(), "score": np.take_along_axis(s, take, 1).ravel()})
+
+    seen = packed.filter(F.length("q_reps") > 0).mapInArrow(first_look, "query_rep long, rep long, score double").groupBy("query_rep", "rep").agg(F.max("score").alias("score"))
+    seen = seen.withColumn("_r", F.row_number().over(Window.partitionBy("query_rep").orderBy(F.desc("score"), "rep"))).filter(F.col("_r") == k + 1)
+    floors = materialize(seen.select("query_rep", F.col("score").alias("floor")), "ann-floors")
+
+    def queries_of(batches):
+        for batch in batches:
+            for curve, at, q_reps in zip(*[batch.column(c).to_pylist() for c in ("curve", "at", "q_reps")]):
+                q = np.frombuffer(q_reps, np.int64)
+                yield pa.RecordBatch.from_pydict({"curve": pa.array(np.full(len(q), curve), pa.int32()), "at": pa.array(np.full(len(q), at), pa.int32()), "query_rep": q})
+
+    placed_queries = numbered.filter(F.length("q_reps") > 0).select("curve", "at", "q_reps").mapInArrow(queries_of, "curve int, at int, query_rep long")
+    floors = placed_queries.join(floors, "query_rep").groupBy("curve", "at").agg(F.collect_list(F.struct("query_rep", "floor")).alias("floors"))
+    asking = numbered.filter(F.length("q_reps") > 0).join(floors, ["curve", "at"], "left")
+
     reach = F.ceil(F.col("of") * float(window_share)).cast("int")
-    targets = numbered.filter(F.length("q_reps") > 0).select("curve", "q_reps", "q_vecs", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - reach), F.least(F.col("of").cast("int"), F.col("at") + reach))).alias("at"))
-    pairs = targets.join(numbered.select("curve", "at", "reps", "vecs"), ["curve", "at"]).select("q_reps", "q_vecs", "reps", "vecs")
+    targets = asking.select("curve", "q_reps", "q_vecs", "floors", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - reach), F.least(F.col("of").cast("int"), F.col("at") + reach))).alias("at"))
+    pairs = targets.join(numbered.select("curve", "at", "reps", "vecs"), ["curve", "at"]).select("q_reps", "q_vecs", "reps", "vecs", "floors")
 
     def score(batches):
         best = _Best(k + 1, 50_000)
         for batch in batches:
-            for q_reps, q_vecs, reps, vecs in zip(*[c.to_pylist() for c in batch.columns]):
-                q, ids = np.frombuffer(q_reps, np.int64), np.frombuffer(reps, np.int64)
-                s = np.frombuffer(q_vecs).reshape(len(q), width) @ np.frombuffer(vecs).reshape(len(ids), width).T
+            for q_reps, q_vecs, reps, vecs, known in zip(*[c.to_pylist() for c in batch.columns]):
+                q, ids, s = _scores(q_reps, q_vecs, reps, vecs, width)
+                known = {f["query_rep"]: f["floor"] - 1e-9 * abs(f["floor"]) for f in known or []}
                 take = min(k + 1, len(ids))
                 floor = -np.partition(-s, take - 1, axis=1)[:, take - 1]
-                for row, query in enumerate(q):
-                    hit = np.flatnonzero(s[row] >= floor[row])
-                    best.add(int(query), ids[hit], s[row, hit])
+                for row, query in enumerate(q.tolist()):
+                    hit = np.flatnonzero(s[row] >= max(floor[row], known.get(query, floor[row])))
+                    if len(hit):
+                        best.add(query, ids[hit], s[row, hit])
             if len(best.held) > best.room:
                 yield from best.flush()
         yield from best.flush()
