@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import exts as E
@@ -48,16 +48,23 @@ def chains(links: DataFrame, *, max_rounds: int = 64) -> tuple[DataFrame, DataFr
     """From links (s, t): (s, end, hops) of the states on chains, and (s, t, least) of those on circles."""
     starts = links.select(F.col("s").alias("_s"))
     now = links.join(starts, links["t"] == starts["_s"], "left").select("s", F.col("t").alias("to"), F.lit(1).cast("long").alias("hops"), F.least("s", "t").alias("least"), F.col("_s").isNull().alias("done"))
-    now, before = written(now, "chains"), None
+
+    def observed(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """The written table, and of its open rows the number and a sum, measured as it is written."""
+        seen = Observation()
+        open_ = lambda c: F.when(~F.col("done"), c)
+        table = written(df.observe(seen, F.count(open_(F.lit(1))).alias("n"), F.sum(open_(F.col("least").cast("decimal(38,0)"))).alias("sum")), "chains")
+        return table, (seen.get["n"], seen.get["sum"])
+
+    (now, facts), before = observed(now), None
     for _ in range(max_rounds):
-        facts = now.filter("not done").agg(F.count(F.lit(1)), F.sum(F.col("least").cast("decimal(38,0)"))).first()
         if facts[0] == 0 or facts == before:
             break
         before = facts
         far = now.select(F.col("s").alias("_s"), F.col("to").alias("_to"), F.col("hops").alias("_hops"), F.col("least").alias("_least"), F.col("done").alias("_done"))
         on = now.filter("not done").join(far, F.col("to") == F.col("_s"))
         step = on.select("s", F.col("_to").alias("to"), (F.col("hops") + F.col("_hops")).alias("hops"), F.least("least", "_least").alias("least"), F.col("_done").alias("done"))
-        now = written(now.filter("done").unionByName(step), "chains")
+        now, facts = observed(now.filter("done").unionByName(step))
     else:
         raise RuntimeError("paths did not settle")
     circles = now.filter("not done").select("s", "least").join(links, "s").select("s", "t", "least")
