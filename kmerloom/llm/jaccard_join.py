@@ -47,7 +47,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingles:
     """Distinct hashes of the `width`-word shingles of texts, ascending."""
 
-    def __init__(self, width: int, room: int = 1_000_000):
+    def __init__(self, width: int, room: int = 300_000):
         self.width, self.room, self.words = width, room, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -90,19 +90,25 @@ def segments(band: int, step: int) -> int:
     return max(h + 1, 2**band) if step == 1 else (h + 2) // 2
 
 
+def _segment(tokens: np.ndarray, m: int) -> np.ndarray:
+    return ((tokens >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
+
+
 def _sums(tokens: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Segment of each token, its mixed value, and each segment's sum of values and count."""
-    seg = ((tokens >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
+    seg = _segment(tokens, m)
     value = _mix(tokens)
     total = np.zeros(m, np.uint64)
     np.add.at(total, seg, value)
     return seg, value, total, np.bincount(seg, minlength=m)
 
 
-def entries(tokens: np.ndarray, step: int) -> list[tuple[int, np.ndarray, int]]:
-    """(band, entries, non-empty segments) of a set for each of its bands.
+def entries(tokens: np.ndarray, step: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct entries of a set, and whether each is a deletion only, for each of its bands.
 
-    Step 1 leaves out empty segments, unless the set has too few others for its budget.
+    Step 1 leaves out empty segments, unless the set has too few others for its budget. Segments
+    that differ in one token meet in the exact entry of one and a deletion of the other, so two
+    deletions that meet prove nothing.
     """
     out = []
     for band in bands(len(tokens)) if len(tokens) > 2 else []:
@@ -116,7 +122,8 @@ def entries(tokens: np.ndarray, step: int) -> list[tuple[int, np.ndarray, int]]:
         if step == 2:
             codes.append(total[seg] - value + seg.astype(np.uint64) * _K[2])
         code = _mix(np.concatenate(codes) ^ np.uint64(band * 2 + step))
-        out.append((band, (code & ~np.uint64(BAND)) | np.uint64(band), full))
+        code, at = np.unique((code & ~np.uint64(BAND)) | np.uint64(band), return_index=True)
+        out.append((code, at >= len(place)))
     return out
 
 
@@ -146,7 +153,7 @@ def set_facts(docs: DataFrame, *, text: str, width: int) -> DataFrame:
             out: list[list] = [[], [], [], [], [], []]
             for row, body in zip(batch.column("row_no").to_pylist(), batch.column("text").to_pylist()):
                 tokens = shingles(body)
-                full = [np.count_nonzero(_sums(tokens, segments(b, 1))[3]) for b in (bands(len(tokens)) if len(tokens) > 2 else [])]
+                full = [len(np.unique(_segment(tokens, segments(b, 1)))) for b in (bands(len(tokens)) if len(tokens) > 2 else [])]
                 for column, value in zip(out, (row, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), len(tokens), *[int(f) for f in [*full, 0, 0][:2]], parity_bitmap(tokens))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["row_no", "print", "n", "own_full", "next_full", "bitmap"])
@@ -156,7 +163,7 @@ def set_facts(docs: DataFrame, *, text: str, width: int) -> DataFrame:
 
 def index(docs: DataFrame, *, text: str, width: int, step: int, parts: int, light: int) -> DataFrame:
     """large boolean, a long, b long: pairs of rows that share an entry held by at most `light`
-    sets (large = false), and (entry, row) of the entries that more sets hold (large = true).
+    sets (large = false), and (entry, 2 * row + deletion) of those that more hold (large = true).
 
     Entries travel as packed arrays, one per task batch and part. An entry that a batch alone
     shows to be large sends a mark to its part, and its rows elsewhere, so no part holds them all.
@@ -164,22 +171,17 @@ def index(docs: DataFrame, *, text: str, width: int, step: int, parts: int, ligh
 
     def pack(batches):
         shingles = Shingles(width)
-        for batch in batches:
-            codes, owners = [], []
-            for row, body in zip(batch.column("row_no").to_pylist(), batch.column("text").to_pylist()):
-                for _, code, _ in entries(shingles(body), step):
-                    code = np.unique(code)
-                    codes.append(code)
-                    owners.append(np.full(len(code), row, np.int64))
-            if not codes:
-                continue
+        codes, owners, held = [], [], 0
+
+        def flush():
             code, owner = np.concatenate(codes), np.concatenate(owners)
             order = np.argsort(code, kind="stable")
             code, owner = code[order], owner[order]
             begin = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
             size = np.diff(np.append(begin, len(code)))
             sure = np.repeat(size > light, size)
-            sent_code, sent_owner = np.concatenate([code[~sure], code[begin[size > light]]]), np.concatenate([owner[~sure], np.full(np.count_nonzero(size > light), -1)])
+            marks = code[begin[size > light]]
+            sent_code, sent_owner = np.concatenate([code[~sure], marks]), np.concatenate([owner[~sure], np.full(len(marks), -1)])
             part = ((sent_code >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1))
@@ -188,7 +190,19 @@ def index(docs: DataFrame, *, text: str, width: int, step: int, parts: int, ligh
             if len(code):
                 part = (_mix(owner.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
                 rows += [(int(p), True, code[part == p].tobytes(), owner[part == p].tobytes()) for p in np.unique(part)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["part", "sure", "codes", "owners"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["part", "sure", "codes", "owners"])
+
+        for batch in batches:
+            for row, body in zip(batch.column("row_no").to_pylist(), batch.column("text").to_pylist()):
+                for code, deletion in entries(shingles(body), step):
+                    codes.append(code)
+                    owners.append(2 * row + deletion.astype(np.int64))
+                    held += len(code)
+                if held > 1_500_000:
+                    yield flush()
+                    codes, owners, held = [], [], 0
+        if codes:
+            yield flush()
 
     def meet(key, table):
         def gather(sure: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +221,8 @@ def index(docs: DataFrame, *, text: str, width: int, step: int, parts: int, ligh
             at = begin[(size == f) & ~big]
             for i in range(f if len(at) else 0):
                 for j in range(i + 1, f):
-                    pairs.append(np.stack([owner[at + i], owner[at + j]], axis=1))
+                    two = np.stack([owner[at + i], owner[at + j]], axis=1)
+                    pairs.append(two[(two & 1).sum(axis=1) < 2] >> 1)
         pair = np.unique(np.concatenate(pairs), axis=0)
         held = np.repeat(big, size) & (owner >= 0)
         extra_code, extra_owner = gather(True)
@@ -255,18 +270,19 @@ def verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, *, text: str, wi
 
 
 def cross_pairs(large: DataFrame, labels: DataFrame, facts: DataFrame, *, block: int = 1024) -> DataFrame:
-    """Pairs within large buckets (entry, row) whose rows are in different components and whose
+    """Pairs within large buckets (entry, row, deletion), not both by deletion, whose rows are in different components and whose
     bitmaps allow a link. Buckets are compared in blocks, so a task holds two blocks of one."""
     named = large.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     open_ = named.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("f")).filter("x <> y").select("entry", "f")
     rows = named.join(open_, "entry").join(facts.select(F.col("row_no").alias("row"), "n", "bitmap"), "row")
     rows = rows.withColumn("blocks", F.ceil(F.col("f") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("row", "entry"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("entry", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "component", "n", "bitmap")
+    rows = rows.select("entry", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "deletion", "component", "n", "bitmap")
 
     def compare(key, table):
         left, right = key[1].as_py(), key[2].as_py()
         own, row, label, n = (table.column(c).to_numpy() for c in ("own", "row", "component", "n"))
+        exact = ~table.column("deletion").to_numpy()
         maps = table.column("bitmap").to_pylist()
         length = min(map(len, maps))
         folded = np.zeros((len(maps), length), np.uint8)
@@ -280,7 +296,7 @@ def cross_pairs(large: DataFrame, labels: DataFrame, facts: DataFrame, *, block:
         theirs = np.flatnonzero(own == right)
         for i in np.flatnonzero(own == left):
             js = theirs if left != right else theirs[row[theirs] > row[i]]
-            js = js[(label[js] != label[i]) & (4 * np.minimum(n[js], n[i]) >= 3 * np.maximum(n[js], n[i]))]
+            js = js[(label[js] != label[i]) & (exact[js] | exact[i]) & (4 * np.minimum(n[js], n[i]) >= 3 * np.maximum(n[js], n[i]))]
             if len(js):
                 js = js[np.bitwise_count(folded[js] ^ folded[i]).sum(axis=1) <= (n[js] + n[i]) // 7]
                 a.append(np.minimum(row[js], row[i]))
@@ -305,7 +321,7 @@ def classes_of(docs: DataFrame, *, text: str, width: int, light: int, tokens_per
     pairs = step1.filter("not large").select("a", "b")
 
     # What a set has left of its budget when the large entries get none of it.
-    lost = step1.filter("large").groupBy(F.col("b").alias("row_no"), F.col("a").bitwiseAND(F.lit(BAND)).alias("band")).agg(F.count(F.lit(1)).alias("lost"))
+    lost = step1.filter("large").groupBy(F.shiftright("b", 1).alias("row_no"), F.col("a").bitwiseAND(F.lit(BAND)).alias("band")).agg(F.count(F.lit(1)).alias("lost"))
     lost = lost.groupBy("row_no").agg(F.max(F.when(F.col("band") >= 0, F.struct("band", "lost"))).alias("hi"), F.min(F.struct("band", "lost")).alias("lo"))
     budget = (F.col("n") + F.floor(4 * F.col("n") / 3)) / 7
     own_band = F.floor(F.log2(F.col("n").cast("double") + 0.5)).cast("long")
@@ -319,16 +335,17 @@ def classes_of(docs: DataFrame, *, text: str, width: int, light: int, tokens_per
     left = docs.select("row_no", F.col(text).alias("text"))
     poor = left.join(F.broadcast(again) if again.count() <= MAX_BROADCAST_ROWS else again, "row_no", "left_semi")
     step2 = materialize(index(poor, text="text", width=width, step=2, parts=parts, light=light), "join-step2")
-    large = step2.filter("large").select(F.col("a").alias("entry"), F.col("b").alias("row"))
-    # Entries with the same rows are one bucket.
-    held = large.groupBy("entry").agg(F.count(F.lit(1)).alias("f"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("h"), F.min("row").alias("first")).filter("f > 1")
+    large = step2.filter("large").select(F.col("a").alias("entry"), F.shiftright("b", 1).alias("row"), (F.col("b") % 2 == 1).alias("deletion"))
+    # A bucket needs an exact entry; those with the same rows are one bucket.
+    exact = F.min(F.when(~F.col("deletion"), F.col("row")))
+    held = large.groupBy("entry").agg(F.count(F.lit(1)).alias("f"), F.sum(F.xxhash64("row", "deletion").cast("decimal(38,0)")).alias("h"), exact.alias("first")).filter("f > 1 and first is not null")
     large = materialize(large.join(held.groupBy("f", "h").agg(F.min(F.struct("entry", "first")).alias("e")).select("e.entry", "e.first"), "entry"), "join-large")
-    stars = large.filter("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    stars = large.filter("row <> first").select(F.least("first", "row").alias("a"), F.greatest("first", "row").alias("b"))
     first = materialize(pairs.unionByName(step2.filter("not large").select("a", "b")).unionByName(stars).distinct(), "join-first")
     links = verify(first, facts, docs, text=text, width=width)
 
     labels = materialize(components(links), "join-labels")
-    second = materialize(cross_pairs(large.select("entry", "row"), labels, facts).distinct().join(first, ["a", "b"], "left_anti"), "join-second")
+    second = materialize(cross_pairs(large.select("entry", "row", "deletion"), labels, facts).distinct().join(first, ["a", "b"], "left_anti"), "join-second")
     if second.head(1):
         links = links.unionByName(verify(second, facts, docs, text=text, width=width))
         labels = materialize(components(links), "join-labels")
@@ -360,7 +377,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, light: int = 8, tokens_per_part: int = 1_000_000) -> DataFrame:
-    """The rows of docs, without all but the first of each component of near_duplicates()."""
+    """The rows of docs, without all but the first of each component of near_duplicates(). Columns
+    named like the ones that it adds, or row_no, are left out."""
     docs = numbered(docs.drop(*ADDED), doc_id, "join-rows")
     found = classes_of(docs, text=text, width=width, light=light, tokens_per_part=tokens_per_part)
     return without_rows(docs, materialize(found.filter("row_no <> least").select("row_no"), "join-dropped")).drop("row_no")
