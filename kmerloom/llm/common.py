@@ -51,3 +51,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def cleanup(spark: SparkSession) -> None:
     """Remove every intermediate table of this library; call it after the last result is written."""
     drop_path(spark, f"{shared_dir(spark)}/kmerloom")
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches cut into parts of at most `rows` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

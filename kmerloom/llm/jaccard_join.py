@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 from .components import components
 from .spans import MAX_BROADCAST_ROWS, numbered, with_rows, without_rows
 
@@ -127,10 +127,11 @@ def entries(tokens: np.ndarray, step: int) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
-def parity_bitmap(tokens: np.ndarray) -> bytes:
+def parity_bitmap(tokens: np.ndarray, per_token: int = 1) -> bytes:
     """Bit b is the parity of the tokens hashed to b. Two maps differ in no more bits than the
-    sets in tokens; a map folds to half its length by xor of its halves."""
-    bits = max(64, 1 << (max(len(tokens), 1) - 1).bit_length())
+    sets in tokens; a map folds to half its length by xor of its halves. The more bits per token,
+    the closer is the bound."""
+    bits = max(64, per_token << (max(len(tokens), 1) - 1).bit_length())
     at = (_mix(tokens ^ _K[2]) % np.uint64(bits)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -149,7 +150,7 @@ def set_facts(docs: DataFrame, *, text: str, width: int) -> DataFrame:
 
     def run(batches):
         shingles = Shingles(width)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], [], []]
             for row, body in zip(batch.column("row_no").to_pylist(), batch.column("text").to_pylist()):
                 tokens = shingles(body)
@@ -192,7 +193,7 @@ def index(docs: DataFrame, *, text: str, width: int, step: int, parts: int, ligh
                 rows += [(int(p), True, code[part == p].tobytes(), owner[part == p].tobytes()) for p in np.unique(part)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["part", "sure", "codes", "owners"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for row, body in zip(batch.column("row_no").to_pylist(), batch.column("text").to_pylist()):
                 for code, deletion in entries(shingles(body), step):
                     codes.append(code)
@@ -241,7 +242,7 @@ def verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, *, text: str, wi
     both = both.join(side.select(F.col("row_no").alias("b"), F.col("n").alias("bn"), F.col("bitmap").alias("bm")), "b").filter("4 * least(an, bn) >= 3 * greatest(an, bn)")
 
     def close(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = [bitmap_difference(x, y) <= (s + t) // 7 for x, y, s, t in zip(*[batch.column(c).to_pylist() for c in ("am", "bm", "an", "bn")])]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -250,14 +251,14 @@ def verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, *, text: str, wi
 
     def sets(batches):
         shingles = Shingles(width)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("row_no"), pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["row_no", "s"])
 
     own = materialize(with_rows(docs.select("row_no", F.col(text).alias("text")), asked).mapInArrow(sets, "row_no long, s binary"), "join-sets")
     met = near.join(own.select(F.col("row_no").alias("b"), F.col("s").alias("bs")), "b").join(own.select(F.col("row_no").alias("a"), F.col("s").alias("as")), "a")
 
     def exact(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for x, y in zip(batch.column("as").to_pylist(), batch.column("bs").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -269,6 +270,18 @@ def verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, *, text: str, wi
     return materialize(met.select("a", "b", "as", "bs").mapInArrow(exact, "a long, b long"), "join-links")
 
 
+def close_bitmaps(docs: DataFrame, *, text: str, width: int, per_token: int = 8) -> DataFrame:
+    """row_no, n, bitmap with `per_token` bits for each shingle."""
+
+    def run(batches):
+        shingles = Shingles(width)
+        for batch in slices(batches):
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row_no"), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity_bitmap(x, per_token) for x in sets], pa.binary())], names=["row_no", "n", "bitmap"])
+
+    return docs.select("row_no", F.col(text).alias("text")).mapInArrow(run, "row_no long, n long, bitmap binary")
+
+
 def cross_pairs(large: DataFrame, labels: DataFrame, facts: DataFrame, *, block: int = 1024) -> DataFrame:
     """Pairs within large buckets (entry, row, deletion), not both by deletion, whose rows are in different components and whose
     bitmaps allow a link. Buckets are compared in blocks, so a task holds two blocks of one."""
@@ -345,7 +358,9 @@ def classes_of(docs: DataFrame, *, text: str, width: int, light: int, tokens_per
     links = verify(first, facts, docs, text=text, width=width)
 
     labels = materialize(components(links), "join-labels")
-    second = materialize(cross_pairs(large.select("entry", "row", "deletion"), labels, facts).distinct().join(first, ["a", "b"], "left_anti"), "join-second")
+    bucketed = materialize(large.select(F.col("row").alias("row_no")).distinct(), "join-bucketed")
+    close = materialize(close_bitmaps(with_rows(left, bucketed), text="text", width=width), "join-close")
+    second = materialize(cross_pairs(large.select("entry", "row", "deletion"), labels, close).distinct().join(first, ["a", "b"], "left_anti"), "join-second")
     if second.head(1):
         links = links.unionByName(verify(second, facts, docs, text=text, width=width))
         labels = materialize(components(links), "join-labels")

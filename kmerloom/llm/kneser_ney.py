@@ -12,6 +12,7 @@ and joins of the documents' n-grams with the model, shard by shard, for any size
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -273,9 +274,13 @@ def block_scores(docs: DataFrame, model: DataFrame, *, order: int, materialize)
 
     A block's distinct n-grams stand for all of its documents' ones: they are pre-aggregated, met
     with the model by (lang, key), and go back to their block as two packed arrays, which bounds
-    what a task holds by the size of a block whatever the size of the model.
+    what a task holds by the size of a block whatever the size of the model. Blocks are written
+    bucketed by their name, so their texts are not shuffled when the arrays come back.
     """
-    blocks = materialize(to_blocks(docs), "kn-blocks")
+    spark = docs.sparkSession
+    name = f"kmerloom_blocks_{uuid.uuid4().hex}"
+    to_blocks(docs).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name, format="parquet")
+    blocks = spark.table(name)
 
     def grams(batches):
         for batch in batches:
@@ -312,4 +317,7 @@ def block_scores(docs: DataFrame, model: DataFrame, *, order: int, materialize)
                     column.append(value)
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.float64(), pa.int64()))], names=["doc_id", "lang", "total", "symbols"])
 
-    return met.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(total, "doc_id long, lang string, total double, symbols long")
+    out = met.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(total, "doc_id long, lang string, total double, symbols long")
+    out = materialize(out, "kn-totals")
+    spark.sql(f"DROP TABLE {name}")
+    return out
