@@ -1,6 +1,13 @@
-"""Interpolated modified Kneser-Ney models over the bytes of words, one per language.
+"""Interpolated modified Kneser-Ney models of running text, one per language.
 
-A word w is the symbol string PAD * (order - 1) + w + END, so every symbol has a full context. An
+A text is a run of words. The probability of a word given the one before it comes from counts of
+all pairs of neighbouring words, falls back on the number of words it was seen after, and from there
+on its spelling: a model of the bytes of words, which gives every word a probability.
+
+The pair of words (v, w) is the 64-bit key hash(v) << 32 | hash(w) of two 32-bit hashes (CRC-32), so
+two words of a language can share a number: about one in 70 at 60 million distinct words.
+
+Of spelling, a word w is the symbol string PAD * (order - 1) + w + END, so every symbol has a full context. An
 n-gram of up to seven bytes is its own 64-bit key: packed big-endian, its suffix of k symbols is
 `key & mask(k)` and its context `key >> 8`, which lets Spark count, back off and join on longs.
 
@@ -13,6 +20,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -21,6 +29,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 PAD, END = b"\x01", b"\x02"
 #: Log probability of a symbol of which a model knows nothing: one of 256 bytes.
 UNIFORM = -math.log(256)
@@ -193,24 +203,192 @@ def score_keys(keys: DataFrame, model: DataFrame, *, order: int) -> DataFrame:
     return out
 
 
-class WordScores:
-    """Scores of words by a key scorer, with a table of at most `room` words per language."""
+# -- words in running text --------------------------------------------------------------------
+
+#: The number before a text's first word.
+START = 0
+LOW = 0xFFFFFFFF
+
+
+def word_pairs(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts as lists of words: the distinct words and their numbers; for every word of the texts
+    its place among the distinct ones, the place of the word before it (-1 for none), and its text."""
+    places: dict = {}
+    code = np.fromiter((places.setdefault(w, len(places)) for t in texts for w in t), np.int64, sum(map(len, texts)))
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    before = np.full(len(code), -1, np.int64)
+    before[1:] = code[:-1]
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = -1
+    words = list(places)
+    return words, np.fromiter(map(zlib.crc32, words), np.uint64, len(words)), code, before, np.repeat(np.arange(len(texts)), lengths)
 
-    def __init__(self, score, order: int, room: int = 400_000):
-        self.score, self.order, self.room, self.table = score, order, room, {}
 
-    def text(self, lang: str | None, words: list[bytes]) -> tuple[float, int]:
-        """Sum of log probabilities and number of symbols of a document's words."""
-        table = self.table.setdefault(lang, {})
+def pair_keys(ids: np.ndarray, code: np.ndarray, before: np.ndarray) -> np.ndarray:
+    first = np.append(ids, np.uint64(START))[before]
+    return (first << np.uint64(32) | ids[code]).view(np.int64)
+
+
+def count_pairs(docs: DataFrame, *, room: int = 3_000_000) -> DataFrame:
+    """lang, key, n for the documents' (lang, text): every pair of neighbouring words, and START with
+    every first word. Each task adds up its own first, and hands on its sums when it holds `room`."""
+
+    def count(batches):
+        new: dict = {}
+        sums: dict = {}
+        held = 0
+
+        def fold():
+            for lang, parts in new.items():
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                if lang in sums:
+                    keys, n = np.concatenate([sums[lang][0], keys]), np.concatenate([sums[lang][1], n])
+                    keys, at = np.unique(keys, return_inverse=True)
+                    n = np.bincount(at, weights=n).astype(np.int64)
+                sums[lang] = keys, n
+            new.clear()
+
+        def flush():
+            fold()
+            for lang, (keys, n) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(keys), np.int64))), pa.array(keys), pa.array(n, pa.int64())], names=["lang", "key", "n"])
+            sums.clear()
+
+        for batch in slices(batches):
+            by_lang: dict = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                if text:
+                    by_lang.setdefault(lang, []).append(text.encode("utf-8", "replace").split())
+            for lang, texts in by_lang.items():
+                _, ids, code, before, _ = word_pairs(texts)
+                if len(code):
+                    new.setdefault(lang, []).append(pair_keys(ids, code, before))
+                    held += len(code)
+            if held > 1_500_000:
+                fold()
+                held = 0
+            if sum(len(s[0]) for s in sums.values()) > room:
+                yield from flush()
+        yield from flush()
+
+    return docs.select("lang", "text").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
+
+def _discounts(seen: DataFrame) -> DataFrame:
+    """lang, d1, d2, d3 of rows lang, a (see estimate), with the sums of a and of the discounts."""
+    n = seen.groupBy("lang").agg(*[F.count(F.when(F.col("a") == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)], F.count(F.lit(1)).alias("rows"), F.sum("a").alias("total"))
+    y = F.expr("n1 / nullif(n1 + 2 * n2, 0)")
+    d = [i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")) for i in (1, 2, 3)]
+    d = [F.when((x > 0) & (x < i), x).otherwise(F.lit(0.5 * i)).alias(f"d{i}") for i, x in enumerate(d, 1)]
+    return n.select("lang", *d, "n1", "n2", "rows", "total").withColumn("held", F.expr("d1 * n1 + d2 * n2 + d3 * (rows - n1 - n2)"))
+
+
+class WordModel:
+    """The model of running text: `spelling` (MODEL), `pairs` (lang, key, x: the pair's count), `words`
+    (lang, key, x: the number of words it was seen after, y: the pairs it begins, z: the sum of their
+    discounts), and `languages`: a language's discounts of pairs and of words, the sum of x, and the
+    log weight of spelling."""
+
+    def __init__(self, docs: DataFrame, *, order: int, materialize):
+        self.order = order
+        self.spelling = materialize(estimate(count_grams(docs, order=order), order=order, materialize=materialize), "kn-spelling")
+        pairs = materialize(count_pairs(docs).select("lang", "key", F.col("n").alias("a")), "kn-pairs")
+        follows = materialize(pairs.groupBy("lang", F.col("key").bitwiseAND(F.lit(LOW)).alias("key")).agg(F.count(F.lit(1)).alias("a")), "kn-follows")
+        by_lang = materialize(_discounts(pairs), "kn-discounts")
+        deep, flat = ({r.lang: r for r in df.collect()} for df in (by_lang, _discounts(follows)))
+        self.languages = {k: ((0.0, deep[k].d1, deep[k].d2, deep[k].d3), (0.0, r.d1, r.d2, r.d3), float(r.total), math.log(r.held / r.total)) for k, r in flat.items()}
+        by_lang = by_lang.select(F.col("lang").alias("dlang"), "d1", "d2", "d3")
+        begun = pairs.join(F.broadcast(by_lang), pairs["lang"].eqNullSafe(by_lang["dlang"])).withColumn("d", F.expr("CASE WHEN a = 1 THEN d1 WHEN a = 2 THEN d2 ELSE d3 END"))
+        begun = begun.groupBy("lang", F.shiftrightunsigned("key", 32).alias("key")).agg(F.sum("a").cast("double").alias("y"), F.sum("d").alias("z"))
+        none = F.lit(0.0)
+        words = follows.select("lang", "key", F.col("a").cast("double").alias("x"), none.alias("y"), none.alias("z")).unionByName(begun.select("lang", "key", none.alias("x"), "y", "z"))
+        self.words = materialize(words.groupBy("lang", "key").agg(*[F.max(c).alias(c) for c in "xyz"]), "kn-words")
+        self.pairs = pairs.select("lang", "key", F.col("a").cast("double").alias("x"))
+
+    def rows(self) -> int:
+        return self.spelling.count() + self.pairs.count() + self.words.count()
+
+    def tables(self) -> "WordTables":
+        return WordTables(Arrays(self.spelling.toArrow(), self.order).score, by_language(self.pairs.toArrow(), "x"), by_language(self.words.toArrow(), "xyz"), self.languages, self.order)
+
+
+def by_language(table: pa.Table, values: str) -> dict:
+    """Per language of a table's rows, the sorted keys and their values."""
+    code = table.column("lang").combine_chunks().dictionary_encode()
+    names = [*code.dictionary.to_pylist(), None]
+    at_lang = code.indices.fill_null(len(names) - 1).to_numpy()
+    keys, columns = table.column("key").to_numpy(), [table.column(c).to_numpy() for c in values]
+    out = {}
+    for i, name in enumerate(names):
+        at = np.flatnonzero(at_lang == i)
+        at = at[np.argsort(keys[at])]
+        out[name] = keys[at], *[c[at] for c in columns]
+    return out
+
+
+def _values(table: tuple | None, keys: np.ndarray, columns: int) -> list[np.ndarray]:
+    """A table's values of keys, 0 for those it does not hold."""
+    if table is None or not len(table[0]):
+        return [np.zeros(len(keys))] * columns
+    hit, at = _find(table[0], keys)
+    return [np.where(hit, column[at], 0.0) for column in table[1:]]
+
+
+def _discount(d: tuple, n: np.ndarray) -> np.ndarray:
+    return np.array(d)[np.minimum(n, 3).astype(np.int64)]
+
+
+class WordTables:
+    """Scores texts by tables of pairs and words and a scorer of spelling keys, with a memory of at
+    most `room` spelled words per language."""
+
+    def __init__(self, spelling, pairs: dict, words: dict, languages: dict, order: int, room: int = 400_000):
+        self.spelling, self.pairs, self.words, self.languages, self.order, self.room, self.spelled = spelling, pairs, words, languages, order, room, {}
+
+    def spell(self, lang: str | None, words: list[bytes]) -> np.ndarray:
+        table = self.spelled.setdefault(lang, {})
         if len(table) > self.room:
             table.clear()
-        new = list(set(words).difference(table))
+        new = [w for w in words if w not in table]
         if new:
             keys, n = word_grams(new, self.order)
-            ends = np.cumsum(n)
-            sums = np.add.reduceat(self.score(lang, keys), ends - n)
-            table.update(zip(new, sums.tolist()))
-        return math.fsum(map(table.__getitem__, words)), sum(map(len, words)) + len(words)
+            table.update(zip(new, np.add.reduceat(self.spelling(lang, keys), np.cumsum(n) - n).tolist()))
+        return np.fromiter(map(table.__getitem__, words), float, len(words))
+
+    def texts(self, lang: str | None, texts: list[list[bytes]], counted: list[bool]) -> list[tuple[float, int]]:
+        """Sum of log probabilities and number of symbols (bytes of words, and a gap each) of texts.
+
+        A text that the model counted is judged by the others: its own pairs are taken off the counts
+        of pairs, of contexts and of words first. Spelling, discounts and totals stay.
+        """
+        words, ids, code, before, text = word_pairs(texts)
+        if not len(code):
+            return [(0.0, 0)] * len(texts)
+        deep, flat, total, rest = self.languages.get(lang, ((0.0,) * 4, (0.0,) * 4, 1.0, 0.0))
+        spell = self.spell(lang, words) + rest
+        follows, begun, held = _values(self.words.get(lang), np.append(ids, np.uint64(START)).view(np.int64), 3)
+        # Every pair of a text once: its word, the word before (a place past the last for none), the text.
+        span = len(words) + 1
+        where, first, at, own = np.unique((text * span + before % span) * span + code, return_index=True, return_inverse=True, return_counts=True)
+        code, before, text = code[first], before[first] % span, text[first]
+        (n,) = _values(self.pairs.get(lang), pair_keys(ids, code, np.where(before == span - 1, -1, before)), 1)
+        own = np.where(np.array(counted, bool)[text], own, 0)
+        left = np.maximum(n - own, 0.0)
+        _, of = np.unique(where // span, return_inverse=True)
+        y = begun[before] - np.bincount(of, weights=own)[of]
+        z = held[before] - np.bincount(of, weights=_discount(deep, n) - _discount(deep, left))[of]
+        _, of = np.unique(text * span + code, return_inverse=True)
+        x = np.maximum(follows[code] - np.bincount(of, weights=(left == 0) & (n > 0))[of], 0.0)
+        some = y > 0.5
+        y = np.where(some, y, 1.0)
+        weight = np.where(some, np.maximum(z, 0.0) / y, 1.0)
+        with np.errstate(divide="ignore"):
+            known = np.log(np.where(some, (left - _discount(deep, left)) / y, 0.0) + weight * (x - _discount(flat, x)) / total)
+            logp = np.logaddexp(known, np.log(weight) + spell[code])
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        times = np.bincount(at)
+        sums = np.bincount(text, weights=logp * times, minlength=len(texts))
+        symbols = np.bincount(text, weights=size[code] * times, minlength=len(texts)).astype(np.int64)
+        return list(zip(sums.tolist(), symbols.tolist()))
 
 
 def perplexity(total: float, symbols: int) -> float | None:
@@ -221,11 +399,11 @@ def perplexity(total: float, symbols: int) -> float | None:
 
 #: Stands for a null id within a block.
 NO_ID = -(2**63)
-BLOCKS = "block string, ids binary, blob binary"
+BLOCKS = "block long, ids binary, blob binary"
 
 
 def to_blocks(docs: DataFrame, *, block_bytes: int = 12_000_000) -> DataFrame:
-    """Documents (doc_id long, lang, text) packed, compressed, into blocks of bounded size."""
+    """Documents (doc_id long, lang, text, counted) packed, compressed, into blocks of bounded size."""
     import hashlib
     import json
 
@@ -239,24 +417,24 @@ def to_blocks(docs: DataFrame, *, block_bytes: int = 12_000_000) -> DataFrame:
             lengths = np.fromiter(map(len, texts), np.int64, len(texts)).tobytes()
             raw = len(head).to_bytes(8, "little") + len(texts).to_bytes(8, "little") + head + lengths + body
             key = np.array(ids, np.int64).tobytes()
-            yield pa.RecordBatch.from_pydict({"block": [hashlib.blake2b(key + body, digest_size=12).hexdigest()], "ids": [key], "blob": [zip_.compress(raw)]})
+            yield pa.RecordBatch.from_pydict({"block": [int.from_bytes(hashlib.blake2b(key + body, digest_size=8).digest(), "little", signed=True)], "ids": [key], "blob": [zip_.compress(raw)]})
 
         for batch in batches:
-            for ident, lang, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")]):
+            for ident, lang, text, own in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "lang", "text", "counted")]):
                 body = (text or "").encode("utf-8", "replace")
                 if size and size + len(body) > block_bytes:
                     yield from block()
                     ids, langs, texts, size = [], [], [], 0
-                ids.append(NO_ID if ident is None else ident), langs.append(lang), texts.append(body)
+                ids.append(NO_ID if ident is None else ident), langs.append((lang, own)), texts.append(body)
                 size += len(body)
         if ids:
             yield from block()
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(pack, BLOCKS)
+    return docs.select("doc_id", "lang", "text", "counted").mapInArrow(pack, BLOCKS)
 
 
 def from_block(ids: bytes, blob: bytes):
-    """(doc_id, lang, text bytes) of a block's documents."""
+    """(doc_id, lang, text bytes, counted) of a block's documents."""
     import json
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -264,60 +442,75 @@ def from_block(ids: bytes, blob: bytes):
     langs = json.loads(raw[16 : 16 + head])
     lengths = np.frombuffer(raw[16 + head : 16 + head + 8 * n], np.int64)
     at = 16 + head + 8 * n
-    for ident, lang, size in zip(np.frombuffer(ids, np.int64).tolist(), langs, lengths.tolist()):
-        yield None if ident == NO_ID else ident, lang, raw[at : at + size]
+    for ident, (lang, own), size in zip(np.frombuffer(ids, np.int64).tolist(), langs, lengths.tolist()):
+        yield None if ident == NO_ID else ident, lang, raw[at : at + size], own
         at += size
 
 
-def block_scores(docs: DataFrame, model: DataFrame, *, order: int, materialize) -> DataFrame:
-    """doc_id, lang, total, symbols of documents, by sharded joins.
+def block_scores(docs: DataFrame, model: WordModel, *, materialize) -> DataFrame:
+    """doc_id, lang, total, symbols of documents (doc_id, lang, text, counted: whether the model
+    counted it), by sharded joins.
 
-    A block's distinct n-grams stand for all of its documents' ones: they are pre-aggregated, met
-    with the model by (lang, key), and go back to their block as two packed arrays, which bounds
-    what a task holds by the size of a block whatever the size of the model. Blocks are written
-    bucketed by their name, so their texts are not shuffled when the arrays come back.
+    A block's distinct keys (of spelling, words and pairs) stand for all of its documents' ones: they
+    are pre-aggregated, met with the model by (lang, key), and those it knows go back to their block,
+    which bounds what a task holds by the size of a block whatever the size of the model. Blocks are
+    written bucketed by their name, so their texts are not shuffled when the keys come back.
     """
-    spark = docs.sparkSession
+    spark, order, languages = docs.sparkSession, model.order, model.languages
     name = f"kmerloom_blocks_{uuid.uuid4().hex}"
     to_blocks(docs).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name, format="parquet")
     blocks = spark.table(name)
 
-    def grams(batches):
-        for batch in batches:
-            for block, ids, blob in zip(*[batch.column(c).to_pylist() for c in ("block", "ids", "blob")]):
-                words: dict = {}
-                for _, lang, text in from_block(ids, blob):
-                    words.setdefault(lang, set()).update(text.split())
-                for lang, own in words.items():
-                    if own:
-                        keys = np.unique(word_grams(list(own), order)[0])
-                        yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()).take(pa.array(np.zeros(len(keys), np.int64))) for x in (block, lang)] + [pa.array(keys)], names=["block", "lang", "key"])
-
-    asked = materialize(blocks.mapInArrow(grams, "block string, lang string, key long"), "kn-asked")
-    scored = materialize(score_keys(asked.select("lang", "key").distinct(), model, order=order), "kn-scored")
-    scored = scored.select(F.col("lang").alias("slang"), F.col("key").alias("skey"), "score")
-    met = asked.join(scored, asked["lang"].eqNullSafe(scored["slang"]) & (asked["key"] == scored["skey"])).select("block", "lang", "key", "score")
+    def words_of(ids, blob):
+        """Per language, the ids of a block's documents, their words, and whether they were counted."""
+        out: dict = {}
+        for ident, lang, text, counted in from_block(ids, blob):
+            for column, value in zip(out.setdefault(lang, ([], [], [])), (ident, text.split(), counted)):
+                column.append(value)
+        return out
+
+    def keys_of(kind):
+        def grams(batches):
+            for batch in batches:
+                for block, ids, blob in zip(*[batch.column(c).to_pylist() for c in ("block", "ids", "blob")]):
+                    for lang, (_, texts, _) in words_of(ids, blob).items():
+                        words, numbers, code, before, _ = word_pairs(texts)
+                        if not words:
+                            continue
+                        if kind == 0:
+                            keys = word_grams(words, order)[0]
+                        else:
+                            keys = np.append(numbers, np.uint64(START)).view(np.int64) if kind == 1 else pair_keys(numbers, code, before)
+                        keys = np.unique(keys)
+                        fill = pa.array(np.zeros(len(keys), np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()).take(fill), pa.array([lang], pa.string()).take(fill), pa.array(keys)], names=["block", "lang", "key"])
+
+        return blocks.mapInArrow(grams, "block long, lang string, key long")
+
+    def met(kind, values):
+        values = values.withColumnRenamed("lang", "vlang").withColumnRenamed("key", "vkey")
+        asked = keys_of(kind) if kind else spelled
+        rows = asked.join(values, asked["lang"].eqNullSafe(values["vlang"]) & (asked["key"] == values["vkey"]))
+        columns = [F.col(c) if c in values.columns else F.lit(None).cast("double").alias(c) for c in "xyz"]
+        return rows.select("block", "lang", F.lit(kind).alias("kind"), "key", *columns)
+
+    spelled = materialize(keys_of(0), "kn-asked")
+    scored = materialize(score_keys(spelled.select("lang", "key").distinct(), model.spelling, order=order), "kn-scored")
+    known = met(0, scored.withColumnRenamed("score", "x")).unionByName(met(1, model.words)).unionByName(met(2, model.pairs))
 
     def total(key, rows, own):
-        arrays = {}
-        code = rows.column("lang").combine_chunks().dictionary_encode()
-        names = [*code.dictionary.to_pylist(), None]
-        at_lang = code.indices.fill_null(len(names) - 1).to_numpy()
-        keys, scores = rows.column("key").to_numpy(), rows.column("score").to_numpy()
-        for i, name in enumerate(names):
-            at = np.flatnonzero(at_lang == i)
-            at = at[np.argsort(keys[at])]
-            arrays[name] = keys[at], scores[at]
-        words = WordScores(lambda lang, k: arrays[lang][1][np.searchsorted(arrays[lang][0], k)], order)
+        kind = rows.column("kind").to_numpy()
+        spelling, words, pairs = (by_language(rows.filter(pa.array(kind == i)), v) for i, v in enumerate(("x", "xyz", "x")))
+        tables = WordTables(lambda lang, k: spelling[lang][1][np.searchsorted(spelling[lang][0], k)], pairs, words, languages, order)
         out: list[list] = [[], [], [], []]
         for ids, blob in zip(own.column("ids").to_pylist(), own.column("blob").to_pylist()):
-            for ident, lang, text in from_block(ids, blob):
-                s, n = words.text(lang, text.split())
-                for column, value in zip(out, (ident, lang, s, n)):
-                    column.append(value)
+            for lang, (idents, texts, counted) in words_of(ids, blob).items():
+                for ident, (s, n) in zip(idents, tables.texts(lang, texts, counted)):
+                    for column, value in zip(out, (ident, lang, s, n)):
+                        column.append(value)
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.float64(), pa.int64()))], names=["doc_id", "lang", "total", "symbols"])
 
-    out = met.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(total, "doc_id long, lang string, total double, symbols long")
+    out = known.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(total, "doc_id long, lang string, total double, symbols long")
     out = materialize(out, "kn-totals")
     spark.sql(f"DROP TABLE {name}")
     return out

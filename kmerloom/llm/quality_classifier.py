@@ -35,8 +35,8 @@ def classify(
 ) -> DataFrame:
     """doc_id, lang, trusted, perplexity, limit, kept for every document with a long id.
 
-    The model counts all text of the documents that `labels` trusts, per language; every document
-    is scored by sharded joins of n-gram counts. A document is kept if its log perplexity is at
+    The model counts all running text of the documents that `labels` trusts, per language; every document
+    is scored, a trusted one with its own pairs taken off the counts, by sharded joins of n-gram counts. A document is kept if its log perplexity is at
     most `slack` above the given quantile of its language's trusted documents. A language without
     trusted text has no model; its documents are kept (there is nothing to hold against them),
     and so are documents without a word, which have no perplexity.
@@ -48,9 +48,9 @@ def classify(
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     ids = materialize(labels.filter(trusted).select(F.col(doc_id).cast("long").alias("doc_id")).filter("doc_id is not null").distinct(), "classifier-trusted")
     side = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-    counts = kn.count_grams(base.join(side, "doc_id", "left_semi"), order=order)
-    model = materialize(kn.estimate(counts, order=order, materialize=materialize), "classifier-model")
-    scored = kn.block_scores(base, model, order=order, materialize=materialize)
+    model = kn.WordModel(base.join(side, "doc_id", "left_semi"), order=order, materialize=materialize)
+    marked = base.join(side.withColumn("counted", F.lit(True)), "doc_id", "left").withColumn("counted", F.coalesce("counted", F.lit(False)))
+    scored = kn.block_scores(marked, model, materialize=materialize)
     scored = scored.withColumn("logppl", F.when(F.col("symbols") > 0, -F.col("total") / F.col("symbols")))
     scored = scored.join(side.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     limits = language_quantile(scored.filter("trusted and logppl is not null"), quantile)

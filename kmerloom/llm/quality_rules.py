@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kneser_ney as kn
-from .common import materialize
+from .common import materialize, slices
 
 #: Characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -97,7 +97,8 @@ def quality_rules(
     perplexity, low, high, kept.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them repeated. The
-    model counts every word of every document. A document is kept if it passes the base rules and
+    model counts every pair of neighbouring words of every document, and `order` bytes of
+    spelling; a document is scored with its own pairs taken off the counts. A document is kept if it passes the base rules and
     its perplexity lies within its language's band, whose centre and width are medians over the
     language's documents of at least min_words words.
 
@@ -110,17 +111,21 @@ def quality_rules(
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    model = materialize(kn.estimate(kn.count_grams(base, order=order), order=order, materialize=materialize), "rules-model")
-    small = model.count() <= max_model_rows
-    shared = spark.sparkContext.broadcast(kn.Arrays(model.toArrow(), order)) if small else None
+    model = kn.WordModel(base, order=order, materialize=materialize)
+    small = model.rows() <= max_model_rows
+    shared = spark.sparkContext.broadcast(model.tables()) if small else None
 
     def judge(batches):
-        words = kn.WordScores(shared.value.score, order) if small else None
-        for batch in batches:
-            rows = []
+        for batch in slices(batches):
+            rows, by_lang = [], {}
             for ident, own, body in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")]):
                 *stats, tokens = text_statistics(body)
-                rows.append((ident, own, *stats, *(words.text(own, tokens) if small else (0.0, 0))))
+                if small:
+                    by_lang.setdefault(own, []).append((len(rows), tokens))
+                rows.append((ident, own, *stats, 0.0, 0))
+            for own, texts in by_lang.items():
+                for (i, _), score in zip(texts, shared.value.texts(own, [tokens for _, tokens in texts], [True] * len(texts))):
+                    rows[i] = (*rows[i][:-2], *score)
             if rows:
                 kinds = [batch.schema.field("doc_id").type, pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in OUT.split(", ")])
@@ -129,7 +134,7 @@ def quality_rules(
     if not small:
         # A number for each row of this reading joins the two; the written copy fixes it.
         numbered = materialize(base.withColumn("row", F.monotonically_increasing_id()), "rules-rows")
-        totals = kn.block_scores(numbered.select(F.col("row").alias("doc_id"), "lang", "text"), model, order=order, materialize=materialize)
+        totals = kn.block_scores(numbered.select(F.col("row").alias("doc_id"), "lang", "text", F.lit(True).alias("counted")), model, materialize=materialize)
         totals = totals.select(F.col("doc_id").alias("row"), "total", "symbols")
         # mapInArrow keeps order within a batch, so the number travels as the id.
         stats = numbered.select(F.struct("row", "doc_id").alias("doc_id"), "lang", "text").mapInArrow(judge, OUT.format(id=f"struct<row:bigint,doc_id:{kind}>"))
