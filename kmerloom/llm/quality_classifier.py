@@ -30,14 +30,14 @@ def classify(
     lang: str = "lang",
     trusted: str = "quality = 1",
     order: int = 4,
-    quantile: float = 0.999,
-    slack: float = 0.1,
+    quantile: float = 0.98,
 ) -> DataFrame:
     """doc_id, lang, trusted, perplexity, limit, kept for every document with a long id.
 
     The model counts all running text of the documents that `labels` trusts, per language; every document
     is scored, a trusted one with its own pairs taken off the counts, by sharded joins of n-gram counts. A document is kept if its log perplexity is at
-    most `slack` above the given quantile of its language's trusted documents. A language without
+    most the given quantile of its language's trusted documents, which from 50 of them on is not the
+    worst one. A language without
     trusted text has no model; its documents are kept (there is nothing to hold against them),
     and so are documents without a word, which have no perplexity.
 
@@ -54,5 +54,5 @@ def classify(
     scored = scored.withColumn("logppl", F.when(F.col("symbols") > 0, -F.col("total") / F.col("symbols")))
     scored = scored.join(side.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     limits = language_quantile(scored.filter("trusted and logppl is not null"), quantile)
-    out = scored.join(F.broadcast(limits), scored["lang"].eqNullSafe(limits["qlang"]), "left").withColumn("limit", F.col("limit") + slack)
+    out = scored.join(F.broadcast(limits), scored["lang"].eqNullSafe(limits["qlang"]), "left")
     return out.select("doc_id", "lang", "trusted", F.exp("logppl").alias("perplexity"), F.exp("limit").alias("limit"), F.coalesce(F.col("logppl") <= F.col("limit"), F.lit(True)).alias("kept"))

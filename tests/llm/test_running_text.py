@@ -39,3 +39,12 @@ def test_pairs_cover_running_text(spark):
             for key in kneser_ney.pair_keys(ids, code, before).tolist():
                 expect[lang, key] = expect.get((lang, key), 0) + 1
     assert got == expect and sum(got.values()) == 8 and len(got) == 5
+
+
+def test_one_trusted_outlier_does_not_open_the_gate(spark):
+    rng = random.Random(1)
+    junk = lambda: " ".join("".join(rng.choice("QXZ#$%&!") for _ in range(9)) for _ in range(200))
+    rows = [(i, " ".join(sentences(i, 200)), "en") for i in range(100)] + [(100, junk(), "en"), (101, junk(), "en")]
+    labels = spark.createDataFrame([(i, 1) for i in range(101)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality_classifier.classify(spark.createDataFrame(rows, SCHEMA), labels).collect()}
+    assert not kept[101] and sum(kept[i] for i in range(100)) >= 97
