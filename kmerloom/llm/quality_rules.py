@@ -60,25 +60,23 @@ def text_statistics(text: str | None) -> tuple[int, int, int, int, int, list[byt
     return len(words), chars, symbols, dup_lines, repeated_words(words), words
 
 
-OUT = "doc_id {id}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, total double, symbols long"
+OUT = "row long, doc_id {id}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def band_by_language(scored: DataFrame, *, reach: float, step: float = 1e-3) -> DataFrame:
-    """lang, low, high of the log perplexity: the median less and plus `reach` times the larger of
-    a floor of 0.05 and the median distance from it. Quantiles are exact to `step`: they are taken
-    from a histogram of steps, whose size depends on the range and not on the number of documents.
+def band_by_language(scored: DataFrame, value: str, *, reach: float, reach_low: float, step: float = 1e-3) -> DataFrame:
+    """mlang, low, high of `value`: the median plus `reach` times its distance from the upper quartile,
+    and less `reach_low` times its distance from the lower one (distances of 0.01 at least). Quartiles
+    move little with a share of outliers. They are exact to `step`: they are taken from a histogram
+    of steps, whose size depends on the range and not on the number of documents.
     """
-
-    def median(df: DataFrame, value: str) -> DataFrame:
-        hist = df.groupBy("lang", F.round(F.col(value) / step).cast("long").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-        up = Window.partitionBy("lang").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("upto", F.sum("c").over(up)).withColumn("all", F.sum("c").over(Window.partitionBy("lang")))
-        return hist.filter(F.col("upto") * 2 >= F.col("all")).groupBy("lang").agg((F.min("b") * step).alias("mid"))
-
-    mid = median(scored, "logppl").select(F.col("lang").alias("mlang"), F.col("mid").alias("centre"))
-    off = scored.join(F.broadcast(mid), scored["lang"].eqNullSafe(mid["mlang"])).select("lang", F.abs(F.col("logppl") - F.col("centre")).alias("off"))
-    spread = median(off, "off").select(F.col("lang").alias("slang"), F.greatest("mid", F.lit(0.05)).alias("spread"))
-    return mid.join(spread, mid["mlang"].eqNullSafe(spread["slang"])).select("mlang", (F.col("centre") - reach * F.col("spread")).alias("low"), (F.col("centre") + reach * F.col("spread")).alias("high"))
+    hist = scored.groupBy("lang", F.round(F.col(value) / step).cast("long").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    up = Window.partitionBy("lang").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumn("upto", F.sum("c").over(up)).withColumn("all", F.sum("c").over(Window.partitionBy("lang")))
+    quartile = [(F.min(F.when(F.col("upto") * 4 >= F.col("all") * i, F.col("b"))) * step).alias(f"q{i}") for i in (1, 2, 3)]
+    q = hist.groupBy(F.col("lang").alias("mlang")).agg(*quartile)
+    low = F.col("q2") - reach_low * F.greatest(F.col("q2") - F.col("q1"), F.lit(0.01))
+    high = F.col("q2") + reach * F.greatest(F.col("q3") - F.col("q2"), F.lit(0.01))
+    return q.select("mlang", low.alias("low"), high.alias("high"))
 
 
 def quality_rules(
@@ -88,7 +86,8 @@ def quality_rules(
     text: str = "text",
     lang: str = "lang",
     order: int = 5,
-    reach: float = 12.0,
+    reach: float = 4.0,
+    reach_low: float = 8.0,
     min_words: int = 10,
     max_repeat_percent: int = 20,
     max_model_rows: int = 6_000_000,
@@ -97,10 +96,11 @@ def quality_rules(
     perplexity, low, high, kept.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them repeated. The
-    model counts every pair of neighbouring words of every document, and `order` bytes of
-    spelling; a document is scored with its own pairs taken off the counts. A document is kept if it passes the base rules and
-    its perplexity lies within its language's band, whose centre and width are medians over the
-    language's documents of at least min_words words.
+    first model counts every pair of neighbouring words of every document, and `order` bytes of
+    spelling. Documents whose log probability a word lies outside their language's band are left out
+    of the counts of the second model, which scores all documents, each with its own pairs taken off
+    the counts. A document is kept if it passes the base rules and its perplexity lies within its
+    language's band. Bands come from quartiles of the language's documents of at least min_words words.
 
     A model of at most max_model_rows rows (24 bytes each) is handed to the tasks as sorted arrays;
     a larger one is joined with the documents' n-grams shard by shard, with the same results.
@@ -111,37 +111,48 @@ def quality_rules(
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    model = kn.WordModel(base, order=order, materialize=materialize)
-    small = model.rows() <= max_model_rows
-    shared = spark.sparkContext.broadcast(model.tables()) if small else None
+    # A number for each row of this reading tells repeated ids apart; the written copy fixes it.
+    rows = materialize(base.withColumn("row", F.monotonically_increasing_id()), "rules-rows")
 
     def judge(batches):
         for batch in slices(batches):
-            rows, by_lang = [], {}
-            for ident, own, body in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")]):
-                *stats, tokens = text_statistics(body)
-                if small:
-                    by_lang.setdefault(own, []).append((len(rows), tokens))
-                rows.append((ident, own, *stats, 0.0, 0))
-            for own, texts in by_lang.items():
-                for (i, _), score in zip(texts, shared.value.texts(own, [tokens for _, tokens in texts], [True] * len(texts))):
-                    rows[i] = (*rows[i][:-2], *score)
-            if rows:
-                kinds = [batch.schema.field("doc_id").type, pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in OUT.split(", ")])
-
-    scored = base.mapInArrow(judge, OUT.format(id=kind))
-    if not small:
-        # A number for each row of this reading joins the two; the written copy fixes it.
-        numbered = materialize(base.withColumn("row", F.monotonically_increasing_id()), "rules-rows")
-        totals = kn.block_scores(numbered.select(F.col("row").alias("doc_id"), "lang", "text", F.lit(True).alias("counted")), model, materialize=materialize)
-        totals = totals.select(F.col("doc_id").alias("row"), "total", "symbols")
-        # mapInArrow keeps order within a batch, so the number travels as the id.
-        stats = numbered.select(F.struct("row", "doc_id").alias("doc_id"), "lang", "text").mapInArrow(judge, OUT.format(id=f"struct<row:bigint,doc_id:{kind}>"))
-        scored = stats.drop("total", "symbols").withColumn("row", F.col("doc_id.row")).withColumn("doc_id", F.col("doc_id.doc_id")).join(totals, "row").drop("row")
+            out = []
+            for row, ident, own, body in zip(*[batch.column(c).to_pylist() for c in ("row", "doc_id", "lang", "text")]):
+                out.append((row, ident, own, *text_statistics(body)[:5]))
+            kinds = [pa.int64(), batch.schema.field("doc_id").type, pa.string(), *[pa.int64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in OUT.split(", ")])
+
+    def scores(marked: DataFrame) -> DataFrame:
+        """row, total, symbols by a model of the rows that are marked as counted."""
+        model = kn.WordModel(marked.filter("counted"), order=order, materialize=materialize)
+        if model.rows() > max_model_rows:
+            totals = kn.block_scores(marked.select(F.col("row").alias("doc_id"), "lang", "text", "counted"), model, materialize=materialize)
+            return totals.select(F.col("doc_id").alias("row"), "total", "symbols")
+        shared = spark.sparkContext.broadcast(model.tables())
+
+        def score(batches):
+            for batch in slices(batches):
+                out, by_lang = ([], [], []), {}
+                for row, own, body, counted in zip(*[batch.column(c).to_pylist() for c in ("row", "lang", "text", "counted")]):
+                    for column, value in zip(by_lang.setdefault(own, ([], [], [])), (row, (body or "").encode("utf-8", "replace").split(), counted)):
+                        column.append(value)
+                for own, (numbers, texts, counted) in by_lang.items():
+                    for row, (total, symbols) in zip(numbers, shared.value.texts(own, texts, counted)):
+                        for column, value in zip(out, (row, total, symbols)):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.float64(), pa.int64()))], names=["row", "total", "symbols"])
+
+        return materialize(marked.select("row", "lang", "text", "counted").mapInArrow(score, "row long, total double, symbols long"), "rules-totals")
+
+    stats = materialize(rows.select("row", "doc_id", "lang", "text").mapInArrow(judge, OUT.format(id=kind)), "rules-stats")
+    first = stats.join(scores(rows.withColumn("counted", F.lit(True))), "row").filter("n_words > 0").withColumn("by_word", -F.col("total") / F.col("n_words"))
+    edges = materialize(band_by_language(first.filter(F.col("n_words") >= min_words), "by_word", reach=reach, reach_low=reach_low), "rules-edges")
+    out = first.join(F.broadcast(edges), first["lang"].eqNullSafe(edges["mlang"])).filter("by_word < low or by_word > high").select("row", F.lit(False).alias("counted"))
+    marked = materialize(rows.join(out, "row", "left").withColumn("counted", F.coalesce("counted", F.lit(True))), "rules-marked")
+    scored = stats.join(scores(marked), "row")
     scored = scored.withColumn("logppl", F.when(F.col("symbols") > 0, -F.col("total") / F.col("symbols")))
     scored = materialize(scored, "rules-scored")
-    band = materialize(band_by_language(scored.filter(F.col("n_words") >= min_words).filter("logppl is not null"), reach=reach), "rules-band")
+    band = materialize(band_by_language(scored.filter(F.col("n_words") >= min_words).filter("logppl is not null"), "logppl", reach=reach, reach_low=reach_low), "rules-band")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = scored.join(F.broadcast(band), scored["lang"].eqNullSafe(band["mlang"]), "left").withColumn("base_failed", failed)
     inside = F.coalesce(F.col("logppl").between(F.col("low"), F.col("high")), F.lit(False))

@@ -2,7 +2,7 @@
 
 import random
 
-from kmerloom.llm import kneser_ney, quality_classifier
+from kmerloom.llm import kneser_ney, quality_classifier, quality_rules
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -48,3 +48,11 @@ def test_one_trusted_outlier_does_not_open_the_gate(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(101)], "doc_id long, quality int")
     kept = {r.doc_id: r.kept for r in quality_classifier.classify(spark.createDataFrame(rows, SCHEMA), labels).collect()}
     assert not kept[101] and sum(kept[i] for i in range(100)) >= 97
+
+
+def test_band_rejects_junk_that_the_model_saw(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(sentences(i, 100)), "en") for i in range(90)]
+    rows += [(i, " ".join(w + rng.choice(["$$$", "%%%", "&&&"]) for w in sentences(i, 100)), "en") for i in range(90, 100)]
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA), max_repeat_percent=100).collect()}
+    assert sum(kept[i] for i in range(90)) >= 86 and not any(kept[i] for i in range(90, 100))
