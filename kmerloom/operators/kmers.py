@@ -104,12 +104,16 @@ def remove_censored_exts(kmers: DataFrame, *, stranded: bool = False) -> DataFra
     return _with_bits(kmers, bits.join(kmers.select(F.col("kmer").alias("target")), "target", "left_semi"))
 
 
-def remove_censored_exts_sharded(kmers: DataFrame, all_kmers: DataFrame, *, stranded: bool = False) -> DataFrame:
+def remove_censored_exts_sharded(kmers: DataFrame, all_kmers: DataFrame, *, stranded: bool = False, shard=None) -> DataFrame:
     """kmers without extensions to k-mers that this shard saw and dropped; unseen ones may be in
-    another shard and stay."""
+    another shard and stay. The tables are one shard, or all of them where `shard` is a function from
+    the k-mer's column to its shard's: then each is repaired by what it saw itself, in one pass."""
     bits = neighbour_bits(kmers, stranded=stranded)
     dropped = all_kmers.select("kmer").join(kmers.select("kmer"), "kmer", "left_anti").select(F.col("kmer").alias("target")).distinct()
-    return _with_bits(kmers, bits.join(dropped, "target", "left_anti"))
+    if shard is None:
+        return _with_bits(kmers, bits.join(dropped, "target", "left_anti"))
+    bits = bits.withColumn("shard", shard(F.col("kmer")))
+    return _with_bits(kmers, bits.join(dropped.withColumn("shard", shard(F.col("target"))), ["shard", "target"], "left_anti"))
 
 
 def exts_from_set(kmers: DataFrame, *, stranded: bool = False) -> DataFrame:

@@ -150,6 +150,7 @@ def oracle_sql() -> dict[str, str]:
         "push_packed": key + "SELECT id, " + " || ',' || ".join("CAST(" + " + ".join(f"{code(f'substr(seq, {4 * g + j + 1}, 1)')} * {4**j}" for j in range(4)) + " AS VARCHAR)" for g in range(8)) + " AS bytes, substr(seq, 1, 30) AS first30 FROM key",
         "exts_censored": f"{km}, {targets('km')} SELECT k.kmer, CAST(coalesce(b.e, 0) AS INTEGER) AS exts FROM km k LEFT JOIN (SELECT kmer, bit_or(bit) AS e FROM tg WHERE target IN (SELECT kmer FROM km) GROUP BY kmer) b ON b.kmer = k.kmer",
         "exts_censored_sharded": f"{km}, sh AS (SELECT * FROM km WHERE substr(kmer, 1, 2) IN ('AA', 'AC')), dropped AS (SELECT DISTINCT kmer FROM obs WHERE substr(kmer, 1, 2) IN ('AA', 'AC') AND kmer NOT IN (SELECT kmer FROM sh)), {targets('sh')} SELECT k.kmer, CAST(coalesce(b.e, 0) AS INTEGER) AS exts FROM sh k LEFT JOIN (SELECT kmer, bit_or(bit) AS e FROM tg WHERE target NOT IN (SELECT kmer FROM dropped) GROUP BY kmer) b ON b.kmer = k.kmer",
+        "exts_censored_all_shards": f"{km}, dropped AS (SELECT DISTINCT kmer FROM obs WHERE kmer NOT IN (SELECT kmer FROM km)), {targets('km')} SELECT k.kmer, CAST(coalesce(b.e, 0) AS INTEGER) AS exts FROM km k LEFT JOIN (SELECT kmer, bit_or(bit) AS e FROM tg WHERE substr(kmer, 1, 1) || translate(substr(kmer, 2, 1), 'CT', 'AG') <> substr(target, 1, 1) || translate(substr(target, 2, 1), 'CT', 'AG') OR target NOT IN (SELECT kmer FROM dropped) GROUP BY kmer) b ON b.kmer = k.kmer",
         "exts_from_set": f"{km}, allx AS (SELECT kmer, 255 AS exts FROM km), {targets('allx')} SELECT k.kmer, CAST(coalesce(b.e, 0) AS INTEGER) AS exts FROM km k LEFT JOIN (SELECT kmer, bit_or(bit) AS e FROM tg WHERE target IN (SELECT kmer FROM km) GROUP BY kmer) b ON b.kmer = k.kmer",
         "msp_bucket": key
         + f", pm AS (SELECT id, j, CAST({rank('c', 6)} AS BIGINT) AS r FROM (SELECT id, j, least(p, {rc('p')}) AS c FROM (SELECT id, j, substr(seq, j, 6) AS p FROM (SELECT id, seq, CAST(unnest(range(1, 28)) AS INTEGER) AS j FROM key)))), win AS (SELECT id, j, min(r) OVER (PARTITION BY id ORDER BY j ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS bucket FROM pm) SELECT id AS seq_id, CAST(j - 1 AS BIGINT) AS pos, bucket FROM win WHERE j <= 13",

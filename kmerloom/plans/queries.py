@@ -172,6 +172,13 @@ def exts_censored_sharded(spark, sf_dir):
     return kmers.remove_censored_exts_sharded(written(shard(valid), "valid"), written(shard(everything), "all")).select("kmer", "exts")
 
 
+def exts_censored_all_shards(spark, sf_dir):
+    """Every shard's k-mers; exts_censored_sharded returns one of the eight (AA and AC) alone."""
+    valid, everything = kmers.filter_kmers(doc_sequences(spark, sf_dir), K, kmers.count_filter(MIN_OBS), report_all=True)
+    shard = lambda kmer: F.concat(F.left(kmer, F.lit(1)), F.translate(F.substring(kmer, 2, 1), "CT", "AG"))
+    return kmers.remove_censored_exts_sharded(written(valid, "valid"), written(everything, "all"), shard=shard).select("kmer", "exts")
+
+
 def exts_from_set(spark, sf_dir):
     table_ = written(kmers.filter_kmers(doc_sequences(spark, sf_dir), K, kmers.count_filter(MIN_OBS)), "kmers")
     return kmers.exts_from_set(table_).select("kmer", "exts")
