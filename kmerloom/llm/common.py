@@ -15,18 +15,32 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Where it is unset (a local session, tests) a folder of this machine is chosen once and
-    remembered in the session; in local mode that folder is shared by definition.
+    Only a session on this machine alone (a local master, as in tests) may go without: it gets a
+    temporary folder once, which it remembers. On a cluster such a folder would be a different one
+    on each machine, so a missing setting is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("kmerloom.shared.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="kmerloom-")
         spark.conf.set("kmerloom.shared.dir", base)
     return base.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one, so that cleanup() leaves others' tables alone."""
+    return f"{shared_dir(spark)}/kmerloom/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/kmerloom/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -35,10 +49,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     A lost executor loses none of it, later readers compute nothing twice, and Catalyst knows
     its true size when it chooses between a broadcast and a shuffled join.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, fresh_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Written tables that one call of an operator needs until its own result is written.
+
+    Used as materialize() is; leaving the `with` block removes them all. What outlives the call is
+    written by materialize() inside the block.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.tables = spark, fresh_path(spark, name), 0
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables += 1
+        return _write(df, f"{self.path}/{self.tables}-{name}")
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *failed) -> None:
+        drop_path(self.spark, self.path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -49,11 +81,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def cleanup(spark: SparkSession) -> None:
-    """Remove every intermediate table of this library; call it after the last result is written."""
-    drop_path(spark, f"{shared_dir(spark)}/kmerloom")
+    """Remove every intermediate table of this application; call it after its last result is written."""
+    drop_path(spark, session_dir(spark))
 
 
-def slices(batches, rows: int = 512):
+def slices(batches, rows: int = 256):
     """Arrow batches cut into parts of at most `rows` rows, so that few texts are Python objects at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import Scratch, materialize, slices
 from .components import components
 from .spans import MAX_BROADCAST_ROWS, numbered, with_rows, without_rows
 
@@ -45,20 +45,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    """Distinct hashes of the `width`-word shingles of texts, ascending."""
+    """Distinct hashes of the `width`-word shingles of texts, ascending. The table of words is emptied
+    when it takes about `room` bytes."""
 
-    def __init__(self, width: int, room: int = 300_000):
-        self.width, self.room, self.words = width, room, {}
+    def __init__(self, width: int, room: int = 16_000_000):
+        self.width, self.room, self.words, self.held = width, room, {}, 0
 
     def __call__(self, text: str | None) -> np.ndarray:
         tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z, and the six blanks
         if not tokens:
             return np.empty(0, np.uint64)
         table = self.words
-        if len(table) > self.room:
+        if self.held > self.room:
             table.clear()
+            self.held = 0
         for w in set(tokens).difference(table):
             table[w] = xxhash.xxh3_64_intdigest(w)
+            self.held += 120 + len(w)
         h = np.fromiter(map(table.__getitem__, tokens), np.uint64, len(tokens))
         k = min(self.width, len(h))
         n = len(h) - k + 1
@@ -162,12 +165,20 @@ def set_facts(docs: DataFrame, *, text: str, width: int) -> DataFrame:
     return docs.select("row_no", F.col(text).alias("text")).mapInArrow(run, "row_no long, print binary, n long, own_full long, next_full long, bitmap binary")
 
 
-def index(docs: DataFrame, *, text: str, width: int, step: int, parts: int, light: int) -> DataFrame:
+def _by_part(part: np.ndarray, *columns: np.ndarray):
+    """(part, columns' bytes) of every part that occurs."""
+    order = np.argsort(part, kind="stable")
+    present, begin = np.unique(part[order], return_index=True)
+    for p, at in zip(present.tolist(), np.split(order, begin[1:])):
+        yield p, *[c[at].tobytes() for c in columns]
+
+
+def index(docs: DataFrame, *, text: str, width: int, step: int, parts: int, light: int, room: int = 400_000) -> DataFrame:
     """large boolean, a long, b long: pairs of rows that share an entry held by at most `light`
     sets (large = false), and (entry, 2 * row + deletion) of those that more hold (large = true).
 
-    Entries travel as packed arrays, one per task batch and part. An entry that a batch alone
-    shows to be large sends a mark to its part, and its rows elsewhere, so no part holds them all.
+    Entries travel as packed arrays, one per part and `room` entries of a task. An entry that these
+    alone show to be large sends a mark to its part, and its rows elsewhere, so no part holds them all.
     """
 
     def pack(batches):
@@ -184,13 +195,9 @@ def index(docs: DataFrame, *, text: str, width: int, step: int, parts: int, ligh
             marks = code[begin[size > light]]
             sent_code, sent_owner = np.concatenate([code[~sure], marks]), np.concatenate([owner[~sure], np.full(len(marks), -1)])
             part = ((sent_code >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, False, sent_code[o].tobytes(), sent_owner[o].tobytes()) for p in range(parts) if len(o := order[cut[p] : cut[p + 1]])]
-            code, owner = code[sure], owner[sure]
-            if len(code):
-                part = (_mix(owner.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                rows += [(int(p), True, code[part == p].tobytes(), owner[part == p].tobytes()) for p in np.unique(part)]
+            rows = [(p, False, *packed) for p, *packed in _by_part(part, sent_code, sent_owner)]
+            part = (_mix(owner[sure].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            rows += [(p, True, *packed) for p, *packed in _by_part(part, code[sure], owner[sure])]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["part", "sure", "codes", "owners"])
 
         for batch in slices(batches):
@@ -199,7 +206,7 @@ def index(docs: DataFrame, *, text: str, width: int, step: int, parts: int, ligh
                     codes.append(code)
                     owners.append(2 * row + deletion.astype(np.int64))
                     held += len(code)
-                if held > 1_500_000:
+                if held > room:
                     yield flush()
                     codes, owners, held = [], [], 0
         if codes:
@@ -235,7 +242,7 @@ def index(docs: DataFrame, *, text: str, width: int, step: int, parts: int, ligh
     return packed.groupBy("part").applyInArrow(meet, "large boolean, a long, b long")
 
 
-def verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, *, text: str, width: int) -> DataFrame:
+def verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, *, text: str, width: int, write) -> DataFrame:
     """The pairs (a, b) of rows whose sets have similarity >= 3/4: by sizes, bitmaps, then sets."""
     side = facts.select("row_no", "n", "bitmap")
     both = pairs.join(side.select(F.col("row_no").alias("a"), F.col("n").alias("an"), F.col("bitmap").alias("am")), "a")
@@ -246,19 +253,19 @@ def verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, *, text: str, wi
             keep = [bitmap_difference(x, y) <= (s + t) // 7 for x, y, s, t in zip(*[batch.column(c).to_pylist() for c in ("am", "bm", "an", "bn")])]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = materialize(both.mapInArrow(close, "a long, b long"), "join-near")
-    asked = materialize(near.select(F.col("a").alias("row_no")).union(near.select("b")).distinct(), "join-asked")
+    near = write(both.mapInArrow(close, "a long, b long"), "join-near")
+    asked = write(near.select(F.col("a").alias("row_no")).union(near.select("b")).distinct(), "join-asked")
 
     def sets(batches):
         shingles = Shingles(width)
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("row_no"), pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["row_no", "s"])
 
-    own = materialize(with_rows(docs.select("row_no", F.col(text).alias("text")), asked).mapInArrow(sets, "row_no long, s binary"), "join-sets")
+    own = write(with_rows(docs.select("row_no", F.col(text).alias("text")), asked).mapInArrow(sets, "row_no long, s binary"), "join-sets")
     met = near.join(own.select(F.col("row_no").alias("b"), F.col("s").alias("bs")), "b").join(own.select(F.col("row_no").alias("a"), F.col("s").alias("as")), "a")
 
     def exact(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, 64):  # two sets a row
             keep = []
             for x, y in zip(batch.column("as").to_pylist(), batch.column("bs").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -267,7 +274,7 @@ def verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, *, text: str, wi
                 keep.append(100 * common >= 75 * (both - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(met.select("a", "b", "as", "bs").mapInArrow(exact, "a long, b long"), "join-links")
+    return write(met.select("a", "b", "as", "bs").mapInArrow(exact, "a long, b long"), "join-links")
 
 
 def close_bitmaps(docs: DataFrame, *, text: str, width: int, per_token: int = 8) -> DataFrame:
@@ -319,18 +326,18 @@ def cross_pairs(large: DataFrame, labels: DataFrame, facts: DataFrame, *, block:
     return rows.groupBy("entry", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def classes_of(docs: DataFrame, *, text: str, width: int, light: int, tokens_per_part: int) -> DataFrame:
-    """row_no, n_shingles, least (the least row_no reachable by links) of docs with a row_no."""
-
-    facts = materialize(set_facts(docs, text=text, width=width), "join-facts")
+def classes_of(docs: DataFrame, *, text: str, width: int, light: int, tokens_per_part: int, write) -> DataFrame:
+    """row_no, n_shingles, least (the least row_no reachable by links) of docs with a row_no; `write` is for tables that
+    the result still reads."""
+    facts = write(set_facts(docs, text=text, width=width), "join-facts")
     full = facts.filter("n > 0")
-    classes = materialize(full.groupBy("print", "n").agg(F.min("row_no").alias("rep"), F.count(F.lit(1)).alias("f")).filter("f > 1").select("print", "n", "rep"), "join-classes")
-    copies = materialize(full.select("row_no", "print", "n").join(classes, ["print", "n"]).filter("row_no <> rep").select("row_no", "rep"), "join-copies")
+    classes = write(full.groupBy("print", "n").agg(F.min("row_no").alias("rep"), F.count(F.lit(1)).alias("f")).filter("f > 1").select("print", "n", "rep"), "join-classes")
+    copies = write(full.select("row_no", "print", "n").join(classes, ["print", "n"]).filter("row_no <> rep").select("row_no", "rep"), "join-copies")
     total = facts.agg(F.sum("n")).first()[0] or 0
     parts = max(8, -(-total // tokens_per_part))
 
     reps = without_rows(docs, copies)
-    step1 = materialize(index(reps, text=text, width=width, step=1, parts=parts, light=light), "join-step1")
+    step1 = write(index(reps, text=text, width=width, step=1, parts=parts, light=light), "join-step1")
     pairs = step1.filter("not large").select("a", "b")
 
     # What a set has left of its budget when the large entries get none of it.
@@ -343,57 +350,62 @@ def classes_of(docs: DataFrame, *, text: str, width: int, light: int, tokens_per
     crosses = F.floor(4 * F.col("n") / 3) >= F.pow(F.lit(2.0), F.col("own") + 1)
     short = lambda full_, at: F.col(full_) - part(at) < F.floor(budget) + 1
     again = lost.filter((F.col("n") > 2) & (short("own_full", F.col("own")) | (crosses & short("next_full", F.col("own") + 1)))).select("row_no")
-    again = materialize(again.join(copies.select("row_no"), "row_no", "left_anti"), "join-again")
+    again = write(again.join(copies.select("row_no"), "row_no", "left_anti"), "join-again")
 
     left = docs.select("row_no", F.col(text).alias("text"))
     poor = left.join(F.broadcast(again) if again.count() <= MAX_BROADCAST_ROWS else again, "row_no", "left_semi")
-    step2 = materialize(index(poor, text="text", width=width, step=2, parts=parts, light=light), "join-step2")
+    step2 = write(index(poor, text="text", width=width, step=2, parts=parts, light=light), "join-step2")
     large = step2.filter("large").select(F.col("a").alias("entry"), F.shiftright("b", 1).alias("row"), (F.col("b") % 2 == 1).alias("deletion"))
     # A bucket needs an exact entry; those with the same rows are one bucket.
     exact = F.min(F.when(~F.col("deletion"), F.col("row")))
     held = large.groupBy("entry").agg(F.count(F.lit(1)).alias("f"), F.sum(F.xxhash64("row", "deletion").cast("decimal(38,0)")).alias("h"), exact.alias("first")).filter("f > 1 and first is not null")
-    large = materialize(large.join(held.groupBy("f", "h").agg(F.min(F.struct("entry", "first")).alias("e")).select("e.entry", "e.first"), "entry"), "join-large")
+    large = write(large.join(held.groupBy("f", "h").agg(F.min(F.struct("entry", "first")).alias("e")).select("e.entry", "e.first"), "entry"), "join-large")
     stars = large.filter("row <> first").select(F.least("first", "row").alias("a"), F.greatest("first", "row").alias("b"))
-    first = materialize(pairs.unionByName(step2.filter("not large").select("a", "b")).unionByName(stars).distinct(), "join-first")
-    links = verify(first, facts, docs, text=text, width=width)
+    first = write(pairs.unionByName(step2.filter("not large").select("a", "b")).unionByName(stars).distinct(), "join-first")
+    links = verify(first, facts, docs, text=text, width=width, write=write)
 
-    labels = materialize(components(links), "join-labels")
-    bucketed = materialize(large.select(F.col("row").alias("row_no")).distinct(), "join-bucketed")
-    close = materialize(close_bitmaps(with_rows(left, bucketed), text="text", width=width), "join-close")
-    second = materialize(cross_pairs(large.select("entry", "row", "deletion"), labels, close).distinct().join(first, ["a", "b"], "left_anti"), "join-second")
+    labels = write(components(links, write=write), "join-labels")
+    bucketed = write(large.select(F.col("row").alias("row_no")).distinct(), "join-bucketed")
+    close = write(close_bitmaps(with_rows(left, bucketed), text="text", width=width), "join-close")
+    second = write(cross_pairs(large.select("entry", "row", "deletion"), labels, close).distinct().join(first, ["a", "b"], "left_anti"), "join-second")
     if second.head(1):
-        links = links.unionByName(verify(second, facts, docs, text=text, width=width))
-        labels = materialize(components(links), "join-labels")
+        links = links.unionByName(verify(second, facts, docs, text=text, width=width, write=write))
+        labels = write(components(links, write=write), "join-labels")
 
     copies = copies.select("row_no", "rep")
     rep = facts.select("row_no", "n").join(copies, "row_no", "left").withColumn("rep", F.coalesce("rep", "row_no"))
     rep = rep.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("row_no", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("_least"))
-    return materialize(rep.withColumnRenamed("_least", "least"), "join-result")
+    return rep.withColumnRenamed("_least", "least")
 
 
 ADDED = ("row_no", "n_shingles", "component_id")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, light: int = 8, tokens_per_part: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, light: int = 8, tokens_per_part: int = 500_000) -> DataFrame:
     """The rows of docs plus n_shingles and component_id.
 
     Two documents link when their sets of distinct `width`-word shingles (A-Z in lower case, words
     apart by ASCII blanks; a shorter text is one shingle) have 100 * intersection >= 75 * union.
-    component_id is the smallest id reachable by links. Equal sets are indexed once.
+    component_id is the smallest id reachable by links. Equal sets are indexed once. The result is
+    the classes that links make, not the links: pairs that other links already join are not all
+    compared, so their number is not given.
 
-    A null text, or one without words, has an empty set and is linked with nothing. A null id has
-    a null component if no linked document has an id; rows with equal ids are documents of their
-    own. An empty table gives no rows. Columns named like the added ones, or row_no, are replaced.
+    Ids may be of any type that has an order. A null text, or one without words, has an empty set
+    and is linked with nothing. Null ids come first in that order, so a component with one has a
+    null id; rows with equal ids are documents of their own. An empty table gives no rows. Columns named like the added ones, or row_no, are replaced.
     """
     docs = numbered(docs.drop(*ADDED), doc_id, "join-rows")
-    found = classes_of(docs, text=text, width=width, light=light, tokens_per_part=tokens_per_part)
+    with Scratch(docs.sparkSession, "join") as write:
+        found = materialize(classes_of(docs, text=text, width=width, light=light, tokens_per_part=tokens_per_part, write=write), "join-result")
     names = docs.select(F.col("row_no").alias("least"), F.col(doc_id).alias("component_id"))
     return docs.join(found.join(names, "least").drop("least"), "row_no").drop("row_no")
 
 
-def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, light: int = 8, tokens_per_part: int = 1_000_000) -> DataFrame:
+def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, light: int = 8, tokens_per_part: int = 500_000) -> DataFrame:
     """The rows of docs, without all but the first of each component of near_duplicates(). Columns
     named like the ones that it adds, or row_no, are left out."""
     docs = numbered(docs.drop(*ADDED), doc_id, "join-rows")
-    found = classes_of(docs, text=text, width=width, light=light, tokens_per_part=tokens_per_part)
-    return without_rows(docs, materialize(found.filter("row_no <> least").select("row_no"), "join-dropped")).drop("row_no")
+    with Scratch(docs.sparkSession, "join") as write:
+        found = classes_of(docs, text=text, width=width, light=light, tokens_per_part=tokens_per_part, write=write)
+        later = materialize(found.filter("row_no <> least").select("row_no"), "join-dropped")
+    return without_rows(docs, later).drop("row_no")

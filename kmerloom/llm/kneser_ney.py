@@ -1,30 +1,25 @@
 """Interpolated modified Kneser-Ney models of running text, one per language.
 
-A text is a run of words. The probability of a word given the one before it comes from counts of
-all pairs of neighbouring words, falls back on the number of words it was seen after, and from there
-on its spelling: a model of the bytes of words, which gives every word a probability.
+A text is its words with one blank between them: the symbol string PAD * (order - 1) + text + END,
+so every symbol has a full context, which reaches across the gaps between words. An n-gram of up to
+six bytes is its own 64-bit key: packed big-endian, its suffix of k symbols is `key & mask(k)` and
+its context `key >> 8`, which lets Spark count, back off and join on longs.
 
-The pair of words (v, w) is the 64-bit key hash(v) << 32 | hash(w) of two 32-bit hashes (CRC-32), so
-two words of a language can share a number: about one in 70 at 60 million distinct words.
+Counting and estimation are Spark aggregations over all of the given text. A text that the model
+counted is judged by the others: its own n-grams are taken off the counts of n-grams and of contexts
+first (the levels below, which count different symbols seen before an n-gram, keep its share).
 
-Of spelling, a word w is the symbol string PAD * (order - 1) + w + END, so every symbol has a full context. An
-n-gram of up to seven bytes is its own 64-bit key: packed big-endian, its suffix of k symbols is
-`key & mask(k)` and its context `key >> 8`, which lets Spark count, back off and join on longs.
-
-Counting and estimation are Spark aggregations over all of the given text. Scoring has two forms
-with equal results: sorted key arrays handed to every task, for models whose size was checked,
-and joins of the documents' n-grams with the model, shard by shard, for any size.
+Scoring has two forms with equal results: sorted key arrays handed to every task, for models whose
+size was checked, and joins of the documents' n-grams with the model, shard by shard, for any size.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
-import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,17 +30,25 @@ PAD, END = b"\x01", b"\x02"
 #: Log probability of a symbol of which a model knows nothing: one of 256 bytes.
 UNIFORM = -math.log(256)
 MODEL = "lang string, level int, key long, logp double, backoff double"
+#: Longer n-grams leave no room for a text's number beside the key.
+LONGEST = 6
 
 
 def mask(k: int) -> int:
     return (1 << (8 * k)) - 1
 
 
-def word_grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all n-grams of words, and each word's number of them (its bytes + 1)."""
+def running(text: str | bytes | None) -> bytes:
+    """A text's words, apart by the six ASCII blanks, with one blank between them."""
+    raw = text.encode("utf-8", "replace") if isinstance(text, str) else text or b""
+    return b" ".join(raw.split())
+
+
+def text_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all n-grams of running texts, and each text's number of them (its bytes + 1)."""
     pad = PAD * (order - 1)
-    flat = np.frombuffer(b"".join([pad + w + END for w in words]), np.uint8)
-    n = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    flat = np.frombuffer(b"".join([pad + w + END for w in texts]), np.uint8)
+    n = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     keys = np.zeros(len(flat), np.int64)
     for j in range(order):
         keys[j:] |= flat[: len(flat) - j].astype(np.int64) << (8 * j)
@@ -55,39 +58,46 @@ def word_grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_grams(docs: DataFrame, *, order: int, room: int = 1_500_000) -> DataFrame:
-    """lang, key, n for the documents' (lang, text): every n-gram of every word.
+    """lang, key, n for the documents' (lang, text): every n-gram of every text that has a word.
 
     Each task adds up its own documents first, and hands on its sums when it holds `room` keys.
     """
 
     def count(batches):
-        words: dict = {}
+        new: dict = {}
         sums: dict = {}
+        held = 0
 
         def fold():
-            for lang, counter in words.items():
-                if counter:
-                    keys, n = word_grams(list(counter), order)
-                    weight = np.repeat(np.fromiter(counter.values(), np.int64, len(counter)), n)
-                    if lang in sums:
-                        keys, weight = np.concatenate([sums[lang][0], keys]), np.concatenate([sums[lang][1], weight])
-                    unique, at = np.unique(keys, return_inverse=True)
-                    sums[lang] = unique, np.bincount(at, weights=weight).astype(np.int64)
-            words.clear()
+            for lang, parts in new.items():
+                if lang in sums:
+                    parts.append(sums[lang])
+                keys, n = (np.concatenate(x) for x in zip(*parts))
+                by_key = np.argsort(keys)
+                keys, n = keys[by_key], n[by_key]
+                first = np.flatnonzero(np.diff(keys, prepend=-1))
+                sums[lang] = keys[first], np.add.reduceat(n, first)
+            new.clear()
 
         def flush():
             fold()
             for lang, (keys, n) in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(keys), np.int64))), pa.array(keys), pa.array(n)], names=["lang", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(keys), np.int64))), pa.array(keys), pa.array(n, pa.int64())], names=["lang", "key", "n"])
             sums.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
+            by_lang: dict = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                if text:
-                    words.setdefault(lang, Counter()).update(text.encode("utf-8", "replace").split())
-            if sum(map(len, words.values())) > 200_000:
+                if body := running(text):
+                    by_lang.setdefault(lang, []).append(body)
+            for lang, texts in by_lang.items():
+                part = np.unique(text_grams(texts, order)[0], return_counts=True)
+                new.setdefault(lang, []).append(part)
+                held += len(part[0])
+            if held > room:
                 fold()
-            if sum(len(s[0]) for s in sums.values()) > room:
+                held = 0
+            if sum(len(keys) for keys, _ in sums.values()) > room:
                 yield from flush()
         yield from flush()
 
@@ -147,13 +157,19 @@ class Arrays:
         lang = table.column("lang").combine_chunks().dictionary_encode()
         names, code = lang.dictionary.to_pylist(), lang.indices.fill_null(len(lang.dictionary)).to_numpy()
         level, key = table.column("level").to_numpy(), table.column("key").to_numpy()
-        logp, backoff = (table.column(c).to_numpy().astype(np.float64) for c in ("logp", "backoff"))
+        logp, backoff = (table.column(c).to_numpy() for c in ("logp", "backoff"))
         for i, name in enumerate([*names, None]):
             for k in range(order + 1):
                 at = np.flatnonzero((code == i) & (level == k))
                 at = at[np.argsort(key[at])]
                 self.levels[name, k] = key[at], logp[at], backoff[at]
 
+    @classmethod
+    def of(cls, levels: dict, order: int) -> "Arrays":
+        out = cls.__new__(cls)
+        out.order, out.levels = order, levels
+        return out
+
     def knows(self, lang: str | None) -> bool:
         return len(self.levels.get((lang, 1), ([],))[0]) > 0
 
@@ -162,6 +178,8 @@ class Arrays:
         out = np.zeros(len(keys))
         todo = np.arange(len(keys))
         for k in range(self.order, 0, -1):
+            if (lang, k) not in self.levels:
+                continue
             table, logp, _ = self.levels[lang, k]
             gram = keys[todo] & mask(k)
             hit, at = _find(table, gram)
@@ -203,115 +221,51 @@ def score_keys(keys: DataFrame, model: DataFrame, *, order: int) -> DataFrame:
     return out
 
 
-# -- words in running text --------------------------------------------------------------------
-
-#: The number before a text's first word.
-START = 0
-LOW = 0xFFFFFFFF
-
-
-def word_pairs(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts as lists of words: the distinct words and their numbers; for every word of the texts
-    its place among the distinct ones, the place of the word before it (-1 for none), and its text."""
-    places: dict = {}
-    code = np.fromiter((places.setdefault(w, len(places)) for t in texts for w in t), np.int64, sum(map(len, texts)))
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    before = np.full(len(code), -1, np.int64)
-    before[1:] = code[:-1]
-    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = -1
-    words = list(places)
-    return words, np.fromiter(map(zlib.crc32, words), np.uint64, len(words)), code, before, np.repeat(np.arange(len(texts)), lengths)
-
-
-def pair_keys(ids: np.ndarray, code: np.ndarray, before: np.ndarray) -> np.ndarray:
-    first = np.append(ids, np.uint64(START))[before]
-    return (first << np.uint64(32) | ids[code]).view(np.int64)
-
-
-def count_pairs(docs: DataFrame, *, room: int = 3_000_000) -> DataFrame:
-    """lang, key, n for the documents' (lang, text): every pair of neighbouring words, and START with
-    every first word. Each task adds up its own first, and hands on its sums when it holds `room`."""
-
-    def count(batches):
-        new: dict = {}
-        sums: dict = {}
-        held = 0
-
-        def fold():
-            for lang, parts in new.items():
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                if lang in sums:
-                    keys, n = np.concatenate([sums[lang][0], keys]), np.concatenate([sums[lang][1], n])
-                    keys, at = np.unique(keys, return_inverse=True)
-                    n = np.bincount(at, weights=n).astype(np.int64)
-                sums[lang] = keys, n
-            new.clear()
-
-        def flush():
-            fold()
-            for lang, (keys, n) in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(keys), np.int64))), pa.array(keys), pa.array(n, pa.int64())], names=["lang", "key", "n"])
-            sums.clear()
-
-        for batch in slices(batches):
-            by_lang: dict = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                if text:
-                    by_lang.setdefault(lang, []).append(text.encode("utf-8", "replace").split())
-            for lang, texts in by_lang.items():
-                _, ids, code, before, _ = word_pairs(texts)
-                if len(code):
-                    new.setdefault(lang, []).append(pair_keys(ids, code, before))
-                    held += len(code)
-            if held > 1_500_000:
-                fold()
-                held = 0
-            if sum(len(s[0]) for s in sums.values()) > room:
-                yield from flush()
-        yield from flush()
-
-    return docs.select("lang", "text").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+# -- the model of running text, and scores of texts ------------------------------------------------
 
 
 def _discounts(seen: DataFrame) -> DataFrame:
-    """lang, d1, d2, d3 of rows lang, a (see estimate), with the sums of a and of the discounts."""
-    n = seen.groupBy("lang").agg(*[F.count(F.when(F.col("a") == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)], F.count(F.lit(1)).alias("rows"), F.sum("a").alias("total"))
+    """lang, d1, d2, d3 of rows lang, n (see estimate)."""
+    n = seen.groupBy("lang").agg(*[F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)])
     y = F.expr("n1 / nullif(n1 + 2 * n2, 0)")
     d = [i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")) for i in (1, 2, 3)]
-    d = [F.when((x > 0) & (x < i), x).otherwise(F.lit(0.5 * i)).alias(f"d{i}") for i, x in enumerate(d, 1)]
-    return n.select("lang", *d, "n1", "n2", "rows", "total").withColumn("held", F.expr("d1 * n1 + d2 * n2 + d3 * (rows - n1 - n2)"))
-
-
-class WordModel:
-    """The model of running text: `spelling` (MODEL), `pairs` (lang, key, x: the pair's count), `words`
-    (lang, key, x: the number of words it was seen after, y: the pairs it begins, z: the sum of their
-    discounts), and `languages`: a language's discounts of pairs and of words, the sum of x, and the
-    log weight of spelling."""
-
-    def __init__(self, docs: DataFrame, *, order: int, materialize):
-        self.order = order
-        self.spelling = materialize(estimate(count_grams(docs, order=order), order=order, materialize=materialize), "kn-spelling")
-        pairs = materialize(count_pairs(docs).select("lang", "key", F.col("n").alias("a")), "kn-pairs")
-        follows = materialize(pairs.groupBy("lang", F.col("key").bitwiseAND(F.lit(LOW)).alias("key")).agg(F.count(F.lit(1)).alias("a")), "kn-follows")
-        by_lang = materialize(_discounts(pairs), "kn-discounts")
-        deep, flat = ({r.lang: r for r in df.collect()} for df in (by_lang, _discounts(follows)))
-        self.languages = {k: ((0.0, deep[k].d1, deep[k].d2, deep[k].d3), (0.0, r.d1, r.d2, r.d3), float(r.total), math.log(r.held / r.total)) for k, r in flat.items()}
-        by_lang = by_lang.select(F.col("lang").alias("dlang"), "d1", "d2", "d3")
-        begun = pairs.join(F.broadcast(by_lang), pairs["lang"].eqNullSafe(by_lang["dlang"])).withColumn("d", F.expr("CASE WHEN a = 1 THEN d1 WHEN a = 2 THEN d2 ELSE d3 END"))
-        begun = begun.groupBy("lang", F.shiftrightunsigned("key", 32).alias("key")).agg(F.sum("a").cast("double").alias("y"), F.sum("d").alias("z"))
-        none = F.lit(0.0)
-        words = follows.select("lang", "key", F.col("a").cast("double").alias("x"), none.alias("y"), none.alias("z")).unionByName(begun.select("lang", "key", none.alias("x"), "y", "z"))
-        self.words = materialize(words.groupBy("lang", "key").agg(*[F.max(c).alias(c) for c in "xyz"]), "kn-words")
-        self.pairs = pairs.select("lang", "key", F.col("a").cast("double").alias("x"))
-
-    def rows(self) -> int:
-        return self.spelling.count() + self.pairs.count() + self.words.count()
-
-    def tables(self) -> "WordTables":
-        return WordTables(Arrays(self.spelling.toArrow(), self.order).score, by_language(self.pairs.toArrow(), "x"), by_language(self.words.toArrow(), "xyz"), self.languages, self.order)
-
-
-def by_language(table: pa.Table, values: str) -> dict:
+    return n.select("lang", *[F.when((x > 0) & (x < i), x).otherwise(F.lit(0.5 * i)).alias(f"d{i}") for i, x in enumerate(d, 1)])
+
+
+class Model:
+    """`counts` (lang, key, n) of the n-grams of `order` symbols, the interpolated model `lower` (MODEL) of
+    one symbol less, and `languages`: the discounts of each language's counts. Tables are written by
+    `write`."""
+
+    def __init__(self, counts: DataFrame, *, order: int, write):
+        if not 2 <= order <= LONGEST:
+            raise ValueError(f"order must be within 2 and {LONGEST}")
+        self.order, self.counts = order, write(counts.filter("n > 0"), "kn-counts")
+        before = self.counts.groupBy("lang", F.col("key").bitwiseAND(F.lit(mask(order - 1))).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        self.lower = write(estimate(before, order=order - 1, materialize=write), "kn-lower")
+        self.discounts = write(_discounts(self.counts), "kn-discounts")
+        # One row per language.
+        self.languages = {r.lang: (0.0, r.d1, r.d2, r.d3) for r in self.discounts.collect()}
+
+    def contexts(self) -> DataFrame:
+        """lang, key, y (the sum of its n-grams' counts), z (the sum of their discounts) of contexts."""
+        d = self.discounts.withColumnRenamed("lang", "dlang")
+        rows = self.counts.join(F.broadcast(d), self.counts["lang"].eqNullSafe(d["dlang"])).withColumn("d", F.expr("CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END"))
+        return rows.groupBy("lang", F.shiftright("key", 8).alias("key")).agg(F.sum("n").cast("double").alias("y"), F.sum("d").alias("z"))
+
+    def bytes(self) -> int:
+        """What arrays() takes: keys and counts, keys and two floats."""
+        return 12 * self.counts.count() + 16 * self.lower.count()
+
+    def arrays(self) -> dict:
+        """The model as plain sorted arrays: per language the keys and counts, and per language and level
+        the keys, log probabilities and backoffs of the lower model."""
+        lower = self.lower.select("lang", "level", "key", F.col("logp").cast("float").alias("logp"), F.col("backoff").cast("float").alias("backoff")).toArrow()
+        counts = by_language(self.counts.select("lang", "key", F.col("n").cast("int").alias("n")).toArrow(), "n")
+        return {"order": self.order, "languages": self.languages, "counts": counts, "lower": Arrays(lower, self.order - 1).levels}
+
+
+def by_language(table: pa.Table, *values: str) -> dict:
     """Per language of a table's rows, the sorted keys and their values."""
     code = table.column("lang").combine_chunks().dictionary_encode()
     names = [*code.dictionary.to_pylist(), None]
@@ -333,62 +287,52 @@ def _values(table: tuple | None, keys: np.ndarray, columns: int) -> list[np.ndar
     return [np.where(hit, column[at], 0.0) for column in table[1:]]
 
 
-def _discount(d: tuple, n: np.ndarray) -> np.ndarray:
-    return np.array(d)[np.minimum(n, 3).astype(np.int64)]
-
-
-class WordTables:
-    """Scores texts by tables of pairs and words and a scorer of spelling keys, with a memory of at
-    most `room` spelled words per language."""
-
-    def __init__(self, spelling, pairs: dict, words: dict, languages: dict, order: int, room: int = 400_000):
-        self.spelling, self.pairs, self.words, self.languages, self.order, self.room, self.spelled = spelling, pairs, words, languages, order, room, {}
-
-    def spell(self, lang: str | None, words: list[bytes]) -> np.ndarray:
-        table = self.spelled.setdefault(lang, {})
-        if len(table) > self.room:
-            table.clear()
-        new = [w for w in words if w not in table]
-        if new:
-            keys, n = word_grams(new, self.order)
-            table.update(zip(new, np.add.reduceat(self.spelling(lang, keys), np.cumsum(n) - n).tolist()))
-        return np.fromiter(map(table.__getitem__, words), float, len(words))
-
-    def texts(self, lang: str | None, texts: list[list[bytes]], counted: list[bool]) -> list[tuple[float, int]]:
-        """Sum of log probabilities and number of symbols (bytes of words, and a gap each) of texts.
-
-        A text that the model counted is judged by the others: its own pairs are taken off the counts
-        of pairs, of contexts and of words first. Spelling, discounts and totals stay.
-        """
-        words, ids, code, before, text = word_pairs(texts)
-        if not len(code):
-            return [(0.0, 0)] * len(texts)
-        deep, flat, total, rest = self.languages.get(lang, ((0.0,) * 4, (0.0,) * 4, 1.0, 0.0))
-        spell = self.spell(lang, words) + rest
-        follows, begun, held = _values(self.words.get(lang), np.append(ids, np.uint64(START)).view(np.int64), 3)
-        # Every pair of a text once: its word, the word before (a place past the last for none), the text.
-        span = len(words) + 1
-        where, first, at, own = np.unique((text * span + before % span) * span + code, return_index=True, return_inverse=True, return_counts=True)
-        code, before, text = code[first], before[first] % span, text[first]
-        (n,) = _values(self.pairs.get(lang), pair_keys(ids, code, np.where(before == span - 1, -1, before)), 1)
-        own = np.where(np.array(counted, bool)[text], own, 0)
-        left = np.maximum(n - own, 0.0)
-        _, of = np.unique(where // span, return_inverse=True)
-        y = begun[before] - np.bincount(of, weights=own)[of]
-        z = held[before] - np.bincount(of, weights=_discount(deep, n) - _discount(deep, left))[of]
-        _, of = np.unique(text * span + code, return_inverse=True)
-        x = np.maximum(follows[code] - np.bincount(of, weights=(left == 0) & (n > 0))[of], 0.0)
-        some = y > 0.5
-        y = np.where(some, y, 1.0)
-        weight = np.where(some, np.maximum(z, 0.0) / y, 1.0)
-        with np.errstate(divide="ignore"):
-            known = np.log(np.where(some, (left - _discount(deep, left)) / y, 0.0) + weight * (x - _discount(flat, x)) / total)
-            logp = np.logaddexp(known, np.log(weight) + spell[code])
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        times = np.bincount(at)
-        sums = np.bincount(text, weights=logp * times, minlength=len(texts))
-        symbols = np.bincount(text, weights=size[code] * times, minlength=len(texts)).astype(np.int64)
-        return list(zip(sums.tolist(), symbols.tolist()))
+def array_tables(model: dict) -> tuple:
+    """score_texts' tables of a model made of arrays."""
+    lower = Arrays.of(model["lower"], model["order"] - 1)
+    contexts = {}
+    for lang, (keys, n) in model["counts"].items():
+        if len(keys):
+            first = np.flatnonzero(np.diff(keys >> 8, prepend=-1))
+            d = np.array(model["languages"][lang])[np.minimum(n, 3)]
+            contexts[lang] = (keys >> 8)[first], np.add.reduceat(n.astype(np.float64), first), np.add.reduceat(d, first)
+    return model["order"], model["languages"], model["counts"], contexts, lower.score
+
+
+def score_texts(tables: tuple, lang: str | None, texts: list[bytes], counted: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of log probabilities and numbers of symbols of running texts; 0 and 0 for empty ones.
+
+    tables: order, discounts per language, counts and contexts as arrays per language, and a function
+    that gives the log probability of a symbol by the n-gram of order - 1 that it ends.
+    """
+    order, languages, counts, contexts, lower = tables
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.zeros(len(texts)), np.where(size > 0, size + 1, 0)
+    some = np.flatnonzero(size)
+    for at in range(0, len(some), 1 << 14):
+        part = some[at : at + (1 << 14)]
+        keys, n = text_grams([texts[i] for i in part], order)
+        # Sorted by text, context and symbol: equal n-grams of a text, and equal contexts, are runs.
+        packed = np.sort(np.repeat(np.arange(len(part)) << (8 * LONGEST), n) | keys)
+        first = np.flatnonzero(np.diff(packed, prepend=-1))
+        times = np.diff(np.append(first, len(packed)))
+        packed = packed[first]
+        text, key = packed >> (8 * LONGEST), packed & mask(LONGEST)
+        begin = np.flatnonzero(np.diff(packed >> 8, prepend=-1))
+        width = np.diff(np.append(begin, len(packed)))
+        own = np.where(np.array(counted, bool)[part][text], times, 0)
+        discount = np.array(languages.get(lang, (0.0,) * 4))
+        (n,) = _values(counts.get(lang), key, 1)
+        left = np.maximum(n - own, 0).astype(np.int64)
+        y, z = _values(contexts.get(lang), (key >> 8)[begin], 2)
+        y = y - np.add.reduceat(own, begin)
+        z = z - np.add.reduceat(discount[np.minimum(n.astype(np.int64), 3)] - discount[np.minimum(left, 3)], begin)
+        known = y > 0.5
+        y = np.where(known, y, 1.0)
+        weight = np.where(known, np.maximum(z, 0.0) / y, 1.0)
+        p = (left - discount[np.minimum(left, 3)]) / np.repeat(y, width) + np.repeat(weight, width) * np.exp(lower(lang, key & mask(order - 1)))
+        out[0][part] = np.bincount(text, weights=np.log(p) * times, minlength=len(part))
+    return out
 
 
 def perplexity(total: float, symbols: int) -> float | None:
@@ -403,7 +347,8 @@ BLOCKS = "block long, ids binary, blob binary"
 
 
 def to_blocks(docs: DataFrame, *, block_bytes: int = 12_000_000) -> DataFrame:
-    """Documents (doc_id long, lang, text, counted) packed, compressed, into blocks of bounded size."""
+    """Documents (doc_id long, lang, text, counted) packed as running text, compressed, into blocks of
+    about block_bytes."""
     import hashlib
     import json
 
@@ -419,9 +364,9 @@ def to_blocks(docs: DataFrame, *, block_bytes: int = 12_000_000) -> DataFrame:
             key = np.array(ids, np.int64).tobytes()
             yield pa.RecordBatch.from_pydict({"block": [int.from_bytes(hashlib.blake2b(key + body, digest_size=8).digest(), "little", signed=True)], "ids": [key], "blob": [zip_.compress(raw)]})
 
-        for batch in batches:
+        for batch in slices(batches):
             for ident, lang, text, own in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "lang", "text", "counted")]):
-                body = (text or "").encode("utf-8", "replace")
+                body = running(text)
                 if size and size + len(body) > block_bytes:
                     yield from block()
                     ids, langs, texts, size = [], [], [], 0
@@ -447,70 +392,72 @@ def from_block(ids: bytes, blob: bytes):
         at += size
 
 
-def block_scores(docs: DataFrame, model: WordModel, *, materialize) -> DataFrame:
+def block_scores(docs: DataFrame, model: Model, *, write) -> DataFrame:
     """doc_id, lang, total, symbols of documents (doc_id, lang, text, counted: whether the model
     counted it), by sharded joins.
 
-    A block's distinct keys (of spelling, words and pairs) stand for all of its documents' ones: they
-    are pre-aggregated, met with the model by (lang, key), and those it knows go back to their block,
-    which bounds what a task holds by the size of a block whatever the size of the model. Blocks are
-    written bucketed by their name, so their texts are not shuffled when the keys come back.
+    A block's distinct n-grams stand for all of its documents' ones: they are pre-aggregated, met
+    with the model by (lang, key), and what it knows of them goes back to their block, which bounds
+    what a task holds by the size of a block whatever the size of the model. Blocks are written to the
+    shared folder once.
     """
-    spark, order, languages = docs.sparkSession, model.order, model.languages
-    name = f"kmerloom_blocks_{uuid.uuid4().hex}"
-    to_blocks(docs).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name, format="parquet")
-    blocks = spark.table(name)
+    order, languages = model.order, model.languages
+    blocks = write(to_blocks(docs), "kn-blocks")
 
-    def words_of(ids, blob):
-        """Per language, the ids of a block's documents, their words, and whether they were counted."""
+    def texts_of(ids, blob):
+        """Per language, the ids of a block's documents, their texts, and whether they were counted."""
         out: dict = {}
         for ident, lang, text, counted in from_block(ids, blob):
-            for column, value in zip(out.setdefault(lang, ([], [], [])), (ident, text.split(), counted)):
+            for column, value in zip(out.setdefault(lang, ([], [], [])), (ident, text, counted)):
                 column.append(value)
         return out
 
-    def keys_of(kind):
+    def asked(size):
+        """block, lang, key of the n-grams of `size` symbols that scoring needs."""
+
         def grams(batches):
             for batch in batches:
                 for block, ids, blob in zip(*[batch.column(c).to_pylist() for c in ("block", "ids", "blob")]):
-                    for lang, (_, texts, _) in words_of(ids, blob).items():
-                        words, numbers, code, before, _ = word_pairs(texts)
-                        if not words:
+                    for lang, (_, texts, _) in texts_of(ids, blob).items():
+                        texts = [t for t in texts if t]
+                        if not texts:
                             continue
-                        if kind == 0:
-                            keys = word_grams(words, order)[0]
-                        else:
-                            keys = np.append(numbers, np.uint64(START)).view(np.int64) if kind == 1 else pair_keys(numbers, code, before)
-                        keys = np.unique(keys)
+                        keys = np.unique(text_grams(texts, order)[0])
+                        if size < order:  # the suffixes, and the contexts
+                            keys = np.unique(np.concatenate([keys & mask(size), keys >> 8]))
                         fill = pa.array(np.zeros(len(keys), np.int64))
                         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()).take(fill), pa.array([lang], pa.string()).take(fill), pa.array(keys)], names=["block", "lang", "key"])
 
         return blocks.mapInArrow(grams, "block long, lang string, key long")
 
-    def met(kind, values):
+    def met(keys, values):
         values = values.withColumnRenamed("lang", "vlang").withColumnRenamed("key", "vkey")
-        asked = keys_of(kind) if kind else spelled
-        rows = asked.join(values, asked["lang"].eqNullSafe(values["vlang"]) & (asked["key"] == values["vkey"]))
-        columns = [F.col(c) if c in values.columns else F.lit(None).cast("double").alias(c) for c in "xyz"]
-        return rows.select("block", "lang", F.lit(kind).alias("kind"), "key", *columns)
+        return keys.join(values, keys["lang"].eqNullSafe(values["vlang"]) & (keys["key"] == values["vkey"]))
 
-    spelled = materialize(keys_of(0), "kn-asked")
-    scored = materialize(score_keys(spelled.select("lang", "key").distinct(), model.spelling, order=order), "kn-scored")
-    known = met(0, scored.withColumnRenamed("score", "x")).unionByName(met(1, model.words)).unionByName(met(2, model.pairs))
+    short = write(asked(order - 1), "kn-asked")
+    scored = score_keys(short.select("lang", "key").distinct(), model.lower, order=order - 1)
+    contexts = model.contexts()
+    both = scored.join(contexts.withColumnRenamed("lang", "clang").withColumnRenamed("key", "ckey"), scored["lang"].eqNullSafe(F.col("clang")) & (scored["key"] == F.col("ckey")), "left")
+    both = write(both.select("lang", "key", F.col("score").cast("float").alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"), F.coalesce("z", F.lit(0.0)).cast("float").alias("z")), "kn-known")
+    known = met(short, both).select("block", "lang", F.lit(False).alias("top"), "key", "x", "y", "z")
+    none = F.lit(None)
+    tops = met(asked(order), model.counts).select("block", "lang", F.lit(True).alias("top"), "key", none.cast("float").alias("x"), F.col("n").cast("double").alias("y"), none.cast("float").alias("z"))
 
     def total(key, rows, own):
-        kind = rows.column("kind").to_numpy()
-        spelling, words, pairs = (by_language(rows.filter(pa.array(kind == i)), v) for i, v in enumerate(("x", "xyz", "x")))
-        tables = WordTables(lambda lang, k: spelling[lang][1][np.searchsorted(spelling[lang][0], k)], pairs, words, languages, order)
+        top = rows.column("top").combine_chunks()
+        counts, values = by_language(rows.filter(top), "y"), by_language(rows.filter(pc.invert(top)), "x", "y", "z")
+        contexts = {lang: (v[0], v[2], v[3]) for lang, v in values.items()}
+        # Every n-gram of the block was asked for, so each is there.
+        lower = lambda lang, keys: values[lang][1][np.searchsorted(values[lang][0], keys)].astype(np.float64)
+        tables = order, languages, counts, contexts, lower
         out: list[list] = [[], [], [], []]
         for ids, blob in zip(own.column("ids").to_pylist(), own.column("blob").to_pylist()):
-            for lang, (idents, texts, counted) in words_of(ids, blob).items():
-                for ident, (s, n) in zip(idents, tables.texts(lang, texts, counted)):
-                    for column, value in zip(out, (ident, lang, s, n)):
-                        column.append(value)
+            for lang, (idents, texts, counted) in texts_of(ids, blob).items():
+                for at in range(0, len(texts), 256):
+                    sums, sizes = score_texts(tables, lang, texts[at : at + 256], counted[at : at + 256])
+                    for column, value in zip(out, (idents[at : at + 256], [lang] * len(sums), sums.tolist(), sizes.tolist())):
+                        column.extend(value)
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.float64(), pa.int64()))], names=["doc_id", "lang", "total", "symbols"])
 
-    out = known.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(total, "doc_id long, lang string, total double, symbols long")
-    out = materialize(out, "kn-totals")
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    out = known.unionByName(tops).groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(total, "doc_id long, lang string, total double, symbols long")
+    return write(out, "kn-totals")

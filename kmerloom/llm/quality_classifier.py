@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kneser_ney as kn
-from .common import materialize
+from .common import Scratch, materialize
 
 #: Up to this many trusted ids (16 bytes each) are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
@@ -29,30 +29,32 @@ def classify(
     text: str = "text",
     lang: str = "lang",
     trusted: str = "quality = 1",
-    order: int = 4,
+    order: int = 5,
     quantile: float = 0.98,
 ) -> DataFrame:
     """doc_id, lang, trusted, perplexity, limit, kept for every document with a long id.
 
-    The model counts all running text of the documents that `labels` trusts, per language; every document
-    is scored, a trusted one with its own pairs taken off the counts, by sharded joins of n-gram counts. A document is kept if its log perplexity is at
-    most the given quantile of its language's trusted documents, which from 50 of them on is not the
-    worst one. A language without
-    trusted text has no model; its documents are kept (there is nothing to hold against them),
-    and so are documents without a word, which have no perplexity.
+    The model counts every n-gram of `order` bytes of the running text of the documents that `labels`
+    trusts, per language; every document is scored by sharded joins of n-gram counts, a trusted one
+    with its own n-grams taken off them. A document is kept if its log perplexity is at most the
+    given quantile of its language's trusted documents, which from 50 of them on is not the worst
+    one. A language without trusted text has no model; its documents are kept (there is nothing to
+    hold against them), and so are documents without a word, which have no perplexity.
 
     Null languages are one of their own; null ids are never trusted; repeated rows are scored
     each; repeated or contradictory labels trust a document if one of them does. An empty table
     gives no rows.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    ids = materialize(labels.filter(trusted).select(F.col(doc_id).cast("long").alias("doc_id")).filter("doc_id is not null").distinct(), "classifier-trusted")
-    side = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-    model = kn.WordModel(base.join(side, "doc_id", "left_semi"), order=order, materialize=materialize)
-    marked = base.join(side.withColumn("counted", F.lit(True)), "doc_id", "left").withColumn("counted", F.coalesce("counted", F.lit(False)))
-    scored = kn.block_scores(marked, model, materialize=materialize)
-    scored = scored.withColumn("logppl", F.when(F.col("symbols") > 0, -F.col("total") / F.col("symbols")))
-    scored = scored.join(side.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    limits = language_quantile(scored.filter("trusted and logppl is not null"), quantile)
-    out = scored.join(F.broadcast(limits), scored["lang"].eqNullSafe(limits["qlang"]), "left")
-    return out.select("doc_id", "lang", "trusted", F.exp("logppl").alias("perplexity"), F.exp("limit").alias("limit"), F.coalesce(F.col("logppl") <= F.col("limit"), F.lit(True)).alias("kept"))
+    with Scratch(docs.sparkSession, "classifier") as write:
+        ids = write(labels.filter(trusted).select(F.col(doc_id).cast("long").alias("doc_id")).filter("doc_id is not null").distinct(), "trusted")
+        side = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+        model = kn.Model(kn.count_grams(base.join(side, "doc_id", "left_semi"), order=order), order=order, write=write)
+        marked = base.join(side.withColumn("counted", F.lit(True)), "doc_id", "left").withColumn("counted", F.coalesce("counted", F.lit(False)))
+        scored = kn.block_scores(marked, model, write=write)
+        scored = scored.withColumn("logppl", F.when(F.col("symbols") > 0, -F.col("total") / F.col("symbols")))
+        scored = scored.join(side.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+        limits = language_quantile(scored.filter("trusted and logppl is not null"), quantile)
+        out = scored.join(F.broadcast(limits), scored["lang"].eqNullSafe(limits["qlang"]), "left")
+        kept = F.coalesce(F.col("logppl") <= F.col("limit"), F.lit(True))
+        return materialize(out.select("doc_id", "lang", "trusted", F.exp("logppl").alias("perplexity"), F.exp("limit").alias("limit"), kept.alias("kept")), "classifier-result")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kneser_ney as kn
-from .common import materialize, slices
+from .common import Scratch, materialize, slices
+from .spans import MAX_BROADCAST_ROWS
 
 #: Characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -85,25 +84,28 @@ def quality_rules(
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    order: int = 5,
-    reach: float = 4.0,
+    order: int = 6,
+    reach: float = 5.0,
     reach_low: float = 8.0,
+    outside: float = 2.0,
+    outside_low: float = 3.0,
     min_words: int = 10,
     max_repeat_percent: int = 20,
-    max_model_rows: int = 6_000_000,
+    max_model_bytes: int = 128_000_000,
 ) -> DataFrame:
     """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     perplexity, low, high, kept.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them repeated. The
-    first model counts every pair of neighbouring words of every document, and `order` bytes of
-    spelling. Documents whose log probability a word lies outside their language's band are left out
-    of the counts of the second model, which scores all documents, each with its own pairs taken off
-    the counts. A document is kept if it passes the base rules and its perplexity lies within its
-    language's band. Bands come from quartiles of the language's documents of at least min_words words.
+    first model counts every n-gram of `order` bytes of the running text of every document. Documents
+    whose perplexity under it lies outside a tight band of their language (outside, outside_low: see
+    band_by_language) are taken off the counts, and the second model scores all documents, each of
+    which is judged by the others. A document is kept if it passes the base rules and its perplexity
+    lies within its language's wide band (reach, reach_low). Bands come from the quartiles of the log
+    perplexities of the language's documents of at least min_words words.
 
-    A model of at most max_model_rows rows (24 bytes each) is handed to the tasks as sorted arrays;
-    a larger one is joined with the documents' n-grams shard by shard, with the same results.
+    A model of at most max_model_bytes is handed to the tasks as plain sorted arrays; a larger one
+    is joined with the documents' n-grams shard by shard, with the same results.
 
     A null text has no words, a null language is one of its own, null ids stay null, repeated rows
     are judged each, an empty table gives no rows.
@@ -111,8 +113,6 @@ def quality_rules(
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    # A number for each row of this reading tells repeated ids apart; the written copy fixes it.
-    rows = materialize(base.withColumn("row", F.monotonically_increasing_id()), "rules-rows")
 
     def judge(batches):
         for batch in slices(batches):
@@ -122,41 +122,50 @@ def quality_rules(
             kinds = [pa.int64(), batch.schema.field("doc_id").type, pa.string(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in OUT.split(", ")])
 
-    def scores(marked: DataFrame) -> DataFrame:
-        """row, total, symbols by a model of the rows that are marked as counted."""
-        model = kn.WordModel(marked.filter("counted"), order=order, materialize=materialize)
-        if model.rows() > max_model_rows:
-            totals = kn.block_scores(marked.select(F.col("row").alias("doc_id"), "lang", "text", "counted"), model, materialize=materialize)
-            return totals.select(F.col("doc_id").alias("row"), "total", "symbols")
-        shared = spark.sparkContext.broadcast(model.tables())
-
-        def score(batches):
-            for batch in slices(batches):
-                out, by_lang = ([], [], []), {}
-                for row, own, body, counted in zip(*[batch.column(c).to_pylist() for c in ("row", "lang", "text", "counted")]):
-                    for column, value in zip(by_lang.setdefault(own, ([], [], [])), (row, (body or "").encode("utf-8", "replace").split(), counted)):
-                        column.append(value)
-                for own, (numbers, texts, counted) in by_lang.items():
-                    for row, (total, symbols) in zip(numbers, shared.value.texts(own, texts, counted)):
-                        for column, value in zip(out, (row, total, symbols)):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.float64(), pa.int64()))], names=["row", "total", "symbols"])
-
-        return materialize(marked.select("row", "lang", "text", "counted").mapInArrow(score, "row long, total double, symbols long"), "rules-totals")
-
-    stats = materialize(rows.select("row", "doc_id", "lang", "text").mapInArrow(judge, OUT.format(id=kind)), "rules-stats")
-    first = stats.join(scores(rows.withColumn("counted", F.lit(True))), "row").filter("n_words > 0").withColumn("by_word", -F.col("total") / F.col("n_words"))
-    edges = materialize(band_by_language(first.filter(F.col("n_words") >= min_words), "by_word", reach=reach, reach_low=reach_low), "rules-edges")
-    out = first.join(F.broadcast(edges), first["lang"].eqNullSafe(edges["mlang"])).filter("by_word < low or by_word > high").select("row", F.lit(False).alias("counted"))
-    marked = materialize(rows.join(out, "row", "left").withColumn("counted", F.coalesce("counted", F.lit(True))), "rules-marked")
-    scored = stats.join(scores(marked), "row")
-    scored = scored.withColumn("logppl", F.when(F.col("symbols") > 0, -F.col("total") / F.col("symbols")))
-    scored = materialize(scored, "rules-scored")
-    band = materialize(band_by_language(scored.filter(F.col("n_words") >= min_words).filter("logppl is not null"), "logppl", reach=reach, reach_low=reach_low), "rules-band")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    out = scored.join(F.broadcast(band), scored["lang"].eqNullSafe(band["mlang"]), "left").withColumn("base_failed", failed)
-    inside = F.coalesce(F.col("logppl").between(F.col("low"), F.col("high")), F.lit(False))
-    return out.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.exp("logppl").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), (~F.col("base_failed") & inside).alias("kept"),
-    )
+    with Scratch(spark, "rules") as write:
+        # A number for each row of this reading tells repeated ids apart; the written copy fixes it.
+        rows = write(base.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+        def scores(marked: DataFrame, model: kn.Model) -> DataFrame:
+            """row, logppl (null without words) of marked rows (row, lang, text, counted)."""
+            if model.bytes() > max_model_bytes:
+                totals = kn.block_scores(marked.select(F.col("row").alias("doc_id"), "lang", "text", "counted"), model, write=write)
+                totals = totals.select(F.col("doc_id").alias("row"), "total", "symbols")
+            else:
+                shared = spark.sparkContext.broadcast(model.arrays())
+
+                def score(batches):
+                    tables = kn.array_tables(shared.value)
+                    for batch in slices(batches):
+                        by_lang: dict = {}
+                        for row, own, body, counted in zip(*[batch.column(c).to_pylist() for c in ("row", "lang", "text", "counted")]):
+                            for column, value in zip(by_lang.setdefault(own, ([], [], [])), (row, kn.running(body), counted)):
+                                column.append(value)
+                        for own, (numbers, texts, counted) in by_lang.items():
+                            total, symbols = kn.score_texts(tables, own, texts, counted)
+                            yield pa.RecordBatch.from_pydict({"row": pa.array(numbers, pa.int64()), "total": total, "symbols": symbols})
+
+                totals = marked.select("row", "lang", "text", "counted").mapInArrow(score, "row long, total double, symbols long")
+            return write(totals.select("row", F.when(F.col("symbols") > 0, -F.col("total") / F.col("symbols")).alias("logppl")), "scores")
+
+        stats = write(rows.select("row", "doc_id", "lang", "text").mapInArrow(judge, OUT.format(id=kind)), "statistics")
+        counts = write(kn.count_grams(rows, order=order), "counts")
+        first = stats.select("row", "lang", "n_words").join(scores(rows.withColumn("counted", F.lit(True)), kn.Model(counts, order=order, write=write)), "row").filter("logppl is not null")
+        edges = band_by_language(first.filter(F.col("n_words") >= min_words), "logppl", reach=outside, reach_low=outside_low)
+        out = first.join(F.broadcast(edges), first["lang"].eqNullSafe(edges["mlang"])).filter("logppl < low or logppl > high").select("row")
+        out = write(out, "outside")
+        out = F.broadcast(out) if out.count() <= MAX_BROADCAST_ROWS else out
+        less = kn.count_grams(rows.join(out, "row", "left_semi"), order=order).withColumn("n", -F.col("n"))
+        counts = counts.unionByName(less).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+        marked = rows.join(out.withColumn("counted", F.lit(False)), "row", "left").withColumn("counted", F.coalesce("counted", F.lit(True)))
+        scored = stats.join(scores(marked, kn.Model(counts, order=order, write=write)), "row")
+        band = band_by_language(scored.filter(F.col("n_words") >= min_words).filter("logppl is not null"), "logppl", reach=reach, reach_low=reach_low)
+        scored = scored.join(F.broadcast(band), scored["lang"].eqNullSafe(band["mlang"]), "left")
+        failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+        inside = F.coalesce(F.col("logppl").between(F.col("low"), F.col("high")), F.lit(False))
+        return materialize(
+            scored.withColumn("base_failed", failed).select(
+                "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                F.exp("logppl").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), (~F.col("base_failed") & inside).alias("kept"),
+            ), "rules-result",
+        )

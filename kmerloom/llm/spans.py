@@ -7,6 +7,8 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+from pyspark.sql.window import Window
 
 from .common import materialize
 
@@ -78,19 +80,26 @@ def remove_spans(docs: DataFrame, spans: DataFrame, *, doc_id: str, text: str) -
     return whole.unionByName(with_rows(docs, spans).mapInArrow(cut, schema))
 
 
+#: Ids below this are row numbers as they are: operators may double a row number and add to it.
+LARGEST_ROW = 2**61
+
+
 def numbered(docs: DataFrame, doc_id: str, name: str) -> DataFrame:
-    """docs with a unique row_no that follows (doc_id, place of the row); written, so that it stays.
+    """docs with a row_no from 0 on, unique, that follows (doc_id, place of the row); nulls come first.
 
-    Where ids are unique and not null, as usual, the id itself serves and nothing is written.
+    Unique whole numbers from 0 to LARGEST_ROW are row numbers already, and nothing is written.
+    Any other ids (negative, huge, text, null or repeated ones) are numbered: rows are
+    range-partitioned by (id, place), so that one id on many rows is many parts, each part of the
+    written table numbers its own rows, and the parts' sizes add up.
     """
-    facts = docs.agg(F.count(F.lit(1)).alias("n"), F.count(doc_id).alias("ids"), F.count_distinct(doc_id).alias("distinct")).first()
-    if facts["n"] == facts["ids"] == facts["distinct"]:
-        return docs.withColumn("row_no", F.col(doc_id).cast("long"))
-    from pyspark.sql.window import Window
-
-    # Nulls come first. Each part of the sorted table numbers its own rows; the parts' sizes add up.
-    part = docs.repartitionByRange(F.col(doc_id).asc_nulls_first()).sortWithinPartitions(F.col(doc_id).asc_nulls_first()).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    part = materialize(part, name)
+    if isinstance(docs.schema[doc_id].dataType, IntegralType):
+        facts = docs.agg(F.count(F.lit(1)).alias("n"), F.count(doc_id).alias("ids"), F.count_distinct(doc_id).alias("distinct"), F.min(doc_id).alias("least"), F.max(doc_id).alias("most")).first()
+        if facts["n"] == facts["ids"] == facts["distinct"] and (not facts["n"] or (facts["least"] >= 0 and facts["most"] < LARGEST_ROW)):
+            return docs.withColumn("row_no", F.col(doc_id).cast("long"))
+    order = [F.col(doc_id).asc_nulls_first(), F.col("_i")]
+    part = docs.withColumn("_i", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    part = materialize(part.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), name)
     sizes = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_i").alias("_first"))
+    # One row per part of the table.
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return part.join(F.broadcast(sizes), "_p").withColumn("row_no", F.col("_before") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_c", "_first", "_before")
