@@ -1,23 +1,22 @@
-"""Approximate nearest neighbours by several shifted Hilbert orderings.
+"""Approximate nearest neighbours by many shifted Hilbert orderings.
 
-Vectors are projected to a few dimensions, once per curve with a projection and a shift of its
-own, and placed on a Hilbert curve. Spark range-partitions (curve, key); each partition is cut
-into chunks of bounded size. A query is compared with the chunks whose place on a curve lies
-within `window_share` of the chunks on either side of its own; the curves' finds are merged and
-ranked by the exact inner product.
+Vectors are projected to some dimensions, once per curve with a projection and a shift of its own,
+and placed on a Hilbert curve. Spark range-partitions (curve, key) and sorts; what travels along a
+curve is a vector's number and a sketch of a byte per component. A task reads its part in windows
+of rows: a query is compared, by sketch, with its own window and the ones before and after it. The
+best of each curve are merged, and the best of these are ranked by the exact inner product.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import Scratch, materialize
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -64,36 +63,79 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _scores(q_reps: bytes, q_vecs: bytes, reps: bytes, vecs: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, candidate ids and the inner products of two packed chunks."""
-    q, ids = np.frombuffer(q_reps, np.int64), np.frombuffer(reps, np.int64)
-    return q, ids, np.frombuffer(q_vecs).reshape(len(q), width) @ np.frombuffer(vecs).reshape(len(ids), width).T
-
-
-class _Best:
-    """The best k candidates of each query seen by one task; at most `room` queries at once."""
-
-    def __init__(self, k: int, room: int):
-        self.k, self.room, self.held = k, room, {}
-
-    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        if query in self.held:
-            old_ids, old_scores = self.held[query]
-            ids, scores = np.concatenate([old_ids, ids]), np.concatenate([old_scores, scores])
-            ids, first = np.unique(ids, return_index=True)
-            scores = scores[first]
-        order = np.lexsort((ids, -scores))[: self.k]
-        self.held[query] = ids[order], scores[order]
-
-    def flush(self):
-        if self.held:
-            sizes = [len(v[0]) for v in self.held.values()]
-            yield pa.RecordBatch.from_pydict({
-                "query_rep": np.repeat(np.fromiter(self.held, np.int64, len(sizes)), sizes),
-                "rep": np.concatenate([v[0] for v in self.held.values()]),
-                "score": np.concatenate([v[1] for v in self.held.values()]),
-            })
-            self.held = {}
+def sketches(x: np.ndarray) -> np.ndarray:
+    """Rows of bytes: a float32 scale, and the components in steps of it."""
+    scale = np.maximum(np.abs(x).max(axis=1), 1e-300) / 127
+    codes = np.rint(x / scale[:, None]).astype(np.int8)
+    return np.concatenate([scale.astype("<f4").view(np.uint8).reshape(-1, 4), codes.view(np.uint8)], axis=1)
+
+
+def from_sketches(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw[:, 4:]).view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of scores the `keep` largest, and their ids (one list, or one for each row)."""
+    take = min(keep, scores.shape[1])
+    at = np.argpartition(-scores, take - 1, axis=1)[:, :take]
+    return np.take_along_axis(scores, at, 1), np.take_along_axis(np.broadcast_to(ids, scores.shape), at, 1)
+
+
+class Curve:
+    """Reads rows (rep, asked, sketch) in the order of a curve, `window` rows at a time; keeps the best
+    of each query among its own window and the neighbouring ones."""
+
+    def __init__(self, window: int, keep: int):
+        self.window, self.keep, self.held, self.size = window, keep, [], 0
+        self.before = self.pending = self.head = None
+        self.pairs = 0
+
+    def feed(self, rep: np.ndarray, asked: np.ndarray, raw: np.ndarray):
+        self.held.append((rep, asked, raw))
+        self.size += len(rep)
+        if self.size >= self.window:
+            rep, asked, raw = (np.concatenate(x) for x in zip(*self.held))
+            whole = len(rep) - len(rep) % self.window
+            for at in range(0, whole, self.window):
+                yield from self.step(*(x[at : at + self.window] for x in (rep, asked, raw)))
+            self.held, self.size = [(rep[whole:], asked[whole:], raw[whole:])], len(rep) - whole
+
+    def step(self, rep, asked, raw):
+        x = from_sketches(raw)
+        if self.head is None:
+            self.head = rep, asked, raw
+        if self.pending is not None:
+            ids, q, best, found = self.pending
+            score, found2 = best_of(q @ x.T, rep, self.keep)
+            self.pairs += len(ids) * len(rep)
+            score, found = best_of(np.concatenate([best, score], 1), np.concatenate([found, found2], 1), self.keep)
+            yield ids, found, score
+        own, all_rep, all_x = np.flatnonzero(asked), rep, x
+        if self.before is not None:
+            all_rep, all_x = np.concatenate([self.before[0], rep]), np.concatenate([from_sketches(self.before[2]), x])
+        self.pending = None
+        if len(own):
+            self.pairs += len(own) * len(all_rep)
+            self.pending = rep[own], x[own], *best_of(x[own] @ all_x.T, all_rep, self.keep)
+        self.before = rep, asked, raw
+
+    def close(self):
+        if self.size:
+            yield from self.step(*(np.concatenate(x) for x in zip(*self.held)))
+        if self.pending is not None:
+            ids, _, best, found = self.pending
+            yield ids, found, best
+
+
+FOUND = "query_rep long, rep long, score float, curve int, part int, tail boolean, reps binary, asks binary, rows binary, pairs long"
+_KINDS = [pa.int64(), pa.int64(), pa.float32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+
+
+def _found(ids: np.ndarray, found: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    n = found.size
+    columns = [np.repeat(ids, found.shape[1]), found.ravel(), score.ravel().astype(np.float32)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)] + [pa.nulls(n, k) for k in _KINDS[3:]], names=_NAMES)
 
 
 def nearest_neighbours(
@@ -103,10 +145,10 @@ def nearest_neighbours(
     query_modulus: int = 20,
     vec_id: str = "vec_id",
     embedding: str = "embedding",
-    curves: int = 6,
-    dims: int = 4,
-    window_share: float = 0.14,
-    chunk_rows: int = 1024,
+    curves: int = 72,
+    dims: int = 12,
+    window_share: float = 0.0032,
+    window_rows: int | None = None,
     seed: int = 5,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id query_modulus divides.
@@ -115,146 +157,147 @@ def nearest_neighbours(
     smallest ids, which is all that a ranking with ties to the smaller id can need, so a vector
     held by a third of the rows costs as much as any other.
 
-    window_share is a share of the rows, not a number: on data without structure (the given
-    vectors are close to isotropic) recall depends on the share of rows examined. Rows whose
-    vector is null, empty, zero, of another width than most, or has null or non-finite components
-    take no part, nor do rows with a null id; repeated rows count once. An empty table gives none.
+    A query is compared with at most 3 * window rows on each curve. window_rows sets the window: work
+    is then linear in the rows, which suits vectors with structure. By default it is the share
+    window_share of the rows (8 at least): vectors without structure, as the given ones, have no near
+    neighbours to speak of, and recall depends on the share of the rows examined (3 * window_share *
+    curves, 0.69 of an exact search). Up to 4 * (k + 1) different vectors, and
+    any number with window_rows = number of rows, are one window: an exact search.
+
+    Rows whose vector is null, empty, zero, of another width than most, or has null or non-finite
+    components take no part, nor do rows with a null id; repeated rows count once. An empty table
+    gives none.
     """
     spark = vectors.sparkSession
+    with Scratch(spark, "ann") as write:
+        prepared = _distinct(vectors, k=k, query_modulus=query_modulus, vec_id=vec_id, embedding=embedding, write=write)
+        if prepared is None:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        distinct, asked, width = prepared
+        rows = distinct.count()
+        window = rows if rows <= 4 * (k + 1) else window_rows or max(8, int(np.ceil(window_share * rows)))
+        found = write(_candidates(distinct, rows, width, k=k, curves=curves, dims=dims, window=window, seed=seed, write=write), "found")
+        return materialize(_ranked(distinct, asked, found, k=k), "ann-result")
+
+
+def _distinct(vectors: DataFrame, *, k: int, query_modulus: int, vec_id: str, embedding: str, write):
+    """distinct (rep, ids, v, asks), asked (vec_id, v) and the width; None without a valid vector."""
     base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     base = base.filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda c: c != 0))
     widths = base.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    out = "query_id long, rank int, vec_id long, score double"
     if widths is None:
-        return spark.createDataFrame([], out)
-    width = widths["w"]
-    base = base.filter(F.size("v") == width)
-
+        return None
+    base = base.filter(F.size("v") == widths["w"])
     smallest = Window.partitionBy("v").orderBy("vec_id")
     distinct = base.withColumn("_r", F.dense_rank().over(smallest)).filter(F.col("_r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    asked = base.filter(F.pmod("vec_id", F.lit(query_modulus)) == 0)
-    distinct = distinct.join(asked.select("v").distinct().withColumn("asked", F.lit(True)), "v", "left")
-    distinct = materialize(distinct.select(F.col("ids")[0].alias("rep"), "ids", "v", F.coalesce("asked", F.lit(False)).alias("asked")), "ann-distinct")
+    asked = base.filter(F.pmod("vec_id", F.lit(query_modulus)) == 0).distinct()
+    distinct = distinct.join(asked.groupBy("v").agg(F.count(F.lit(1)).alias("asks")), "v", "left")
+    distinct = write(distinct.select(F.col("ids")[0].alias("rep"), "ids", "v", F.coalesce("asks", F.lit(0)).alias("asks")), "distinct")
+    return distinct, asked, widths["w"]
+
 
+def _candidates(distinct: DataFrame, rows: int, width: int, *, k: int, curves: int, dims: int, window: int, seed: int, write) -> DataFrame:
+    """query_rep, rep: the best 3 * (k + 1) by sketch of what each query met on any curve."""
+    keep = k + 5
     frames, shifts = _projections(width, curves, dims, seed)
     dims = frames.shape[2]
     bits = min(15, 60 // dims)
+    flat = np.ascontiguousarray(frames.transpose(1, 0, 2)).reshape(width, -1)
 
     def moments(batches):
         n, s, ss = 0, np.zeros(curves * dims), np.zeros(curves * dims)
         for batch in batches:
             if batch.num_rows:
-                y = np.concatenate([_matrix(batch.column("v")) @ f for f in frames], axis=1)
+                y = _matrix(batch.column("v")) @ flat
                 n, s, ss = n + len(y), s + y.sum(0), ss + (y * y).sum(0)
         if n:
             yield pa.RecordBatch.from_pydict({"axis": np.arange(curves * dims), "n": np.full(curves * dims, n), "s": s, "ss": ss})
 
+    # A row for each curve and dimension.
     stats = distinct.select("v").mapInArrow(moments, "axis long, n long, s double, ss double").groupBy("axis").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).orderBy("axis").collect()
-    mean = np.array([r["s"] / r["n"] for r in stats]).reshape(curves, dims)
-    spread = np.sqrt(np.maximum(np.array([r["ss"] / r["n"] for r in stats]).reshape(curves, dims) - mean**2, 0)) + 1e-12
+    mean = np.array([r["s"] / r["n"] for r in stats])
+    spread = np.sqrt(np.maximum(np.array([r["ss"] / r["n"] for r in stats]) - mean**2, 0)) + 1e-12
 
     def place(batches):
         for batch in batches:
-            x = _matrix(batch.column("v")) if batch.num_rows else None
-            for c in range(curves if x is not None else 0):
-                cells = ((x @ frames[c] - mean[c]) / spread[c] / 8 + 0.5 + shifts[c] / 4) * (1 << bits)
-                key = hilbert_keys(np.clip(cells, 0, (1 << bits) - 1).astype(np.int64), bits)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), c, np.int32)), pa.array(key), batch.column("rep"), batch.column("asked"), batch.column("v")],
-                    ["curve", "key", "rep", "asked", "v"],
-                )
-
-    placed = distinct.select("rep", "asked", "v").mapInArrow(place, "curve int, key long, rep long, asked boolean, v array<double>")
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                x = _matrix(part.column("v"))
+                y = ((x @ flat - mean) / spread / 8 + 0.5).reshape(len(x), curves, dims) + shifts / 4
+                cells = np.clip(y * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
+                codes = pa.array([r.tobytes() for r in sketches(x)], pa.binary())
+                for c in range(curves):
+                    key = hilbert_keys(cells[:, c], bits)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), part.column("rep"), part.column("asked"), codes], ["curve", "key", "rep", "asked", "code"])
+
+    placed = distinct.select("rep", (F.col("asks") > 0).alias("asked"), "v").mapInArrow(place, "curve int, key long, rep long, asked boolean, code binary")
     ordered = placed.repartitionByRange("curve", "key", "rep").sortWithinPartitions("curve", "key", "rep")
 
-    def chunks(batches):
-        held: list = []  # of (curve, key, rep, asked, vectors), all of one curve
+    def pack(curve, part, tail, rows, pairs):
+        values = [None, None, None, curve, part, tail, rows[0].tobytes(), rows[1].astype(np.uint8).tobytes(), rows[2].tobytes(), pairs]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _KINDS)], names=_NAMES)
 
-        def pack():
-            key, rep, asked, x = (np.concatenate([h[i] for h in held]) for i in range(1, 5))
-            yield pa.RecordBatch.from_pydict({
-                "curve": pa.array([held[0][0]], pa.int32()), "first_key": [int(key[0])], "first_rep": [int(rep[0])],
-                "reps": [rep.tobytes()], "vecs": [x.tobytes()], "q_reps": [rep[asked].tobytes()], "q_vecs": [x[asked].tobytes()],
-            })
+    def scan(batches):
+        part, now, walk = TaskContext.get().partitionId(), None, None
+
+        def end():
+            for x in walk.close():
+                yield _found(*x)
+            yield pack(now, part, False, walk.head, walk.pairs)
+            yield pack(now, part, True, walk.before, 0)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            curve = batch.column("curve").to_numpy()
-            cols = [batch.column("key").to_numpy(), batch.column("rep").to_numpy(), batch.column("asked").to_numpy(zero_copy_only=False), _matrix(batch.column("v"))]
-            at = 0
-            while at < len(curve):
-                room = chunk_rows - sum(len(h[1]) for h in held)
-                if held and (room == 0 or held[0][0] != curve[at]):
-                    yield from pack()
-                    held = []
-                    continue
-                end = min(at + room, int(np.searchsorted(curve, curve[at], "right")))
-                held.append((int(curve[at]), *[c[at:end] for c in cols]))
-                at = end
-        if held:
-            yield from pack()
-
-    packed = materialize(ordered.mapInArrow(chunks, "curve int, first_key long, first_rep long, reps binary, vecs binary, q_reps binary, q_vecs binary"), "ann-chunks")
-    # The order of chunks needs their first keys only: a row per chunk_rows vectors.
-    along = Window.partitionBy("curve").orderBy("first_key", "first_rep")
-    index = packed.select("curve", "first_key", "first_rep").withColumn("at", F.row_number().over(along))
-    index = materialize(index.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("curve"))), "ann-index")
-    numbered = packed.join(index, ["curve", "first_key", "first_rep"])
-
-    # A query's own chunks give a score that its k + 1 best must reach, so that later comparisons
-    # hand on the few candidates that can still matter, whatever the number of tasks.
-    def first_look(batches):
+            curve, rep, asked = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("curve", "rep", "asked"))
+            raw = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(rep), -1)
+            cuts = [0, *(np.flatnonzero(np.diff(curve)) + 1).tolist(), len(rep)]
+            for a, b in zip(cuts, cuts[1:]):
+                if curve[a] != now:
+                    if walk is not None:
+                        yield from end()
+                    now, walk = int(curve[a]), Curve(window, keep)
+                for x in walk.feed(rep[a:b], asked[a:b], raw[a:b]):
+                    yield _found(*x)
+        if walk is not None:
+            yield from end()
+
+    seen = write(ordered.mapInArrow(scan, FOUND), "seen")
+    # Windows that a border between tasks cuts: the last rows of a part meet the first of the next.
+    border = seen.filter("curve is not null").withColumn("at", F.dense_rank().over(Window.partitionBy("curve").orderBy("part")))
+    last = border.filter("tail").select("curve", (F.col("at") + 1).alias("at"), *[F.col(c).alias(f"l_{c}") for c in ("reps", "asks", "rows")])
+    meet = border.filter("not tail").join(last, ["curve", "at"]).select("reps", "asks", "rows", "l_reps", "l_asks", "l_rows")
+
+    def across(batches):
         for batch in batches:
-            for q_reps, q_vecs, reps, vecs in zip(*[batch.column(c).to_pylist() for c in ("q_reps", "q_vecs", "reps", "vecs")]):
-                q, ids, s = _scores(q_reps, q_vecs, reps, vecs, width)
-                take = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
-                yield pa.RecordBatch.from_pydict({"query_rep": np.repeat(q, take.shape[1]), "rep": ids[take].ravel(), "score": np.take_along_axis(s, take, 1).ravel()})
-
-    seen = packed.filter(F.length("q_reps") > 0).mapInArrow(first_look, "query_rep long, rep long, score double").groupBy("query_rep", "rep").agg(F.max("score").alias("score"))
-    seen = seen.withColumn("_r", F.row_number().over(Window.partitionBy("query_rep").orderBy(F.desc("score"), "rep"))).filter(F.col("_r") == k + 1)
-    floors = materialize(seen.select("query_rep", F.col("score").alias("floor")), "ann-floors")
-
-    def queries_of(batches):
-        for batch in batches:
-            for curve, at, q_reps in zip(*[batch.column(c).to_pylist() for c in ("curve", "at", "q_reps")]):
-                q = np.frombuffer(q_reps, np.int64)
-                yield pa.RecordBatch.from_pydict({"curve": pa.array(np.full(len(q), curve), pa.int32()), "at": pa.array(np.full(len(q), at), pa.int32()), "query_rep": q})
-
-    placed_queries = numbered.filter(F.length("q_reps") > 0).select("curve", "at", "q_reps").mapInArrow(queries_of, "curve int, at int, query_rep long")
-    floors = placed_queries.join(floors, "query_rep").groupBy("curve", "at").agg(F.collect_list(F.struct("query_rep", "floor")).alias("floors"))
-    asking = numbered.filter(F.length("q_reps") > 0).join(floors, ["curve", "at"], "left")
-
-    reach = F.ceil(F.col("of") * float(window_share)).cast("int")
-    targets = asking.select("curve", "q_reps", "q_vecs", "floors", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - reach), F.least(F.col("of").cast("int"), F.col("at") + reach))).alias("at"))
-    pairs = targets.join(numbered.select("curve", "at", "reps", "vecs"), ["curve", "at"]).select("q_reps", "q_vecs", "reps", "vecs", "floors")
-
-    def score(batches):
-        best = _Best(k + 1, 50_000)
-        for batch in batches:
-            for q_reps, q_vecs, reps, vecs, known in zip(*[c.to_pylist() for c in batch.columns]):
-                q, ids, s = _scores(q_reps, q_vecs, reps, vecs, width)
-                known = {f["query_rep"]: f["floor"] - 1e-9 * abs(f["floor"]) for f in known or []}
-                take = min(k + 1, len(ids))
-                floor = -np.partition(-s, take - 1, axis=1)[:, take - 1]
-                for row, query in enumerate(q.tolist()):
-                    hit = np.flatnonzero(s[row] >= max(floor[row], known.get(query, floor[row])))
-                    if len(hit):
-                        best.add(query, ids[hit], s[row, hit])
-            if len(best.held) > best.room:
-                yield from best.flush()
-        yield from best.flush()
-
-    found = pairs.mapInArrow(score, "query_rep long, rep long, score double").groupBy("query_rep", "rep").agg(F.max("score").alias("score"))
+            for row in batch.to_pylist():
+                sides = [(np.frombuffer(row[p + "reps"], np.int64), np.frombuffer(row[p + "asks"], np.uint8) > 0, np.frombuffer(row[p + "rows"], np.uint8)) for p in ("", "l_")]
+                (a, ask_a, x), (b, ask_b, y) = [(r, ask, from_sketches(raw.reshape(len(r), -1))) for r, ask, raw in sides]
+                for ids, ask, q, others, z in ((a, ask_a, x, b, y), (b, ask_b, y, a, x)):
+                    if ask.any():
+                        score, found = best_of(q[ask] @ z.T, others, keep)
+                        yield _found(ids[ask], found, score)
+
+    both = seen.filter("query_rep is not null").unionByName(meet.mapInArrow(across, FOUND)).groupBy("query_rep", "rep").agg(F.max("score").alias("score"))
     near = Window.partitionBy("query_rep").orderBy(F.desc("score"), "rep")
-    found = materialize(found.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= k + 1).drop("_r"), "ann-found")
+    return both.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= 3 * (k + 1)).select("query_rep", "rep")
+
 
-    # The final score is summed in one fixed order over the original components.
+def _ranked(distinct: DataFrame, asked: DataFrame, found: DataFrame, *, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of asked (vec_id, v) from candidates found (query_rep, rep). The
+    score is summed in one fixed order over the original components."""
     by_rep = distinct.select("rep", "ids", "v")
     exact = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    found = found.join(by_rep, "rep").join(by_rep.select(F.col("rep").alias("query_rep"), F.col("v").alias("qv")), "query_rep").select("query_rep", "ids", exact.alias("score"))
-    queries = asked.select(F.col("vec_id").alias("query_id"), "v").distinct().join(distinct.select(F.col("rep").alias("query_rep"), "v"), "v").select("query_id", "query_rep")
-    rows = queries.join(found, "query_rep").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
-    rows = rows.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
-    return rows.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    scored = found.join(by_rep, "rep").join(by_rep.select(F.col("rep").alias("query_rep"), F.col("v").alias("qv")), "query_rep").select("query_rep", exact.alias("score"), F.explode("ids").alias("vec_id"))
+    near = Window.partitionBy("query_rep").orderBy(F.desc("score"), "vec_id")
+    scored = scored.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= k + 1)
+    lists = scored.groupBy("query_rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("near"))
+    lists = distinct.filter("asks > 0").select(F.col("rep").alias("query_rep"), "v", "asks").join(lists, "query_rep").select("v", "asks", "near")
+    # Vectors that many queries share are few (fewer than 50,000): they are broadcast, their queries stay.
+    many = max(256, (distinct.agg(F.sum("asks")).first()[0] or 0) // 50_000)
+    hot, rest = F.broadcast(lists.filter(F.col("asks") > many)), lists.filter(F.col("asks") <= many)
+    of = asked.join(hot, "v").unionByName(asked.join(F.broadcast(lists.filter(F.col("asks") > many).select("v")), "v", "left_anti").join(rest, "v"))
+    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("vec_id")), 1, k)
+    out = of.select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"))

@@ -16,6 +16,7 @@ size was checked, and joins of the documents' n-grams with the model, shard by s
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -47,14 +48,15 @@ def running(text: str | bytes | None) -> bytes:
 def text_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """The keys of all n-grams of running texts, and each text's number of them (its bytes + 1)."""
     pad = PAD * (order - 1)
-    flat = np.frombuffer(b"".join([pad + w + END for w in texts]), np.uint8)
+    raw = b"".join([pad + t + END for t in texts])
     n = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    keys = np.zeros(len(flat), np.int64)
-    for j in range(order):
-        keys[j:] |= flat[: len(flat) - j].astype(np.int64) << (8 * j)
+    # The eight bytes from each place on, as one number, without those after the n-gram.
+    places = len(raw) - order + 1
+    windows = np.ndarray((places,), ">u8", raw + b"\0" * 8, strides=(1,)).astype(np.int64) >> np.int64(8 * (8 - order))
+    windows &= mask(order)
     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    starts = np.cumsum(n + order - 1) - (n + order - 1) + order - 1
-    return keys[np.repeat(starts, n) + within], n
+    starts = np.cumsum(n + order - 1) - (n + order - 1)
+    return windows[np.repeat(starts, n) + within], n
 
 
 def count_grams(docs: DataFrame, *, order: int, room: int = 1_500_000) -> DataFrame:
@@ -279,6 +281,12 @@ def by_language(table: pa.Table, *values: str) -> dict:
     return out
 
 
+def _once(keys: np.ndarray, look: Callable) -> list[np.ndarray]:
+    """Columns that `look` gives for keys, each distinct key looked up once, in order."""
+    unique, at = np.unique(keys, return_inverse=True)
+    return [column[at] for column in look(unique)]
+
+
 def _values(table: tuple | None, keys: np.ndarray, columns: int) -> list[np.ndarray]:
     """A table's values of keys, 0 for those it does not hold."""
     if table is None or not len(table[0]):
@@ -322,15 +330,15 @@ def score_texts(tables: tuple, lang: str | None, texts: list[bytes], counted: li
         width = np.diff(np.append(begin, len(packed)))
         own = np.where(np.array(counted, bool)[part][text], times, 0)
         discount = np.array(languages.get(lang, (0.0,) * 4))
-        (n,) = _values(counts.get(lang), key, 1)
+        n, low = _once(key, lambda u: [*_values(counts.get(lang), u, 1), np.exp(lower(lang, u & mask(order - 1)))])
         left = np.maximum(n - own, 0).astype(np.int64)
-        y, z = _values(contexts.get(lang), (key >> 8)[begin], 2)
+        y, z = _once((key >> 8)[begin], lambda u: _values(contexts.get(lang), u, 2))
         y = y - np.add.reduceat(own, begin)
         z = z - np.add.reduceat(discount[np.minimum(n.astype(np.int64), 3)] - discount[np.minimum(left, 3)], begin)
         known = y > 0.5
         y = np.where(known, y, 1.0)
         weight = np.where(known, np.maximum(z, 0.0) / y, 1.0)
-        p = (left - discount[np.minimum(left, 3)]) / np.repeat(y, width) + np.repeat(weight, width) * np.exp(lower(lang, key & mask(order - 1)))
+        p = (left - discount[np.minimum(left, 3)]) / np.repeat(y, width) + np.repeat(weight, width) * low
         out[0][part] = np.bincount(text, weights=np.log(p) * times, minlength=len(part))
     return out
 

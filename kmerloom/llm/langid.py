@@ -16,18 +16,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, slices
 
 #: Texts are read in lower case; what is no letter is a blank, and blanks in a row are one.
 BLANK = 0
 
 
-def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Transitions [states, width] of the suffix automaton of a symbol sequence; -1 for none.
+class Automaton:
+    """The suffix automaton of a symbol sequence: state 0 is the root, and a walk from it exists exactly
+    for the substrings of the sequence.
 
-    State 0 is the root; a walk from it exists exactly for the substrings of the sequence.
+    Transitions lie in one pair of arrays, sparse rows pushed into each other's gaps: that of state q by
+    symbol c is at base[q] + c, if `owner` names q there. Their size follows the number of transitions
+    (at most three a symbol of the sequence), whatever the size of the alphabet.
     """
-    limit = max(2 * len(symbols), 2)
+
+    def __init__(self, symbols: np.ndarray, width: int):
+        self.size, self.width = len(symbols), width
+        rows = _transitions(symbols)
+        self.base = np.zeros(len(rows), np.int32)
+        used = bytearray(4 * len(symbols) + 2 * width + 4)
+        free = width  # the slots before it are taken, or too crowded to look at again
+        cells: list[tuple[int, int, int]] = []
+        for state in sorted(range(len(rows)), key=lambda q: -len(rows[q])):
+            if not (row := rows[state]):
+                continue
+            least, *others = sorted(row)
+            others = [c - least for c in others]
+            at = used.find(0, free)
+            while any(used[at + c] for c in others):
+                at = used.find(0, at + 1)
+            if at > free + 48 and others:
+                free = at - 48
+            self.base[state] = at - least
+            if len(used) < at + 3 * width:
+                used.extend(bytes(len(used)))
+            for c in row:
+                used[at - least + c] = 1
+                cells.append((at - least + c, state, row[c]))
+            if not others:
+                free = at
+        top = max((i for i, _, _ in cells), default=0) + width + 1
+        self.owner, self.to = np.full(top, -1, np.int32), np.zeros(top, np.int32)
+        if cells:
+            place, owner, to = np.array(cells, np.int64).T
+            self.owner[place], self.to[place] = owner, to
+
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The states reached, -1 where there is no transition."""
+        at = self.base[states] + symbols
+        return np.where(self.owner[at] == states, self.to[at], -1)
+
+
+def _transitions(symbols: np.ndarray) -> list[dict]:
+    """Of each state, the states that its symbols lead to (Blumer et al., 1985)."""
     nxt: list[dict] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols.tolist():
@@ -53,12 +95,7 @@ def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    assert len(nxt) <= limit
-    table = np.full((len(nxt), width), -1, np.int32)
-    for state, row in enumerate(nxt):
-        for c, to in row.items():
-            table[state, c] = to
-    return table
+    return nxt
 
 
 class Alphabet:
@@ -67,58 +104,59 @@ class Alphabet:
     def __init__(self, letters: str):
         self.width = len(letters) + 2
         self.code = {ord(c): i + 2 for i, c in enumerate(letters)}
-        self.table = np.zeros(65536, np.uint8)
+        self.table = np.zeros(65536, np.int32)
         for c in range(65536):
-            ch = chr(c)
-            if ch.isalpha():
-                self.table[c] = self.code.get(ord(low) if len(low := ch.lower()) == 1 else c, 1)
+            self.table[c] = self.number(chr(c))
+
+    def number(self, ch: str) -> int:
+        low = ch.lower()
+        return self.code.get(ord(low if len(low) == 1 else ch), 1) if ch.isalpha() else BLANK
 
     def encode(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
         out = self.table[np.minimum(points, 65535)]
         wide = np.flatnonzero(points > 65535)
         if len(wide):
-            out[wide] = [int(chr(p).isalpha()) for p in points[wide].tolist()]
+            out[wide] = [self.number(chr(p)) for p in points[wide].tolist()]
         keep = np.ones(len(out), bool)
         keep[1:] = (out[1:] != BLANK) | (out[:-1] != BLANK)
         return out[keep]
 
 
-def count_phrases(lanes: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
+def count_phrases(lanes: np.ndarray, lengths: np.ndarray, model: Automaton) -> np.ndarray:
     """Phrases of each row of lanes (longest first), all rows advancing together.
 
     A phrase ends before the symbol that no walk continues; a symbol that the sample lacks is a
     phrase by itself. The last phrase of a row counts.
     """
-    width = table.shape[1]
-    flat = table.ravel()
-    state = np.zeros(len(lanes), np.int64)
+    state = np.zeros(len(lanes), np.int32)
     phrases = np.zeros(len(lanes), np.int64)
     columns = np.ascontiguousarray(lanes.T)
     active = np.searchsorted(-lengths, -np.arange(lanes.shape[1]), "left")  # rows with a symbol there
+    first = model.step(np.zeros(model.width, np.int32), np.arange(model.width, dtype=np.int32))
     for at in range(lanes.shape[1]):
         n = active[at]
         if not n:
             break
         c = columns[at, :n]
-        to = flat[state[:n] * width + c]
+        to = model.step(state[:n], c)
         stuck = np.flatnonzero(to < 0)
         if len(stuck):
-            inside = state[stuck] > 0
-            again = flat[c[stuck]]
+            again = first[c[stuck]]
             # an open phrase ends here; a symbol unknown to the root is a phrase too
-            phrases[stuck] += inside.astype(np.int64) + (again < 0)
+            phrases[stuck] += (state[stuck] > 0).astype(np.int64) + (again < 0)
             to[stuck] = np.maximum(again, 0)
         state[:n] = to
     return phrases + (state > 0)
 
 
 def train(docs: DataFrame, *, sample_chars: int, max_docs: int) -> dict:
-    """Alphabet, and per language a suffix automaton and its sample's length.
+    """The letters of the samples, and per language the automaton of its sample.
 
-    docs: doc_id, text, lang with lang not null. The sample of a language is bounded: of its max_docs
-    documents with the smallest hash, whole texts in that order, as long as they add up to at
-    most sample_chars characters (the shortest alone if none fits).
+    docs: doc_id, text, lang with lang not null. The sample of a language is bounded: of its texts of
+    at most sample_chars // 4 characters, the max_docs with the smallest hash, whole, in that order, as
+    long as they add up to at most sample_chars. A language that has longer texts only is learned
+    from the first sample_chars characters of its shortest one.
     """
     sized = docs.filter("text is not null").select("lang", "doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("h")).filter("n > 0")
     order = Window.partitionBy("lang").orderBy(F.md5(F.concat_ws(":", F.col("h").cast("string"), F.col("doc_id").cast("string"))), "h", "n")
@@ -131,20 +169,21 @@ def train(docs: DataFrame, *, sample_chars: int, max_docs: int) -> dict:
     by_lang: dict = {}
     for row in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         by_lang.setdefault(row["lang"], []).append(row["text"])
-    by_lang = {lang: "\n".join(t)[: 2 * sample_chars] for lang, t in by_lang.items()}
-    letters = sorted({c for t in by_lang.values() for c in t.lower() if c.isalpha() and ord(c) < 65536})
-    if len(letters) > 200:
-        counts: dict = {}
-        for t in by_lang.values():
-            for c in t.lower():
-                counts[c] = counts.get(c, 0) + 1
-        letters = sorted(sorted(letters, key=lambda c: (-counts[c], c))[:200])
-    alphabet = Alphabet("".join(letters))
-    models = {}
-    for lang, text in sorted(by_lang.items()):
-        symbols = alphabet.encode(text)
-        models[lang] = suffix_automaton(symbols, alphabet.width), len(symbols)
-    return {"letters": "".join(letters), "models": models}
+    by_lang = {lang: "\n".join(t) if len(t) > 1 else t[0][:sample_chars] for lang, t in by_lang.items()}
+    letters = "".join(sorted({c for t in by_lang.values() for c in t.lower() if c.isalpha()}))
+    alphabet = Alphabet(letters)
+    return {"letters": letters, "models": {lang: packed(Automaton(alphabet.encode(text), alphabet.width)) for lang, text in sorted(by_lang.items())}}
+
+
+def packed(model: Automaton) -> dict:
+    """Plain arrays, which travel to tasks that know no class of this package."""
+    return dict(vars(model))
+
+
+def unpacked(fields: dict) -> Automaton:
+    out = Automaton.__new__(Automaton)
+    vars(out).update(fields)
+    return out
 
 
 def predict(texts: list[str], alphabet: Alphabet, models: dict, segment: int) -> np.ndarray:
@@ -160,14 +199,14 @@ def predict(texts: list[str], alphabet: Alphabet, models: dict, segment: int) ->
         return cost
     lengths = np.fromiter(map(len, lanes), np.int64, len(lanes))
     order = np.argsort(-lengths, kind="stable")
-    padded = np.zeros((len(lanes), lengths.max()), np.uint8)
+    padded = np.zeros((len(lanes), lengths.max()), np.int32)
     for row, i in enumerate(order):
         padded[row, : lengths[i]] = lanes[i]
     who = np.asarray(owner)[order]
     total = np.bincount(who, weights=lengths[order], minlength=len(texts))
-    for j, (table, size) in enumerate(models.values()):
-        phrases = np.bincount(who, weights=count_phrases(padded, lengths[order], table), minlength=len(texts))
-        cost[:, j] = phrases * math.log2(max(size, 2)) / np.maximum(total, 1)
+    for j, model in enumerate(models.values()):
+        phrases = np.bincount(who, weights=count_phrases(padded, lengths[order], model), minlength=len(texts))
+        cost[:, j] = phrases * math.log2(max(model.size, 2)) / np.maximum(total, 1)
     return cost
 
 
@@ -175,7 +214,7 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, trained: dict, *, doc_id: str = "doc_id", text: str = "text", segment: int = 1024, batch_chars: int = 4_000_000) -> DataFrame:
+def identify(docs: DataFrame, trained: dict, *, doc_id: str = "doc_id", text: str = "text", segment: int = 1024, batch_chars: int = 2_000_000) -> DataFrame:
     """doc_id, lang_pred, score for every row.
 
     Whole texts are parsed, in segments of `segment` symbols that no phrase crosses, so that a very
@@ -187,9 +226,9 @@ def identify(docs: DataFrame, trained: dict, *, doc_id: str = "doc_id", text: st
     shared = docs.sparkSession.sparkContext.broadcast(trained)
 
     def run(batches):
-        alphabet, models = Alphabet(shared.value["letters"]), shared.value["models"]
+        alphabet, models = Alphabet(shared.value["letters"]), {lang: unpacked(m) for lang, m in shared.value["models"].items()}
         names = list(models)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             known = batch.column("known").to_pylist()
             pred, score = [], []

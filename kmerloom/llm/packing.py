@@ -5,7 +5,7 @@ a sequence. Packing needs the pieces' lengths only, and there are at most `capac
 lengths: Spark counts them, the driver solves the instance of at most `capacity` (length, count)
 pairs, and the solution, a list of patterns with multiplicities, is dealt back to the pieces by
 their rank among those of equal length. The solver first fixes sets that provably dominate all
-alternatives (Martello and Toth), in multiples, then places the rest best-fit decreasing.
+alternatives (Martello and Toth), then places the rest best-fit decreasing, both in multiples.
 """
 
 from __future__ import annotations
@@ -21,66 +21,112 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, slices
 
 
 def solve(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """Patterns (multiplicity, lengths) that use each length exactly as often as counts says.
-
-    Dominance: a bin holding the largest piece a alone, or with one other piece b, dominates every
-    alternative bin for a if no feasible companion set can do better, that is
-    (1) nothing fits beside a; (2) the largest b that fits fills the bin exactly; or
-    (3) no two pieces fit beside a and b is the largest that fits. Such bins are fixed for as many
-    copies as there are, and the reduced instance goes on. When no rule applies to the largest
-    piece, it is placed with its companions best-fit decreasing: the largest that fits, again and
-    again, for as many equal bins as the counts allow.
-    """
+    """Patterns (multiplicity, lengths) that use each length exactly as often as counts says."""
     left = {s: n for s, n in counts.items() if n > 0}
-    sizes = sorted(left)
-    patterns: list[tuple[int, list[int]]] = []
+    fixed = reduce_by_dominance(left, capacity)
+    return fixed + best_fit(left, capacity)
+
 
-    def largest_up_to(room: int) -> int | None:
-        i = bisect.bisect_right(sizes, room)
-        return sizes[i - 1] if i else None
+def reduce_by_dominance(left: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """Patterns that some best solution holds; their pieces are taken out of left.
+
+    A bin {a, b} dominates every other bin for a if whatever else fits beside a can be put in b's
+    place. That is certain where b fills the bin; where b is the largest that fits beside a and no
+    two pieces do; and where no three do and b is no less than the best two. A piece beside which
+    nothing fits is a bin alone. Each such set is fixed as often as there are copies, and the
+    smaller instance is looked at again until nothing changes.
+    """
+    patterns: list[tuple[int, list[int]]] = []
 
-    def use(times: int, items: list[int]) -> None:
+    def fix(times: int, items: list[int]) -> None:
         patterns.append((times, items))
-        for s in set(items):
-            left[s] -= times * items.count(s)
+        for s in items:
+            left[s] -= times
             if not left[s]:
                 del left[s]
-                sizes.pop(bisect.bisect_left(sizes, s))
-
-    while sizes:
-        a = sizes[-1]
-        i = bisect.bisect_right(sizes, capacity - a)
-        if i and sizes[i - 1] == a and left[a] == 1:
-            i -= 1  # its only copy
-        if not i:
-            use(left[a] if sizes[0] + a > capacity else 1, [a])
-            continue
-        b = sizes[i - 1]
-        small = sizes[0]
-        two = 2 * small if left[small] - (small == a) > 1 else small + (sizes[1] if len(sizes) > 1 else capacity)
-        if a + b == capacity or a + two > capacity:
-            use(left[a] // 2 if a == b else min(left[a], left[b]), [a, b])
-            continue
-        items, room, spare = [a], capacity - a, {a: left[a] - 1}
-        while True:
-            i = bisect.bisect_right(sizes, room)
-            while i and not spare.get(sizes[i - 1], left[sizes[i - 1]]):
-                i -= 1
-            if not i:
-                break
-            s = sizes[i - 1]
-            take = min(spare.get(s, left[s]), room // s)
-            items += [s] * take
-            spare[s] = spare.get(s, left[s]) - take
-            room -= take * s
-        use(min(left[s] // items.count(s) for s in set(items)), items)
+
+    def companion(a: int, sizes: list[int]) -> int | None:
+        """The dominating piece for a; 0 for none at all, None if none is certain."""
+        room = capacity - a
+        spare = lambda s: left[s] - (s == a)
+        sizes = [s for s in sizes[: bisect.bisect_right(sizes, room)] if spare(s)]
+        if not sizes or sizes[-1] == room:
+            return sizes[-1] if sizes else 0
+        small = [s for s in sizes[:3] for _ in range(min(3, spare(s)))][:3]
+        if len(small) < 2 or sum(small[:2]) > room:
+            return sizes[-1]
+        if len(small) > 2 and sum(small) <= room:
+            return None
+        best, i, j = 0, 0, len(sizes) - 1  # the best two, by one walk from both ends
+        while i <= j:
+            if sizes[i] + sizes[j] > room or (i == j and spare(sizes[i]) < 2):
+                j -= 1
+                continue
+            best = max(best, sizes[i] + sizes[j])
+            i += 1
+        return sizes[-1] if sizes[-1] >= best else None
+
+    changed = True
+    while changed:
+        changed = False
+        for a in sorted(left, reverse=True):
+            while a in left:
+                b = companion(a, sorted(left))
+                if b is None:
+                    break
+                changed = True
+                if b == 0:
+                    fix(left[a] if 2 * a > capacity else 1, [a])
+                elif a + b == capacity or 2 * a > capacity:
+                    fix(left[a] // 2 if a == b else min(left[a], left[b]), [a, b])
+                else:  # copies of a may fit beside each other: one at a time
+                    fix(1, [a, b])
     return patterns
 
 
+def best_fit(left: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """Patterns of the pieces in left, longest first, each in the fullest bin that has room for it.
+
+    Bins with equal room are handled together: the fullest that fit take as many copies as go in.
+    """
+    open_: dict[int, list[tuple[int, list[int]]]] = {}
+    rooms: list[int] = []
+
+    def put(room: int, times: int, items: list[int]) -> None:
+        if room not in open_:
+            open_[room] = []
+            bisect.insort(rooms, room)
+        open_[room].append((times, items))
+
+    for s in sorted(left, reverse=True):
+        todo = left[s]
+        while todo:
+            i = bisect.bisect_left(rooms, s)
+            if i < len(rooms):
+                room = rooms[i]
+                times, items = open_[room].pop()
+                if not open_[room]:
+                    del open_[room]
+                    rooms.pop(i)
+            else:
+                room, times, items = capacity, todo, []
+            each = room // s
+            full = min(times, todo // each)
+            if full:
+                put(room - each * s, full, items + [s] * each)
+            todo -= full * each
+            if times > full and todo and todo < each:
+                put(room - todo * s, 1, items + [s] * todo)
+                full, todo = full + 1, 0
+            if times > full and items:
+                put(room, times - full, items)
+    return [(times, items) for room in rooms for times, items in open_[room]]
+
+
 #: The pre-tokeniser's pattern of byte-level BPE vocabularies of this family (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _WIDE_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -111,39 +157,48 @@ class _Words(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self[word] = array("I", self.encode(" " + word)).tobytes()
+        self.held += 150 + len(word) + len(ids)
         return ids
 
 
 class Encoder:
-    """Token ids of texts by a tokenizer file, without special tokens.
+    """Token ids of texts, as tokenizers' encode(text, add_special_tokens=False) gives them.
 
     The pre-tokeniser starts a token at every space before a non-blank, so the ids of a text are
     those of its space-separated words joined, unless blanks stand around a space; such texts
-    are encoded whole. The table of words is emptied when it reaches `room` entries.
+    are encoded whole. Texts that hold one of the file's added tokens, and all texts where no
+    faster equal exists, go to the tokenizer itself. The table of words is emptied when it takes
+    about `room` bytes.
     """
 
-    def __init__(self, tokenizer_path: str, room: int = 500_000):
+    def __init__(self, tokenizer_path: str, room: int = 48_000_000):
         with open(tokenizer_path, encoding="utf-8") as f:
-            encode = _fast_encode(json.load(f))
-        self.by_words = encode is not None
-        if encode is None:
+            spec = json.load(f)
+        self.path, self.room, self.plain = tokenizer_path, room, None
+        self.encode = _fast_encode(spec)
+        added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.words = _Words(self.encode)
+
+    def exactly(self, text: str) -> bytes:
+        if self.plain is None:
             from tokenizers import Tokenizer
 
-            own = Tokenizer.from_file(tokenizer_path)
-            own.encode_special_tokens = True
-            encode = lambda text: own.encode(text, add_special_tokens=False).ids
-        self.encode, self.room, self.words = encode, room, _Words(encode)
+            self.plain = Tokenizer.from_file(self.path)
+        return array("I", self.plain.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        blanks = not self.by_words or text[-1:] == " " or any(b in text for b in _SPACED) or (not text.isascii() and _WIDE_BLANK.search(text))
-        if blanks:
+        if self.encode is None or (self.added and self.added.search(text)):
+            return self.exactly(text)
+        if text[-1:] == " " or any(b in text for b in _SPACED) or (not text.isascii() and _WIDE_BLANK.search(text)):
             return array("I", self.encode(text)).tobytes()
-        if len(self.words) > self.room:
+        if self.words.held > self.room:
             self.words.clear()
+            self.words.held = 0
         first, *rest = text.split(" ")
         return array("I", self.encode(first)).tobytes() + b"".join(map(self.words.__getitem__, rest))
 
@@ -154,7 +209,7 @@ def tokenize_pieces(docs: DataFrame, *, doc_id: str, text: str, tokenizer_path:
 
     def pieces(batches):
         encode = Encoder(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for ident, body in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = encode(body or "") + end
@@ -178,7 +233,7 @@ def pack(
     text: str = "text",
     capacity: int = 1024,
     end_id: int = 2,
-    group_rows: int = 250_000,
+    group_rows: int = 50_000,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece.
 
@@ -191,7 +246,9 @@ def pack(
     repeated rows are packed as often as they come, an empty table gives no rows.
     """
     spark = docs.sparkSession
-    pieces = materialize(tokenize_pieces(docs, doc_id=doc_id, text=text, tokenizer_path=tokenizer_path, capacity=capacity, end_id=end_id), "pack-pieces")
+    # A number for each row, fixed by the written copy, tells equal rows apart.
+    pieces = tokenize_pieces(docs, doc_id=doc_id, text=text, tokenizer_path=tokenizer_path, capacity=capacity, end_id=end_id)
+    pieces = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
 
     ranges, base, used = [], 0, dict.fromkeys(counts, 0)
@@ -206,11 +263,11 @@ def pack(
     slots = spark.createDataFrame(ranges, "length long, lo long, hi long, base long, n long, at long")
     groups = spark.createDataFrame([(s, -(-n // group_rows)) for s, n in counts.items()], "length long, groups long")
 
-    dealt = pieces.join(F.broadcast(groups), "length").withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("groups")))
+    dealt = pieces.join(F.broadcast(groups), "length").withColumn("grp", F.pmod(F.xxhash64("_row"), F.col("groups")))
     sizes = dealt.groupBy("length", "grp").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("length", "grp", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("length", "grp").orderBy("doc_id", "piece", "ids_crc32"))
+    own = F.row_number().over(Window.partitionBy("length", "grp").orderBy("_row"))
     ranked = dealt.withColumn("_own", own).join(sizes, ["length", "grp"]).withColumn("rank", F.col("_own") - 1 + F.col("_before"))
     # One row per length and pattern: bounded by the number of lengths, not by the data.
     placed = ranked.join(F.broadcast(slots), (ranked["length"] == slots["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).drop(slots["length"])

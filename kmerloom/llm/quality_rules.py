@@ -84,7 +84,7 @@ def quality_rules(
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    order: int = 6,
+    order: int = 5,
     reach: float = 5.0,
     reach_low: float = 8.0,
     outside: float = 2.0,

@@ -32,8 +32,11 @@ def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(load(spark, sf_dir, "pages"), path)
     captures = warc.assemble(warc.read_records(spark, path))
     r = F.col("response")
+    # A response has its payload in the archive; a revisit has the size and digest that its header states.
+    stored = r["type"] == "response"
+    size = F.when(stored, F.octet_length(r["payload"])).otherwise(r["declared_bytes"]).cast("long")
     return captures.select(
-        r["page_id"].alias("page_id"), r["declared_bytes"].cast("long").alias("payload_bytes"), r["digest"].alias("payload_digest"), r["type"].alias("record_type"), r["refers_to_page"].alias("refers_to"),
+        r["page_id"].alias("page_id"), size.alias("payload_bytes"), F.when(stored, r["payload_sha1"]).otherwise(r["digest"]).alias("payload_digest"), r["type"].alias("record_type"), r["refers_to_page"].alias("refers_to"),
         r["uri"].alias("uri"), F.col("request").isNotNull().alias("has_request"), F.col("metadata").isNotNull().alias("has_metadata"),
     )
 

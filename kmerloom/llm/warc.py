@@ -8,16 +8,20 @@ written and read through Spark's own file sources, so they may lie in any store
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 CRLF = "\r\n"
 MAX_BROADCAST_REVISITS = 1_000_000
+#: Pages of at most so many bytes of payload, and how many of them share an archive: half a GB at most,
+#: as a file is read whole. Larger pages have an archive each.
+ARCHIVES = ((1 << 16, 8_000), (1 << 22, 128), (1 << 31, 1))
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -39,40 +43,60 @@ def _record(kind: str, ident: Column, url: Column, date: str, content_type: str,
 
 
 def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write the three records of each page as gzip archives under path.
-
-    Of pages with equal payloads of at least min_revisit_bytes, the one with the largest id is a
-    response and the others are revisits of it. Equality is that of SHA-1 and length; the largest
-    id is a partial aggregate, and only ids and digests are joined, so a payload shared by a third
-    of the pages meets in no task. Null payloads are empty, a null URL is an empty one. Line ends
-    in URLs, which would end the header, become blanks. Pages without an id are left out; repeated
-    rows give records with equal ids, which assemble() makes one capture of.
+    """Write the three records of each row of pages as gzip archives under path.
+
+    Of rows with equal payloads of at least min_revisit_bytes, the one with the largest id (of equal
+    ids the last row) is a response and the others are revisits of it. Equality is that of SHA-1 and
+    length; the largest id is a partial aggregate, and only row numbers and digests are joined, so a
+    payload shared by a third of the pages meets in no task. Rows are numbered in a written copy of
+    the table, which goes when the archives are there; record ids are made of the row's number, so
+    rows with a null or repeated id are captures of their own. Null payloads are empty, a null URL is
+    an empty one. Line ends in URLs, which would end the header, become blanks. Spark's text sink
+    compresses an archive as a whole, not record by record.
     """
-    base = pages.select(F.col(page_id).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "[\\r\\n]", " ").alias("uri"), F.coalesce(F.col(payload), F.lit("")).alias("body")).filter("id is not null")
-    digest = base.select("id", F.sha1(F.col("body").cast("binary")).alias("sha"), F.octet_length("body").alias("n"))
-    original = digest.filter(F.col("n") >= min_revisit_bytes).groupBy("sha", "n").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    revisits = materialize(digest.join(original, ["sha", "n"]).filter("id <> first").select("id", "first").distinct(), "warc-revisits")
-    # The payloads are shuffled only if the revisits (ids, 32 bytes each) are too many to broadcast.
-    revisits = F.broadcast(revisits) if revisits.count() <= MAX_BROADCAST_REVISITS else revisits
-    rows = base.withColumn("sha", F.sha1(F.col("body").cast("binary"))).join(revisits, "id", "left")
-    ident, uri = F.col("id"), F.col("uri")
-
+    spark = pages.sparkSession
+    sha = F.sha1(F.col("body").cast("binary"))
+    base = pages.select(F.col(page_id).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "[\\r\\n]", " ").alias("uri"), F.coalesce(F.col(payload), F.lit("")).alias("body"))
+    with Scratch(spark, "warc-pages") as write:
+        base = write(base.withColumns({"row": F.monotonically_increasing_id(), "sha": sha, "n": F.octet_length("body").cast("long")}), "pages")
+        large = base.filter(F.col("n") >= min_revisit_bytes)
+        original = write(large.groupBy("sha", "n").agg(F.max(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "originals")
+        # Payloads with many copies are few (fewer than 50,000), so their copies stay where they are.
+        many = max(256, (original.agg(F.sum("copies")).first()[0] or 0) // 50_000)
+        digest = large.select("row", "sha", "n")
+        hot = F.broadcast(original.filter(F.col("copies") > many).select("sha", "n", "first"))
+        rest = digest.join(hot.select("sha", "n"), ["sha", "n"], "left_anti").join(original.filter(F.col("copies") <= many).select("sha", "n", "first"), ["sha", "n"])
+        revisits = digest.join(hot, ["sha", "n"]).unionByName(rest).filter(F.col("row") != F.col("first.row")).select("row", "first")
+        revisits = write(revisits, "revisits")
+        # The payloads are shuffled only if the revisits (32 bytes each) are too many to broadcast.
+        revisits = F.broadcast(revisits) if revisits.count() <= MAX_BROADCAST_REVISITS else revisits
+        records = _records(base.join(revisits, "row", "left"), date)
+        least = -1
+        for most, together in ARCHIVES:
+            part = records.filter((F.col("n") > least) & (F.col("n") <= most)).select("value")
+            if least < 0 or base.filter(F.col("n") > least).head(1):
+                part.write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * together).text(path)
+            least = most
+
+
+def _records(rows: DataFrame, date: str) -> DataFrame:
+    """n, value: the three records of rows (row, id, uri, body, sha, n, first)."""
+    ident, uri, first = F.col("row"), F.col("uri"), F.col("first")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("body").cast("string"), F.lit(CRLF * 2))
     digest_line = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha"))
-    page_line = F.concat(F.lit("WARC-Page-Id: "), ident.cast("string"))
+    page_line = F.concat(F.lit("WARC-Page-Id: "), F.col("id").cast("string"))
     concurrent = F.concat(F.lit("WARC-Concurrent-To: "), _urn(ident, "response"))
     response = _record("response", ident, uri, date, "application/http; msgtype=response", F.concat(http, F.col("body")), page_line, digest_line)
     revisit = _record(
         "revisit", ident, uri, date, "application/http; msgtype=response", http, page_line, digest_line, F.lit(f"WARC-Profile: {REVISIT_PROFILE}"),
-        F.concat(F.lit("WARC-Refers-To: "), _urn(F.col("first"), "response")), F.concat(F.lit("WARC-Refers-To-Page: "), F.col("first").cast("string")),
+        F.concat(F.lit("WARC-Refers-To: "), _urn(first["row"], "response")), F.concat(F.lit("WARC-Refers-To-Page: "), first["id"].cast("string")),
     )
     path_part = F.regexp_replace(uri, "^[a-z]+://[^/]*", "")
     host = F.regexp_extract(uri, "^[a-z]+://([^/?#]*)", 1)
     request = _record("request", ident, uri, date, "application/http; msgtype=request", F.concat(F.lit("GET "), path_part, F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF * 2)), concurrent)
     metadata = _record("metadata", ident, uri, date, "application/warc-fields", F.concat(F.lit("payload-bytes: "), F.octet_length("body").cast("string"), F.lit(CRLF)), concurrent)
-    main = F.when(F.col("first").isNull(), response).otherwise(revisit)
-    records = rows.select(F.explode(F.array(request, main, metadata)).alias("value"))
-    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 30_000).text(path)
+    main = F.when(first.isNull(), response).otherwise(revisit)
+    return rows.select("n", F.explode(F.array(request, main, metadata)).alias("value"))
 
 
 def _parse(stream: io.BufferedIOBase):
@@ -96,11 +120,16 @@ def _parse(stream: io.BufferedIOBase):
         yield headers, block
 
 
-RECORDS = "record_id string, concurrent_to string, type string, uri string, date string, content_type string, page_id long, digest string, refers_to string, refers_to_page long, http_headers string, payload binary, declared_bytes long"
+RECORDS = "record_id string, concurrent_to string, type string, uri string, date string, content_type string, page_id long, digest string, refers_to string, refers_to_page long, http_headers string, payload binary, declared_bytes long, payload_sha1 string, intact boolean"
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives under path. A file is parsed by one task, record by record."""
+    """One row per record of the archives under path, all files but those that Spark takes as hidden. A
+    file is parsed by one task, record by record.
+
+    payload_sha1 is that of the payload as read; intact tells whether a response's is the one that its
+    header declares (null for other records, and without such a header).
+    """
 
     def read(batches):
         for batch in batches:
@@ -115,7 +144,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                         http = head.decode("utf-8", "replace")
                         declared = next((int(x.split(":", 1)[1]) for x in http.split("\r\n") if x.lower().startswith("content-length:")), len(payload))
                     number = lambda k: int(h[k]) if h.get(k, "").lstrip("-").isdigit() else None
-                    rows.append((h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), number("warc-page-id"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, h.get("warc-refers-to"), number("warc-refers-to-page"), http, payload, declared))
+                    declared_sha = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    own_sha = hashlib.sha1(payload).hexdigest()
+                    intact = own_sha == declared_sha if declared_sha and h.get("warc-type") == "response" else None
+                    rows.append((h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), number("warc-page-id"), declared_sha, h.get("warc-refers-to"), number("warc-refers-to-page"), http, payload, declared, own_sha, intact))
                     held += len(block)
                     if held > 8_000_000 or len(rows) >= 2_000:
                         yield _batch(rows)
@@ -123,13 +155,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    kinds = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
+    kinds = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
     def _batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(read, RECORDS)
 
 
@@ -143,7 +175,7 @@ def assemble(records: DataFrame) -> DataFrame:
     """
     own = F.col("type").isin("response", "revisit")
     keyed = records.filter("type in ('response', 'revisit', 'request', 'metadata')").withColumn("capture_id", F.when(own, F.col("record_id")).otherwise(F.col("concurrent_to"))).filter("capture_id is not null")
-    body = F.struct("type", "uri", "date", "page_id", "digest", "refers_to", "refers_to_page", "http_headers", "declared_bytes", "payload")
+    body = F.struct("type", "uri", "date", "page_id", "digest", "refers_to", "refers_to_page", "http_headers", "declared_bytes", "payload_sha1", "intact", "payload")
     side = F.struct("record_id", "uri", "date", "http_headers", "payload")
 
     def one(kind: Column, value: Column) -> Column:
