@@ -15,8 +15,9 @@ decide something:
 * length `threshold`: the windows that are left are ranked by the pair of 64-byte ranks at offset
   threshold - 64, sorted, and all but the first of equal rank repeat.
 
-Names are 64-bit mixes of the pair, so equal strings have equal names; that unequal ones do not
-is a matter of probability (n**2 / 2**65 for n strings that reach the last two steps).
+Names are 64-bit mixes of the pair, so equal strings have equal names. What is removed is decided on
+two of them, made of different tables of bytes in the last step and of different lengths in the one
+before: of n strings, unequal ones are taken for equal with a probability of n**2 / 2**129.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .spans import numbered, remove_spans
+from .common import Scratch, materialize, slices
+from .spans import merge_spans, numbered, remove_spans, with_rows
 
 GRAM = 32
 _BYTE = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8, person=b"rank").digest(), "little") for b in range(256)], np.uint64)
+_CHECK = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8, person=b"check").digest(), "little") for b in range(256)], np.uint64)
 _ODD = [np.uint64(int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8, person=b"odd").digest(), "little") | 1) for i in range(3)]
 #: Low bits of a comparison key that hold the position; longer texts are read in overlapping parts.
 POSITION_BITS = 24
@@ -48,9 +50,9 @@ def pair_rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def gram_ranks(raw: np.ndarray) -> np.ndarray:
+def gram_ranks(raw: np.ndarray, names: np.ndarray = _BYTE) -> np.ndarray:
     """Rank at length 32 of every position that has 32 bytes, by doubling from single bytes."""
-    rank, length = _BYTE[raw], 1
+    rank, length = names[raw], 1
     while length < GRAM:
         rank = pair_rank(rank[:-length], rank[length:])
         length *= 2
@@ -96,7 +98,7 @@ def stretches(docs: DataFrame, *, text: str, threshold: int) -> DataFrame:
     part = (1 << POSITION_BITS) - threshold
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2048):
             got: list[list[np.ndarray]] = [[] for _ in range(7)]
             for row, body in zip(batch.column("row_no").to_pylist(), batch.column("text").to_pylist()):
                 raw = np.frombuffer((body or "").encode("utf-8", "surrogatepass"), np.uint8)
@@ -175,10 +177,10 @@ def settle(sorted_rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(run, ROWS)
 
 
-def repeated_spans(docs: DataFrame, *, text: str, threshold: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, text: str, threshold: int, write) -> DataFrame:
     """row_no, spans of the bytes of docs (row_no, text) that a repeated window covers."""
     keyed = stretches(docs, text=text, threshold=threshold).repartition("rank").sortWithinPartitions("rank", "stretch", "row_no", "lo")
-    settled = materialize(settle(keyed), "suffix-settled")
+    settled = write(settle(keyed), "suffix-settled")
     open_ = settled.filter(F.col("kind") == OPEN)
 
     # Length 64: a side goes on if two different stretches of the rank share its name there.
@@ -188,31 +190,39 @@ def repeated_spans(docs: DataFrame, *, text: str, threshold: int) -> DataFrame:
     )).alias("s")).select("rank", "stretch", "row_no", "s.*").filter("a <= b")
     shared = sides.groupBy("rank", "side", "name").agg(F.min("stretch").alias("x"), F.max("stretch").alias("y")).filter("x <> y").select("rank", "side", "name")
     ranges = sides.join(shared, ["rank", "side", "name"], "left_semi").groupBy("row_no").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    ranges = materialize(ranges, "suffix-ranges")
+    ranges = write(ranges, "suffix-ranges")
 
     # Length `threshold`: the windows that are left.
     def windows(batches):
-        for batch in batches:
+        part = 1 << 20  # windows named at a time
+        for batch in slices(batches):
+            got: list[tuple] = []
             for row, body, runs in zip(*[batch.column(c).to_pylist() for c in ("row_no", "text", "ranges")]):
-                ranks = gram_ranks(np.frombuffer(body.encode("utf-8", "surrogatepass"), np.uint8))
-                at = np.concatenate([np.arange(r["a"], r["b"] + 1) for r in runs])
-                yield pa.RecordBatch.from_pydict({"rank": window_ranks(ranks, at, threshold).view(np.int64), "row_no": np.full(len(at), row), "at": at.astype(np.int32)})
-
-    from .spans import with_rows
-
-    ranked = with_rows(docs.select("row_no", F.col(text).alias("text")), ranges).mapInArrow(windows, "rank long, row_no long, at int")
-    ranked = ranked.repartition("rank").sortWithinPartitions("rank", "row_no", "at")
+                raw = np.frombuffer(body.encode("utf-8", "surrogatepass"), np.uint8)
+                for begin, end in merge_spans([(r["a"], r["b"] + 1) for r in runs], len(raw)):
+                    for start in range(begin, end, part):
+                        at = np.arange(min(part, end - start))
+                        names = [window_ranks(gram_ranks(raw[start : start + len(at) + threshold - 1], table), at, threshold).view(np.int64) for table in (_BYTE, _CHECK)]
+                        got.append((*names, np.full(len(at), row), (at + start).astype(np.int32)))
+                if sum(len(g[0]) for g in got) > part:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], names=["rank", "check", "row_no", "at"])
+                    got = []
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], names=["rank", "check", "row_no", "at"])
+
+    ranked = with_rows(docs.select("row_no", F.col(text).alias("text")), ranges).mapInArrow(windows, "rank long, check long, row_no long, at int")
+    ranked = ranked.repartition("rank").sortWithinPartitions("rank", "check", "row_no", "at")
 
     def later(batches):
-        last = None
+        last = (None, None)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rank = batch.column("rank").to_numpy()
+            rank, check = batch.column("rank").to_numpy(), batch.column("check").to_numpy()
             again = np.empty(len(rank), bool)
-            again[1:] = rank[1:] == rank[:-1]
-            again[0] = rank[0] == last
-            last = rank[-1]
+            again[1:] = (rank[1:] == rank[:-1]) & (check[1:] == check[:-1])
+            again[0] = (rank[0], check[0]) == last
+            last = rank[-1], check[-1]
             row, at = (batch.column(c).to_numpy()[again] for c in ("row_no", "at"))
             order = np.lexsort((at, row))
             row, at = row[order], at[order].astype(np.int64)
@@ -240,5 +250,6 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         raise ValueError(f"threshold must be within {2 * GRAM} and {4 * GRAM}")
     docs = docs.drop("row_no", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans")
     docs = numbered(docs, doc_id, "suffix-rows")
-    spans = materialize(repeated_spans(docs, text=text, threshold=threshold), "suffix-spans")
+    with Scratch(docs.sparkSession, "suffix") as write:
+        spans = materialize(repeated_spans(docs, text=text, threshold=threshold, write=write), "suffix-spans")
     return remove_spans(docs, spans, doc_id=doc_id, text=text).drop("row_no")

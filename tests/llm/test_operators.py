@@ -265,6 +265,40 @@ def test_near_duplicates_edges(odd, empty, repeated):
     assert jaccard_join.keep_first(repeated).count() == len({brute_components([(r[0], r[1]) for r in odd_rows()[:9]])[i][1] for i in range(9)}) + 1
 
 
+IDS = {
+    "negative": ("long", [-1, -2, 5, -(2**63), 0, -7]),
+    "huge": ("long", [2**63 - 1, 2**62, 2**61, 2**62 + 1, -(2**62), 3]),
+    "text": ("string", ["b", "a", "ä", "", "10", "9"]),
+    "fractions": ("double", [0.5, -0.5, 1e300, 2.0, -1e300, 0.0]),
+}
+
+
+@pytest.mark.parametrize("kind", IDS)
+def test_ids_of_any_kind(spark, kind):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base = words_of(rng, 60, vocabulary)
+    texts = [base, base.replace(base.split()[30], "other", 1), base, words_of(rng, 60, vocabulary), "zz " + base, None]
+    type_, ids = IDS[kind]
+    rows = list(zip(ids, texts))
+    df = spark.createDataFrame(rows, f"doc_id {type_}, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == brute_components(rows) and len({c for _, c in got.values()}) < 6
+    assert {r.doc_id for r in jaccard_join.keep_first(df).collect()} == {c for _, c in got.values()}
+    for operator, brute in ((chunk_dedup.dedup_chunks, brute_chunks), (suffix_dedup.dedup_substrings, brute_substrings)):
+        found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in operator(df).collect()}
+        assert found == brute(sorted(rows, key=lambda r: r[0].encode() if type_ == "string" else r[0]))
+
+
+def test_one_id_on_many_rows(spark):
+    rows = [(None if i % 2 else 7, "a b c d e f g " * 20 + str(i % 3)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = jaccard_join.near_duplicates(df).collect()
+    assert len(out) == 30 and {r.component_id for r in out} == {None}
+    assert suffix_dedup.dedup_substrings(df).filter("n_removed = 0").count() == 0  # each repeats within itself
+    assert chunk_dedup.dedup_chunks(df).count() == 30
+
+
 def test_allocation_finds_all_partners():
     rng = np.random.default_rng(5)
     for _ in range(300):
@@ -398,9 +432,9 @@ def brute_chunks(rows):
     seen, out = set(), {}
     for i, t in rows:
         raw, spans = (t or "").encode(), []
-        ends = chunk_dedup.chunk_ends(np.frombuffer(raw, np.uint8), 32, 1024).tolist()
+        ends = chunk_dedup.chunk_ends(np.frombuffer(raw, np.uint8), 48, 1024).tolist()
         for a, b in zip([0, *ends], ends):
-            if b - a >= 33:
+            if b - a >= 65 or b - a == len(raw):
                 spans += [(a, b)] if raw[a:b] in seen else []
                 seen.add(raw[a:b])
         out[i] = cut(raw, spans)
@@ -566,7 +600,7 @@ def test_neighbours(spark, sf):
     rows = df.collect()
     truth = brute_neighbours(np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows]), 20, 20)
     got: dict = {}
-    for r in hilbert_ann.nearest_neighbours(df, chunk_rows=32).orderBy("query_id", "rank").collect():
+    for r in hilbert_ann.nearest_neighbours(df).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got.keys() == truth.keys()
     assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in t}) / len(t) for q, t in truth.items()]) >= 0.9
