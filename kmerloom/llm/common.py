@@ -52,6 +52,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return _write(df, fresh_path(df.sparkSession, name))
 
 
+#: Arrow batches of the session are bounded to so many bytes.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch takes in an executor and its Python workers, whatever the length of the
+    texts: by default Spark bounds the rows only. It holds for the session, as operators return
+    DataFrames that are read later; a lower bound that is set already stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 class Scratch:
     """Written tables that one call of an operator needs until its own result is written.
 
@@ -60,6 +74,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark, self.path, self.tables = spark, fresh_path(spark, name), 0
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:

@@ -12,11 +12,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, slices
+from .common import bound_batches, materialize, slices
 
 #: Texts are read in lower case; what is no letter is a blank, and blanks in a row are one.
 BLANK = 0
@@ -223,14 +223,29 @@ def identify(docs: DataFrame, trained: dict, *, doc_id: str = "doc_id", text: st
     any text if there is no model, is `und` with score 0. Equal costs go to the language that
     sorts first. Null ids stay null, repeated rows are predicted each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(trained)
+    judge = _judge(docs.sparkSession, trained, segment, batch_chars)
 
     def run(batches):
+        verdict = judge()
+        for batch in slices(batches, 1024):
+            pred, score = verdict(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), has_letter(F.col(text)).alias("known")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def _judge(spark: SparkSession, trained: dict, segment: int, batch_chars: int):
+    """A function for tasks that gives one from batches (text, known) to languages and scores."""
+    bound_batches(spark)
+    shared = spark.sparkContext.broadcast(trained)
+
+    def judge():
         alphabet, models = Alphabet(shared.value["letters"]), {lang: unpacked(m) for lang, m in shared.value["models"].items()}
         names = list(models)
-        for batch in slices(batches, 1024):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            known = batch.column("known").to_pylist()
+
+        def verdict(batch, text: str = "text", known: str = "known") -> tuple[list, list]:
+            texts = [(t or "") if k and names else "" for t, k in zip(batch.column(text).to_pylist(), batch.column(known).to_pylist())]
             pred, score = [], []
             at = 0
             while at < len(texts):
@@ -238,7 +253,7 @@ def identify(docs: DataFrame, trained: dict, *, doc_id: str = "doc_id", text: st
                 while end < len(texts) and (end == at or size + len(texts[end]) <= batch_chars):
                     size += len(texts[end])
                     end += 1
-                part = [t if k and names else "" for t, k in zip(texts[at:end], known[at:end])]
+                part = texts[at:end]
                 cost = predict(part, alphabet, models, segment) if names else np.zeros((len(part), 0))
                 for t, row in zip(part, cost):
                     if not t:
@@ -249,10 +264,11 @@ def identify(docs: DataFrame, trained: dict, *, doc_id: str = "doc_id", text: st
                     pred.append(names[order[0]])
                     score.append(float(min(max(1 - best / second, 0.0), 1.0)) if second > 0 else 0.0)
                 at = end
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            return pred, score
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), has_letter(F.col(text)).alias("known")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+        return verdict
+
+    return judge
 
 
 def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_chars: int = 60_000, max_docs: int = 200) -> dict:
@@ -274,9 +290,18 @@ def learn_and_identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     return out.select("doc_id.doc_id", "doc_id.held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, trained: dict, *, text: str = "text", min_score: float = 0.0, segment: int = 1024) -> DataFrame:
+def keep_identified(docs: DataFrame, trained: dict, *, text: str = "text", min_score: float = 0.0, segment: int = 1024, batch_chars: int = 2_000_000) -> DataFrame:
     """The rows of docs whose language is known: not `und`, and with a score above min_score. Rows
     travel whole through the prediction, so that nothing is joined back."""
-    rows = docs.select(F.struct(*docs.columns).alias("own"), F.col(text).alias("text"))
-    out = identify(rows, trained, doc_id="own", text="text", segment=segment)
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") > min_score)).select("doc_id.*")
+    judge = _judge(docs.sparkSession, trained, segment, batch_chars)
+    own, known = docs.columns, "_known"
+    while known in own:
+        known += "_"
+
+    def run(batches):
+        verdict = judge()
+        for batch in slices(batches, 1024):
+            pred, score = verdict(batch, text, known)
+            yield batch.select(own).filter(pa.array([p != "und" and s > min_score for p, s in zip(pred, score)], pa.bool_()))
+
+    return docs.withColumn(known, has_letter(F.col(text))).mapInArrow(run, docs.schema)

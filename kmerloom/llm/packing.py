@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, slices
+from .common import bound_batches, materialize, slices
 
 
 def solve(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -246,6 +246,7 @@ def pack(
     repeated rows are packed as often as they come, an empty table gives no rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     # A number for each row, fixed by the written copy, tells equal rows apart.
     pieces = tokenize_pieces(docs, doc_id=doc_id, text=text, tokenizer_path=tokenizer_path, capacity=capacity, end_id=end_id)
     pieces = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")

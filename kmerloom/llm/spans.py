@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import bound_batches, materialize
 
 
 def merge_spans(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -54,6 +54,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, *, doc_id: str, text: str) -
     spans: a written table row_no, spans array<struct<a, b>> for the documents that lose something,
     where docs has a unique row_no. kept_text leaves out the bytes of characters that a cut splits.
     """
+    bound_batches(docs.sparkSession)
     added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     whole = without_rows(docs, spans)
     body = F.coalesce(F.col(text), F.lit(""))

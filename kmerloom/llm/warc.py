@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bound_batches
 
 CRLF = "\r\n"
 MAX_BROADCAST_REVISITS = 1_000_000
@@ -131,6 +131,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     header declares (null for other records, and without such a header).
     """
 
+    bound_batches(spark)
+
     def read(batches):
         for batch in batches:
             for content in batch.column("content").to_pylist():
