@@ -29,7 +29,7 @@ def classify(
     text: str = "text",
     lang: str = "lang",
     trusted: str = "quality = 1",
-    order: int = 5,
+    order: int = 4,
     quantile: float = 0.98,
 ) -> DataFrame:
     """doc_id, lang, trusted, perplexity, limit, kept for every document with a long id.
