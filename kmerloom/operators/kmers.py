@@ -14,30 +14,58 @@ from ..functions import seq as S
 COUNT_LIMIT = 65_535
 
 
-def kmers_with_exts(sequences: DataFrame, k: int, *, keep: tuple[str, ...] = ("label",)) -> DataFrame:
-    """kmer, exts and the kept columns of every k-mer of sequences (seq, exts).
-
-    Interior k-mers have the bases next to them, the first and the last one take the outer side
-    from the sequence's own exts. Sequences shorter than k give nothing.
-    """
-    s, own = F.col("seq"), F.col("exts")
-    last = F.length(s) - (k - 1)
+#: K-mers of a piece of a sequence. Pieces spread long sequences over tasks.
+PIECE = 2048
 
-    def at(i: Column) -> Column:
-        left = F.when(i == 1, own.bitwiseAND(F.lit(15))).otherwise(E.bit(F.substring(s, i - 1, F.lit(1)), False))
-        right = F.when(i == last, own.bitwiseAND(F.lit(240))).otherwise(E.bit(F.substring(s, i + k, F.lit(1)), True))
-        return F.struct(F.substring(s, i, F.lit(k)).alias("kmer"), left.bitwiseOR(right).alias("exts"))
 
-    long_enough = sequences.filter(F.length(s) >= k)
-    rows = long_enough.select(*keep, F.explode(F.transform(F.sequence(F.lit(1), last), at)).alias("o"))
-    return rows.select("o.kmer", "o.exts", *keep)
+def pieces(sequences: DataFrame, k: int, keep: tuple[str, ...]) -> DataFrame:
+    """Overlapping parts of sequences (seq, exts) with at most PIECE k-mers each, spread evenly over the
+    tasks: _p, the part with the base before and after it where the sequence has one; _left, whether
+    it has one before; _n, its number of k-mers; exts, the sequence's own at its outer sides."""
+    s, own = F.col("seq"), F.col("exts")
+    n = F.length(s) - (k - 1)
+    cut = sequences.filter(F.length(s) >= k).select(*keep, "exts", "seq", F.explode(F.sequence(F.lit(0), n - 1, F.lit(PIECE))).alias("_at"))
+    left, here = F.col("_at") > 0, F.least(F.lit(PIECE), n - F.col("_at"))
+    right = F.col("_at") + here < n
+    part = F.substring(s, F.greatest(F.col("_at"), F.lit(1)), here + (k - 1) + left.cast("int") + right.cast("int"))
+    outer = F.when(left, 0).otherwise(own.bitwiseAND(F.lit(15))).bitwiseOR(F.when(right, 0).otherwise(own.bitwiseAND(F.lit(240))))
+    spark = sequences.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return cut.select(*keep, part.alias("_p"), left.alias("_left"), here.alias("_n"), outer.alias("exts")).repartition(tasks)
+
+
+def _bit(base: Column, right: bool) -> Column:
+    """E.bit of one base as a byte."""
+    shift = 4 if right else 0
+    out = F.lit(0)
+    for i, b in enumerate(S.BASES):
+        out = F.when(base == F.lit(b.encode()), F.lit(1 << (i + shift))).otherwise(out)
+    return out
+
+
+def kmers_with_exts(sequences: DataFrame, k: int, *, keep: tuple[str, ...] = ("label",), canonical: bool = False, packed: bool = False) -> DataFrame:
+    """kmer, exts and the kept columns of every k-mer of sequences (seq, exts).
 
+    Interior k-mers have the bases next to them, the first and the last one take the outer side
+    from the sequence's own exts. Sequences shorter than k give nothing. With canonical, k-mers are
+    in canonical form and their exts in that frame; packed leaves them as BINARY, one byte a base.
 
-def canonical_observations(obs: DataFrame) -> DataFrame:
-    """Observations with the k-mer in canonical form and its exts in that frame."""
-    turned = obs.withColumn("_rc", S.rc("kmer"))
-    flip = F.col("kmer") >= F.col("_rc")
-    return turned.withColumn("exts", F.when(flip, E.rc("exts")).otherwise(F.col("exts"))).withColumn("kmer", F.least("kmer", "_rc")).drop("_rc")
+    Only positions are exploded. K-mers are cut from bytes, which takes no walk along the string, and
+    their reverse complements from that of the whole piece.
+    """
+    rows = pieces(sequences, k, keep).withColumn("_r", S.rc("_p").cast("binary")).withColumn("_p", F.col("_p").cast("binary"))
+    rows = rows.select("*", F.length("_p").alias("_len"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
+    begin = F.col("_i") + F.col("_left").cast("int")  # from 1, within _p
+    rows = rows.withColumn("_b", begin)
+    cut = lambda text, at, size: F.substring(text, at, F.lit(size))
+    left = F.when(F.col("_b") > 1, _bit(cut("_p", F.col("_b") - 1, 1), False)).otherwise(F.col("exts").bitwiseAND(F.lit(15)))
+    right = F.when(F.col("_b") + k <= F.col("_len"), _bit(cut("_p", F.col("_b") + k, 1), True)).otherwise(F.col("exts").bitwiseAND(F.lit(240)))
+    rows = rows.select(*keep, cut("_p", F.col("_b"), k).alias("kmer"), *([cut("_r", F.col("_len") - F.col("_b") - (k - 2), k).alias("_rc")] if canonical else []), left.bitwiseOR(right).alias("exts"))
+    if canonical:
+        flip = F.col("kmer") >= F.col("_rc")
+        rows = rows.select(*keep, F.when(flip, F.col("_rc")).otherwise(F.col("kmer")).alias("kmer"), F.when(flip, E.rc("exts")).otherwise(F.col("exts")).alias("exts"))
+    kmer = F.col("kmer") if packed else F.col("kmer").cast("string")
+    return rows.select(kmer.alias("kmer"), "exts", *keep)
 
 
 @dataclass(frozen=True)
@@ -49,6 +77,9 @@ class Summarizer:
 
     aggregates: dict[str, Column]
     valid: Column
+    #: Columns of the observations that are added up first: `aggregates` then see one row for each of
+    #: their values, with the number of its observations as `n`.
+    within: tuple[str, ...] = ()
 
     def columns(self) -> list[Column]:
         return [c.alias(name) for name, c in self.aggregates.items()]
@@ -62,19 +93,30 @@ def count_filter(min_obs: int) -> Summarizer:
 
 def label_filter(min_obs: int, label: str = "label") -> Summarizer:
     """The sorted distinct labels; valid from min_obs observations on."""
-    return Summarizer({"data": F.array_sort(F.collect_set(label))}, F.col("n") >= min_obs)
+    return Summarizer({"data": F.array_sort(F.collect_set(label))}, F.col("n") >= min_obs, (label,))
 
 
 def filter_kmers(sequences: DataFrame, k: int, summarizer: Summarizer, *, stranded: bool = False, report_all: bool = False):
     """kmer, exts, n, data of the valid k-mers; with report_all also the table of all k-mers.
 
-    One shuffle: partial aggregation runs before it, in whole-stage codegen.
+    One shuffle of observations, after partial aggregation in generated code. A summarizer with
+    columns `within` (labels) takes a second one, of the sums by those columns.
     """
-    obs = kmers_with_exts(sequences, k)
-    obs = obs if stranded else canonical_observations(obs)
-    table = obs.groupBy("kmer").agg(F.bit_or("exts").alias("exts"), F.count(F.lit(1)).alias("n"), *summarizer.columns())
-    valid = table.filter(summarizer.valid)
-    return (valid, table.select("kmer")) if report_all else valid
+    obs = kmers_with_exts(sequences, k, canonical=not stranded, packed=True)
+    table = summarize(obs, ("kmer",), summarizer)
+    text = F.col("kmer").cast("string").alias("kmer")
+    rest = [c for c in table.columns if c != "kmer"]
+    valid = table.filter(summarizer.valid).select(text, *rest)
+    return (valid, table.select(text)) if report_all else valid
+
+
+def summarize(obs: DataFrame, by: tuple[str, ...], summarizer: Summarizer) -> DataFrame:
+    """by, exts, n and the summary of observations (by, exts, ...)."""
+    ones = F.count(F.lit(1)).alias("n")
+    if summarizer.within:
+        obs = obs.groupBy(*by, *summarizer.within).agg(F.bit_or("exts").alias("exts"), ones)
+        ones = F.sum("n").alias("n")
+    return obs.groupBy(*by).agg(F.bit_or("exts").alias("exts"), ones, *summarizer.columns())
 
 
 def kmer_total(sequences: DataFrame, k: int) -> DataFrame:

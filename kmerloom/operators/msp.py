@@ -114,9 +114,9 @@ def msp_sequence(sequences: DataFrame, k: int, p: int, *, permutation: list[int]
 def kmer_buckets(sequences: DataFrame, k: int, p: int, *, rc: bool = True) -> DataFrame:
     """seq_id, pos, kmer, bucket of every k-mer under the identity permutation, without a walk:
     equally scored p-mers share a bucket, so the bucket is a minimum over the k-mer's p-mers."""
-    place = F.sequence(F.lit(1), F.length("seq") - (k - 1))
-    rows = sequences.filter(F.length("seq") >= k).select("seq_id", F.posexplode(F.transform(place, lambda i: F.substring("seq", i, F.lit(k)))).alias("pos", "kmer"))
-    if rc:
-        return rows.withColumn("bucket", F.array_min(F.transform(S.kmers("kmer", p), lambda m: S.rank(S.canonical(m)))))
-    least = F.array_min(S.kmers("kmer", p))
-    return rows.withColumn("bucket", bucket(least))
+    pmers = F.transform(S.kmers("seq", p), S.canonical) if rc else S.kmers("seq", p)
+    # The p-mers are listed once for a sequence; what is exploded are places only.
+    rows = sequences.filter(F.length("seq") >= k).select("seq_id", "seq", pmers.alias("_m"))
+    rows = rows.select("seq_id", "seq", "_m", F.explode(F.sequence(F.lit(1), F.length("seq") - (k - 1))).alias("_i"))
+    least = F.array_min(F.slice("_m", F.col("_i"), k - p + 1))
+    return rows.select("seq_id", (F.col("_i") - 1).alias("pos"), F.substring("seq", F.col("_i"), F.lit(k)).alias("kmer"), (S.rank(least) if rc else bucket(least)).alias("bucket"))

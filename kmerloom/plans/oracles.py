@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import AS_DNA, HEX, K, MIN_OBS
+from .queries import AS_DNA, HEX, K, MIN_OBS, SOLID
 
 
 def rc(s: str) -> str:
@@ -42,15 +42,15 @@ def observations(k: int, *, source: str = "doc", stranded: bool = False) -> str:
            | CASE WHEN i + {k} <= length(seq) THEN {ext_bit(f'substr(seq, i + {k}, 1)', 'true')} ELSE 0 END AS exts
       FROM (SELECT label, seq, CAST(unnest(range(1, length(seq) - {k} + 2)) AS INTEGER) AS i FROM {source} WHERE length(seq) >= {k}))"""
     if stranded:
-        return raw + ", obs AS (SELECT * FROM raw)"
-    return raw + f""", obs AS (
+        return raw + ", obs AS MATERIALIZED (SELECT * FROM raw)"
+    return raw + f""", obs AS MATERIALIZED (
       SELECT label, least(kmer, {rc('kmer')}) AS kmer, CASE WHEN kmer >= {rc('kmer')} THEN {rc_exts('exts')} ELSE exts END AS exts FROM raw)"""
 
 
 def counted(k: int, min_obs: int, *, source: str = "doc", stranded: bool = False, colors: bool = False) -> str:
     """CTEs ending in km(kmer, exts, n, data)."""
     data = "string_agg(DISTINCT label, ',' ORDER BY label)" if colors else "least(count(*), 65535)"
-    return observations(k, source=source, stranded=stranded) + f""", km AS (
+    return observations(k, source=source, stranded=stranded) + f""", km AS MATERIALIZED (
       SELECT kmer, CAST(bit_or(exts) AS INTEGER) AS exts, count(*) AS n, {data} AS data FROM obs GROUP BY kmer HAVING count(*) >= {min_obs})"""
 
 
@@ -61,7 +61,12 @@ def targets(table: str) -> str:
     """CTEs ending in tg(kmer, bit, target) of the set bits of a table km-like."""
     step = "CASE WHEN side = 'R' THEN substr(kmer, 2) || base ELSE base || substr(kmer, 1, length(kmer) - 1) END"
     return BITS + f""", steps AS (SELECT kmer, bit, {step} AS step FROM {table}, bits WHERE (exts & bit) <> 0),
-      tg AS (SELECT kmer, bit, least(step, {rc('step')}) AS target FROM steps)"""
+      tg AS MATERIALIZED (SELECT kmer, bit, least(step, {rc('step')}) AS target FROM steps)"""
+
+
+def repaired(table: str, condition: str = "true", joined: str = "km") -> str:
+    """kmer, exts of a table, with the bits of tg whose target is in `joined` (a hash join), if condition."""
+    return f"SELECT k.kmer, CAST(coalesce(b.e, 0) AS INTEGER) AS exts FROM {table} k LEFT JOIN (SELECT t.kmer, bit_or(t.bit) AS e FROM tg t LEFT JOIN {joined} j ON j.kmer = t.target WHERE {condition} GROUP BY t.kmer) b ON b.kmer = k.kmer"
 
 
 def unitig_ctes(k: int, *, table: str = "km", equal_data: bool = False, join_data: str = "least(sum(data), 65535)") -> str:
@@ -106,9 +111,74 @@ def graph_ctes(k: int = K, min_obs: int = MIN_OBS) -> str:
     )
 
 
+#: The documents' graph without its tips, not yet compressed again: edges ke, nodes kd.
+CLEANED = f"""tp AS (SELECT node_id FROM (SELECT node_id, length(seq) AS n, bit_count(CAST(exts & 15 AS INTEGER)) AS nl, bit_count(CAST((exts >> 4) & 15 AS INTEGER)) AS nr FROM nd) WHERE n < {2 * K} AND ((nl = 0 AND nr <= 1) OR (nr = 0 AND nl <= 1))),
+    kn AS (SELECT nd.* FROM nd LEFT JOIN tp USING (node_id) WHERE tp.node_id IS NULL),
+    ke AS (SELECT ed.* FROM ed JOIN kn a ON a.node_id = ed.src JOIN kn b ON b.node_id = ed.dst),
+    kx AS (SELECT src, bit_or(bit) AS e FROM ke JOIN bits ON bits.base = ke.base AND bits.side = ke.src_dir GROUP BY src),
+    kd AS (SELECT node_id, seq, CAST(coalesce(e, 0) AS INTEGER) AS exts, data FROM kn LEFT JOIN kx ON src = node_id)"""
+
+
+def other(side: str) -> str:
+    return f"(CASE WHEN {side} = 'L' THEN 'R' ELSE 'L' END)"
+
+
+def max_path_ctes(k: int) -> str:
+    """CTEs ending in mp(pos, node_id, dir)."""
+    return graph_ctes(k) + f""",
+    sc AS (SELECT node_id, CAST(CASE WHEN (exts & 15) > 0 AND (exts & 240) > 0 THEN length(seq) ELSE 0.5 END AS FLOAT) AS score, data > {SOLID} AS solid FROM nd),
+    best AS (SELECT node_id FROM sc ORDER BY score DESC, node_id LIMIT 1),
+    ah AS (SELECT src, src_dir, dst, dst_side, score, sum(CAST(solid AS INTEGER)) OVER (PARTITION BY src, src_dir) AS solids, row_number() OVER (PARTITION BY src, src_dir ORDER BY score DESC, base, dst, dst_side) AS rn FROM ed JOIN sc ON sc.node_id = ed.dst),
+    go AS MATERIALIZED (SELECT src AS node, {other('src_dir')} AS side, dst, dst_side FROM ah WHERE rn = 1 AND solids <= 1 AND score > 0),
+    rt AS (SELECT node_id AS node, 'L' AS side, 0 AS pos, [node_id] AS seen FROM best
+           UNION ALL SELECT go.dst, go.dst_side, rt.pos + 1, list_append(rt.seen, go.dst) FROM rt JOIN go ON go.node = rt.node AND go.side = rt.side WHERE NOT list_contains(rt.seen, go.dst)),
+    us AS MATERIALIZED (SELECT list(node) AS used FROM rt),
+    lf AS (SELECT node_id AS node, 'R' AS side, 0 AS pos, [node_id] AS seen FROM best
+           UNION ALL SELECT go.dst, go.dst_side, lf.pos + 1, list_append(lf.seen, go.dst) FROM us, lf JOIN go ON go.node = lf.node AND go.side = lf.side WHERE NOT list_contains(lf.seen, go.dst) AND NOT list_contains(us.used, go.dst)),
+    mp AS (SELECT CAST(pos + (SELECT max(pos) FROM lf) AS BIGINT) AS pos, node AS node_id, side AS dir FROM rt UNION ALL SELECT CAST((SELECT max(pos) FROM lf) - pos AS BIGINT), node, {other('side')} FROM lf WHERE pos > 0)"""
+
+
+def beam_path_ctes(beam: int) -> str:
+    """CTEs ending in bm(it, path, score, status, o1), of which the rows of the last `it` count."""
+    grown = f"""SELECT list_append(b.path, {{'node_id': st.dst, 'dir': st.dst_side}}), CAST(b.score + st.gain AS FLOAT), CASE WHEN len(list_filter(b.path, lambda x: x.node_id = st.dst)) > 0 THEN 'cycle' WHEN st.goes_on THEN 'active' ELSE 'end' END, b.o1, ascii(st.base)
+             FROM bm b JOIN sp st ON st.src = b.path[-1].node_id AND st.src_dir = {other('b.path[-1].dir')} WHERE b.status = 'active'"""
+    return graph_ctes() + f""",
+    sp AS MATERIALIZED (SELECT e.src, e.src_dir, e.base, e.dst, e.dst_side, CAST(n.data AS FLOAT) AS gain, EXISTS (SELECT 1 FROM ed f WHERE f.src = e.dst AND f.src_dir = {other('e.dst_side')}) AS goes_on FROM ed e JOIN nd n ON n.node_id = e.dst),
+    ends0 AS (SELECT *, exts & 15 AS l, exts & 240 AS r FROM nd),
+    starts AS (SELECT * FROM ends0 WHERE l = 0 OR r = 0 UNION ALL (SELECT * FROM ends0 WHERE NOT EXISTS (SELECT 1 FROM ends0 WHERE l = 0 OR r = 0) ORDER BY node_id LIMIT 1)),
+    bm AS (SELECT 0 AS it, [{{'node_id': node_id, 'dir': CASE WHEN l > 0 AND r = 0 THEN 'R' ELSE 'L' END}}] AS path, CAST(data AS FLOAT) AS score, CASE WHEN l = 0 AND r = 0 THEN 'end' ELSE 'active' END AS status, CAST(node_id AS BIGINT) AS o1 FROM starts
+           UNION ALL
+           SELECT it, path, score, status, rn FROM (
+             SELECT (SELECT max(it) FROM bm) + 1 AS it, *, row_number() OVER (ORDER BY score DESC, o1, o2) AS rn FROM (
+               SELECT path, score, status, o1, 0 AS o2 FROM bm WHERE status <> 'active' UNION ALL {grown}) WHERE EXISTS (SELECT 1 FROM bm WHERE status = 'active')) WHERE rn <= {beam})"""
+
+
+def msp_segment_sql(k: int, p: int) -> str:
+    """The segments of DOC: where a walk goes from a p-mer depends on that p-mer alone. It is left for the
+    first lesser one of the k - p that follow; else, once out of the window, for the last least of the next."""
+    w = k - p + 1
+    return f"""WITH RECURSIVE {DOC}, long_ AS (SELECT * FROM doc WHERE length(seq) >= {k}),
+    pm AS (SELECT seq_id, CAST(i - 1 AS INTEGER) AS ps, length(seq) AS n, substr(seq, CAST(i AS INTEGER), {p}) AS m FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - {p} + 2)) AS i FROM long_)),
+    sc AS (SELECT seq_id, ps, n, least(m, {rc('m')}) AS s FROM pm),
+    ahead AS (SELECT seq_id, ps, n, s, list(s) OVER (PARTITION BY seq_id ORDER BY ps ROWS BETWEEN 1 FOLLOWING AND {w} FOLLOWING) AS l FROM sc),
+    look AS (SELECT seq_id, ps, n, list_position(list_transform(l[1:{w - 1}], lambda x: x < s), true) AS less, {w} + 1 - list_position(list_reverse(l), list_min(l)) AS last_least, len(l) AS have FROM ahead),
+    nxt AS MATERIALIZED (SELECT seq_id, ps, CASE WHEN less > 0 THEN ps + less WHEN have = {w} THEN ps + last_least END AS too, CASE WHEN less > 0 THEN ps + less - {w - 1} WHEN have = {w} THEN ps + 1 END AS f FROM look WHERE less > 0 OR have = {w}),
+    open_ AS (SELECT seq_id, arg_min(ps, (s, -ps)) AS ps FROM sc WHERE ps < {w} GROUP BY seq_id),
+    walk AS (SELECT seq_id, 0 AS seg_no, 0 AS start, ps FROM open_
+             UNION ALL SELECT w.seq_id, w.seg_no + 1, x.f, x.too FROM walk w JOIN nxt x ON x.seq_id = w.seq_id AND x.ps = w.ps),
+    seg AS (SELECT seq_id, seg_no, start, ps, lead(start) OVER (PARTITION BY seq_id ORDER BY seg_no) + {k - 1} AS nx FROM walk),
+    cut AS (SELECT d.seq_id, seg_no, ps, start, coalesce(nx, length(d.seq)) - start AS len, d.seq, substr(d.seq, ps + 1, {p}) AS m FROM seg JOIN doc d USING (seq_id))
+    SELECT seq_id, CAST(seg_no AS INTEGER) AS seg_no, CAST({rank(f"least(m, {rc('m')})", p)} AS BIGINT) AS bucket, m AS minimizer, CAST(ps AS INTEGER) AS minimizer_pos, CAST(start AS INTEGER) AS start, CAST(len AS INTEGER) AS len,
+           CAST(CASE WHEN start > 0 THEN {ext_bit('substr(seq, start, 1)', 'false')} ELSE 0 END | CASE WHEN start + len < length(seq) THEN {ext_bit('substr(seq, start + len + 1, 1)', 'true')} ELSE 0 END AS INTEGER) AS exts, substr(seq, start + 1, len) AS seq FROM cut"""
+
+
 UNI = "SELECT seq, CAST(length(seq) AS BIGINT) AS len, CAST(exts AS INTEGER) AS exts, CAST(members AS BIGINT) AS members, CAST(data AS BIGINT) AS data FROM uni"
 
 
+def _shard(kmer: str) -> str:
+    return f"(substr({kmer}, 1, 1) || translate(substr({kmer}, 2, 1), 'CT', 'AG'))"
+
+
 def _rank_dna(k: int) -> str:
     return rank("seq", k)
 
@@ -148,10 +218,10 @@ def oracle_sql() -> dict[str, str]:
         "dna_only_split": "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, upper(runs[i]) AS run FROM (SELECT doc_id, runs, unnest(range(1, len(runs) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[ACGTacgt]+') AS runs FROM documents))",
         "codes_roundtrip": key + "SELECT id, translate(seq, 'ACGT', '0123') AS codes, seq AS back FROM key",
         "push_packed": key + "SELECT id, " + " || ',' || ".join("CAST(" + " + ".join(f"{code(f'substr(seq, {4 * g + j + 1}, 1)')} * {4**j}" for j in range(4)) + " AS VARCHAR)" for g in range(8)) + " AS bytes, substr(seq, 1, 30) AS first30 FROM key",
-        "exts_censored": f"{km}, {targets('km')} SELECT k.kmer, CAST(coalesce(b.e, 0) AS INTEGER) AS exts FROM km k LEFT JOIN (SELECT kmer, bit_or(bit) AS e FROM tg WHERE target IN (SELECT kmer FROM km) GROUP BY kmer) b ON b.kmer = k.kmer",
-        "exts_censored_sharded": f"{km}, sh AS (SELECT * FROM km WHERE substr(kmer, 1, 2) IN ('AA', 'AC')), dropped AS (SELECT DISTINCT kmer FROM obs WHERE substr(kmer, 1, 2) IN ('AA', 'AC') AND kmer NOT IN (SELECT kmer FROM sh)), {targets('sh')} SELECT k.kmer, CAST(coalesce(b.e, 0) AS INTEGER) AS exts FROM sh k LEFT JOIN (SELECT kmer, bit_or(bit) AS e FROM tg WHERE target NOT IN (SELECT kmer FROM dropped) GROUP BY kmer) b ON b.kmer = k.kmer",
-        "exts_censored_all_shards": f"{km}, dropped AS (SELECT DISTINCT kmer FROM obs WHERE kmer NOT IN (SELECT kmer FROM km)), {targets('km')} SELECT k.kmer, CAST(coalesce(b.e, 0) AS INTEGER) AS exts FROM km k LEFT JOIN (SELECT kmer, bit_or(bit) AS e FROM tg WHERE substr(kmer, 1, 1) || translate(substr(kmer, 2, 1), 'CT', 'AG') <> substr(target, 1, 1) || translate(substr(target, 2, 1), 'CT', 'AG') OR target NOT IN (SELECT kmer FROM dropped) GROUP BY kmer) b ON b.kmer = k.kmer",
-        "exts_from_set": f"{km}, allx AS (SELECT kmer, 255 AS exts FROM km), {targets('allx')} SELECT k.kmer, CAST(coalesce(b.e, 0) AS INTEGER) AS exts FROM km k LEFT JOIN (SELECT kmer, bit_or(bit) AS e FROM tg WHERE target IN (SELECT kmer FROM km) GROUP BY kmer) b ON b.kmer = k.kmer",
+        "exts_censored": f"{km}, {targets('km')} {repaired('km', 'j.kmer IS NOT NULL')}",
+        "exts_censored_sharded": f"{km}, dropped AS MATERIALIZED (SELECT kmer FROM obs GROUP BY kmer HAVING count(*) < {MIN_OBS}), {targets('km')} {repaired('km', 'j.kmer IS NULL OR substr(t.kmer, 1, 2) <> substr(t.target, 1, 2)', 'dropped')}",
+        "exts_censored_all_shards": f"{km}, dropped AS MATERIALIZED (SELECT kmer FROM obs GROUP BY kmer HAVING count(*) < {MIN_OBS}), {targets('km')} {repaired('km', f'j.kmer IS NULL OR {_shard('t.kmer')} <> {_shard('t.target')}', 'dropped')}",
+        "exts_from_set": f"{km}, allx AS (SELECT kmer, 255 AS exts FROM km), {targets('allx')} {repaired('km', 'j.kmer IS NOT NULL')}",
         "msp_bucket": key
         + f", pm AS (SELECT id, j, CAST({rank('c', 6)} AS BIGINT) AS r FROM (SELECT id, j, least(p, {rc('p')}) AS c FROM (SELECT id, j, substr(seq, j, 6) AS p FROM (SELECT id, seq, CAST(unnest(range(1, 28)) AS INTEGER) AS j FROM key)))), win AS (SELECT id, j, min(r) OVER (PARTITION BY id ORDER BY j ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS bucket FROM pm) SELECT id AS seq_id, CAST(j - 1 AS BIGINT) AS pos, bucket FROM win WHERE j <= 13",
         "msp_kmer_cover": f"{km} SELECT kmer, exts, n FROM km",
@@ -159,10 +229,14 @@ def oracle_sql() -> dict[str, str]:
         "unitigs_keys": f"WITH RECURSIVE {KEY}, src AS (SELECT seq, '' AS label FROM key), {counted(24, 1, source='src')}, {unitig_ctes(24)} {UNI}",
         "unitigs_colored": f"WITH RECURSIVE {DOC}, {counted(K, MIN_OBS, colors=True)}, {unitig_ctes(K, equal_data=True)} SELECT seq, CAST(exts AS INTEGER) AS exts, CAST(members AS BIGINT) AS members, data AS colors FROM uni",
         "graph_edges": graph + "SELECT * FROM ed",
-        "graph_is_compressed": "SELECT CAST(0 AS BIGINT) AS pairs",
+        "graph_is_compressed": graph + f", {CLEANED}, lone AS (SELECT src, src_dir FROM ke GROUP BY src, src_dir HAVING count(*) = 1) SELECT count(*) AS before, CAST(0 AS BIGINT) AS pairs FROM ke JOIN lone a ON a.src = ke.src AND a.src_dir = ke.src_dir JOIN lone b ON b.src = ke.dst AND b.src_dir = ke.dst_side WHERE ke.src <> ke.dst",
+        "msp_segments": msp_segment_sql(K, 8),
+        "max_path": f"WITH RECURSIVE {max_path_ctes(20)} SELECT pos, node_id, dir FROM mp",
+        "path_sequence": f"WITH RECURSIVE {max_path_ctes(20)} SELECT string_agg(CASE WHEN pos = 0 THEN own ELSE substr(own, 20) END, '' ORDER BY pos) AS seq FROM (SELECT pos, CASE WHEN dir = 'R' THEN {rc('seq')} ELSE seq END AS own FROM mp JOIN nd USING (node_id))",
+        "beam_path": f"WITH RECURSIVE {beam_path_ctes(4)}, top AS (SELECT path FROM bm WHERE it = (SELECT max(it) FROM bm) ORDER BY score DESC, o1 LIMIT 1) SELECT CAST(i - 1 AS BIGINT) AS pos, path[i].node_id AS node_id, path[i].dir AS dir FROM (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM top)",
         "graph_combine": graph + "SELECT node_id, seq, exts FROM nd",
         "graph_fix_exts": graph + "SELECT n.node_id, CAST(coalesce(b.e, 0) AS INTEGER) AS exts FROM nd n LEFT JOIN (SELECT ed.src, bit_or(bit) AS e FROM ed JOIN bits ON bits.base = ed.base AND bits.side = ed.src_dir WHERE dst % 2 = 0 GROUP BY ed.src) b ON b.src = n.node_id",
-        "graph_find_link": graph + "SELECT e.node_id AS src, CASE WHEN e.side = 'L' THEN 'R' ELSE 'L' END AS dir, e.kmer, e.node_id AS dst, e.side AS dst_side, false AS rc FROM ends e",
+        "graph_find_link": graph + f", pq AS (SELECT node_id AS src, {other('side')} AS dir, kmer FROM ends UNION SELECT node_id, side, CASE WHEN side = 'R' THEN right(seq, {K - 1}) || base ELSE base || substr(seq, 1, {K - 1}) END FROM nd, bits WHERE (exts & bit) <> 0), fh AS (SELECT p.*, 0 AS try, e.node_id AS dst, e.side AS dst_side FROM pq p JOIN ends e ON e.kmer = p.kmer AND e.side = {other('p.dir')} UNION ALL SELECT p.*, 1, e.node_id, e.side FROM pq p JOIN ends e ON e.kmer = {rc('p.kmer')} AND e.side = p.dir) SELECT src, dir, kmer, dst, dst_side, try = 1 AS rc FROM (SELECT *, row_number() OVER (PARTITION BY src, dir, kmer ORDER BY try, dst, dst_side) AS rn FROM fh) WHERE rn = 1",
         "node_kmers": graph + f"SELECT node_id, CAST(i - 1 AS BIGINT) AS pos, substr(seq, CAST(i AS INTEGER), {K}) AS kmer FROM (SELECT node_id, seq, unnest(range(1, length(seq) - {K} + 2)) AS i FROM nd)",
         "node_degree": graph + f"SELECT node_id, CAST({bits(nib('exts', False))} AS INTEGER) AS nl, CAST({bits(nib('exts', True))} AS INTEGER) AS nr FROM nd",
         "tips": graph + f"SELECT node_id FROM (SELECT node_id, length(seq) AS n, {bits(nib('exts', False))} AS nl, {bits(nib('exts', True))} AS nr FROM nd) WHERE n < {2 * K} AND ((nl = 0 AND nr <= 1) OR (nr = 0 AND nl <= 1))",
@@ -171,6 +245,14 @@ def oracle_sql() -> dict[str, str]:
         "json_nodes": graph + "SELECT node_id, concat('{\"id\":\"', node_id, '\",\"L\":', length(seq), ',\"D\":', data, ',\"Se\":\"', seq, '\"}') AS line FROM nd",
         "json_links": graph + "SELECT src AS node_id, concat('{\"source\":\"', src, '\",\"target\":\"', dst, '\",\"D\":\"', dst_side, '\"}') AS line FROM ed WHERE src_dir = 'R'",
     }
+    node, link = out["json_nodes"].removeprefix(graph), out["json_links"].removeprefix(graph)
+    out["json_document"] = graph + f", jn AS ({node}), jl AS ({link}) SELECT CAST(1 AS INTEGER) AS part, node_id, CASE WHEN row_number() OVER (ORDER BY node_id) > 1 THEN ',' ELSE '' END || line AS line FROM jn UNION ALL SELECT 3, node_id, CASE WHEN row_number() OVER (ORDER BY node_id, line) > 1 THEN ',' ELSE '' END || line FROM jl UNION ALL SELECT 0, 0, '{{\"nodes\":[' UNION ALL SELECT 2, 0, '],\"links\":[' UNION ALL SELECT 4, 0, ']}}'"
+    # K-mers of the nodes that stay; a node's first one carries its data, and 2**32 to count nodes by.
+    place = f"SELECT node_id, substr(seq, CAST(i AS INTEGER), {K}) AS w, CASE WHEN i > 1 THEN {ext_bit('substr(seq, CAST(i AS INTEGER) - 1, 1)', 'false')} ELSE exts & 15 END | CASE WHEN i + {K} <= length(seq) THEN {ext_bit(f'substr(seq, CAST(i AS INTEGER) + {K}, 1)', 'true')} ELSE exts & 240 END AS x, CASE WHEN i = 1 THEN CAST(data AS BIGINT) + 4294967296 ELSE 0 END AS data FROM (SELECT *, unnest(range(1, length(seq) - {K} + 2)) AS i FROM kd)"
+    turned = f"SELECT least(w, {rc('w')}) AS kmer, CAST(CASE WHEN w >= {rc('w')} THEN {rc_exts('x')} ELSE x END AS INTEGER) AS exts, data FROM ({place})"
+    out["tip_cleaned_unitigs"] = graph + f""", {CLEANED}, ckm AS ({turned}), again AS (WITH RECURSIVE {unitig_ctes(K, table='ckm', join_data='sum(data)')} SELECT * FROM uni)
+    SELECT min(least(w, {rc('w')})) AS least_kmer, CAST(length(seq) AS BIGINT) AS len, CAST(CAST(data AS BIGINT) >> 32 AS BIGINT) AS members, CAST(least(CAST(data AS BIGINT) & 4294967295, 65535) AS BIGINT) AS data
+    FROM (SELECT seq, data, substr(seq, CAST(unnest(range(1, length(seq) - {K} + 2)) AS INTEGER), {K}) AS w FROM again) GROUP BY seq, data"""
     censored = f"{DOC}, {counted(K, MIN_OBS)}, {targets('km')}, ckm AS (SELECT k.kmer, CAST(coalesce(b.e, 0) AS INTEGER) AS exts, k.data FROM km k LEFT JOIN (SELECT kmer, bit_or(bit) AS e FROM tg WHERE target IN (SELECT kmer FROM km) GROUP BY kmer) b ON b.kmer = k.kmer)"
     from_set = f"{DOC}, {counted(K, MIN_OBS)}, allx AS (SELECT kmer, 255 AS exts FROM km), {targets('allx')}, ckm AS (SELECT k.kmer, CAST(coalesce(b.e, 0) AS INTEGER) AS exts, k.data FROM km k LEFT JOIN (SELECT kmer, bit_or(bit) AS e FROM tg WHERE target IN (SELECT kmer FROM km) GROUP BY kmer) b ON b.kmer = k.kmer)"
     short = "SELECT seq, CAST(length(seq) AS BIGINT) AS len, CAST(exts AS INTEGER) AS exts, CAST(data AS BIGINT) AS data FROM uni"

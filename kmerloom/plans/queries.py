@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exts as E
@@ -18,6 +18,8 @@ from ..operators.tables import written
 from ..sources import dna, export
 
 K, MIN_OBS = 31, 2
+#: Nodes of max_path with more observations are solid.
+SOLID = 100
 HEX, AS_DNA = "0123456789abcdef", "ACGTACGTACGTACGT"  # fixed values of the KEY projection
 
 
@@ -166,17 +168,20 @@ def exts_censored(spark, sf_dir):
     return kmers.remove_censored_exts(table_).select("kmer", "exts")
 
 
-def exts_censored_sharded(spark, sf_dir):
+def _sharded(spark, sf_dir, shard):
+    """Every shard repaired by what it saw itself, all in one pass."""
     valid, everything = kmers.filter_kmers(doc_sequences(spark, sf_dir), K, kmers.count_filter(MIN_OBS), report_all=True)
-    shard = lambda df: df.filter(F.left("kmer", F.lit(2)).isin("AA", "AC"))
-    return kmers.remove_censored_exts_sharded(written(shard(valid), "valid"), written(shard(everything), "all")).select("kmer", "exts")
+    return kmers.remove_censored_exts_sharded(written(valid, "valid"), written(everything, "all"), shard=shard).select("kmer", "exts")
+
+
+def exts_censored_sharded(spark, sf_dir):
+    """Sixteen shards, by the first two bases."""
+    return _sharded(spark, sf_dir, lambda kmer: F.left(kmer, F.lit(2)))
 
 
 def exts_censored_all_shards(spark, sf_dir):
-    """Every shard's k-mers; exts_censored_sharded returns one of the eight (AA and AC) alone."""
-    valid, everything = kmers.filter_kmers(doc_sequences(spark, sf_dir), K, kmers.count_filter(MIN_OBS), report_all=True)
-    shard = lambda kmer: F.concat(F.left(kmer, F.lit(1)), F.translate(F.substring(kmer, 2, 1), "CT", "AG"))
-    return kmers.remove_censored_exts_sharded(written(valid, "valid"), written(everything, "all"), shard=shard).select("kmer", "exts")
+    """Eight shards: the second base counts as A or G."""
+    return _sharded(spark, sf_dir, lambda kmer: F.concat(F.left(kmer, F.lit(1)), F.translate(F.substring(kmer, 2, 1), "CT", "AG")))
 
 
 def exts_from_set(spark, sf_dir):
@@ -191,17 +196,13 @@ def msp_bucket(spark, sf_dir):
     return msp.kmer_buckets(keys(spark, sf_dir).select(F.col("id").alias("seq_id"), "seq"), 20, 6).select("seq_id", F.col("pos").cast("long").alias("pos"), "bucket")
 
 
-def _short_docs(spark, sf_dir):
-    return doc_sequences(spark, sf_dir)
-
-
 def msp_segments(spark, sf_dir):
-    return msp.msp_sequence(_short_docs(spark, sf_dir), K, 8, rc=True).select("seq_id", "seg_no", "bucket", "minimizer", "minimizer_pos", "start", "len", "exts", "seq")
+    return msp.msp_sequence(doc_sequences(spark, sf_dir), K, 8, rc=True).select("seq_id", "seg_no", "bucket", "minimizer", "minimizer_pos", "start", "len", "exts", "seq")
 
 
 def msp_kmer_cover(spark, sf_dir):
     """K-mers counted from the segments: the same as from the whole sequences."""
-    pieces = msp.msp_sequence(_short_docs(spark, sf_dir), K, 8, rc=True)
+    pieces = msp.msp_sequence(doc_sequences(spark, sf_dir), K, 8, rc=True)
     return kmers.filter_kmers(pieces.select("seq", "exts", "label"), K, kmers.count_filter(MIN_OBS)).select("kmer", "exts", "n")
 
 
@@ -249,14 +250,13 @@ def unitigs_sharded(spark, sf_dir):
     The shards are one DataFrame: links stay within a bucket, which compacts all shards at once.
     """
     pieces = msp.msp_sequence(doc_sequences(spark, sf_dir), K, 8, rc=True)
-    obs = kmers.canonical_observations(kmers.kmers_with_exts(pieces, K, keep=("bucket",)))
+    obs = kmers.kmers_with_exts(pieces, K, keep=("bucket",), canonical=True)
     table_ = obs.groupBy("bucket", "kmer").agg(F.bit_or("exts").alias("exts"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_OBS)
     table_ = table_.withColumn("data", F.struct("bucket", F.least("n", F.lit(kmers.COUNT_LIMIT)).cast("int").alias("count")))
     spec = compact.Compression({"data": F.least(F.sum("data.count"), F.lit(kmers.COUNT_LIMIT)).cast("int")}, lambda a, b: a["bucket"] == b["bucket"])
     shards = graph.Graph(written(compact.compress_kmers(table_, K, spec=spec), "shards"), K)
     out = graph.compress_graph(graph.combine([shards]))
-    # Where a circle is cut depends on the shards, so nodes are named by their least k-mer.
-    return _shown(out).select(F.array_min(F.transform(S.kmers("seq", K), S.canonical)).alias("least_kmer"), "len", "data")
+    return _by_least_kmer(_shown(out)).select("least_kmer", "len", "data")
 
 
 def unitigs_repaired(spark, sf_dir):
@@ -274,10 +274,10 @@ def graph_edges(spark, sf_dir):
 
 
 def graph_find_link(spark, sf_dir):
-    """Each node's own end k-mers, looked up as if walked into: the node itself, or a k-mer's twin."""
+    """Each node's own end k-mers, looked up as if walked into, and the k-mers that its extensions lead to."""
     g = doc_graph(spark, sf_dir)
-    probes = graph.ends(g.nodes, g.k).select(F.col("node_id").alias("src"), F.when(F.col("side") == "L", "R").otherwise("L").alias("dir"), "kmer")
-    return graph.find_links(probes, g)
+    own = graph.ends(g.nodes, g.k).select(F.col("node_id").alias("src"), F.when(F.col("side") == "L", "R").otherwise("L").alias("dir"), "kmer")
+    return graph.find_links(own.unionByName(graph.probes_of(g.nodes, g.k).select("src", "dir", "kmer")), g)
 
 
 def graph_fix_exts(spark, sf_dir):
@@ -287,8 +287,13 @@ def graph_fix_exts(spark, sf_dir):
 
 
 def graph_is_compressed(spark, sf_dir):
-    """No pair is left after compression: a count of zero."""
-    return graph.uncompressed_pairs(graph.compress_graph(doc_graph(spark, sf_dir))).agg(F.count(F.lit(1)).alias("pairs"))
+    """Pairs of nodes that compression should have merged, when tips have gone and after compression (none)."""
+    g = doc_graph(spark, sf_dir)
+    tips_ = written(graph.tips(g, F.col("len") < 2 * K), "tips")
+    cut = graph.fix_exts(graph.Graph(written(g.nodes.join(tips_, "node_id", "left_anti"), "kept"), g.k))
+    count = lambda x, name: graph.uncompressed_pairs(x).agg(F.count(F.lit(1)).alias(name))
+    # One row each.
+    return count(cut, "before").join(F.broadcast(count(graph.compress_graph(cut), "pairs")))
 
 
 def graph_combine(spark, sf_dir):
@@ -312,12 +317,23 @@ def tips(spark, sf_dir):
     return graph.tips(doc_graph(spark, sf_dir), F.col("len") < 2 * K)
 
 
+def _by_least_kmer(nodes: DataFrame) -> DataFrame:
+    """Where a circle is cut depends on what it was made of, so nodes are named by their least k-mer."""
+    return nodes.withColumn("least_kmer", F.array_min(F.transform(S.kmers("seq", K), S.canonical)))
+
+
 def tip_cleaned_unitigs(spark, sf_dir):
-    return _shown(graph.clean(doc_graph(spark, sf_dir), F.col("len") < 2 * K).normalised())
+    cleaned = graph.clean(doc_graph(spark, sf_dir), F.col("len") < 2 * K)
+    return _by_least_kmer(_shown(cleaned)).select("least_kmer", "len", "members", "data")
+
+
+def _through() -> Column:
+    """A node's length if it can be passed through; little for an end."""
+    return F.when((E.count("exts", False) > 0) & (E.count("exts", True) > 0), F.col("len").cast("double")).otherwise(0.5)
 
 
 def max_path(spark, sf_dir):
-    return paths.max_path(doc_graph(spark, sf_dir, 20), F.col("data"), F.col("data") > 10)
+    return paths.max_path(doc_graph(spark, sf_dir, 20), _through(), F.col("data") > SOLID)
 
 
 def beam_path(spark, sf_dir):
@@ -326,7 +342,7 @@ def beam_path(spark, sf_dir):
 
 def path_sequence(spark, sf_dir):
     g = doc_graph(spark, sf_dir, 20)
-    return paths.path_sequence(g, written(paths.max_path(g, F.col("data"), F.col("data") > 10), "path"))
+    return paths.path_sequence(g, written(paths.max_path(g, _through(), F.col("data") > SOLID), "path"))
 
 
 def gfa_lines(spark, sf_dir):
@@ -345,6 +361,10 @@ def json_links(spark, sf_dir):
     return export.json_links(doc_graph(spark, sf_dir))
 
 
+def json_document(spark, sf_dir):
+    return export.json_document(doc_graph(spark, sf_dir))
+
+
 #: Helpers of this module that are no queries.
 _HELPERS = {"table", "doc_sequences", "keys", "doc_graph"}
 

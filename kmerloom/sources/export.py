@@ -97,5 +97,12 @@ def write_graph(graph: Graph, path: str) -> None:
     graph.nodes.withColumn("k", F.lit(graph.k)).withColumn("stranded", F.lit(graph.stranded)).write.parquet(path)
 
 
-def read_graph(spark, path: str, k: int, stranded: bool = False) -> Graph:
-    return Graph(spark.read.parquet(path).drop("k", "stranded"), k, stranded)
+def read_graph(spark, path: str, k: int | None = None, stranded: bool = False) -> Graph:
+    """What write_graph() wrote. An empty graph has no row that names its k: it takes those given."""
+    nodes = spark.read.parquet(path)
+    stored = nodes.select("k", "stranded").first()
+    if stored is not None:
+        k, stranded = stored["k"], stored["stranded"]
+    elif k is None:
+        raise ValueError("an empty graph needs k")
+    return Graph(nodes.drop("k", "stranded"), k, stranded)
