@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df and read it back, which ends its lineage.
 
-    The folder is spark.checkpoint.dir; a session without one (local, tests) gets a temporary one.
+    The folder is spark.checkpoint.dir. Only a session on this machine alone may go without: it gets a
+    temporary one, which on a cluster would be a different folder on each machine.
     """
     conf = df.sparkSession.conf
     base = conf.get("spark.checkpoint.dir", None) or conf.get("kmerloom.tables.dir", None)
     if not base:
+        master = df.sparkSession.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="kmerloom-tables-")
         conf.set("kmerloom.tables.dir", base)
     path = f"{base.rstrip('/')}/kmerloom-tables/{name}-{uuid.uuid4().hex}"
