@@ -95,6 +95,10 @@ def mix_sources(
     """
     own = ["mix_tokens", "mix_epoch", "mix_block", "mix_block_key", "mix_doc_key"]
     docs = docs.drop(*own)
+    # Columns are numbered while helpers stand beside them, so no name of theirs can clash.
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    source, doc_id, text = (f"c{names.index(c)}" for c in (source, doc_id, text))
     key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
     ident = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     tokens = word_count(F.col(text))
@@ -157,4 +161,4 @@ def mix_sources(
     rows = rows.withColumn("_n", F.col("_epochs") + partial.cast("int")).filter("_n > 0")
     rows = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     rows = rows.withColumn("mix_block_key", block_key(F.col("mix_epoch"))).withColumn("mix_doc_key", doc_key(F.col("mix_epoch")))
-    return rows.select(*docs.columns, *own)
+    return rows.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names)], *own)

@@ -165,6 +165,14 @@ def test_mixture_keeps_every_document(docs):
     assert out.select("doc_id").distinct().count() == docs.count() and out.agg(F.max("mix_epoch")).first()[0] <= 1
 
 
+def test_mixture_keeps_columns_of_any_name(docs):
+    names = ["_n", "_src", "_ident", "_epochs", "_rest", "_blocks", "_cut", "_t", "c0"]
+    df = docs.select("doc_id", "text", "source", *[F.lit(n).alias(n) for n in names])
+    out = mixing.mix_sources(df)
+    assert out.columns[: len(df.columns)] == df.columns and out.select("doc_id", "mix_epoch").distinct().count() == out.count() == mixing.mix_sources(docs).count()
+    assert out.filter(" or ".join(f"`{n}` <> '{n}'" for n in names)).count() == 0
+
+
 def test_mixture_edges(odd, empty, repeated):
     out = mixing.mix_sources(odd)
     assert out.count() > 0 and out.columns[: len(odd.columns) - 1] == [c for c in odd.columns if c != "mix_epoch"]
@@ -641,3 +649,22 @@ def test_pipeline(spark, sf, docs):
     hashes = {i: h for i, (_, _, _, h) in brute_substrings(before).items()}
     for r in kept[2].collect():
         assert r.n_chars == len(r.text) and ("�" in r.text or hashes[r.doc_id] == hashlib.sha256(r.text.encode()).hexdigest() or not r.text.isascii())
+
+
+@pytest.mark.parametrize("rows", ["odd", "repeated", "empty"])
+def test_pipeline_stages_on_odd_rows(spark, sf, rows, request):
+    import corpus_pipeline
+
+    df = request.getfixturevalue(rows)
+    own = [(r.doc_id, r.text) for r in df.collect()]
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out[name] = stage(spark, df, sf)
+        if name != "best-fit packing":
+            assert out[name].columns == df.columns
+    assert {(r.doc_id, r.text) for r in out["language ID"].collect()} <= {(i, t) for i, t in own if t and any(map(str.isalpha, t))}
+    kept = out["n-gram Jaccard join"].collect()
+    assert {r.text for r in kept if not (r.text or "").split()} == {t for _, t in own if not (t or "").split()} and len({r.text for r in kept}) >= min(1, len(own))
+    assert sorted(map(str, (r.doc_id for r in out["suffix-array dedup"].collect()))) == sorted(str(i) for i, _ in own)
+    assert {(r.doc_id, r.text) for r in out["mixing sources to target weights"].collect()} == set(own)
+    assert {r.doc_id for r in out["best-fit packing"].collect()} == {i for i, _ in own}
