@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept; its result
 is written as Parquet to the shared folder and read again as the next one's docs.
+
+Null ids, languages and sources stay as they are. A null or empty text has no letter, so the first
+stage leaves it out; given to a later stage it stays, as an empty text. Repeated rows are copies of
+each other, of which the second stage keeps one. A table without rows gives none. Columns beside
+those of documents come along up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,24 +19,27 @@ from kmerloom.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cross-parsing cannot tell go."""
+    """Documents whose language cross-parsing cannot tell (no letter, or two languages fit alike) go."""
     return langid.keep_identified(docs, langid.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates stays."""
+    """The first document (the least id, nulls first) of each group of near-duplicates stays; texts
+    without a word are in no group."""
     return jaccard_join.keep_first(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated strings of 100 bytes are cut out of the texts; the documents stay."""
+    """Repeated strings of 100 bytes are cut out of the texts; the documents stay, and n_chars follows.
+    Of a character that a cut splits nothing is left."""
     own = docs.columns
     out = suffix_dedup.dedup_substrings(docs).withColumn("text", F.col("kept_text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(own)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of sources takes them."""
+    """Documents as often as the mixture of sources takes them: all once at least, those of small sources
+    again."""
     return mixing.mix_sources(docs).select(docs.columns)
 
 
@@ -53,7 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.load(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's result goes when the next one is written."""
+    docs, before = common.load(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        path = common.fresh_path(spark, "stage-" + name.replace(" ", "-"))
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            common.drop_path(spark, before)
+        before = path
     return docs
