@@ -215,6 +215,7 @@ def oracle_sql() -> dict[str, str]:
         + ", ".join(f"CAST({sql} AS INTEGER) AS {name}" for name, sql in {"comp": comp, "rev": "((e & 15) << 4) | (e >> 4)", "rc": rc_exts("e"), "merged": "(e & 15) | (f & 240)", "added": "e | f", "joined": "((f & 15) << 4) | (e & 15)", "with_g": "e | 64", "nl": bits(nib("e", False)), "nr": bits(nib("e", True)), "right_low": nib("e", True)}.items())
         + f", (e & 2) <> 0 AS left_c, CASE e >> 4 WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 4 THEN 'G' WHEN 8 THEN 'T' END AS only_right, {letters(nib('e', False))} || '|' || {letters(nib('e', True))} AS text FROM x",
         "dna_lenient": "SELECT doc_id, translate(regexp_replace(text, '[^ACGTacgt]', 'A', 'g'), 'acgt', 'ACGT') AS seq FROM documents",
+        "hash_n": "SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c, i: CASE WHEN instr('ACGTacgt', c) > 0 THEN upper(c) ELSE substr('ACGT', CAST((instr('0123456789abcdef', left(md5(doc_id || ':' || (i - 1)), 1)) - 1) % 4 + 1 AS INTEGER), 1) END), '') AS seq FROM documents",
         "dna_only_split": "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, upper(runs[i]) AS run FROM (SELECT doc_id, runs, unnest(range(1, len(runs) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[ACGTacgt]+') AS runs FROM documents))",
         "codes_roundtrip": key + "SELECT id, translate(seq, 'ACGT', '0123') AS codes, seq AS back FROM key",
         "push_packed": key + "SELECT id, " + " || ',' || ".join("CAST(" + " + ".join(f"{code(f'substr(seq, {4 * g + j + 1}, 1)')} * {4**j}" for j in range(4)) + " AS VARCHAR)" for g in range(8)) + " AS bytes, substr(seq, 1, 30) AS first30 FROM key",

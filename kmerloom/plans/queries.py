@@ -156,7 +156,7 @@ def push_packed(spark, sf_dir):
 
 
 def hash_n(spark, sf_dir):
-    """Unknown characters become pseudo-random bases; the hash is Spark's, so SQL has no equal."""
+    """Unknown characters become pseudo-random bases."""
     return table(spark, sf_dir, "documents").select("doc_id", dna.hashed("text", F.col("doc_id").cast("string")).alias("seq"))
 
 

@@ -25,10 +25,11 @@ def split_bases(text: ColumnOr) -> Column:
 
 
 def hashed(text: ColumnOr, name: ColumnOr) -> Column:
-    """As lenient(), but other characters become a repeatable pseudo-random base of (name, place)."""
+    """As lenient(), but other characters become a repeatable pseudo-random base: the first digit of the MD5
+    of `name:place`, modulo 4."""
     name = _c(name)
     chars = F.filter(F.split(_c(text), ""), lambda c: c != "")
-    base = lambda c, i: F.when(seq.is_valid_base(c), F.upper(c)).otherwise(seq.code_to_base(F.pmod(F.xxhash64(name, i), F.lit(4)).cast("int")))
+    base = lambda c, i: F.when(seq.is_valid_base(c), F.upper(c)).otherwise(seq.code_to_base((F.instr(F.lit("0123456789abcdef"), F.left(F.md5(F.concat(name, F.lit(":"), i.cast("string"))), F.lit(1))) - 1) % 4))
     return F.array_join(F.transform(chars, base), "")
 
 
