@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,7 +55,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Arrow batches of the session are bounded to so many bytes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -100,6 +102,22 @@ def cleanup(spark: SparkSession) -> None:
     drop_path(spark, session_dir(spark))
 
 
+def lean(run):
+    """A function for mapInArrow after which its Python worker, which later tasks use again, gives the
+    memory that it has freed back to the system, where the C library can."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches cut into parts of at most `rows` rows, so that few texts are Python objects at a time."""
     for batch in batches:

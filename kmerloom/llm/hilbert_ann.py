@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, materialize
+from .common import Scratch, lean, materialize
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -205,6 +205,7 @@ def _candidates(distinct: DataFrame, rows: int, width: int, *, k: int, curves: i
     bits = min(15, 60 // dims)
     flat = np.ascontiguousarray(frames.transpose(1, 0, 2)).reshape(width, -1)
 
+    @lean
     def moments(batches):
         n, s, ss = 0, np.zeros(curves * dims), np.zeros(curves * dims)
         for batch in batches:
@@ -219,6 +220,7 @@ def _candidates(distinct: DataFrame, rows: int, width: int, *, k: int, curves: i
     mean = np.array([r["s"] / r["n"] for r in stats])
     spread = np.sqrt(np.maximum(np.array([r["ss"] / r["n"] for r in stats]) - mean**2, 0)) + 1e-12
 
+    @lean
     def place(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -238,6 +240,7 @@ def _candidates(distinct: DataFrame, rows: int, width: int, *, k: int, curves: i
         values = [None, None, None, curve, part, tail, rows[0].tobytes(), rows[1].astype(np.uint8).tobytes(), rows[2].tobytes(), pairs]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _KINDS)], names=_NAMES)
 
+    @lean
     def scan(batches):
         part, now, walk = TaskContext.get().partitionId(), None, None
 
@@ -269,6 +272,7 @@ def _candidates(distinct: DataFrame, rows: int, width: int, *, k: int, curves: i
     last = border.filter("tail").select("curve", (F.col("at") + 1).alias("at"), *[F.col(c).alias(f"l_{c}") for c in ("reps", "asks", "rows")])
     meet = border.filter("not tail").join(last, ["curve", "at"]).select("reps", "asks", "rows", "l_reps", "l_asks", "l_rows")
 
+    @lean
     def across(batches):
         for batch in batches:
             for row in batch.to_pylist():

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialize, slices
+from .common import Scratch, lean, materialize, slices
 from .components import components
 from .spans import MAX_BROADCAST_ROWS, numbered, with_rows, without_rows
 
@@ -48,7 +48,7 @@ class Shingles:
     """Distinct hashes of the `width`-word shingles of texts, ascending. The table of words is emptied
     when it takes about `room` bytes."""
 
-    def __init__(self, width: int, room: int = 16_000_000):
+    def __init__(self, width: int, room: int = 8_000_000):
         self.width, self.room, self.words, self.held = width, room, {}, 0
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -151,6 +151,7 @@ def bitmap_difference(a: bytes, b: bytes) -> int:
 def set_facts(docs: DataFrame, *, text: str, width: int) -> DataFrame:
     """row_no, print (digest of the set), n, own_full, next_full, bitmap of every document."""
 
+    @lean
     def run(batches):
         shingles = Shingles(width)
         for batch in slices(batches):
@@ -173,7 +174,7 @@ def _by_part(part: np.ndarray, *columns: np.ndarray):
         yield p, *[c[at].tobytes() for c in columns]
 
 
-def index(docs: DataFrame, *, text: str, width: int, step: int, parts: int, light: int, room: int = 400_000) -> DataFrame:
+def index(docs: DataFrame, *, text: str, width: int, step: int, parts: int, light: int, room: int = 200_000) -> DataFrame:
     """large boolean, a long, b long: pairs of rows that share an entry held by at most `light`
     sets (large = false), and (entry, 2 * row + deletion) of those that more hold (large = true).
 
@@ -181,6 +182,7 @@ def index(docs: DataFrame, *, text: str, width: int, step: int, parts: int, ligh
     alone show to be large sends a mark to its part, and its rows elsewhere, so no part holds them all.
     """
 
+    @lean
     def pack(batches):
         shingles = Shingles(width)
         codes, owners, held = [], [], 0
@@ -248,6 +250,7 @@ def verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, *, text: str, wi
     both = pairs.join(side.select(F.col("row_no").alias("a"), F.col("n").alias("an"), F.col("bitmap").alias("am")), "a")
     both = both.join(side.select(F.col("row_no").alias("b"), F.col("n").alias("bn"), F.col("bitmap").alias("bm")), "b").filter("4 * least(an, bn) >= 3 * greatest(an, bn)")
 
+    @lean
     def close(batches):
         for batch in slices(batches):
             keep = [bitmap_difference(x, y) <= (s + t) // 7 for x, y, s, t in zip(*[batch.column(c).to_pylist() for c in ("am", "bm", "an", "bn")])]
@@ -256,6 +259,7 @@ def verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, *, text: str, wi
     near = write(both.mapInArrow(close, "a long, b long"), "join-near")
     asked = write(near.select(F.col("a").alias("row_no")).union(near.select("b")).distinct(), "join-asked")
 
+    @lean
     def sets(batches):
         shingles = Shingles(width)
         for batch in slices(batches):
@@ -264,6 +268,7 @@ def verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, *, text: str, wi
     own = write(with_rows(docs.select("row_no", F.col(text).alias("text")), asked).mapInArrow(sets, "row_no long, s binary"), "join-sets")
     met = near.join(own.select(F.col("row_no").alias("b"), F.col("s").alias("bs")), "b").join(own.select(F.col("row_no").alias("a"), F.col("s").alias("as")), "a")
 
+    @lean
     def exact(batches):
         for batch in slices(batches, 64):  # two sets a row
             keep = []
@@ -280,6 +285,7 @@ def verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, *, text: str, wi
 def close_bitmaps(docs: DataFrame, *, text: str, width: int, per_token: int = 8) -> DataFrame:
     """row_no, n, bitmap with `per_token` bits for each shingle."""
 
+    @lean
     def run(batches):
         shingles = Shingles(width)
         for batch in slices(batches):
@@ -381,7 +387,7 @@ def classes_of(docs: DataFrame, *, text: str, width: int, light: int, tokens_per
 ADDED = ("row_no", "n_shingles", "component_id")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, light: int = 8, tokens_per_part: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, light: int = 8, tokens_per_part: int = 400_000) -> DataFrame:
     """The rows of docs plus n_shingles and component_id.
 
     Two documents link when their sets of distinct `width`-word shingles (A-Z in lower case, words
@@ -401,7 +407,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return docs.join(found.join(names, "least").drop("least"), "row_no").drop("row_no")
 
 
-def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, light: int = 8, tokens_per_part: int = 500_000) -> DataFrame:
+def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, light: int = 8, tokens_per_part: int = 400_000) -> DataFrame:
     """The rows of docs, without all but the first of each component of near_duplicates(). Columns
     named like the ones that it adds, or row_no, are left out."""
     docs = numbered(docs.drop(*ADDED), doc_id, "join-rows")

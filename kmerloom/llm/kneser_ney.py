@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 PAD, END = b"\x01", b"\x02"
 #: Log probability of a symbol of which a model knows nothing: one of 256 bytes.
@@ -65,6 +65,7 @@ def count_grams(docs: DataFrame, *, order: int, room: int = 1_500_000) -> DataFr
     Each task adds up its own documents first, and hands on its sums when it holds `room` keys.
     """
 
+    @lean
     def count(batches):
         new: dict = {}
         sums: dict = {}
@@ -360,6 +361,7 @@ def to_blocks(docs: DataFrame, *, block_bytes: int = 12_000_000) -> DataFrame:
     import hashlib
     import json
 
+    @lean
     def pack(batches):
         zip_ = zstandard.ZstdCompressor(level=3)
         ids, langs, texts, size = [], [], [], 0
@@ -423,6 +425,7 @@ def block_scores(docs: DataFrame, model: Model, *, write) -> DataFrame:
     def asked(size):
         """block, lang, key of the n-grams of `size` symbols that scoring needs."""
 
+        @lean
         def grams(batches):
             for batch in batches:
                 for block, ids, blob in zip(*[batch.column(c).to_pylist() for c in ("block", "ids", "blob")]):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, materialize, slices
+from .common import bound_batches, lean, materialize, slices
 
 #: Texts are read in lower case; what is no letter is a blank, and blanks in a row are one.
 BLANK = 0
@@ -214,7 +214,7 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, trained: dict, *, doc_id: str = "doc_id", text: str = "text", segment: int = 1024, batch_chars: int = 2_000_000) -> DataFrame:
+def identify(docs: DataFrame, trained: dict, *, doc_id: str = "doc_id", text: str = "text", segment: int = 1024, batch_chars: int = 1_000_000) -> DataFrame:
     """doc_id, lang_pred, score for every row.
 
     Whole texts are parsed, in segments of `segment` symbols that no phrase crosses, so that a very
@@ -225,6 +225,7 @@ def identify(docs: DataFrame, trained: dict, *, doc_id: str = "doc_id", text: st
     """
     judge = _judge(docs.sparkSession, trained, segment, batch_chars)
 
+    @lean
     def run(batches):
         verdict = judge()
         for batch in slices(batches, 1024):
@@ -290,7 +291,7 @@ def learn_and_identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     return out.select("doc_id.doc_id", "doc_id.held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, trained: dict, *, text: str = "text", min_score: float = 0.0, segment: int = 1024, batch_chars: int = 2_000_000) -> DataFrame:
+def keep_identified(docs: DataFrame, trained: dict, *, text: str = "text", min_score: float = 0.0, segment: int = 1024, batch_chars: int = 1_000_000) -> DataFrame:
     """The rows of docs whose language is known: not `und`, and with a score above min_score. Rows
     travel whole through the prediction, so that nothing is joined back."""
     judge = _judge(docs.sparkSession, trained, segment, batch_chars)
@@ -298,6 +299,7 @@ def keep_identified(docs: DataFrame, trained: dict, *, text: str = "text", min_s
     while known in own:
         known += "_"
 
+    @lean
     def run(batches):
         verdict = judge()
         for batch in slices(batches, 1024):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, materialize, slices
+from .common import bound_batches, lean, materialize, slices
 
 
 def solve(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -175,7 +175,7 @@ class Encoder:
     about `room` bytes.
     """
 
-    def __init__(self, tokenizer_path: str, room: int = 48_000_000):
+    def __init__(self, tokenizer_path: str, room: int = 12_000_000):
         with open(tokenizer_path, encoding="utf-8") as f:
             spec = json.load(f)
         self.path, self.room, self.plain = tokenizer_path, room, None
@@ -207,6 +207,7 @@ def tokenize_pieces(docs: DataFrame, *, doc_id: str, text: str, tokenizer_path:
     """One row per piece: doc_id, piece, start, length, ids_crc32. A null text is an empty one."""
     end = array("I", [end_id]).tobytes()
 
+    @lean
     def pieces(batches):
         encode = Encoder(tokenizer_path)
         for batch in slices(batches):

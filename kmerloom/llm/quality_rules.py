@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kneser_ney as kn
-from .common import Scratch, materialize, slices
+from .common import Scratch, lean, materialize, slices
 from .spans import MAX_BROADCAST_ROWS
 
 #: Characters that count as symbols (fixed values).
@@ -114,6 +114,7 @@ def quality_rules(
     kind = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
+    @lean
     def judge(batches):
         for batch in slices(batches):
             out = []
@@ -134,6 +135,7 @@ def quality_rules(
             else:
                 shared = spark.sparkContext.broadcast(model.arrays())
 
+                @lean
                 def score(batches):
                     tables = kn.array_tables(shared.value)
                     for batch in slices(batches):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
-from .common import bound_batches, materialize
+from .common import bound_batches, lean, materialize
 
 
 def merge_spans(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -61,6 +61,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, *, doc_id: str, text: str) -
     whole = whole.withColumns({"n_bytes": F.octet_length(body).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.sha2(body.cast("binary"), 256), "kept_text": F.col(text)})
     own = docs.columns
 
+    @lean
     def cut(batches):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]

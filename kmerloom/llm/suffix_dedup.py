@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialize, slices
+from .common import Scratch, lean, materialize, slices
 from .spans import merge_spans, numbered, remove_spans, with_rows
 
 GRAM = 32
@@ -37,7 +37,7 @@ _BYTE = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8, pers
 _CHECK = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8, person=b"check").digest(), "little") for b in range(256)], np.uint64)
 _ODD = [np.uint64(int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8, person=b"odd").digest(), "little") | 1) for i in range(3)]
 #: Low bits of a comparison key that hold the position; longer texts are read in overlapping parts.
-POSITION_BITS = 24
+POSITION_BITS = 20
 
 
 def pair_rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,6 +97,7 @@ def stretches(docs: DataFrame, *, text: str, threshold: int) -> DataFrame:
     but the first of them (which surely repeat) become REPEAT rows."""
     part = (1 << POSITION_BITS) - threshold
 
+    @lean
     def run(batches):
         for batch in slices(batches, 2048):
             got: list[list[np.ndarray]] = [[] for _ in range(7)]
@@ -136,6 +137,7 @@ def settle(sorted_rows: DataFrame) -> DataFrame:
     """ROWS again, from rows sorted by (rank, stretch, row_no, lo): a later row of an equal stretch
     repeats; the first one stays open if its rank has another stretch. One row is carried over."""
 
+    @lean
     def run(batches):
         held, shared = None, False  # the last first-of-stretch row, and whether its rank is shared
         last = (None, None)
@@ -193,6 +195,7 @@ def repeated_spans(docs: DataFrame, *, text: str, threshold: int, write) -> Data
     ranges = write(ranges, "suffix-ranges")
 
     # Length `threshold`: the windows that are left.
+    @lean
     def windows(batches):
         part = 1 << 20  # windows named at a time
         for batch in slices(batches):
@@ -213,6 +216,7 @@ def repeated_spans(docs: DataFrame, *, text: str, threshold: int, write) -> Data
     ranked = with_rows(docs.select("row_no", F.col(text).alias("text")), ranges).mapInArrow(windows, "rank long, check long, row_no long, at int")
     ranked = ranked.repartition("rank").sortWithinPartitions("rank", "check", "row_no", "at")
 
+    @lean
     def later(batches):
         last = (None, None)
         for batch in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches
+from .common import Scratch, bound_batches, lean
 
 CRLF = "\r\n"
 MAX_BROADCAST_REVISITS = 1_000_000
@@ -133,6 +133,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     bound_batches(spark)
 
+    @lean
     def read(batches):
         for batch in batches:
             for content in batch.column("content").to_pylist():
