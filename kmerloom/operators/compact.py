@@ -71,10 +71,10 @@ def chains(links: DataFrame, *, max_rounds: int = 64) -> tuple[DataFrame, DataFr
     return now.filter("done").select("s", F.col("to").alias("end"), "hops"), circles
 
 
-def paths(elements: DataFrame, links: DataFrame) -> DataFrame:
+def paths(elements: DataFrame, links: DataFrame, *, stranded: bool = False) -> DataFrame:
     """id, backward, path, pos for every element (id): its path, its place in it and whether the path
-    walks it backwards. A path starts at the lesser of its two ends; a circle is cut before its
-    least element, which is walked forwards."""
+    walks it backwards. A path starts at the lesser of its two ends, with strands always at the one
+    that is walked forwards; a circle is cut before its least element, which is walked forwards."""
     mirrored = links.select(F.col("t").bitwiseXOR(F.lit(1)).alias("s"), F.col("s").bitwiseXOR(F.lit(1)).alias("t"))
     both = links.select("s", "t").withColumn("own", F.lit(1)).unionByName(mirrored.withColumn("own", F.lit(0)))
     links = both.groupBy("s", "t").agg(F.max("own").alias("x"), F.min("own").alias("y")).filter("x <> y").select("s", "t")
@@ -89,8 +89,8 @@ def paths(elements: DataFrame, links: DataFrame) -> DataFrame:
     rows = elements.select("id").join(side(0), "id", "left").join(side(1), "id", "left")
     end0, end1 = F.coalesce("end0", F.col("id") * 2), F.coalesce("end1", F.col("id") * 2 + 1)
     from0, from1 = end1.bitwiseXOR(F.lit(1)), end0.bitwiseXOR(F.lit(1))  # where the forward and the backward walk began
-    back = from1 < from0
-    return rows.select("id", back.alias("backward"), F.least(from0, from1).alias("path"), F.coalesce(F.when(back, F.col("hops0")).otherwise(F.col("hops1")), F.lit(0)).alias("pos"))
+    back = F.lit(False) if stranded else from1 < from0
+    return rows.select("id", back.alias("backward"), (from0 if stranded else F.least(from0, from1)).alias("path"), F.coalesce(F.when(back, F.col("hops0")).otherwise(F.col("hops1")), F.lit(0)).alias("pos"))
 
 
 def spell(elements: DataFrame, placed: DataFrame, k: int, reduce: dict[str, Column]) -> DataFrame:
@@ -145,7 +145,7 @@ def compress_kmers(kmers: DataFrame, k: int, *, stranded: bool = False, spec: Co
     """
     spec = spec or Compression()
     table = with_ids(kmers.select("kmer", "exts", "data"))
-    placed = paths(table, kmer_links(table, stranded=stranded, join_test=spec.join_test))
+    placed = paths(table, kmer_links(table, stranded=stranded, join_test=spec.join_test), stranded=stranded)
     return spell(table.withColumnRenamed("kmer", "seq"), placed, k, spec.reduce)
 
 

@@ -116,7 +116,7 @@ def compress_graph(graph: Graph, spec: Compression | None = None, censor: DataFr
         entry = F.when(arrive_right, F.right("dseq", F.lit(graph.k))).otherwise(F.left("dseq", F.lit(graph.k)))
         links = links.filter(~_single_palindrome("sseq", graph.k) & ~S.is_palindrome(entry))
     links = links.select((F.col("src") * 2 + (~right).cast("int")).alias("s"), (F.col("dst") * 2 + arrive_right.cast("int")).alias("t"))
-    merged = spell(table, paths(table, links), graph.k, spec.reduce)
+    merged = spell(table, paths(table, links, stranded=graph.stranded), graph.k, spec.reduce)
     return fix_exts(replace(graph, nodes=written(merged, "merged")))
 
 

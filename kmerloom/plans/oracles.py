@@ -111,6 +111,21 @@ def graph_ctes(k: int = K, min_obs: int = MIN_OBS) -> str:
     )
 
 
+def stranded_ctes(k: int) -> str:
+    """CTEs ending in uni(seq, exts, members, data): unbranched paths of a stranded table km."""
+    only = "substr('ACGT', CASE {0} WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 4 THEN 3 ELSE 4 END, 1)".format
+    return f"""rgt AS (SELECT kmer AS s, substr(kmer, 2) || {only('(exts >> 4) & 15')} AS t FROM km WHERE ((exts >> 4) & 15) IN (1, 2, 4, 8)),
+    lft AS (SELECT kmer AS t, {only('exts & 15')} || substr(kmer, 1, {k - 1}) AS s FROM km WHERE (exts & 15) IN (1, 2, 4, 8)),
+    lnk AS MATERIALIZED (SELECT r.s, r.t FROM rgt r JOIN lft l ON l.t = r.t AND l.s = r.s WHERE r.s <> r.t),
+    walk AS (SELECT kmer AS start, kmer AS cur, 0 AS pos FROM km LEFT JOIN lnk ON t = kmer WHERE t IS NULL
+             UNION ALL SELECT w.start, l.t, w.pos + 1 FROM walk w JOIN lnk l ON l.s = w.cur),
+    rest AS (SELECT kmer FROM km LEFT JOIN walk ON cur = kmer WHERE cur IS NULL),
+    ring AS (SELECT kmer AS start, kmer AS cur, 0 AS pos FROM rest UNION ALL SELECT w.start, l.t, w.pos + 1 FROM ring w JOIN lnk l ON l.s = w.cur WHERE l.t > w.start),
+    full_ AS (SELECT r.start FROM ring r JOIN lnk l ON l.s = r.cur AND l.t = r.start),
+    mem AS (SELECT w.start, w.pos, w.cur, m.exts, m.data FROM (SELECT * FROM walk UNION ALL SELECT ring.* FROM ring JOIN full_ USING (start)) w JOIN km m ON m.kmer = w.cur),
+    uni AS (SELECT string_agg(CASE WHEN pos = 0 THEN cur ELSE right(cur, 1) END, '' ORDER BY pos) AS seq, (arg_min(exts, pos) & 15) | (arg_max(exts, pos) & 240) AS exts, count(*) AS members, least(sum(data), 65535) AS data FROM mem GROUP BY start)"""
+
+
 #: The documents' graph without its tips, not yet compressed again: edges ke, nodes kd.
 CLEANED = f"""tp AS (SELECT node_id FROM (SELECT node_id, length(seq) AS n, bit_count(CAST(exts & 15 AS INTEGER)) AS nl, bit_count(CAST((exts >> 4) & 15 AS INTEGER)) AS nr FROM nd) WHERE n < {2 * K} AND ((nl = 0 AND nr <= 1) OR (nr = 0 AND nl <= 1))),
     kn AS (SELECT nd.* FROM nd LEFT JOIN tp USING (node_id) WHERE tp.node_id IS NULL),
@@ -227,6 +242,7 @@ def oracle_sql() -> dict[str, str]:
         + f", pm AS (SELECT id, j, CAST({rank('c', 6)} AS BIGINT) AS r FROM (SELECT id, j, least(p, {rc('p')}) AS c FROM (SELECT id, j, substr(seq, j, 6) AS p FROM (SELECT id, seq, CAST(unnest(range(1, 28)) AS INTEGER) AS j FROM key)))), win AS (SELECT id, j, min(r) OVER (PARTITION BY id ORDER BY j ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS bucket FROM pm) SELECT id AS seq_id, CAST(j - 1 AS BIGINT) AS pos, bucket FROM win WHERE j <= 13",
         "msp_kmer_cover": f"{km} SELECT kmer, exts, n FROM km",
         "unitigs": f"WITH RECURSIVE {DOC}, {counted(K, MIN_OBS)}, {unitig_ctes(K)} {UNI}",
+        "unitigs_stranded": f"WITH RECURSIVE {DOC}, {counted(12, MIN_OBS, stranded=True)}, {stranded_ctes(12)} {UNI}",
         "unitigs_keys": f"WITH RECURSIVE {KEY}, src AS (SELECT seq, '' AS label FROM key), {counted(24, 1, source='src')}, {unitig_ctes(24)} {UNI}",
         "unitigs_colored": f"WITH RECURSIVE {DOC}, {counted(K, MIN_OBS, colors=True)}, {unitig_ctes(K, equal_data=True)} SELECT seq, CAST(exts AS INTEGER) AS exts, CAST(members AS BIGINT) AS members, data AS colors FROM uni",
         "graph_edges": graph + "SELECT * FROM ed",

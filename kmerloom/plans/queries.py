@@ -226,6 +226,12 @@ def unitigs(spark, sf_dir):
     return _shown(graph.Graph(compact.compress_kmers(table_, K), K).normalised())
 
 
+def unitigs_stranded(spark, sf_dir):
+    """Both strands apart: no k-mer is turned, nor is a node."""
+    table_ = kmers.filter_kmers(doc_sequences(spark, sf_dir), 12, kmers.count_filter(MIN_OBS), stranded=True)
+    return _shown(graph.Graph(compact.compress_kmers(table_, 12, stranded=True), 12, stranded=True).normalised())
+
+
 def unitigs_keys(spark, sf_dir):
     """Unbranched sequences: every unitig is one of the inputs."""
     seqs = keys(spark, sf_dir).select("seq", F.lit(0).alias("exts"), F.lit("").alias("label"))
