@@ -11,6 +11,8 @@ those of documents come along up to the last stage, whatever their names.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,17 +20,37 @@ from kmerloom.llm import common, jaccard_join, langid, mixing, packing, suffix_d
 from kmerloom.llm.queries import tokenizer_path
 
 
+#: The columns of documents.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keeping_columns(stage):
+    """A stage that returns the columns it is given: those beside OWN have other names within, so that
+    none clashes with what an operator adds."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        within = [c if c in OWN else f"beside_{i}" for i, c in enumerate(names)]
+        return stage(spark, docs.toDF(*within), sf_dir).toDF(*names)
+
+    return run
+
+
+@keeping_columns
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cross-parsing cannot tell (no letter, or two languages fit alike) go."""
     return langid.keep_identified(docs, langid.learn(docs))
 
 
+@keeping_columns
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document (the least id, nulls first) of each group of near-duplicates stays; texts
     without a word are in no group."""
     return jaccard_join.keep_first(docs)
 
 
+@keeping_columns
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated strings of 100 bytes are cut out of the texts; the documents stay, and n_chars follows.
     Of a character that a cut splits nothing is left."""
@@ -37,6 +59,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(own)
 
 
+@keeping_columns
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture of sources takes them: all once at least, those of small sources
     again."""
