@@ -18,9 +18,9 @@ COUNT_LIMIT = 65_535
 PIECE = 2048
 
 
-def pieces(sequences: DataFrame, k: int, keep: tuple[str, ...]) -> DataFrame:
-    """Overlapping parts of sequences (seq, exts) with at most PIECE k-mers each, spread evenly over the
-    tasks: _p, the part with the base before and after it where the sequence has one; _left, whether
+def pieces(sequences: DataFrame, k: int, keep: tuple[str, ...], *, spread: bool = True) -> DataFrame:
+    """Overlapping parts of sequences (seq, exts) with at most PIECE k-mers each, with spread dealt evenly to
+    the tasks: _p, the part with the base before and after it where the sequence has one; _left, whether
     it has one before; _n, its number of k-mers; exts, the sequence's own at its outer sides."""
     s, own = F.col("seq"), F.col("exts")
     n = F.length(s) - (k - 1)
@@ -29,9 +29,10 @@ def pieces(sequences: DataFrame, k: int, keep: tuple[str, ...]) -> DataFrame:
     right = F.col("_at") + here < n
     part = F.substring(s, F.greatest(F.col("_at"), F.lit(1)), here + (k - 1) + left.cast("int") + right.cast("int"))
     outer = F.when(left, 0).otherwise(own.bitwiseAND(F.lit(15))).bitwiseOR(F.when(right, 0).otherwise(own.bitwiseAND(F.lit(240))))
+    cut = cut.select(*keep, part.alias("_p"), left.alias("_left"), here.alias("_n"), outer.alias("exts"))
     spark = sequences.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return cut.select(*keep, part.alias("_p"), left.alias("_left"), here.alias("_n"), outer.alias("exts")).repartition(tasks)
+    return cut.repartition(tasks) if spread else cut
 
 
 def _bit(base: Column, right: bool) -> Column:
@@ -43,7 +44,7 @@ def _bit(base: Column, right: bool) -> Column:
     return out
 
 
-def kmers_with_exts(sequences: DataFrame, k: int, *, keep: tuple[str, ...] = ("label",), canonical: bool = False, packed: bool = False) -> DataFrame:
+def kmers_with_exts(sequences: DataFrame, k: int, *, keep: tuple[str, ...] = ("label",), canonical: bool = False, packed: bool = False, spread: bool = True) -> DataFrame:
     """kmer, exts and the kept columns of every k-mer of sequences (seq, exts).
 
     Interior k-mers have the bases next to them, the first and the last one take the outer side
@@ -53,7 +54,7 @@ def kmers_with_exts(sequences: DataFrame, k: int, *, keep: tuple[str, ...] = ("l
     Only positions are exploded. K-mers are cut from bytes, which takes no walk along the string, and
     their reverse complements from that of the whole piece.
     """
-    rows = pieces(sequences, k, keep).withColumn("_r", S.rc("_p").cast("binary")).withColumn("_p", F.col("_p").cast("binary"))
+    rows = pieces(sequences, k, keep, spread=spread).withColumn("_r", S.rc("_p").cast("binary")).withColumn("_p", F.col("_p").cast("binary"))
     rows = rows.select("*", F.length("_p").alias("_len"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
     begin = F.col("_i") + F.col("_left").cast("int")  # from 1, within _p
     rows = rows.withColumn("_b", begin)
@@ -80,6 +81,8 @@ class Summarizer:
     #: Columns of the observations that are added up first: `aggregates` then see one row for each of
     #: their values, with the number of its observations as `n`.
     within: tuple[str, ...] = ()
+    #: Columns of the sequences that the aggregates read.
+    needs: tuple[str, ...] = ("label",)
 
     def columns(self) -> list[Column]:
         return [c.alias(name) for name, c in self.aggregates.items()]
@@ -88,12 +91,12 @@ class Summarizer:
 def count_filter(min_obs: int) -> Summarizer:
     """The saturating count; valid from min_obs on."""
     seen = F.least(F.col("n"), F.lit(COUNT_LIMIT))
-    return Summarizer({"data": F.least(F.count(F.lit(1)), F.lit(COUNT_LIMIT)).cast("int")}, seen >= min_obs)
+    return Summarizer({"data": F.least(F.count(F.lit(1)), F.lit(COUNT_LIMIT)).cast("int")}, seen >= min_obs, needs=())
 
 
 def label_filter(min_obs: int, label: str = "label") -> Summarizer:
     """The sorted distinct labels; valid from min_obs observations on."""
-    return Summarizer({"data": F.array_sort(F.collect_set(label))}, F.col("n") >= min_obs, (label,))
+    return Summarizer({"data": F.array_sort(F.collect_set(label))}, F.col("n") >= min_obs, (label,), (label,))
 
 
 def filter_kmers(sequences: DataFrame, k: int, summarizer: Summarizer, *, stranded: bool = False, report_all: bool = False):
@@ -102,7 +105,7 @@ def filter_kmers(sequences: DataFrame, k: int, summarizer: Summarizer, *, strand
     One shuffle of observations, after partial aggregation in generated code. A summarizer with
     columns `within` (labels) takes a second one, of the sums by those columns.
     """
-    obs = kmers_with_exts(sequences, k, canonical=not stranded, packed=True)
+    obs = kmers_with_exts(sequences, k, keep=summarizer.needs, canonical=not stranded, packed=True)
     table = summarize(obs, ("kmer",), summarizer)
     text = F.col("kmer").cast("string").alias("kmer")
     rest = [c for c in table.columns if c != "kmer"]

@@ -25,3 +25,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{base.rstrip('/')}/kmerloom-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(table: DataFrame) -> None:
+    """Remove the folder of a table from written() that nothing will read again."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

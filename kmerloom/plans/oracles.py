@@ -210,7 +210,9 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "kmer_count": km + " SELECT kmer, exts, n, CAST(data AS INTEGER) AS seen FROM km",
         "kmer_count_stranded": f"{doc}, {counted(12, MIN_OBS, stranded=True)} SELECT kmer, exts, n FROM km",
+        "kmer_count_by_segments": km + " SELECT kmer, exts, n, CAST(data AS INTEGER) AS seen FROM km",
         "kmer_colors": f"{doc}, {counted(20, MIN_OBS, colors=True)} SELECT kmer, exts, n, data AS colors FROM km",
+        "kmer_colors_by_segments": f"{doc}, {counted(20, MIN_OBS, colors=True)} SELECT kmer, exts, n, data AS colors FROM km",
         "kmer_all_report": f"{doc}, {observations(20)} SELECT kmer, count(*) >= {MIN_OBS} AS valid FROM obs GROUP BY kmer",
         "kmer_saturated": f"{doc}, {counted(4, 1)} SELECT kmer, n, CAST(data AS INTEGER) AS seen FROM km",
         "kmer_total": f"{doc} SELECT CAST(coalesce(sum(greatest(length(seq) - {K - 1}, 0)), 0) AS BIGINT) AS total FROM doc",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exts as E
 from ..functions import seq as S
-from ..operators import compact, graph, kmers, msp, paths
+from ..operators import compact, graph, kmers, msp, paths, segment_counts
 from ..operators.tables import written
 from ..sources import dna, export
 
@@ -206,6 +206,16 @@ def msp_kmer_cover(spark, sf_dir):
     return kmers.filter_kmers(pieces.select("seq", "exts", "label"), K, kmers.count_filter(MIN_OBS)).select("kmer", "exts", "n")
 
 
+def kmer_count_by_segments(spark, sf_dir):
+    """kmer_count, with a shuffle of segments by bucket."""
+    return segment_counts.filter_kmers(doc_sequences(spark, sf_dir), K, kmers.count_filter(MIN_OBS)).select("kmer", "exts", "n", F.col("data").alias("seen"))
+
+
+def kmer_colors_by_segments(spark, sf_dir):
+    out = segment_counts.filter_kmers(doc_sequences(spark, sf_dir), 20, kmers.label_filter(MIN_OBS), p=6)
+    return out.select("kmer", "exts", "n", F.array_join("data", ",").alias("colors"))
+
+
 # -- M6: compaction -----------------------------------------------------------------------------------
 
 

@@ -122,6 +122,53 @@ def test_minimizer_invariants(k, p):
                         assert i <= at <= i + k - p and scores[at] == window.min()
 
 
+def walked(scores, window):
+    """The rule of segments, one p-mer at a time."""
+    fresh = lambda start: max(range(start, start + window), key=lambda i: (-scores[i], i))
+    runs = [(0, fresh(0))]
+    for kmer in range(1, len(scores) - window + 1):
+        at = runs[-1][1]
+        if scores[kmer + window - 1] < scores[at]:
+            runs.append((kmer, kmer + window - 1))
+        elif at < kmer:
+            runs.append((kmer, fresh(kmer)))
+    return runs
+
+
+@pytest.mark.parametrize("piece", [7, 23, 1000])
+def test_segments_of_sequences_in_pieces(spark, monkeypatch, piece):
+    """Tasks that walk along parts of a sequence arrive at what one walk does, also where walks never meet."""
+    import numpy as np
+
+    k, p = 11, 4
+    monkeypatch.setattr(M, "PIECE", max(piece, k - p + 1))
+    rng = random.Random(piece)
+    seqs = [dna_of(rng, 300), "A" * 200, "ACGT" * 40, dna_of(rng, 60) + "T" * 90, dna_of(rng, k), dna_of(rng, k - 1), "ACAC" * 9 + dna_of(rng, 40)]
+    df = spark.createDataFrame([(i, s, 17, f"l{i}") for i, s in enumerate(seqs)], SEQS)
+    got = {}
+    for r in M.segments(df, k, p, score=M.permutation_score(rc=True), keep=("label",), outer=True).orderBy("seq_id", "seg_no").collect():
+        got.setdefault(r.seq_id, []).append((r.seg_no, r.start, r.len, r.minimizer, r.minimizer_pos, r.seq, r.exts, r.label))
+    bit = lambda c, side: 1 << "ACGT".index(c) + side
+    for i, s in enumerate(seqs):
+        if len(s) < k:
+            assert i not in got
+            continue
+        ranks, mirrored = M.pmer_ranks(s, p)
+        runs = walked(np.minimum(ranks, mirrored).tolist(), k - p + 1)
+        assert M.minimizer_runs(np.minimum(ranks, mirrored), k - p + 1) == runs
+        ends = [start + k - 1 for start, _ in runs[1:]] + [len(s)]
+        want = [(n, a, b - a, s[at : at + p], at, s[a:b], (bit(s[a - 1], 0) if a else 1) | (bit(s[b], 4) if b < len(s) else 16), f"l{i}") for n, ((a, at), b) in enumerate(zip(runs, ends))]
+        assert got[i] == want
+
+
+def test_simple_scan(spark):
+    df = spark.createDataFrame([(1, "GATTACAGGCATTACG", 0, "x")], SEQS)
+    rows = M.simple_scan(df, 6, 2, list(range(16))).orderBy("start").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, 0, 8), (1, 1, 3, 7), (1, 2, 5, 7), (1, 0, 7, 9)]
+    with pytest.raises(ValueError):
+        M.simple_scan(df, 6, 2, [0, 1])
+
+
 def test_segments_keep_all_kmers(spark):
     rng = random.Random(9)
     df = spark.createDataFrame([(i, dna_of(rng, 150), 0, "x") for i in range(10)], SEQS)
