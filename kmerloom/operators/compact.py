@@ -2,9 +2,9 @@
 
 An element (k-mer or node) is walked forwards, leaving on the right, or backwards, leaving on the
 left: state 2 * id or 2 * id + 1. A link takes a state to at most one other, and the mirror image
-of a link is a link, so the states form chains and circles. Pointer doubling finds each state's
-end in a number of rounds that is logarithmic in the longest path; no walk is sequential and no
-visited set exists.
+of a link is a link, so the states form chains and circles. They are contracted, in rounds that each
+leave three quarters of the links, until one task can follow what is left; no walk along a whole
+path and no visited set exists.
 """
 
 from __future__ import annotations
@@ -12,14 +12,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import exts as E
 from ..functions import seq as S
 from .kmers import COUNT_LIMIT, exts_from_set
-from .tables import written
+from .tables import Temporary, written
 
+#: Links that one task follows in memory (32 bytes each).
+BASE = 1 << 20
 #: Pieces of a path that are put together at a time.
 PIECES = 4096
 
@@ -44,47 +48,86 @@ def equal_data_compression() -> Compression:
     return Compression({"data": F.first("data")}, lambda a, b: a.eqNullSafe(b))
 
 
-def chains(links: DataFrame, *, max_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
-    """From links (s, t): (s, end, hops) of the states on chains, and (s, t, least) of those on circles."""
-    starts = links.select(F.col("s").alias("_s"))
-    now = links.join(starts, links["t"] == starts["_s"], "left").select("s", F.col("t").alias("to"), F.lit(1).cast("long").alias("hops"), F.least("s", "t").alias("least"), F.col("_s").isNull().alias("done"))
-
-    def observed(df: DataFrame) -> tuple[DataFrame, tuple]:
-        """The written table, and of its open rows the number and a sum, measured as it is written."""
+def solve(links: DataFrame) -> DataFrame:
+    """s, end, hops, least of weighted links (s, t, hops, least), of which there are at most BASE: one task
+    takes them all. end is null on circles, of which least is the least of all of theirs."""
+
+    def run(batches):
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        rows = pa.Table.from_batches(tables)
+        s, t, hops, least = (rows.column(c).to_numpy() for c in ("s", "t", "hops", "least"))
+        order = np.argsort(s)
+        s, t, hops, least = s[order], t[order], hops[order], least[order]
+        at = np.searchsorted(s, t).clip(max=len(s) - 1)
+        ahead = np.where(s[at] == t, at, -1)  # the place of the row that goes on from t
+        for _ in range(len(s).bit_length()):
+            on = np.flatnonzero(ahead >= 0)
+            far = ahead[on]
+            hops[on], least[on], t[on] = hops[on] + hops[far], np.minimum(least[on], least[far]), t[far]
+            ahead[on] = ahead[far]
+        circle = ahead >= 0
+        out = pa.table({"s": s, "end": pa.array(t, mask=circle), "hops": hops, "least": least})
+        yield from out.to_batches(max_chunksize=1 << 16)
+
+    return links.select("s", "t", "hops", "least").repartition(1).mapInArrow(run, "s long, end long, hops long, least long")
+
+
+def chains(links: DataFrame, write: Temporary, *, base: int = BASE) -> tuple[DataFrame, DataFrame]:
+    """From links (s, t): (s, end, hops) of the states on chains, and (s, t, least) of those on circles.
+
+    Contraction by random mates: each state tosses a coin in each round, and one with heads whose
+    successor has tails leaves, its link taken over by its predecessor (which stays, as its own
+    successor has heads). So a quarter of the links leaves in a round, and all rounds together write
+    four times the links. What is left fits one task, which follows it in memory; those that left
+    come back in reverse order, each with what its successor has found.
+    """
+    left: list[DataFrame] = []
+    seen = Observation()
+    now = links.select("s", "t", F.lit(1).cast("long").alias("hops"), F.least("s", "t").alias("least"))
+    now = write(now.observe(seen, F.count(F.lit(1)).alias("n")), "chains")
+    n = seen.get["n"]
+    while n > base:
+        coin = lambda state: F.xxhash64(state, F.lit(len(left))).bitwiseAND(F.lit(1)) == 1  # noqa: B023, E731
+        # A link that has come round to its own state is a circle, and settled.
+        leaves = (coin(F.col("s")) & ~coin(F.col("t"))) | (F.col("s") == F.col("t"))
+        gone = write(now.filter(leaves), "chains-left")
+        over = gone.select(F.col("s").alias("_s"), F.col("t").alias("_t"), F.col("hops").alias("_hops"), F.col("least").alias("_least"))
+        kept = now.filter(~leaves).join(over, F.col("t") == F.col("_s"), "left")
+        kept = kept.select("s", F.coalesce("_t", "t").alias("t"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.least("least", "_least").alias("least"))
         seen = Observation()
-        open_ = lambda c: F.when(~F.col("done"), c)
-        table = written(df.observe(seen, F.count(open_(F.lit(1))).alias("n"), F.sum(open_(F.col("least").cast("decimal(38,0)"))).alias("sum")), "chains")
-        return table, (seen.get["n"], seen.get["sum"])
-
-    (now, facts), before = observed(now), None
-    for _ in range(max_rounds):
-        if facts[0] == 0 or facts == before:
-            break
-        before = facts
-        far = now.select(F.col("s").alias("_s"), F.col("to").alias("_to"), F.col("hops").alias("_hops"), F.col("least").alias("_least"), F.col("done").alias("_done"))
-        on = now.filter("not done").join(far, F.col("to") == F.col("_s"))
-        step = on.select("s", F.col("_to").alias("to"), (F.col("hops") + F.col("_hops")).alias("hops"), F.least("least", "_least").alias("least"), F.col("_done").alias("done"))
-        now, facts = observed(now.filter("done").unionByName(step))
-    else:
-        raise RuntimeError("paths did not settle")
-    circles = now.filter("not done").select("s", "least").join(links, "s").select("s", "t", "least")
-    return now.filter("done").select("s", F.col("to").alias("end"), "hops"), circles
-
-
-def paths(elements: DataFrame, links: DataFrame, *, stranded: bool = False) -> DataFrame:
+        old, now = now, write(kept.observe(seen, F.count(F.lit(1)).alias("n")), "chains")
+        n = seen.get["n"]
+        write.drop(old)
+        left.append(gone)
+    found = write(solve(now), "chains-found")
+    write.drop(now)
+    for gone in reversed(left):
+        far = found.select(F.col("s").alias("_s"), "end", F.col("hops").alias("_hops"), F.col("least").alias("_least"))
+        back = gone.join(far, F.col("t") == F.col("_s"), "left")
+        # A successor without a row of its own is an end.
+        back = back.select("s", F.when(F.col("_s").isNull() & (F.col("s") != F.col("t")), F.col("t")).otherwise(F.col("end")).alias("end"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.coalesce("_least", "least").alias("least"))
+        old, found = found, write(found.unionByName(back), "chains-found")
+        write.drop(old), write.drop(gone)
+    circles = found.filter("end is null").select("s", "least").join(links, "s").select("s", "t", "least")
+    return found.filter("end is not null").select("s", "end", "hops"), circles
+
+
+def paths(elements: DataFrame, links: DataFrame, write: Temporary, *, stranded: bool = False, base: int = BASE) -> DataFrame:
     """id, backward, path, pos for every element (id): its path, its place in it and whether the path
     walks it backwards. A path starts at the lesser of its two ends, with strands always at the one
     that is walked forwards; a circle is cut before its least element, which is walked forwards."""
     mirrored = links.select(F.col("t").bitwiseXOR(F.lit(1)).alias("s"), F.col("s").bitwiseXOR(F.lit(1)).alias("t"))
     both = links.select("s", "t").withColumn("own", F.lit(1)).unionByName(mirrored.withColumn("own", F.lit(0)))
     links = both.groupBy("s", "t").agg(F.max("own").alias("x"), F.min("own").alias("y")).filter("x <> y").select("s", "t")
-    links = written(links, "links")
-    ends, circles = chains(links)
-    circles = written(circles, "circles")
+    links = write(links, "links")
+    ends, circles = chains(links, write, base=base)
+    circles = write(circles, "circles")
     if circles.head(1):
         even = F.pmod("least", F.lit(2)) == 0
         cut = circles.filter(~((even & (F.col("t") == F.col("least"))) | (~even & (F.col("s") == F.col("least"))))).select("s", "t")
-        ends = ends.unionByName(chains(written(cut, "cut"))[0])
+        ends = ends.unionByName(chains(write(cut, "cut"), write, base=base)[0])
     side = lambda b: ends.filter(F.pmod("s", F.lit(2)) == b).select(F.shiftright("s", 1).alias("id"), F.col("end").alias(f"end{b}"), F.col("hops").alias(f"hops{b}"))
     rows = elements.select("id").join(side(0), "id", "left").join(side(1), "id", "left")
     end0, end1 = F.coalesce("end0", F.col("id") * 2), F.coalesce("end1", F.col("id") * 2 + 1)
@@ -111,9 +154,9 @@ def spell(elements: DataFrame, placed: DataFrame, k: int, reduce: dict[str, Colu
     return nodes.select(F.col("path").alias("node_id"), "seq", F.length("seq").alias("len"), "exts", "members", *reduce)
 
 
-def with_ids(kmers: DataFrame) -> DataFrame:
+def with_ids(kmers: DataFrame, write: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """k-mers with an id that follows their order (a range partition, numbered part by part)."""
-    return written(kmers.repartitionByRange("kmer").sortWithinPartitions("kmer").withColumn("id", F.monotonically_increasing_id()), "kmers")
+    return write(kmers.repartitionByRange("kmer").sortWithinPartitions("kmer").withColumn("id", F.monotonically_increasing_id()), "kmers")
 
 
 def kmer_links(kmers: DataFrame, *, stranded: bool, join_test) -> DataFrame:
@@ -144,9 +187,10 @@ def compress_kmers(kmers: DataFrame, k: int, *, stranded: bool = False, spec: Co
     their targets are in the table.
     """
     spec = spec or Compression()
-    table = with_ids(kmers.select("kmer", "exts", "data"))
-    placed = paths(table, kmer_links(table, stranded=stranded, join_test=spec.join_test), stranded=stranded)
-    return spell(table.withColumnRenamed("kmer", "seq"), placed, k, spec.reduce)
+    with Temporary(kmers.sparkSession, "compact") as write:
+        table = with_ids(kmers.select("kmer", "exts", "data"), write)
+        placed = paths(table, kmer_links(table, stranded=stranded, join_test=spec.join_test), write, stranded=stranded)
+        return written(spell(table.withColumnRenamed("kmer", "seq"), placed, k, spec.reduce), "unitigs")
 
 
 def compress_kmers_no_exts(kmers: DataFrame, k: int, *, spec: Compression | None = None) -> DataFrame:

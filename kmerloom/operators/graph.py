@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import exts as E
 from ..functions import seq as S
 from .compact import Compression, paths, spell
-from .tables import written
+from .tables import Temporary, written
 
 
 @dataclass(frozen=True)
@@ -116,8 +116,9 @@ def compress_graph(graph: Graph, spec: Compression | None = None, censor: DataFr
         entry = F.when(arrive_right, F.right("dseq", F.lit(graph.k))).otherwise(F.left("dseq", F.lit(graph.k)))
         links = links.filter(~_single_palindrome("sseq", graph.k) & ~S.is_palindrome(entry))
     links = links.select((F.col("src") * 2 + (~right).cast("int")).alias("s"), (F.col("dst") * 2 + arrive_right.cast("int")).alias("t"))
-    merged = spell(table, paths(table, links, stranded=graph.stranded), graph.k, spec.reduce)
-    return fix_exts(replace(graph, nodes=written(merged, "merged")))
+    with Temporary(table.sparkSession, "merge") as write:
+        merged = written(spell(table, paths(table, links, write, stranded=graph.stranded), graph.k, spec.reduce), "merged")
+    return fix_exts(replace(graph, nodes=merged))
 
 
 def uncompressed_pairs(graph: Graph, spec: Compression | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import seq as S
-from .tables import drop, written
+from .tables import Temporary, written
 
 _CODE = np.zeros(256, np.int64)
 _CODE[[ord(b) for b in "ACGT"]] = range(4)
@@ -162,29 +162,27 @@ def _entries(pieces: DataFrame, k: int, p: int, score: Score) -> DataFrame:
                 lists = [pa.array([x.tolist() for x in c], pa.list_(pa.int32())) for c in (exits, counts)]
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("piece"), *lists], names=["key", "piece", "exits", "counts"])
 
-    tables = written(pieces.filter("key is not null").dropDuplicates(["key", "piece"]).select("key", "piece", "text", "at", "lo", "hi", "n").mapInArrow(run, "key long, piece int, exits array<int>, counts array<int>"), "msp-exits")
-    if not tables.head(1):
-        drop(tables)
-        return None
-    one = F.array_min("exits") == F.array_max("exits")
-    now = tables.select("key", "piece", "exits", F.when(one, 0).otherwise(F.col("piece")).alias("from"))
-    reach = written(now, "msp-reach")
-    while reach.filter("`from` > 0").head(1):
-        before = reach.select("key", (F.col("piece") + 1).alias("from"), F.col("exits").alias("_exits"), F.col("from").alias("_from"))
-        joined = reach.filter("`from` > 0").join(before, ["key", "from"])
-        through = F.transform("_exits", lambda x: F.when(x < 0, x).otherwise(F.element_at("exits", x + 1)))
-        again, old = joined.select("key", "piece", through.alias("exits"), F.when(F.array_min(through) == F.array_max(through), 0).otherwise(F.col("_from")).alias("from")), reach
-        reach = written(again.unionByName(reach.filter("`from` = 0")), "msp-reach")
-        drop(old)
-    into = reach.select("key", (F.col("piece") + 1).alias("piece"), F.when(F.element_at("exits", 1) >= 0, F.element_at("exits", 1)).alias("entry"))
-    own = tables.select("key", "piece", "counts").join(into, ["key", "piece"], "left")
-    # A row a piece: what a walk adds there, by where it enters; the first piece begins one run more.
-    count = F.when(F.col("piece") == 0, F.element_at("counts", 1) + 1).when(F.col("entry").isNull(), 0).otherwise(F.element_at("counts", F.col("entry") + 1))
-    earlier = F.sum("_c").over(Window.partitionBy("key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
-    out = own.withColumn("_c", count).withColumn("before", earlier).filter("piece > 0").select("key", "piece", "entry", "before")
-    out = written(out, "msp-entries")
-    drop(tables), drop(reach)
-    return out
+    with Temporary(pieces.sparkSession, "msp") as write:
+        long = pieces.filter("key is not null").dropDuplicates(["key", "piece"]).select("key", "piece", "text", "at", "lo", "hi", "n")
+        tables = write(long.mapInArrow(run, "key long, piece int, exits array<int>, counts array<int>"), "exits")
+        if not tables.head(1):
+            return None
+        one = F.array_min("exits") == F.array_max("exits")
+        reach = write(tables.select("key", "piece", "exits", F.when(one, 0).otherwise(F.col("piece")).alias("from")), "reach")
+        while reach.filter("`from` > 0").head(1):
+            before = reach.select("key", (F.col("piece") + 1).alias("from"), F.col("exits").alias("_exits"), F.col("from").alias("_from"))
+            joined = reach.filter("`from` > 0").join(before, ["key", "from"])
+            through = F.transform("_exits", lambda x: F.when(x < 0, x).otherwise(F.element_at("exits", x + 1)))
+            again = joined.select("key", "piece", through.alias("exits"), "_from")
+            again = again.select("key", "piece", "exits", F.when(one, 0).otherwise(F.col("_from")).alias("from"))
+            old, reach = reach, write(again.unionByName(reach.filter("`from` = 0")), "reach")
+            write.drop(old)
+        into = reach.select("key", (F.col("piece") + 1).alias("piece"), F.when(F.element_at("exits", 1) >= 0, F.element_at("exits", 1)).alias("entry"))
+        own = tables.select("key", "piece", "counts").join(into, ["key", "piece"], "left")
+        # A row a piece: what a walk adds there, by where it enters; the first piece begins one run more.
+        count = F.when(F.col("piece") == 0, F.element_at("counts", 1) + 1).when(F.col("entry").isNull(), 0).otherwise(F.element_at("counts", F.col("entry") + 1))
+        earlier = F.sum("_c").over(Window.partitionBy("key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+        return written(own.withColumn("_c", count).withColumn("before", earlier).filter("piece > 0").select("key", "piece", "entry", "before"), "msp-entries")
 
 
 def segments(sequences: DataFrame, k: int, p: int, *, score: Score | None = None, keep: tuple[str, ...] = (), outer: bool = False) -> DataFrame:

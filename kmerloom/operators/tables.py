@@ -5,31 +5,67 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df and read it back, which ends its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder in spark.checkpoint.dir.
 
-    The folder is spark.checkpoint.dir. Only a session on this machine alone may go without: it gets a
-    temporary one, which on a cluster would be a different folder on each machine.
+    Only a session on this machine alone may go without that setting: it gets a temporary folder, which
+    on a cluster would be a different one on each machine.
     """
-    conf = df.sparkSession.conf
-    base = conf.get("spark.checkpoint.dir", None) or conf.get("kmerloom.tables.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("kmerloom.tables.dir", None)
     if not base:
-        master = df.sparkSession.sparkContext.master
+        master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="kmerloom-tables-")
-        conf.set("kmerloom.tables.dir", base)
-    path = f"{base.rstrip('/')}/kmerloom-tables/{name}-{uuid.uuid4().hex}"
+        spark.conf.set("kmerloom.tables.dir", base)
+    return f"{base.rstrip('/')}/kmerloom-tables/{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, on any Hadoop file system."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(table: DataFrame) -> None:
-    """Remove the folder of a table from written() that nothing will read again."""
-    spark = table.sparkSession
-    for file in table.inputFiles()[:1]:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df and read it back, which ends its lineage. It stays until cleanup()."""
+    return _write(df, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Remove all tables of this application; call it after the last result is written elsewhere."""
+    remove(spark, shared_folder(spark))
+
+
+class Temporary:
+    """written() for the tables that an operator needs until its own result is written: drop() removes one,
+    the end of the `with` block all of them. What outlives the block is written by written() within."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{len(self.tables)}-{name}"
+        table = _write(df, path)
+        self.tables.append((table, path))
+        return table
+
+    def drop(self, table: DataFrame) -> None:
+        for own, path in self.tables:
+            if own is table:
+                remove(self.spark, path)
+
+    def __enter__(self) -> Temporary:
+        return self
+
+    def __exit__(self, *failed) -> None:
+        remove(self.spark, self.path)

@@ -222,8 +222,7 @@ def kmer_colors_by_segments(spark, sf_dir):
 def doc_graph(spark, sf_dir, k: int = K, min_obs: int = MIN_OBS) -> graph.Graph:
     """The repaired, normalised unitig graph of DOC."""
     table_ = kmers.filter_kmers(doc_sequences(spark, sf_dir), k, kmers.count_filter(min_obs))
-    nodes = written(compact.compress_kmers(table_, k), "unitigs")
-    out = graph.fix_exts(graph.Graph(nodes, k)).normalised()
+    out = graph.fix_exts(graph.Graph(compact.compress_kmers(table_, k), k)).normalised()
     return graph.Graph(written(out.nodes, "graph"), k)
 
 
@@ -270,7 +269,7 @@ def unitigs_sharded(spark, sf_dir):
     table_ = obs.groupBy("bucket", "kmer").agg(F.bit_or("exts").alias("exts"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_OBS)
     table_ = table_.withColumn("data", F.struct("bucket", F.least("n", F.lit(kmers.COUNT_LIMIT)).cast("int").alias("count")))
     spec = compact.Compression({"data": F.least(F.sum("data.count"), F.lit(kmers.COUNT_LIMIT)).cast("int")}, lambda a, b: a["bucket"] == b["bucket"])
-    shards = graph.Graph(written(compact.compress_kmers(table_, K, spec=spec), "shards"), K)
+    shards = graph.Graph(compact.compress_kmers(table_, K, spec=spec), K)
     out = graph.compress_graph(graph.combine([shards]))
     return _by_least_kmer(_shown(out)).select("least_kmer", "len", "data")
 

@@ -11,7 +11,7 @@ from kmerloom.operators import compact as C
 from kmerloom.operators import graph as G
 from kmerloom.operators import kmers as K
 from kmerloom.operators import paths as P
-from kmerloom.operators.tables import written
+from kmerloom.operators.tables import Temporary, shared_folder, written
 from kmerloom.sources import export
 
 SEQS = "seq_id long, seq string, exts int, label string"
@@ -211,3 +211,52 @@ def test_kmer_positions(spark):
     _, g = graph_of(spark, *CASES["simple"])
     rows = G.node_kmers(g)
     assert rows.count() == g.nodes.select(F.sum(S.total_kmers("seq", g.k))).first()[0]
+
+
+def files_below(spark, path):
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(folder).getFileCount() if fs.exists(folder) else 0
+
+
+@pytest.mark.parametrize("base", [1 << 20, 10, 0])
+def test_chains_by_contraction(spark, base):
+    """Chains and circles of any length, followed in one task or contracted down to nothing."""
+    rng = random.Random(base)
+    ids = list(range(400))
+    rng.shuffle(ids)
+    nexts, end, hops, least = {}, {}, {}, {}
+    for size, circle in [(1, False), (2, False), (60, False), (130, False), (1, True), (2, True), (3, True), (90, True)]:
+        part = [ids.pop() for _ in range(size)]
+        for i, s in enumerate(part):
+            if i + 1 < size:
+                nexts[s], end[s], hops[s] = part[i + 1], part[-1], size - 1 - i
+            elif circle:
+                nexts[s] = part[0]
+        if circle:
+            least.update({s: min(part) for s in part})
+            for s in part:
+                end.pop(s, None)
+    links = spark.createDataFrame(list(nexts.items()), "s long, t long")
+    with Temporary(spark, "test") as write:
+        ends, circles = C.chains(links, write, base=base)
+        assert {r.s: (r.end, r.hops) for r in ends.collect()} == {s: (e, hops[s]) for s, e in end.items()}
+        assert {(r.s, r.t, r.least) for r in circles.collect()} == {(s, nexts[s], m) for s, m in least.items()}
+        assert len([t for t in write.tables if files_below(spark, t[1])]) == 1  # what the results read
+    assert not files_below(spark, write.path)
+
+
+def test_contracted_unitigs_leave_nothing_behind(spark, monkeypatch):
+    seqs = contigs(5)
+    _, whole = graph_of(spark, seqs, 21)
+    want = sorted(map(repr, whole.normalised().nodes.collect()))
+    df = spark.createDataFrame([(i, s, 0, "x") for i, s in enumerate(seqs)], SEQS)
+    table = written(K.filter_kmers(df, 21, K.count_filter(1)), "t")
+    monkeypatch.setattr(C.chains, "__kwdefaults__", {"base": 5})
+    monkeypatch.setattr(C.paths, "__kwdefaults__", {"stranded": False, "base": 5})
+    before = files_below(spark, shared_folder(spark))
+    nodes = C.compress_kmers(table, 21)
+    assert sorted(map(repr, G.Graph(nodes, 21).normalised().nodes.collect())) == want
+    out = len(nodes.inputFiles())
+    assert out <= files_below(spark, shared_folder(spark)) - before <= 4 * out + 40  # the result and what normalised() writes
