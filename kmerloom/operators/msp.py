@@ -185,26 +185,27 @@ def _entries(pieces: DataFrame, k: int, p: int, score: Score) -> DataFrame:
         return written(own.withColumn("_c", count).withColumn("before", earlier).filter("piece > 0").select("key", "piece", "entry", "before"), "msp-entries")
 
 
-def segments(sequences: DataFrame, k: int, p: int, *, score: Score | None = None, keep: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
+def segments(sequences: DataFrame, k: int, p: int, *, score: Score | None = None, keep: tuple[str, ...] = (), outer: bool = False, write: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """seq_id, seg_no, bucket, minimizer, minimizer_pos, start, len, exts, seq and the kept columns: the
     segments of every sequence of at least k bases; shorter ones give none.
 
     exts are the bases next to a segment; at the sequence's own ends none, or with outer those of its
     column exts. bucket is the rank of the canonical minimizer, whatever the score looked at. A
     sequence with more than PIECE p-mers is walked by several tasks.
+
+    The pieces are written once, by `write`, dealt evenly to the tasks however few files or row groups the
+    sequences come in.
     """
     score = score or permutation_score()
     window = k - p + 1
     own = (*keep, "exts") if outer and "exts" not in keep else keep
-    pieces = _pieces(sequences, k, p, own)
+    spark = sequences.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    pieces = write(_pieces(sequences, k, p, own).repartition(tasks), "msp-pieces")
     entries = _entries(pieces, k, p, score)
     plain = pieces.withColumn("entry", F.lit(None).cast("int")).withColumn("before", F.lit(0).cast("long"))
     if entries is not None:
         plain = plain.filter("key is null").unionByName(pieces.filter("key is not null").join(entries, ["key", "piece"], "left"))
-    pieces = plain
-    spark = sequences.sparkSession
-    # Evenly over the tasks, however few files or row groups the sequences come in.
-    pieces = pieces.drop("key").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
     def run(batches):
         for batch in _together(batches):
@@ -246,7 +247,7 @@ def segments(sequences: DataFrame, k: int, p: int, *, score: Score | None = None
 
     kinds = {"seq_id": None, "seg_no": "int", "bucket": "long", "minimizer": "string", "minimizer_pos": "int", "start": "int", "len": "int", "exts": "int", "seq": "string"} | dict.fromkeys(keep)
     names = [*kinds]
-    return pieces.mapInArrow(run, ", ".join(f"`{c}` {t or sequences.schema[c].dataType.simpleString()}" for c, t in kinds.items()))
+    return plain.drop("key").mapInArrow(run, ", ".join(f"`{c}` {t or sequences.schema[c].dataType.simpleString()}" for c, t in kinds.items()))
 
 
 def bucket(minimizer: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import msp
 from .kmers import Summarizer, kmers_with_exts, summarize
+from .tables import Temporary, written
 
 #: Bases of a bucket that one task takes at least.
 LEAST_LIMIT = 1 << 20
@@ -34,25 +35,29 @@ def heavy_buckets(segments: DataFrame, limit: int | None) -> DataFrame:
 def filter_kmers(sequences: DataFrame, k: int, summarizer: Summarizer, *, p: int = 8, stranded: bool = False, report_all: bool = False, limit: int | None = None):
     """What kmers.filter_kmers gives, by way of segments.
 
-    The walk runs twice over the sequences (bucket sizes are 4**p / 2 sums at most, then segments),
-    which is cheaper than to write the segments. limit: bases of a bucket in one task.
+    The walk runs twice over the pieces of the sequences (bucket sizes are 4**p / 2 sums at most, then
+    segments), which is cheaper than to write the segments. The result is written. limit: bases of a
+    bucket in one task.
     """
     if not 1 <= p <= min(k, 12):
         raise ValueError("a minimizer has 1 to min(k, 12) bases")
     kept = summarizer.needs
-    rows = msp.segments(sequences, k, p, score=msp.permutation_score(rc=not stranded), keep=kept, outer=True)
-    heavy = heavy_buckets(rows, limit)
-    rows = rows.select("bucket", "seq", "exts", *kept)
-
-    def counted(part: DataFrame) -> DataFrame:
-        obs = kmers_with_exts(part, k, keep=("bucket", *kept), canonical=not stranded, packed=True, spread=False)
-        return summarize(obs, ("bucket", "kmer"), summarizer)
-
-    # Grouping by (bucket, kmer) needs no further exchange where rows are dealt by bucket.
-    table = counted(rows.join(F.broadcast(heavy), "bucket", "left_anti").repartition("bucket"))
-    if heavy.head(1):
-        table = table.unionByName(counted(rows.join(F.broadcast(heavy), "bucket", "left_semi")))
-    text = F.col("kmer").cast("string").alias("kmer")
-    rest = [c for c in table.columns if c not in ("bucket", "kmer")]
-    valid = table.filter(summarizer.valid).select(text, *rest)
-    return (valid, table.select(text)) if report_all else valid
+    with Temporary(sequences.sparkSession, "segment-counts") as write:
+        rows = msp.segments(sequences, k, p, score=msp.permutation_score(rc=not stranded), keep=kept, outer=True, write=write)
+        heavy = write(heavy_buckets(rows, limit), "heavy")
+        rows = rows.select("bucket", "seq", "exts", *kept)
+
+        def counted(part: DataFrame) -> DataFrame:
+            obs = kmers_with_exts(part, k, keep=("bucket", *kept), canonical=not stranded, packed=True, spread=False)
+            return summarize(obs, ("bucket", "kmer"), summarizer)
+
+        # Grouping by (bucket, kmer) needs no further exchange where rows are dealt by bucket.
+        table = counted(rows.join(F.broadcast(heavy), "bucket", "left_anti").repartition("bucket"))
+        if heavy.head(1):
+            table = table.unionByName(counted(rows.join(F.broadcast(heavy), "bucket", "left_semi")))
+        text = F.col("kmer").cast("string").alias("kmer")
+        rest = [c for c in table.columns if c not in ("bucket", "kmer")]
+        if not report_all:
+            return written(table.filter(summarizer.valid).select(text, *rest), "kmers")
+        table = written(table.select(text, *rest), "kmers")
+        return table.filter(summarizer.valid), table.select("kmer")

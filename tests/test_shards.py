@@ -33,10 +33,3 @@ def test_counts_by_segments(spark, stranded, limit):
         want = kmers.filter_kmers(df, 21, summarizer, stranded=stranded, report_all=True)
         got = segment_counts.filter_kmers(df, 21, summarizer, p=5, stranded=stranded, report_all=True, limit=limit)
         assert rows(got[0].select(*want[0].columns)) == rows(want[0]) and rows(got[1]) == rows(want[1])
-
-
-def test_counts_by_segments_shuffle_segments_only(spark, sf):
-    """Behind the exchange by bucket k-mers are listed and grouped without another one."""
-    plan = entry.queries()["kmer_count_by_segments"](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    kmer = plan.index("kmer")
-    assert "hashpartitioning(bucket" in plan and "hashpartitioning(kmer" not in plan[kmer:] and "hashpartitioning(bucket#0, kmer" not in plan
