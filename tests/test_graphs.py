@@ -260,3 +260,69 @@ def test_contracted_unitigs_leave_nothing_behind(spark, monkeypatch):
     assert sorted(map(repr, G.Graph(nodes, 21).normalised().nodes.collect())) == want
     out = len(nodes.inputFiles())
     assert out <= files_below(spark, shared_folder(spark)) - before <= 4 * out + 40  # the result and what normalised() writes
+
+
+def test_forest_knows_its_paths():
+    rng = random.Random(2)
+    forest, paths = P.Forest(), []
+    for i in range(600):
+        parent = rng.randrange(-1, i) if rng.random() < 0.2 else i - 1
+        node = rng.randrange(80)
+        assert forest.add(parent, node, "LR"[i % 2]) == i
+        paths.append([*(paths[parent] if parent >= 0 else []), (node, "LR"[i % 2])])
+    for i in range(0, 600, 7):
+        assert [(n, d) for _, n, d in forest.path(i)] == paths[i]
+        for node in range(0, 80, 3):
+            assert forest.holds(i, node) == any(n == node for n, _ in paths[i])
+
+
+@pytest.mark.parametrize("beam", [1, 3, 50])
+def test_beam_follows_the_model(spark, beam):
+    """Against a search that keeps whole paths."""
+    rng = random.Random(beam)
+    parts = [dna(rng, 30) for _ in range(6)]
+    seqs = ["".join(rng.choice(parts) for _ in range(8)) for _ in range(6)]
+    _, g = graph_of(spark, seqs, 15)
+    g = G.fix_exts(g).normalised()
+    g = G.Graph(written(g.nodes, "g"), g.k)
+    data = {r.node_id: r for r in g.nodes.collect()}
+    out = {}
+    for e in G.edges(g).collect():
+        out.setdefault((e.src, e.src_dir), []).append((e.base, e.dst, e.dst_side))
+    flip = {"L": "R", "R": "L"}
+    states = []
+    for i, n in sorted(data.items()):
+        left, right = n.exts & 15, n.exts & 240
+        if not left or not right:
+            states.append(([(i, "R" if left and not right else "L")], float(n.data), "end" if not left and not right else "active"))
+    states = states or [([(0, "L")], float(data[0].data), "active")]
+    while any(s[2] == "active" for s in states):
+        pool = []
+        for path, total, status in states:
+            if status != "active":
+                pool.append((path, total, status))
+                continue
+            last, side = path[-1]
+            for _, dst, dst_side in sorted(out.get((last, flip[side]), [])):
+                now = "cycle" if any(n == dst for n, _ in path) else "active" if out.get((dst, flip[dst_side])) else "end"
+                pool.append(([*path, (dst, dst_side)], total + data[dst].data, now))
+        states = sorted(pool, key=lambda s: -s[1])[:beam]
+    got = P.beam_path(g, beam, F.col("data")).orderBy("pos").collect()
+    assert [(r.node_id, r.dir) for r in got] == states[0][0] and len(got) > 2
+
+
+def test_path_in_blocks(spark, monkeypatch):
+    """A path over several levels of blocks is spelled as one walk spells it."""
+    monkeypatch.setattr(P, "BLOCK", 3)
+    rng = random.Random(8)
+    k, seqs = 5, [dna(rng, 12) for _ in range(40)]
+    nodes = spark.createDataFrame(list(enumerate(seqs)), "node_id long, seq string")
+    path = [(pos, rng.randrange(40), rng.choice("LR")) for pos in range(70)]
+    rows = spark.createDataFrame(path, "pos long, node_id long, dir string")
+    own = lambda n, d: rc(seqs[n]) if d == "R" else seqs[n]
+    want = own(*path[0][1:]) + "".join(own(n, d)[k - 1 :] for _, n, d in path[1:])
+    g = G.Graph(nodes, k)
+    assert P.path_sequence(g, rows).first().seq == want
+    blocks = P.path_blocks(g, rows).orderBy("block").collect()
+    assert "".join(b.seq for b in blocks) == want and all(want[b.start :].startswith(b.seq) for b in blocks) and len(blocks) == 24
+    assert [r.seq for r in P.path_sequence(g, rows.limit(0)).collect()] == [""]
