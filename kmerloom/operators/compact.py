@@ -28,15 +28,30 @@ BASE = 1 << 20
 PIECES = 4096
 
 
+@dataclass(frozen=True)
+class Ordered:
+    """A reduction in path order: of(data) of the first member, merged with that of the next, and so on.
+
+    merge must be associative, and need not be commutative. turn makes of an element's value that of
+    the same element read backwards (by default the same).
+    """
+
+    of: Callable[[Column], Column]
+    merge: Callable[[Column, Column], Column]
+    turn: Callable[[Column], Column] = lambda x: x
+
+
 @dataclass(frozen=True)
 class Compression:
     """How node data merge: aggregates over the members' `data`, and whether neighbours may join.
 
-    The aggregates must not depend on order; join_test must be symmetric.
+    The aggregates must not depend on order; where the order matters, `ordered` names reductions that
+    are folded along the path. join_test must be symmetric.
     """
 
     reduce: dict[str, Column] = field(default_factory=lambda: {"data": F.least(F.sum("data"), F.lit(COUNT_LIMIT)).cast("int")})
     join_test: Callable[[Column, Column], Column] = lambda a, b: F.lit(True)
+    ordered: dict[str, Ordered] = field(default_factory=dict)
 
 
 def simple_compression(**reduce: Column) -> Compression:
@@ -136,22 +151,33 @@ def paths(elements: DataFrame, links: DataFrame, write: Temporary, *, stranded:
     return rows.select("id", back.alias("backward"), (from0 if stranded else F.least(from0, from1)).alias("path"), F.coalesce(F.when(back, F.col("hops0")).otherwise(F.col("hops1")), F.lit(0)).alias("pos"))
 
 
-def spell(elements: DataFrame, placed: DataFrame, k: int, reduce: dict[str, Column]) -> DataFrame:
+def fold(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """An array folded from its first element on."""
+    return F.aggregate(F.slice(values, 2, F.size(values)), F.element_at(values, 1), merge)
+
+
+def spell(elements: DataFrame, placed: DataFrame, k: int, spec: Compression) -> DataFrame:
     """nodes(node_id, seq, len, exts, data) from elements (id, seq, exts, data) and their places.
 
-    Pieces are put together PIECES at a time before whole paths are, which bounds what is sorted.
+    Pieces are put together, and ordered values folded, PIECES at a time before whole paths are, which
+    bounds what is sorted.
     """
     rows = elements.join(placed, "id")
     oriented = F.when(F.col("backward"), S.rc("seq")).otherwise(F.col("seq"))
     turned = F.when(F.col("backward"), E.rc("exts")).otherwise(F.col("exts"))
     rows = rows.withColumn("_piece", F.when(F.col("pos") == 0, oriented).otherwise(F.substring(oriented, F.lit(k), F.length(oriented)))).withColumn("_e", turned)
+    for name, o in spec.ordered.items():
+        own = o.of(F.col("data"))
+        rows = rows.withColumn(f"_o_{name}", F.when(F.col("backward"), o.turn(own)).otherwise(own))
     rows = rows.withColumn("_block", F.floor(F.col("pos") / PIECES))
-    join = lambda c, at: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, c))), lambda x: x[c]), "")
-    parts = rows.groupBy("path", "_block").agg(join("_piece", "pos").alias("_part"))
-    whole = parts.groupBy("path").agg(join("_part", "_block").alias("seq"))
-    sums = rows.groupBy("path").agg(F.min_by("_e", "pos").alias("_l"), F.max_by("_e", "pos").alias("_r"), F.count(F.lit(1)).alias("members"), *[c.alias(n) for n, c in reduce.items()])
+    listed = lambda c, at: F.transform(F.array_sort(F.collect_list(F.struct(at, c))), lambda x: x[c])
+    join = lambda c, at: F.array_join(listed(c, at), "")
+    folds = lambda at: [fold(listed(f"_o_{n}", at), o.merge).alias(f"_o_{n}") for n, o in spec.ordered.items()]
+    parts = rows.groupBy("path", "_block").agg(join("_piece", "pos").alias("_piece"), *folds("pos"))
+    whole = parts.groupBy("path").agg(join("_piece", "_block").alias("seq"), *folds("_block"))
+    sums = rows.groupBy("path").agg(F.min_by("_e", "pos").alias("_l"), F.max_by("_e", "pos").alias("_r"), F.count(F.lit(1)).alias("members"), *[c.alias(n) for n, c in spec.reduce.items()])
     nodes = whole.join(sums, "path").withColumn("exts", E.merge("_l", "_r"))
-    return nodes.select(F.col("path").alias("node_id"), "seq", F.length("seq").alias("len"), "exts", "members", *reduce)
+    return nodes.select(F.col("path").alias("node_id"), "seq", F.length("seq").alias("len"), "exts", "members", *spec.reduce, *[F.col(f"_o_{n}").alias(n) for n in spec.ordered])
 
 
 def with_ids(kmers: DataFrame, write: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
@@ -190,7 +216,7 @@ def compress_kmers(kmers: DataFrame, k: int, *, stranded: bool = False, spec: Co
     with Temporary(kmers.sparkSession, "compact") as write:
         table = with_ids(kmers.select("kmer", "exts", "data"), write)
         placed = paths(table, kmer_links(table, stranded=stranded, join_test=spec.join_test), write, stranded=stranded)
-        return written(spell(table.withColumnRenamed("kmer", "seq"), placed, k, spec.reduce), "unitigs")
+        return written(spell(table.withColumnRenamed("kmer", "seq"), placed, k, spec), "unitigs")
 
 
 def compress_kmers_no_exts(kmers: DataFrame, k: int, *, spec: Compression | None = None) -> DataFrame:

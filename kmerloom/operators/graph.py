@@ -117,7 +117,7 @@ def compress_graph(graph: Graph, spec: Compression | None = None, censor: DataFr
         links = links.filter(~_single_palindrome("sseq", graph.k) & ~S.is_palindrome(entry))
     links = links.select((F.col("src") * 2 + (~right).cast("int")).alias("s"), (F.col("dst") * 2 + arrive_right.cast("int")).alias("t"))
     with Temporary(table.sparkSession, "merge") as write:
-        merged = written(spell(table, paths(table, links, write, stranded=graph.stranded), graph.k, spec.reduce), "merged")
+        merged = written(spell(table, paths(table, links, write, stranded=graph.stranded), graph.k, spec), "merged")
     return fix_exts(replace(graph, nodes=merged))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import AS_DNA, HEX, K, MIN_OBS, SOLID
+from .queries import AS_DNA, HEX, K, LOOKUPS, MIN_OBS, SOLID
 
 
 def rc(s: str) -> str:
@@ -210,6 +210,13 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "kmer_count": km + " SELECT kmer, exts, n, CAST(data AS INTEGER) AS seen FROM km",
         "kmer_count_stranded": f"{doc}, {counted(12, MIN_OBS, stranded=True)} SELECT kmer, exts, n FROM km",
+        "set_slices": f"""{doc}, line AS (SELECT string_agg(seq, '' ORDER BY seq_id) AS s FROM doc), q AS (SELECT i AS query, CAST(floor(i * length(s) / {LOOKUPS}.0) AS BIGINT) AS a FROM line, range({LOOKUPS}) x(i))
+            SELECT query, substr(s, a + 1, 200 + query * 7 % 800) AS seq FROM q, line""",
+        "set_get_slice": f"{doc} SELECT seq_id AS query, substr(seq, 11, 50) AS seq FROM doc WHERE length(seq) > 10",
+        "graph_nth_kmers": f"""WITH RECURSIVE {graph_ctes()}, kn AS (SELECT row_number() OVER (ORDER BY node_id, i) - 1 AS n, substr(seq, i, {K}) AS kmer FROM (SELECT node_id, seq, CAST(unnest(range(1, length(seq) - {K} + 2)) AS INTEGER) AS i FROM nd)),
+            tot AS (SELECT count(*) AS t FROM kn), q AS (SELECT i AS query, CAST(floor(i * t / {LOOKUPS}.0) AS BIGINT) AS n FROM tot, range({LOOKUPS}) x(i)) SELECT query, kmer FROM q JOIN kn USING (n)""",
+        "kmer_function_summary": f"""{doc}, {observations(12)}, lc AS (SELECT kmer, coalesce(label, '') AS label, bit_or(exts) AS exts, count(*) AS n FROM obs GROUP BY ALL)
+            SELECT kmer, CAST(bit_or(exts) AS INTEGER) AS exts, CAST(sum(n) AS BIGINT) AS n, string_agg(label || ':' || n, ',' ORDER BY label) AS counts FROM lc GROUP BY kmer HAVING count(*) > 1""",
         "kmer_count_by_segments": km + " SELECT kmer, exts, n, CAST(data AS INTEGER) AS seen FROM km",
         "kmer_colors": f"{doc}, {counted(20, MIN_OBS, colors=True)} SELECT kmer, exts, n, data AS colors FROM km",
         "kmer_colors_by_segments": f"{doc}, {counted(20, MIN_OBS, colors=True)} SELECT kmer, exts, n, data AS colors FROM km",
@@ -243,6 +250,9 @@ def oracle_sql() -> dict[str, str]:
         "msp_bucket": key
         + f", pm AS (SELECT id, j, CAST({rank('c', 6)} AS BIGINT) AS r FROM (SELECT id, j, least(p, {rc('p')}) AS c FROM (SELECT id, j, substr(seq, j, 6) AS p FROM (SELECT id, seq, CAST(unnest(range(1, 28)) AS INTEGER) AS j FROM key)))), win AS (SELECT id, j, min(r) OVER (PARTITION BY id ORDER BY j ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS bucket FROM pm) SELECT id AS seq_id, CAST(j - 1 AS BIGINT) AS pos, bucket FROM win WHERE j <= 13",
         "msp_kmer_cover": f"{km} SELECT kmer, exts, n FROM km",
+        "unitigs_ordered": f"""WITH RECURSIVE {DOC}, {counted(K, MIN_OBS)}, {unitig_ctes(K)}, ord AS (SELECT *, lag(data) OVER (PARTITION BY start ORDER BY pos) AS prev FROM mem),
+            per AS (SELECT string_agg(CASE WHEN pos = 0 THEN ok ELSE right(ok, 1) END, '' ORDER BY pos) AS seq, arg_min(data, pos) AS a, arg_max(data, pos) AS b, count(*) FILTER (prev IS NULL OR prev <> data) AS runs FROM ord GROUP BY start)
+            SELECT DISTINCT least(seq, {rc('seq')}) AS seq, CAST(least(a, b) AS INTEGER) AS low_end, CAST(greatest(a, b) AS INTEGER) AS high_end, CAST(runs AS INTEGER) AS runs FROM per""",
         "unitigs": f"WITH RECURSIVE {DOC}, {counted(K, MIN_OBS)}, {unitig_ctes(K)} {UNI}",
         "unitigs_stranded": f"WITH RECURSIVE {DOC}, {counted(12, MIN_OBS, stranded=True)}, {stranded_ctes(12)} {UNI}",
         "unitigs_keys": f"WITH RECURSIVE {KEY}, src AS (SELECT seq, '' AS label FROM key), {counted(24, 1, source='src')}, {unitig_ctes(24)} {UNI}",

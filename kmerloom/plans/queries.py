@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exts as E
 from ..functions import seq as S
-from ..operators import compact, graph, kmers, msp, paths, segment_counts
+from ..operators import compact, coordinates, function_summaries, graph, kmers, msp, paths, segment_counts
 from ..operators.tables import written
 from ..sources import dna, export
 
@@ -54,6 +54,26 @@ def kmer_colors(spark, sf_dir):
     return out.select("kmer", "exts", "n", F.array_join("data", ",").alias("colors"))
 
 
+def _label_counts() -> function_summaries.FunctionSummarizer:
+    """How often each label was seen with a k-mer, of k-mers seen with two labels or more."""
+
+    def add(state, exts, label):
+        state[label or ""] = state.get(label or "", 0) + 1
+        return state
+
+    def merge(a, b):
+        a, b = dict(a), dict(b)
+        return {x: a.get(x, 0) + b.get(x, 0) for x in a.keys() | b.keys()}
+
+    text = lambda state: ",".join(f"{x}:{n}" for x, n in sorted(state.items()))
+    return function_summaries.FunctionSummarizer(dict, add, merge, lambda state, n: (len(dict(state)) > 1, text(dict(state))), "map<string,long>", "string")
+
+
+def kmer_function_summary(spark, sf_dir):
+    out = function_summaries.filter_kmers(doc_sequences(spark, sf_dir), 12, _label_counts())
+    return out.select("kmer", "exts", "n", F.col("data").alias("counts"))
+
+
 def kmer_all_report(spark, sf_dir):
     valid, everything = kmers.filter_kmers(doc_sequences(spark, sf_dir), 20, kmers.count_filter(MIN_OBS), report_all=True)
     return everything.join(valid.select("kmer", F.lit(True).alias("valid")), "kmer", "left").select("kmer", F.coalesce("valid", F.lit(False)).alias("valid"))
@@ -155,6 +175,28 @@ def push_packed(spark, sf_dir):
     return keys(spark, sf_dir).select("id", F.array_join(packed, ",").alias("bytes"), dna.from_packed(packed, F.lit(30)).alias("first30"))
 
 
+#: Lookups of the queries of random access.
+LOOKUPS = 1000
+
+
+def _lookups(spark, total: int) -> DataFrame:
+    return spark.range(LOOKUPS).select(F.col("id").alias("query"), coordinates.spread_over(total, LOOKUPS, F.col("id")).alias("n"))
+
+
+def set_slices(spark, sf_dir):
+    """Slices of all documents' bases in a row, across their borders too: 200 to 999 bases."""
+    index = coordinates.index(doc_sequences(spark, sf_dir))
+    asked = _lookups(spark, index.total).select("query", F.col("n").alias("start"), (F.col("n") + 200 + F.pmod(F.col("query") * 7, F.lit(800))).alias("end"))
+    return coordinates.slices(index, asked)
+
+
+def set_get_slice(spark, sf_dir):
+    """Of each document the bases 10 to 60."""
+    seqs = doc_sequences(spark, sf_dir)
+    asked = seqs.select(F.col("seq_id").alias("query"), F.col("seq_id").alias("id"), F.lit(10).cast("long").alias("start"), F.lit(60).cast("long").alias("end"))
+    return coordinates.sequence_slices(coordinates.index(seqs), asked)
+
+
 def hash_n(spark, sf_dir):
     """Unknown characters become pseudo-random bases."""
     return table(spark, sf_dir, "documents").select("doc_id", dna.hashed("text", F.col("doc_id").cast("string")).alias("seq"))
@@ -254,6 +296,24 @@ def unitigs_colored(spark, sf_dir):
     return out.nodes.select("seq", "exts", F.col("members").cast("long").alias("members"), F.col("data").alias("colors"))
 
 
+def _runs(count: Column) -> Column:
+    """first, last: the counts at the ends of a path; runs: how many runs of equal counts it has."""
+    return F.struct(count.alias("first"), count.alias("last"), F.lit(1).alias("runs"))
+
+
+def _join_runs(a: Column, b: Column) -> Column:
+    return F.struct(a["first"].alias("first"), b["last"].alias("last"), (a["runs"] + b["runs"] - (a["last"] == b["first"]).cast("int")).alias("runs"))
+
+
+def unitigs_ordered(spark, sf_dir):
+    """Node data folded in path order: the counts at both ends, and the runs of equal counts between them."""
+    table_ = kmers.filter_kmers(doc_sequences(spark, sf_dir), K, kmers.count_filter(MIN_OBS))
+    turn = lambda x: F.struct(x["last"].alias("first"), x["first"].alias("last"), x["runs"].alias("runs"))
+    spec = compact.Compression({"members_": F.count(F.lit(1))}, ordered={"ends": compact.Ordered(_runs, _join_runs, turn)})
+    nodes = compact.compress_kmers(table_, K, spec=spec)
+    return nodes.select(F.least("seq", S.rc("seq")).alias("seq"), F.least("ends.first", "ends.last").alias("low_end"), F.greatest("ends.first", "ends.last").alias("high_end"), "ends.runs")
+
+
 def unitigs_no_exts(spark, sf_dir):
     table_ = kmers.filter_kmers(doc_sequences(spark, sf_dir), K, kmers.count_filter(MIN_OBS))
     return _shown(graph.Graph(compact.compress_kmers_no_exts(written(table_, "kmers"), K), K).normalised())
@@ -321,6 +381,12 @@ def node_kmers(spark, sf_dir):
     return graph.node_kmers(doc_graph(spark, sf_dir)).select("node_id", F.col("pos").cast("long").alias("pos"), "kmer")
 
 
+def graph_nth_kmers(spark, sf_dir):
+    """K-mers of the graph by their number, without listing the others."""
+    index = coordinates.graph_index(doc_graph(spark, sf_dir))
+    return coordinates.kmers_at(index, _lookups(spark, index.total))
+
+
 def node_degree(spark, sf_dir):
     return graph.degrees(doc_graph(spark, sf_dir)).select("node_id", F.col("left").cast("int").alias("nl"), F.col("right").cast("int").alias("nr"))
 
