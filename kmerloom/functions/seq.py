@@ -115,6 +115,22 @@ def blank(n: ColumnOr) -> Column:
     return F.repeat(F.lit("A"), _c(n))
 
 
+def push(s: ColumnOr, code: ColumnOr) -> Column:
+    """s with the base of one more code (0-3; null for any other)."""
+    code = _c(code)
+    return F.when(code.between(0, 3), F.concat(_c(s), code_to_base(code)))
+
+
+def extend_codes(s: ColumnOr, codes_: ColumnOr) -> Column:
+    """s with the bases of an array of codes after it."""
+    return F.concat(_c(s), from_codes(codes_))
+
+
+def clear(s: ColumnOr) -> Column:
+    """No bases, where there is a sequence."""
+    return F.left(_c(s), F.lit(0))
+
+
 def gc_count(s: ColumnOr) -> Column:
     s = _c(s)
     return F.length(s) - F.length(F.translate(s, "GC", ""))

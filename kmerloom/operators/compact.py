@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import exts as E
 from ..functions import seq as S
 from .kmers import COUNT_LIMIT, exts_from_set
-from .tables import Temporary, written
+from .tables import Temporary, starts, written
 
 #: Links that one task follows in memory (32 bytes each).
 BASE = 1 << 20
@@ -185,6 +185,11 @@ def with_ids(kmers: DataFrame, write: Callable[[DataFrame, str], DataFrame] = wr
     return write(kmers.repartitionByRange("kmer").sortWithinPartitions("kmer").withColumn("id", F.monotonically_increasing_id()), "kmers")
 
 
+def in_order(kmers: DataFrame) -> DataFrame:
+    """K-mers with their place in lexicographic order, from 0, as column `place`."""
+    return kmers.join(starts(kmers.select(F.col("kmer").alias("id"), F.lit(1).alias("size"))).select(F.col("id").alias("kmer"), F.col("start").alias("place")), "kmer")
+
+
 def kmer_links(kmers: DataFrame, *, stranded: bool, join_test) -> DataFrame:
     """s, t of each k-mer and side with one extension, to a k-mer with one on the side arrived at.
 

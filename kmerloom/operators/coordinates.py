@@ -9,40 +9,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .graph import Graph
-from .tables import Temporary, written
+from .tables import starts, written
 
 #: Numbers of a block.
 BLOCK = 1 << 12
 
 
-def starts(rows: DataFrame) -> DataFrame:
-    """id, size, start of rows (id, size): start, the sum of the sizes before it in the order of ids. Ranges of
-    ids add up their own, and the sums of the ranges, one row each, go before them."""
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def run(batches):
-        task, so_far = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            sizes = batch.column("size").to_numpy(zero_copy_only=False)
-            upto = so_far + np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("size"), pa.array(upto - sizes), pa.array([task] * batch.num_rows, pa.int32())], names=["id", "size", "within", "task"])
-            so_far = int(upto[-1]) if len(upto) else so_far
-
-    with Temporary(rows.sparkSession, "starts") as write:
-        own = write(rows.select("id", F.col("size").cast("long").alias("size")).repartitionByRange("id").sortWithinPartitions("id").mapInArrow(run, f"id {kind}, size long, within long, task int"), "ranges")
-        sums = own.groupBy("task").agg(F.sum("size").alias("n"))
-        sums = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        return written(own.join(F.broadcast(sums), "task").select("id", "size", (F.col("before") + F.col("within")).alias("start")), "starts")
-
-
 @dataclass(frozen=True)
 class Index:
     """pieces(block, at, text): text begins at number `at` and has the block's k-mers of one sequence;

@@ -149,6 +149,25 @@ def combine(graphs: list[Graph]) -> Graph:
     return replace(graphs[0], nodes=nodes).renumbered()
 
 
+def base_graph(sequences: DataFrame, k: int, *, stranded: bool = False) -> Graph:
+    """A graph of sequences (seq, exts, data) as nodes, numbered in the order of seq; no link is made."""
+    if sequences.filter(F.length("seq") < k).head(1):
+        raise ValueError("a node has k bases or more")
+    nodes = sequences.select(F.lit(0).cast("long").alias("node_id"), "seq", F.length("seq").alias("len"), "exts", F.lit(1).cast("long").alias("members"), "data")
+    return Graph(nodes, k, stranded).renumbered()
+
+
+def add(graph: Graph, sequences: DataFrame) -> Graph:
+    """The graph with further nodes (seq, exts, data) of any origin; ids are given anew."""
+    more = base_graph(sequences, graph.k, stranded=graph.stranded)
+    return combine([graph, replace(more, nodes=more.nodes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in graph.nodes.schema.fields]))])
+
+
+def nodes_by_id(graph: Graph, ids: DataFrame) -> DataFrame:
+    """The nodes whose node_id is among ids (node_id)."""
+    return graph.nodes.join(ids.select("node_id").distinct(), "node_id", "left_semi")
+
+
 def node_kmers(graph: Graph) -> DataFrame:
     """node_id, pos, kmer of all k-mers of all nodes."""
     return graph.nodes.select("node_id", F.posexplode(S.kmers("seq", graph.k)).alias("pos", "kmer"))

@@ -168,13 +168,14 @@ def beam_path_ctes(beam: int) -> str:
                SELECT path, score, status, o1, 0 AS o2 FROM bm WHERE status <> 'active' UNION ALL {grown}) WHERE EXISTS (SELECT 1 FROM bm WHERE status = 'active')) WHERE rn <= {beam})"""
 
 
-def msp_segment_sql(k: int, p: int) -> str:
-    """The segments of DOC: where a walk goes from a p-mer depends on that p-mer alone. It is left for the
+def msp_segment_sql(k: int, p: int, *, doc: str = DOC, score: str | None = None) -> str:
+    """The segments of `doc`, p-mers m scored by a string: where a walk goes from a p-mer depends on that p-mer alone. It is left for the
     first lesser one of the k - p that follow; else, once out of the window, for the last least of the next."""
     w = k - p + 1
-    return f"""WITH RECURSIVE {DOC}, long_ AS (SELECT * FROM doc WHERE length(seq) >= {k}),
+    score = score or f"least(m, {rc('m')})"
+    return f"""WITH RECURSIVE {doc}, long_ AS (SELECT * FROM doc WHERE length(seq) >= {k}),
     pm AS (SELECT seq_id, CAST(i - 1 AS INTEGER) AS ps, length(seq) AS n, substr(seq, CAST(i AS INTEGER), {p}) AS m FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - {p} + 2)) AS i FROM long_)),
-    sc AS (SELECT seq_id, ps, n, least(m, {rc('m')}) AS s FROM pm),
+    sc AS (SELECT seq_id, ps, n, {score} AS s FROM pm),
     ahead AS (SELECT seq_id, ps, n, s, list(s) OVER (PARTITION BY seq_id ORDER BY ps ROWS BETWEEN 1 FOLLOWING AND {w} FOLLOWING) AS l FROM sc),
     look AS (SELECT seq_id, ps, n, list_position(list_transform(l[1:{w - 1}], lambda x: x < s), true) AS less, {w} + 1 - list_position(list_reverse(l), list_min(l)) AS last_least, len(l) AS have FROM ahead),
     nxt AS MATERIALIZED (SELECT seq_id, ps, CASE WHEN less > 0 THEN ps + less WHEN have = {w} THEN ps + last_least END AS too, CASE WHEN less > 0 THEN ps + less - {w - 1} WHEN have = {w} THEN ps + 1 END AS f FROM look WHERE less > 0 OR have = {w}),
@@ -210,6 +211,17 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "kmer_count": km + " SELECT kmer, exts, n, CAST(data AS INTEGER) AS seen FROM km",
         "kmer_count_stranded": f"{doc}, {counted(12, MIN_OBS, stranded=True)} SELECT kmer, exts, n FROM km",
+        "seq_places": key + "SELECT id, CAST(length(seq) AS INTEGER) AS n, true AS cleared, substr(seq, CAST(id % 32 AS INTEGER) + 1, 1) AS base, CASE WHEN id % 32 + 9 <= 32 THEN substr(seq, CAST(id % 32 AS INTEGER) + 1, 9) END AS at, "
+        "substr(seq, 1, 5) AS first, right(seq, 5) AS last, CASE WHEN id % 2 = 0 THEN right(seq, 7) ELSE substr(seq, 1, 7) END AS by_side FROM key",
+        "seq_builders": key + f", c AS (SELECT *, substr(md5(CAST(id AS VARCHAR)), 1, 1) AS ch FROM key) SELECT id, repeat('A', CAST(id % 40 AS INTEGER)) AS blank, seq || substr(other, 1, 1) AS first_of_other, "
+        "CASE WHEN id % 5 < 4 THEN seq || substr('ACGT', CAST(id % 5 AS INTEGER) + 1, 1) END AS pushed, seq || substr(other, 1, 6) AS longer, "
+        "CASE ch WHEN 'a' THEN 0 WHEN 'c' THEN 1 END AS strict, CASE ch WHEN 'c' THEN 1 ELSE 0 END AS lenient, CASE ch WHEN 'c' THEN 2 ELSE 3 END AS complement FROM c",
+        "exts_sides": key + f""", e AS (SELECT *, CAST(id * 11 % 256 AS INTEGER) AS x, substr(seq, 1, 8) AS k FROM key),
+            b AS (SELECT id, string_agg(c, '' ORDER BY c) FILTER (x & (1 << i) > 0) AS l, string_agg(c, '' ORDER BY c) FILTER (x & (16 << i) > 0) AS r,
+                  string_agg(c || substr(k, 1, 7), ',' ORDER BY c) FILTER (x & (1 << i) > 0) AS tl, string_agg(substr(k, 2) || c, ',' ORDER BY c) FILTER (x & (16 << i) > 0) AS tr
+                  FROM e, (SELECT unnest(['A', 'C', 'G', 'T']) AS c, CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS i) GROUP BY id)
+            SELECT id, id % 2 = 0 AS flip, (id % 2 = 1) <> (id % 3 = 0) AS cond_flip, CASE WHEN id % 2 = 1 THEN other ELSE seq END AS pick, coalesce(l, '') AS left, coalesce(r, '') AS right, coalesce(tl, '') AS to_left, coalesce(tr, '') AS to_right, '|' AS none FROM e JOIN b USING (id)""",
+        "kmer_sorted": f"{doc}, {counted(20, MIN_OBS)} SELECT kmer, n, row_number() OVER (ORDER BY kmer) - 1 AS place FROM km",
         "set_slices": f"""{doc}, line AS (SELECT string_agg(seq, '' ORDER BY seq_id) AS s FROM doc), q AS (SELECT i AS query, CAST(floor(i * length(s) / {LOOKUPS}.0) AS BIGINT) AS a FROM line, range({LOOKUPS}) x(i))
             SELECT query, substr(s, a + 1, 200 + query * 7 % 800) AS seq FROM q, line""",
         "set_get_slice": f"{doc} SELECT seq_id AS query, substr(seq, 11, 50) AS seq FROM doc WHERE length(seq) > 10",
@@ -260,9 +272,13 @@ def oracle_sql() -> dict[str, str]:
         "graph_edges": graph + "SELECT * FROM ed",
         "graph_is_compressed": graph + f", {CLEANED}, lone AS (SELECT src, src_dir FROM ke GROUP BY src, src_dir HAVING count(*) = 1) SELECT count(*) AS before, CAST(0 AS BIGINT) AS pairs FROM ke JOIN lone a ON a.src = ke.src AND a.src_dir = ke.src_dir JOIN lone b ON b.src = ke.dst AND b.src_dir = ke.dst_side WHERE ke.src <> ke.dst",
         "msp_segments": msp_segment_sql(K, 8),
+        "msp_simple_scan": msp_segment_sql(16, 5, doc=KEY + ", doc AS (SELECT id AS seq_id, seq FROM key)", score=f"least(reverse(m), reverse({rc('m')}))").replace("SELECT seq_id, CAST(seg_no", "SELECT seq_id, bucket, start, len FROM (SELECT seq_id, CAST(seg_no") + ")",
         "max_path": f"WITH RECURSIVE {max_path_ctes(20)} SELECT pos, node_id, dir FROM mp",
         "path_sequence": f"WITH RECURSIVE {max_path_ctes(20)} SELECT string_agg(CASE WHEN pos = 0 THEN own ELSE substr(own, 20) END, '' ORDER BY pos) AS seq FROM (SELECT pos, CASE WHEN dir = 'R' THEN {rc('seq')} ELSE seq END AS own FROM mp JOIN nd USING (node_id))",
         "beam_path": f"WITH RECURSIVE {beam_path_ctes(4)}, top AS (SELECT path FROM bm WHERE it = (SELECT max(it) FROM bm) ORDER BY score DESC, o1 LIMIT 1) SELECT CAST(i - 1 AS BIGINT) AS pos, path[i].node_id AS node_id, path[i].dir AS dir FROM (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM top)",
+        "graph_stored": graph + f"SELECT node_id, seq, exts, {K} AS k, false AS stranded FROM nd",
+        "graph_added": graph + f""", more AS (SELECT seq, exts, members FROM nd UNION ALL SELECT translate(md5(CAST(c_custkey AS VARCHAR)), '{HEX}', '{AS_DNA}'), 0, 1 FROM customer),
+            al AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS node_id, seq, exts, CAST(members AS BIGINT) AS members FROM more) SELECT * FROM al WHERE node_id % 10 = 9""",
         "graph_combine": graph + "SELECT node_id, seq, exts FROM nd",
         "graph_fix_exts": graph + "SELECT n.node_id, CAST(coalesce(b.e, 0) AS INTEGER) AS exts FROM nd n LEFT JOIN (SELECT ed.src, bit_or(bit) AS e FROM ed JOIN bits ON bits.base = ed.base AND bits.side = ed.src_dir WHERE dst % 2 = 0 GROUP BY ed.src) b ON b.src = n.node_id",
         "graph_find_link": graph + f", pq AS (SELECT node_id AS src, {other('side')} AS dir, kmer FROM ends UNION SELECT node_id, side, CASE WHEN side = 'R' THEN right(seq, {K - 1}) || base ELSE base || substr(seq, 1, {K - 1}) END FROM nd, bits WHERE (exts & bit) <> 0), fh AS (SELECT p.*, 0 AS try, e.node_id AS dst, e.side AS dst_side FROM pq p JOIN ends e ON e.kmer = p.kmer AND e.side = {other('p.dir')} UNION ALL SELECT p.*, 1, e.node_id, e.side FROM pq p JOIN ends e ON e.kmer = {rc('p.kmer')} AND e.side = p.dir) SELECT src, dir, kmer, dst, dst_side, try = 1 AS rc FROM (SELECT *, row_number() OVER (PARTITION BY src, dir, kmer ORDER BY try, dst, dst_side) AS rn FROM fh) WHERE rn = 1",
@@ -274,6 +290,7 @@ def oracle_sql() -> dict[str, str]:
         "json_nodes": graph + "SELECT node_id, concat('{\"id\":\"', node_id, '\",\"L\":', length(seq), ',\"D\":', data, ',\"Se\":\"', seq, '\"}') AS line FROM nd",
         "json_links": graph + "SELECT src AS node_id, concat('{\"source\":\"', src, '\",\"target\":\"', dst, '\",\"D\":\"', dst_side, '\"}') AS line FROM ed WHERE src_dir = 'R'",
     }
+    out["json_document_rest"] = f"""SELECT 0 AS part, CAST(0 AS BIGINT) AS node_id, '{{"nodes":[' AS line UNION ALL SELECT 2, 0, '],"links":[' UNION ALL SELECT 4, 0, '],"k":{K},"of":{{"table":"documents"}}}}'"""
     node, link = out["json_nodes"].removeprefix(graph), out["json_links"].removeprefix(graph)
     out["json_document"] = graph + f", jn AS ({node}), jl AS ({link}) SELECT CAST(1 AS INTEGER) AS part, node_id, CASE WHEN row_number() OVER (ORDER BY node_id) > 1 THEN ',' ELSE '' END || line AS line FROM jn UNION ALL SELECT 3, node_id, CASE WHEN row_number() OVER (ORDER BY node_id, line) > 1 THEN ',' ELSE '' END || line FROM jl UNION ALL SELECT 0, 0, '{{\"nodes\":[' UNION ALL SELECT 2, 0, '],\"links\":[' UNION ALL SELECT 4, 0, ']}}'"
     # K-mers of the nodes that stay; a node's first one carries its data, and 2**32 to count nodes by.

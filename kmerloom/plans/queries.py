@@ -6,6 +6,7 @@ and KEY, 32 bases made of the MD5 of a key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import exts as E
 from ..functions import seq as S
 from ..operators import compact, coordinates, function_summaries, graph, kmers, msp, paths, segment_counts
-from ..operators.tables import written
+from ..operators.tables import shared_folder, written
 from ..sources import dna, export
 
 K, MIN_OBS = 31, 2
@@ -84,6 +85,12 @@ def kmer_saturated(spark, sf_dir):
     return kmers.filter_kmers(doc_sequences(spark, sf_dir), 4, kmers.count_filter(1)).select("kmer", "n", F.col("data").alias("seen"))
 
 
+def kmer_sorted(spark, sf_dir):
+    """Each k-mer's place in order."""
+    table_ = written(kmers.filter_kmers(doc_sequences(spark, sf_dir), 20, kmers.count_filter(MIN_OBS)), "kmers")
+    return compact.in_order(table_).select("kmer", "n", "place")
+
+
 def kmer_total(spark, sf_dir):
     return kmers.kmer_total(doc_sequences(spark, sf_dir), K)
 
@@ -155,6 +162,36 @@ def exts_algebra(spark, sf_dir):
     )
 
 
+def seq_places(spark, sf_dir):
+    """Length, one base, a k-mer at a place and the outer k-mers."""
+    pos = F.pmod("id", F.lit(32)).cast("int")
+    return keys(spark, sf_dir).select(
+        "id", F.length("seq").alias("n"), S.is_empty(S.clear("seq")).alias("cleared"), S.get_base("seq", pos).alias("base"), S.kmer_at("seq", pos, 9).alias("at"),
+        S.terminal_kmers("seq", 5)["first"].alias("first"), S.terminal_kmers("seq", 5)["last"].alias("last"), S.terminal_kmer("seq", 7, F.pmod("id", F.lit(2)) == 0).alias("by_side"),
+    )
+
+
+def seq_builders(spark, sf_dir):
+    """New sequences: of one base, of codes, and longer ones; codes of characters that may be no base."""
+    n, char = F.pmod("id", F.lit(40)).cast("int"), F.left(F.md5(F.col("id").cast("string")), F.lit(1))
+    tail = F.slice(S.codes("other"), 1, 6)
+    return keys(spark, sf_dir).select(
+        "id", S.blank(n).alias("blank"), S.push("seq", S.base_to_code(F.left("other", F.lit(1)))).alias("first_of_other"), S.push("seq", F.pmod("id", F.lit(5)).cast("int")).alias("pushed"),
+        S.extend_codes("seq", tail).alias("longer"), S.strict_base_to_code(char).alias("strict"), S.base_to_code(char).alias("lenient"), S.complement_code(S.base_to_code(char)).alias("complement"),
+    )
+
+
+def exts_sides(spark, sf_dir):
+    """Directions, the bases of a side and the k-mers that they lead to."""
+    right, flipped = F.pmod("id", F.lit(2)) == 1, F.pmod("id", F.lit(3)) == 0
+    e = F.pmod(F.col("id") * 11, F.lit(256)).cast("int")
+    k = S.prefix("seq", 8)
+    return keys(spark, sf_dir).select(
+        "id", E.flip(right).alias("flip"), E.cond_flip(right, flipped).alias("cond_flip"), E.pick(right, "seq", "other").alias("pick"), F.array_join(E.get(e, False), "").alias("left"), F.array_join(E.get(e, True), "").alias("right"),
+        F.array_join(E.extensions(k, e, False), ",").alias("to_left"), F.array_join(E.extensions(k, e, True), ",").alias("to_right"), E.text(F.lit(E.EMPTY)).alias("none"),
+    )
+
+
 # -- M2: sources --------------------------------------------------------------------------------
 
 
@@ -258,6 +295,13 @@ def kmer_colors_by_segments(spark, sf_dir):
     return out.select("kmer", "exts", "n", F.array_join("data", ",").alias("colors"))
 
 
+def msp_simple_scan(spark, sf_dir):
+    """Segments by a permutation of the p-mers: the ranks read from the last base on."""
+    order = [sum((r >> 2 * i & 3) << 2 * (4 - i) for i in range(5)) for r in range(4**5)]
+    seqs = keys(spark, sf_dir).select(F.col("id").alias("seq_id"), "seq")
+    return msp.simple_scan(seqs, 16, 5, order).select("seq_id", "bucket", "start", "len")
+
+
 # -- M6: compaction -----------------------------------------------------------------------------------
 
 
@@ -442,6 +486,27 @@ def json_links(spark, sf_dir):
     return export.json_links(doc_graph(spark, sf_dir))
 
 
+def graph_stored(spark, sf_dir):
+    """Written as Parquet and read again, with the graph's k."""
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    export.write_graph(doc_graph(spark, sf_dir), path)
+    g = export.read_graph(spark, path)
+    return g.nodes.select("node_id", "seq", "exts", F.lit(g.k).alias("k"), F.lit(g.stranded).alias("stranded"))
+
+
+def graph_added(spark, sf_dir):
+    """The graph with a node for each customer's key added; those with an id of nines are looked up."""
+    more = keys(spark, sf_dir, "customer", "c_custkey").select("seq", F.lit(0).alias("exts"), F.lit(0).alias("data"))
+    g = graph.add(doc_graph(spark, sf_dir), more)
+    ids = g.nodes.select("node_id").filter("node_id % 10 = 9")
+    return graph.nodes_by_id(g, ids).select("node_id", "seq", "exts", F.col("members").cast("long").alias("members"))
+
+
+def json_document_rest(spark, sf_dir):
+    """With further members of the document."""
+    return export.json_document(doc_graph(spark, sf_dir), rest={"k": str(K), "of": '{"table":"documents"}'}).filter("part <> 1 and part <> 3")
+
+
 def json_document(spark, sf_dir):
     return export.json_document(doc_graph(spark, sf_dir))
 
