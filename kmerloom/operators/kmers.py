@@ -126,15 +126,15 @@ def kmer_total(sequences: DataFrame, k: int) -> DataFrame:
     return sequences.agg(F.coalesce(F.sum(S.total_kmers("seq", k)), F.lit(0)).alias("total"))
 
 
-def neighbour_bits(kmers: DataFrame, *, stranded: bool) -> DataFrame:
-    """kmer, bit, target: each set extension bit and the (canonical) k-mer it points at."""
+def neighbour_bits(kmers: DataFrame, *, stranded: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """kmer, bit, target and the kept columns: each set extension bit and the (canonical) k-mer it points at."""
     steps = F.array(*[
         F.struct(F.lit(1 << (i + 4 * right)).alias("bit"), (S.extend_right if right else S.extend_left)("kmer", F.lit(b)).alias("to"))
         for right in (0, 1) for i, b in enumerate(S.BASES)
     ])
-    rows = kmers.select("kmer", "exts", F.explode(steps).alias("s")).filter(F.col("exts").bitwiseAND(F.col("s.bit")) != 0)
+    rows = kmers.select("kmer", "exts", *keep, F.explode(steps).alias("s")).filter(F.col("exts").bitwiseAND(F.col("s.bit")) != 0)
     target = F.col("s.to") if stranded else S.canonical(F.col("s.to"))
-    return rows.select("kmer", F.col("s.bit").alias("bit"), target.alias("target"))
+    return rows.select("kmer", F.col("s.bit").alias("bit"), target.alias("target"), *keep)
 
 
 def _with_bits(kmers: DataFrame, kept: DataFrame) -> DataFrame:

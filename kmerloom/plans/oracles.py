@@ -256,6 +256,7 @@ def oracle_sql() -> dict[str, str]:
         "codes_roundtrip": key + "SELECT id, translate(seq, 'ACGT', '0123') AS codes, seq AS back FROM key",
         "push_packed": key + "SELECT id, " + " || ',' || ".join("CAST(" + " + ".join(f"{code(f'substr(seq, {4 * g + j + 1}, 1)')} * {4**j}" for j in range(4)) + " AS VARCHAR)" for g in range(8)) + " AS bytes, substr(seq, 1, 30) AS first30 FROM key",
         "exts_censored": f"{km}, {targets('km')} {repaired('km', 'j.kmer IS NOT NULL')}",
+        "exts_censored_local": f"{km}, {targets('km')} {repaired('km', 'j.kmer IS NOT NULL')}",
         "exts_censored_sharded": f"{km}, dropped AS MATERIALIZED (SELECT kmer FROM obs GROUP BY kmer HAVING count(*) < {MIN_OBS}), {targets('km')} {repaired('km', 'j.kmer IS NULL OR substr(t.kmer, 1, 2) <> substr(t.target, 1, 2)', 'dropped')}",
         "exts_censored_all_shards": f"{km}, dropped AS MATERIALIZED (SELECT kmer FROM obs GROUP BY kmer HAVING count(*) < {MIN_OBS}), {targets('km')} {repaired('km', f'j.kmer IS NULL OR {_shard('t.kmer')} <> {_shard('t.target')}', 'dropped')}",
         "exts_from_set": f"{km}, allx AS (SELECT kmer, 255 AS exts FROM km), {targets('allx')} {repaired('km', 'j.kmer IS NOT NULL')}",

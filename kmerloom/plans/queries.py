@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exts as E
 from ..functions import seq as S
-from ..operators import compact, coordinates, function_summaries, graph, kmers, msp, paths, segment_counts
+from ..operators import compact, coordinates, function_summaries, graph, kmers, local_repair, msp, paths, segment_counts
 from ..operators.tables import shared_folder, written
 from ..sources import dna, export
 
@@ -247,6 +247,12 @@ def exts_censored(spark, sf_dir):
     return kmers.remove_censored_exts(table_).select("kmer", "exts")
 
 
+def exts_censored_local(spark, sf_dir):
+    """exts_censored, with neighbours met in their minimizer's bucket."""
+    table_ = kmers.filter_kmers(doc_sequences(spark, sf_dir), K, kmers.count_filter(MIN_OBS))
+    return local_repair.remove_censored_exts(table_, K).select("kmer", "exts")
+
+
 def _sharded(spark, sf_dir, shard):
     """Every shard repaired by what it saw itself, all in one pass."""
     valid, everything = kmers.filter_kmers(doc_sequences(spark, sf_dir), K, kmers.count_filter(MIN_OBS), report_all=True)

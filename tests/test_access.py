@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from kmerloom.operators import compact, coordinates, function_summaries, graph, kmers, tables
+from kmerloom.operators import compact, coordinates, function_summaries, graph, kmers, local_repair, tables
 from kmerloom.operators.tables import Temporary, written
 
 SEQS = "seq_id long, seq string, exts int, label string"
@@ -114,3 +114,17 @@ def test_temporary_tables_go(spark):
     assert kept.count() == 4
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST|FAILED_READ_FILE"):
         b.select("id").collect()
+
+
+@pytest.mark.parametrize(("stranded", "symmetric", "held"), [(False, True, 1 << 16), (True, True, 50), (False, False, 7)])
+def test_repair_where_neighbours_are(spark, monkeypatch, stranded, symmetric, held):
+    """However few k-mers a task compares at a time, the borders are looked up."""
+    monkeypatch.setattr(local_repair, "HELD", held)
+    rng = random.Random(held)
+    df = spark.createDataFrame([(i, dna(rng, 90) if i % 3 else "A" * 40 + "ACGT" * 9, 0, "x") for i in range(12)] * 2, SEQS)
+    table = written(kmers.filter_kmers(df, 11, kmers.count_filter(2), stranded=stranded), "t")
+    if not symmetric:
+        table = table.filter("kmer > 'AC'").withColumn("exts", F.lit(255))
+    want = sorted(map(repr, kmers.remove_censored_exts(table, stranded=stranded).collect()))
+    assert sorted(map(repr, local_repair.remove_censored_exts(table, 11, p=4, stranded=stranded, symmetric=symmetric).collect())) == want
+    assert local_repair.remove_censored_exts(table.limit(0), 11, p=4).count() == 0
