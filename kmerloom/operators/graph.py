@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import exts as E
 from ..functions import seq as S
 from .compact import Compression, paths, spell
-from .tables import Temporary, written
+from .tables import Temporary, bucketed, drop_bucketed, written
 
 
 @dataclass(frozen=True)
@@ -22,6 +22,13 @@ class Graph:
     nodes: DataFrame
     k: int
     stranded: bool = False
+    #: ends() of the nodes in buckets, from indexed(); good as long as ids and sequences stay.
+    index: DataFrame | None = None
+
+    def indexed(self) -> Graph:
+        """The graph with its node ends written once, in sorted buckets by (kmer, side): every lookup then
+        shuffles what is looked up and not the ends."""
+        return replace(self, index=bucketed(ends(self.nodes, self.k), ("kmer", "side"), "ends"))
 
     def renumbered(self) -> Graph:
         """Node ids 0, 1, ... in the order of the sequences, so that they do not depend on the run.
@@ -32,7 +39,7 @@ class Graph:
         sizes = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
         sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         nodes = part.join(F.broadcast(sizes), "_p").withColumn("node_id", F.col("_before") + F.col("_i") - F.col("_first"))
-        return replace(self, nodes=nodes.select("node_id", *[c for c in self.nodes.columns if c != "node_id"]))
+        return replace(self, index=None, nodes=nodes.select("node_id", *[c for c in self.nodes.columns if c != "node_id"]))
 
     def normalised(self) -> Graph:
         """Every node in the lesser of its two directions, then renumbered."""
@@ -42,7 +49,7 @@ class Graph:
         turn = other < F.col("seq")
         same = other == F.col("seq")
         exts = F.when(turn, E.rc("exts")).when(same, F.least(F.col("exts"), E.rc("exts"))).otherwise(F.col("exts"))
-        return replace(self, nodes=self.nodes.withColumn("exts", exts).withColumn("seq", F.least("seq", other))).renumbered()
+        return replace(self, index=None, nodes=self.nodes.withColumn("exts", exts).withColumn("seq", F.least("seq", other))).renumbered()
 
 
 def ends(nodes: DataFrame, k: int) -> DataFrame:
@@ -57,7 +64,7 @@ def find_links(probes: DataFrame, graph: Graph) -> DataFrame:
     A walk to the right enters a node at its first k-mer; else, without strands, at the last one
     read backwards. The forward match is preferred, then the least id. Unmatched probes are dropped.
     """
-    end = ends(graph.nodes, graph.k)
+    end = graph.index if graph.index is not None else ends(graph.nodes, graph.k)
     entry = F.when(F.col("dir") == "R", "L").otherwise("R")
     tries = probes.withColumn("_try", F.lit(0)).withColumn("_k", F.col("kmer")).withColumn("_side", entry)
     if not graph.stranded:
@@ -106,7 +113,9 @@ def compress_graph(graph: Graph, spec: Compression | None = None, censor: DataFr
     """The graph, without the nodes of censor (node_id), with unbranched neighbours merged."""
     spec = spec or Compression()
     nodes = graph.nodes if censor is None else graph.nodes.join(censor.select("node_id"), "node_id", "left_anti")
-    kept = fix_exts(replace(graph, nodes=written(nodes, "kept")))
+    # Both lookups of this function read one index.
+    kept = replace(graph, index=None, nodes=written(nodes, "kept"))
+    kept = fix_exts(kept.indexed())
     table = kept.nodes.withColumnRenamed("node_id", "id")
     links = edges(kept).join(table.select(F.col("id").alias("src"), F.col("exts").alias("sexts"), F.col("seq").alias("sseq"), F.col("data").alias("sdata")), "src")
     links = links.join(table.select(F.col("id").alias("dst"), F.col("exts").alias("dexts"), F.col("seq").alias("dseq"), F.col("data").alias("ddata")), "dst")
@@ -118,7 +127,8 @@ def compress_graph(graph: Graph, spec: Compression | None = None, censor: DataFr
     links = links.select((F.col("src") * 2 + (~right).cast("int")).alias("s"), (F.col("dst") * 2 + arrive_right.cast("int")).alias("t"))
     with Temporary(table.sparkSession, "merge") as write:
         merged = written(spell(table, paths(table, links, write, stranded=graph.stranded), graph.k, spec), "merged")
-    return fix_exts(replace(graph, nodes=merged))
+    drop_bucketed(kept.index)
+    return fix_exts(replace(graph, index=None, nodes=merged))
 
 
 def uncompressed_pairs(graph: Graph, spec: Compression | None = None) -> DataFrame:
@@ -146,7 +156,7 @@ def combine(graphs: list[Graph]) -> Graph:
     if len({(g.k, g.stranded) for g in graphs}) != 1:
         raise ValueError("graphs to combine must agree in k and strandedness")
     nodes = reduce(DataFrame.unionByName, [g.nodes for g in graphs])
-    return replace(graphs[0], nodes=nodes).renumbered()
+    return replace(graphs[0], index=None, nodes=nodes).renumbered()
 
 
 def base_graph(sequences: DataFrame, k: int, *, stranded: bool = False) -> Graph:

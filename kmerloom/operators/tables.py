@@ -45,8 +45,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return _write(df, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
 
 
+#: Names of bucketed tables begin with this.
+BUCKETED = "kmerloom_buckets_"
+
+
+def bucketed(df: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """df as a table in as many sorted buckets by `keys` as the session has shuffle partitions: joins on the
+    keys then need no exchange of it. Its files are in the shared folder; it stays until
+    drop_bucketed() or cleanup()."""
+    spark = df.sparkSession
+    table = f"{BUCKETED}{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt as the buckets are, so that each task writes few files.
+    dealt = df.repartition(n, *keys)
+    dealt.write.bucketBy(n, *keys).sortBy(*keys).option("path", f"{shared_folder(spark)}/{table}").format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+def _forget(spark: SparkSession, table: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    remove(spark, f"{shared_folder(spark)}/{table}")
+
+
+def drop_bucketed(table: DataFrame) -> None:
+    """Remove a table from bucketed()."""
+    spark = table.sparkSession
+    for t in spark.catalog.listTables(pattern=f"{BUCKETED}*"):
+        if any(f"/{t.name}/" in file for file in table.inputFiles()):
+            _forget(spark, t.name)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Remove all tables of this application; call it after the last result is written elsewhere."""
+    for t in spark.catalog.listTables(pattern=f"{BUCKETED}*"):
+        _forget(spark, t.name)
     remove(spark, shared_folder(spark))
 
 

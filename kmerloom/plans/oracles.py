@@ -292,6 +292,7 @@ def oracle_sql() -> dict[str, str]:
         "json_links": graph + "SELECT src AS node_id, concat('{\"source\":\"', src, '\",\"target\":\"', dst, '\",\"D\":\"', dst_side, '\"}') AS line FROM ed WHERE src_dir = 'R'",
     }
     out["json_document_rest"] = f"""SELECT 0 AS part, CAST(0 AS BIGINT) AS node_id, '{{"nodes":[' AS line UNION ALL SELECT 2, 0, '],"links":[' UNION ALL SELECT 4, 0, '],"k":{K},"of":{{"table":"documents"}}}}'"""
+    out["gfa_source"] = graph + "SELECT line FROM (" + out["gfa_lines"].removeprefix(graph) + ")"
     node, link = out["json_nodes"].removeprefix(graph), out["json_links"].removeprefix(graph)
     out["json_document"] = graph + f", jn AS ({node}), jl AS ({link}) SELECT CAST(1 AS INTEGER) AS part, node_id, CASE WHEN row_number() OVER (ORDER BY node_id) > 1 THEN ',' ELSE '' END || line AS line FROM jn UNION ALL SELECT 3, node_id, CASE WHEN row_number() OVER (ORDER BY node_id, line) > 1 THEN ',' ELSE '' END || line FROM jl UNION ALL SELECT 0, 0, '{{\"nodes\":[' UNION ALL SELECT 2, 0, '],\"links\":[' UNION ALL SELECT 4, 0, ']}}'"
     # K-mers of the nodes that stay; a node's first one carries its data, and 2**32 to count nodes by.

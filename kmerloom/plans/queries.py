@@ -16,7 +16,7 @@ from ..functions import exts as E
 from ..functions import seq as S
 from ..operators import compact, coordinates, function_summaries, graph, kmers, local_repair, msp, paths, segment_counts
 from ..operators.tables import shared_folder, written
-from ..sources import dna, export
+from ..sources import dna, export, formats
 
 K, MIN_OBS = 31, 2
 #: Nodes of max_path with more observations are solid.
@@ -480,6 +480,15 @@ def gfa_lines(spark, sf_dir):
     return export.gfa_lines(doc_graph(spark, sf_dir), tag=F.concat(F.lit("KC:i:"), F.col("data").cast("string")))
 
 
+def gfa_source(spark, sf_dir):
+    """The lines written as the data source `gfa`, and read again."""
+    formats.register(spark)
+    path = f"{shared_folder(spark)}/gfa-{uuid.uuid4().hex}"
+    tag = F.concat(F.lit("KC:i:"), F.col("data").cast("string"))
+    export.gfa_lines(doc_graph(spark, sf_dir), tag=tag).write.format("gfa").mode("append").save(path)
+    return spark.read.format("gfa").load(path)
+
+
 def dot_lines(spark, sf_dir):
     return export.dot_lines(doc_graph(spark, sf_dir), label=F.col("data").cast("string")).select("node_id", "line")
 

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..operators.graph import Graph, edges
 
 
+#: The first line of a GFA file.
+GFA_HEADER = "H\tVN:Z:1.0\tPR:Z:kmerloom"
+
+
 def gfa_lines(graph: Graph, *, tag: Column | None = None) -> DataFrame:
     """node_id, line_no, line: the header (node -1), and per node its S line and L lines.
 
@@ -19,7 +23,7 @@ def gfa_lines(graph: Graph, *, tag: Column | None = None) -> DataFrame:
     side if it is larger (so a right side that links with itself is not written).
     """
     spark = graph.nodes.sparkSession
-    head = spark.createDataFrame([(-1, 0, "H\tVN:Z:1.0\tPR:Z:kmerloom")], "node_id long, line_no int, line string")
+    head = spark.createDataFrame([(-1, 0, GFA_HEADER)], "node_id long, line_no int, line string")
     node = F.concat_ws("\t", F.lit("S"), F.col("node_id").cast("string"), F.col("seq"), *([tag] if tag is not None else []))
     segments = graph.nodes.select("node_id", F.lit(0).alias("line_no"), node.alias("line"))
     left = F.col("src_dir") == "L"

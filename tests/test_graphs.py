@@ -326,3 +326,34 @@ def test_path_in_blocks(spark, monkeypatch):
     blocks = P.path_blocks(g, rows).orderBy("block").collect()
     assert "".join(b.seq for b in blocks) == want and all(want[b.start :].startswith(b.seq) for b in blocks) and len(blocks) == 24
     assert [r.seq for r in P.path_sequence(g, rows.limit(0)).collect()] == [""]
+
+
+def test_indexed_ends_are_not_shuffled(spark):
+    """Lookups in an index read its buckets where they are; the results are the same."""
+    rng = random.Random(1)
+    _, g = graph_of(spark, contigs(3) + [dna(rng, 80)], 11)
+    g = G.Graph(written(g.nodes, "g"), g.k)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    want, fixed = rows(G.edges(g)), rows(G.fix_exts(g).nodes)
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1")
+    try:
+        found = g.indexed()
+        assert rows(G.edges(found)) == want and rows(G.fix_exts(found).nodes) == fixed
+        df = G.edges(found)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = plan[: plan.index("== Initial Plan ==")]
+        lines = plan[plan.index("SortMergeJoin") :].splitlines()
+        bucket = next(i for i, line in enumerate(lines) if "FileScan" in line and "Bucketed: true" in line)
+        depth = lambda line: len(line) - len(line.lstrip(" :+-|*("))
+        above, level = [], depth(lines[bucket])
+        for line in reversed(lines[:bucket]):  # the scan's own ancestors, up to the join
+            if depth(line) < level:
+                above, level = [*above, line], depth(line)
+            if "SortMergeJoin" in line:
+                break
+        assert above and not any("Exchange" in line for line in above)
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
