@@ -62,52 +62,65 @@ def chunk_ends(raw: np.ndarray, radius: int, longest: int) -> np.ndarray:
     return ends
 
 
-ROWS = "settled boolean, d1 long, d2 long, row_no long, a int, b int"
+ROWS = "settled boolean, d1 long, d2 long, row_no long, a int, b int, whole boolean"
+#: Chunks that a task compares among themselves before it hands them on (about 100 MB of text).
+FOLD = 1 << 20
 
 
 def _rows(*columns) -> pa.RecordBatch:
-    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in ROWS.split(", ")])
 
 
-def chunks(docs: DataFrame, *, text: str, radius: int, longest: int, shortest: int) -> DataFrame:
-    """ROWS of every chunk of at least `shortest` bytes, or that is a whole text, the digest as two longs. Of equal chunks of
-    a task batch only the first is open; the others surely repeat and are settled."""
+def chunks(docs: DataFrame, *, text: str, radius: int, longest: int) -> DataFrame:
+    """ROWS of every chunk, the digest as two longs; whole: it is a whole text. Of equal chunks that a task
+    holds at a time (FOLD) only the first is open; the others surely repeat and are settled."""
 
     @lean
     def cut(batches):
+        held: list[tuple] = []
+
+        def fold():
+            row, a, b, whole, d1, d2 = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            order = np.lexsort((a, row, d2, d1))
+            settled = np.zeros(len(row), bool)
+            settled[order[1:]] = (d1[order[1:]] == d1[order[:-1]]) & (d2[order[1:]] == d2[order[:-1]])
+            # Settled chunks need no partner; their places spread over the parts.
+            spread = np.where(settled, (row * 1_000_003 + a) * 0x5851F42D, d1)
+            for at in range(0, len(row), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield _rows(*(c[part] for c in (settled, spread, d2, row, a, b, whole)))
+
         for batch in batches:
-            rows, starts, stops, digests = [], [], [], []
+            rows, starts, stops, whole, digests = [], [], [], [], []
             for row, body in zip(batch.column("row_no").to_pylist(), batch.column("text").to_pylist()):
                 if not body:
                     continue
                 raw = body.encode("utf-8", "surrogatepass")
                 ends = chunk_ends(np.frombuffer(raw, np.uint8), radius, longest).tolist()
                 for a, b in zip([0, *ends], ends):
-                    if b - a >= shortest or b - a == len(raw):
-                        rows.append(row), starts.append(a), stops.append(b)
-                        digests.append(hashlib.blake2b(raw[a:b], digest_size=16).digest())
-            if not rows:
-                continue
-            row, a, b = np.array(rows, np.int64), np.array(starts, np.int64), np.array(stops, np.int64)
-            d1, d2 = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
-            order = np.lexsort((a, row, d2, d1))
-            settled = np.zeros(len(row), bool)
-            settled[order[1:]] = (d1[order[1:]] == d1[order[:-1]]) & (d2[order[1:]] == d2[order[:-1]])
-            # Settled chunks need no partner; their places spread over the parts.
-            yield _rows(settled, np.where(settled, (row * 1_000_003 + a) * 0x5851F42D, d1), d2, row, a, b)
+                    rows.append(row), starts.append(a), stops.append(b), whole.append(b - a == len(raw))
+                    digests.append(hashlib.blake2b(raw[a:b], digest_size=16).digest())
+            if rows:
+                d1, d2 = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+                held.append((np.array(rows, np.int64), np.array(starts, np.int64), np.array(stops, np.int64), np.array(whole), d1, d2))
+            if sum(len(h[0]) for h in held) >= FOLD:
+                yield from fold()
+        if held:
+            yield from fold()
 
     return docs.select("row_no", F.col(text).alias("text")).mapInArrow(cut, ROWS)
 
 
 def repeats(sorted_rows: DataFrame) -> DataFrame:
-    """row_no, a, b of the chunks that repeat, from ROWS sorted by (d1, d2, row_no, a)."""
+    """row_no, a, b, whole of the chunks that repeat, from ROWS sorted by (d1, d2, row_no, a)."""
 
     @lean
     def run(batches):
         last = (None, None)
         for batch in batches:
-            settled, d1, d2, row, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            settled, d1, d2, row, a, b, whole = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             open_ = np.flatnonzero(~settled)
             again = settled.copy()
             if len(open_):
@@ -117,28 +130,39 @@ def repeats(sorted_rows: DataFrame) -> DataFrame:
                 same[0] = (x[0], y[0]) == last
                 last = x[-1], y[-1]
                 again[open_] = same
-            yield pa.RecordBatch.from_pydict({"row_no": row[again], "a": a[again], "b": b[again]})
+            yield pa.RecordBatch.from_pydict({"row_no": row[again], "a": a[again], "b": b[again], "whole": whole[again]})
+
+    return sorted_rows.mapInArrow(run, "row_no long, a int, b int, whole boolean")
+
 
-    return sorted_rows.mapInArrow(run, "row_no long, a int, b int")
+def runs(again: DataFrame, shortest: int) -> DataFrame:
+    """row_no, spans: the repeated chunks of each text that go. A single one of less than `shortest` bytes,
+    between two that do not repeat, stays, unless it is the whole text."""
+    listed = again.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("a", "b", "whole"))).alias("all"))
+    touches = lambda x, i: F.coalesce(F.get("all", i - 1)["b"] == x["a"], F.lit(False)) | F.coalesce(F.get("all", i + 1)["a"] == x["b"], F.lit(False))
+    spans = F.filter("all", lambda x, i: (x["b"] - x["a"] >= shortest) | x["whole"] | touches(x, i))
+    spans = F.transform(spans, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
+    return listed.select("row_no", spans.alias("spans")).filter(F.size("spans") > 0)
 
 
 def dedup_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = 48, longest: int = 1024, shortest: int = 65) -> DataFrame:
     """The rows of docs plus n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
 
     A chunk has more than `radius` bytes, about twice that on average, and at most `longest` (where no
-    end is found, one is set at that distance, which does not resist shifts). Every chunk of at least
-    `shortest` bytes, and every text that is a single chunk, whose digest occurs earlier (smaller id, or earlier in
-    the document) is removed; the first occurrence stays. Digests are sorted once, with one row per
-    digest and task batch, so a passage that a third of the documents share is pre-aggregated; the
-    sorted rows are read as a stream, so no group is held in memory.
+    end is found, one is set at that distance, which does not resist shifts); a text's last one may
+    be shorter. Chunks whose digest occurs earlier (smaller id, or earlier in the document) are
+    removed, the first occurrence stays. A repeated chunk of less than `shortest` bytes with no
+    repeated neighbour stays, unless it is a whole text: a phrase, not a passage. Digests are
+    sorted once, with one row per digest and FOLD chunks of a task, so a passage that a third of the
+    documents share is pre-aggregated; the sorted rows are read as a stream, so no group is held.
 
     A null text has no bytes; null ids come before all others, rows with equal ids in the order in
-    which they are read; an empty table gives no rows. Columns named like the added ones, or
-    row_no, are replaced.
+    which they are read; an empty table gives no rows. Columns named like the added ones, row_no
+    or spans are replaced. A text's repeated chunks are one row.
     """
     docs = docs.drop("row_no", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans")
     docs = numbered(docs, doc_id, "chunk-rows")
-    found = chunks(docs, text=text, radius=radius, longest=longest, shortest=shortest)
+    found = chunks(docs, text=text, radius=radius, longest=longest)
     again = repeats(found.repartition("d1").sortWithinPartitions("d1", "d2", "row_no", "a"))
-    spans = materialize(again.groupBy("row_no").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "chunk-spans")
+    spans = materialize(runs(again, shortest), "chunk-spans")
     return remove_spans(docs, spans, doc_id=doc_id, text=text).drop("row_no")

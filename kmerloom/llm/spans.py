@@ -98,10 +98,13 @@ def numbered(docs: DataFrame, doc_id: str, name: str) -> DataFrame:
         facts = docs.agg(F.count(F.lit(1)).alias("n"), F.count(doc_id).alias("ids"), F.count_distinct(doc_id).alias("distinct"), F.min(doc_id).alias("least"), F.max(doc_id).alias("most")).first()
         if facts["n"] == facts["ids"] == facts["distinct"] and (not facts["n"] or (facts["least"] >= 0 and facts["most"] < LARGEST_ROW)):
             return docs.withColumn("row_no", F.col(doc_id).cast("long"))
-    order = [F.col(doc_id).asc_nulls_first(), F.col("_i")]
-    part = docs.withColumn("_i", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    # The columns have names of our own while helpers stand beside them.
+    within = [f"c{i}" for i in range(len(docs.columns))]
+    order = [F.col(within[docs.columns.index(doc_id)]).asc_nulls_first(), F.col("_i")]
+    part = docs.toDF(*within).withColumn("_i", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     part = materialize(part.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), name)
     sizes = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_i").alias("_first"))
     # One row per part of the table.
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return part.join(F.broadcast(sizes), "_p").withColumn("row_no", F.col("_before") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_c", "_first", "_before")
+    number = F.col("_before") + F.col("_i") - F.col("_first")
+    return part.join(F.broadcast(sizes), "_p").select(*[F.col(c).alias(own) for c, own in zip(within, docs.columns)], number.alias("row_no"))

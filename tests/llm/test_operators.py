@@ -442,10 +442,10 @@ def brute_chunks(rows):
         raw, spans = (t or "").encode(), []
         ends = chunk_dedup.chunk_ends(np.frombuffer(raw, np.uint8), 48, 1024).tolist()
         for a, b in zip([0, *ends], ends):
-            if b - a >= 65 or b - a == len(raw):
-                spans += [(a, b)] if raw[a:b] in seen else []
-                seen.add(raw[a:b])
-        out[i] = cut(raw, spans)
+            spans += [(a, b)] if raw[a:b] in seen else []
+            seen.add(raw[a:b])
+        edges = Counter(x for span in spans for x in span)
+        out[i] = cut(raw, [(a, b) for a, b in spans if b - a >= 65 or b - a == len(raw) or edges[a] + edges[b] > 2])
     return out
 
 
@@ -668,3 +668,23 @@ def test_pipeline_stages_on_odd_rows(spark, sf, rows, request):
     assert sorted(map(str, (r.doc_id for r in out["suffix-array dedup"].collect()))) == sorted(str(i) for i, _ in own)
     assert {(r.doc_id, r.text) for r in out["mixing sources to target weights"].collect()} == set(own)
     assert {r.doc_id for r in out["best-fit packing"].collect()} == {i for i, _ in own}
+
+
+@pytest.mark.parametrize("operator", [jaccard_join.near_duplicates, jaccard_join.keep_first, chunk_dedup.dedup_chunks, suffix_dedup.dedup_substrings])
+def test_numbering_keeps_columns_of_any_name(spark, operator):
+    """Ids that must be numbered, beside columns named as helpers are."""
+    rows = [(-1, "a b c d e f", "p0", "i0", "c0", "f0", "b0", "x0"), (5, None, "p1", "i1", "c1", "f1", "b1", "x1"), (5, "g h", "p2", "i2", "c2", "f2", "b2", "x2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _p string, _i string, _c string, _first string, _before string, c0 string")
+    out = operator(df)
+    assert sorted(tuple(r)[2:8] for r in out.select(*df.columns).collect()) == sorted(r[2:] for r in rows)
+
+
+def test_classifier_takes_ids_of_any_type(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdef") for _ in range(5)) for _ in range(40)]
+    rows = [(i, words_of(rng, 40, vocabulary), "en") for i in range(60)] + [(60, "zzzz qqqq xxxx wwww " * 9, "en"), (61, None, None)]
+    labels = [(i, 1) for i in range(0, 50)]
+    shown = lambda ids, cast: {str(r.doc_id): (r.trusted, r.kept) for r in quality_classifier.classify(
+        spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("doc_id", F.col("doc_id").cast(cast)), spark.createDataFrame(labels, "doc_id long, quality int").withColumn("doc_id", F.col("doc_id").cast(cast))).collect()}
+    as_text = shown(rows, "string")
+    assert as_text == shown(rows, "long") and len(as_text) == 62 and as_text["60"] == (False, False)
