@@ -22,8 +22,8 @@ _COMPLEMENT[[ord(b) for b in "ACGT"]] = [ord(b) for b in "TGCA"]
 
 
 def with_buckets(kmers: DataFrame, k: int, p: int, *, stranded: bool = False) -> DataFrame:
-    """kmers with the bucket of their minimizer, as msp.segments has it, computed without a shuffle."""
-    score = msp.permutation_score(rc=not stranded)
+    """kmers with the bucket of their minimizer by msp.hashed_score, computed without a shuffle."""
+    score = msp.hashed_score(p, rc=not stranded)
 
     def run(batches):
         for batch in batches:

@@ -43,6 +43,24 @@ def permutation_score(permutation: list[int] | None = None, *, rc: bool = False)
     return score
 
 
+def hashed_score(p: int, *, rc: bool = False) -> Score:
+    """A fixed shuffled order of the p-mers. In lexicographic order a few p-mers (AAAA...) win nearly
+    everywhere; in this one buckets are about as even as the p-mers are frequent."""
+    mask, half = (1 << 2 * p) - 1, p
+
+    def mix(ranks: np.ndarray) -> np.ndarray:
+        # Each step maps the ranks onto themselves.
+        for odd in (0x9E3779B1, 0x85EBCA6B):
+            ranks = ranks * odd & mask
+            ranks = ranks ^ ranks >> half
+        return ranks
+
+    def score(ranks: np.ndarray, mirrored: np.ndarray) -> np.ndarray:
+        return np.minimum(mix(ranks), mix(mirrored)) if rc else mix(ranks)
+
+    return score
+
+
 def pmer_ranks(seq: str, p: int) -> tuple[np.ndarray, np.ndarray]:
     codes = _CODE[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
     n = max(len(codes) - p + 1, 0)

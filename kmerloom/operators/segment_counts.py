@@ -20,14 +20,14 @@ LEAST_LIMIT = 1 << 20
 
 
 def heavy_buckets(segments: DataFrame, limit: int | None) -> DataFrame:
-    """bucket of the buckets with more than `limit` bases; by default those of over half a task's share, so
-    that there are fewer than twice as many as tasks."""
+    """bucket of the buckets with more than `limit` bases; by default those of over a task's share, so that
+    there are fewer than tasks."""
     sizes = segments.groupBy("bucket").agg(F.sum("len").alias("bases"))
     if limit is None:
         tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # One row, as are the sums that it is made of; the buckets are at most half the p-mers.
         rows = sizes.collect()
-        limit = max(LEAST_LIMIT, sum(r["bases"] for r in rows) // (2 * tasks))
+        limit = max(LEAST_LIMIT, sum(r["bases"] for r in rows) // tasks)
         return segments.sparkSession.createDataFrame([(r["bucket"],) for r in rows if r["bases"] > limit], "bucket long")
     return sizes.filter(F.col("bases") > limit).select("bucket")
 
@@ -43,7 +43,7 @@ def filter_kmers(sequences: DataFrame, k: int, summarizer: Summarizer, *, p: int
         raise ValueError("a minimizer has 1 to min(k, 12) bases")
     kept = summarizer.needs
     with Temporary(sequences.sparkSession, "segment-counts") as write:
-        rows = msp.segments(sequences, k, p, score=msp.permutation_score(rc=not stranded), keep=kept, outer=True, write=write)
+        rows = msp.segments(sequences, k, p, score=msp.hashed_score(p, rc=not stranded), keep=kept, outer=True, write=write)
         heavy = write(heavy_buckets(rows, limit), "heavy")
         rows = rows.select("bucket", "seq", "exts", *kept)
 

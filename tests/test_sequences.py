@@ -161,6 +161,14 @@ def test_segments_of_sequences_in_pieces(spark, monkeypatch, piece):
         assert got[i] == want
 
 
+@pytest.mark.parametrize("p", [3, 8])
+def test_hashed_order_is_one_of_all_pmers(p):
+    import numpy as np
+
+    ranks = np.arange(4**p)
+    assert sorted(M.hashed_score(p)(ranks, ranks).tolist()) == ranks.tolist()
+
+
 def test_simple_scan(spark):
     df = spark.createDataFrame([(1, "GATTACAGGCATTACG", 0, "x")], SEQS)
     rows = M.simple_scan(df, 6, 2, list(range(16))).orderBy("start").collect()
