@@ -313,7 +313,7 @@ def msp_simple_scan(spark, sf_dir):
 
 def doc_graph(spark, sf_dir, k: int = K, min_obs: int = MIN_OBS) -> graph.Graph:
     """The repaired, normalised unitig graph of DOC."""
-    table_ = kmers.filter_kmers(doc_sequences(spark, sf_dir), k, kmers.count_filter(min_obs))
+    table_ = segment_counts.filter_kmers(doc_sequences(spark, sf_dir), k, kmers.count_filter(min_obs))
     out = graph.fix_exts(graph.Graph(compact.compress_kmers(table_, k), k)).normalised()
     return graph.Graph(written(out.nodes, "graph"), k)
 
@@ -323,7 +323,7 @@ def _shown(g: graph.Graph) -> DataFrame:
 
 
 def unitigs(spark, sf_dir):
-    table_ = kmers.filter_kmers(doc_sequences(spark, sf_dir), K, kmers.count_filter(MIN_OBS))
+    table_ = segment_counts.filter_kmers(doc_sequences(spark, sf_dir), K, kmers.count_filter(MIN_OBS))
     return _shown(graph.Graph(compact.compress_kmers(table_, K), K).normalised())
 
 
