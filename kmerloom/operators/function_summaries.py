@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from .kmers import kmers_with_exts
+from .tables import bound_batches
 
 #: K-mers whose states a task holds before it hands them on.
 STATES = 100_000
@@ -85,6 +86,7 @@ def filter_kmers(sequences: DataFrame, k: int, summarizer: FunctionSummarizer, *
             done()
         yield rows(out, results)
 
+    bound_batches(sequences.sparkSession)
     obs = kmers_with_exts(sequences, k, keep=(label,), canonical=not stranded, packed=True)
     partial = obs.mapInArrow(collect, f"kmer binary, exts int, n long, state {s.state_type}")
     merged = partial.repartition("kmer").sortWithinPartitions("kmer").mapInArrow(merge, f"kmer binary, exts int, n long, data {s.value_type}")

@@ -26,7 +26,7 @@ Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: P-mers of a piece of a sequence.
 PIECE = 1 << 14
 #: Bases that a task holds in arrays at a time.
-BASES_AT_ONCE = 1 << 19
+BASES_AT_ONCE = 1 << 18
 #: What no score reaches: the place is no p-mer.
 NONE = np.iinfo(np.int64).max
 

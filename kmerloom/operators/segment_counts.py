@@ -2,8 +2,8 @@
 
 All occurrences of a k-mer have one minimizer, and neighbours mostly share theirs. So segments, of at
 most 2 k - p bases, are shuffled by the minimizer's bucket, and their k-mers are listed and grouped
-behind that shuffle. A bucket too large for one task (a minimizer that a repeat is full of) is counted
-by its k-mers, added up before they are shuffled.
+behind that shuffle. Buckets too large for one task are cut again by longer minimizers, and what is left
+(a repeat) is counted by its k-mers, added up before they are shuffled.
 """
 
 from __future__ import annotations
@@ -19,45 +19,50 @@ from .tables import Temporary, written
 LEAST_LIMIT = 1 << 20
 
 
-def heavy_buckets(segments: DataFrame, limit: int | None) -> DataFrame:
+def heavy_buckets(segments: DataFrame, limit: int | None, write: Temporary) -> DataFrame:
     """bucket of the buckets with more than `limit` bases; by default those of over a task's share, so that
     there are fewer than tasks."""
-    sizes = segments.groupBy("bucket").agg(F.sum("len").alias("bases"))
+    sizes = write(segments.groupBy("bucket").agg(F.sum("len").alias("bases")), "sizes")
     if limit is None:
         tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        # One row, as are the sums that it is made of; the buckets are at most half the p-mers.
-        rows = sizes.collect()
-        limit = max(LEAST_LIMIT, sum(r["bases"] for r in rows) // tasks)
-        return segments.sparkSession.createDataFrame([(r["bucket"],) for r in rows if r["bases"] > limit], "bucket long")
-    return sizes.filter(F.col("bases") > limit).select("bucket")
+        limit = max(LEAST_LIMIT, (sizes.agg(F.sum("bases")).first()[0] or 0) // tasks)
+    return write(sizes.filter(F.col("bases") > limit).select("bucket"), "heavy")
 
 
 def filter_kmers(sequences: DataFrame, k: int, summarizer: Summarizer, *, p: int = 8, stranded: bool = False, report_all: bool = False, limit: int | None = None):
     """What kmers.filter_kmers gives, by way of segments.
 
-    The walk runs twice over the pieces of the sequences (bucket sizes are 4**p / 2 sums at most, then
-    segments), which is cheaper than to write the segments. The result is written. limit: bases of a
-    bucket in one task.
+    Segments of buckets that are too large are cut again by minimizers twice as long; what then still
+    is in large buckets are repeats, whose k-mers add up before they are shuffled. The walk runs twice
+    over the pieces of the sequences (bucket sizes, then segments), which is cheaper than to write
+    the segments. The result is written. limit: bases of a bucket in one task.
     """
     if not 1 <= p <= min(k, 12):
         raise ValueError("a minimizer has 1 to min(k, 12) bases")
     kept = summarizer.needs
+
+    def counted(part: DataFrame) -> DataFrame:
+        obs = kmers_with_exts(part, k, keep=("bucket", *kept), canonical=not stranded, packed=True, spread=False)
+        return summarize(obs, ("bucket", "kmer"), summarizer).drop("bucket")
+
     with Temporary(sequences.sparkSession, "segment-counts") as write:
-        rows = msp.segments(sequences, k, p, score=msp.hashed_score(p, rc=not stranded), keep=kept, outer=True, write=write)
-        heavy = write(heavy_buckets(rows, limit), "heavy")
-        rows = rows.select("bucket", "seq", "exts", *kept)
-
-        def counted(part: DataFrame) -> DataFrame:
-            obs = kmers_with_exts(part, k, keep=("bucket", *kept), canonical=not stranded, packed=True, spread=False)
-            return summarize(obs, ("bucket", "kmer"), summarizer)
-
-        # Grouping by (bucket, kmer) needs no further exchange where rows are dealt by bucket.
-        table = counted(rows.join(F.broadcast(heavy), "bucket", "left_anti").repartition("bucket"))
-        if heavy.head(1):
-            table = table.unionByName(counted(rows.join(F.broadcast(heavy), "bucket", "left_semi")))
+        rest, table = sequences, None
+        for size in dict.fromkeys((p, min(2 * p, k))):
+            rows = msp.segments(rest, k, size, score=msp.hashed_score(size, rc=not stranded), keep=kept, outer=True, write=write)
+            heavy = heavy_buckets(rows, limit, write)
+            rows = rows.select("bucket", "seq", "exts", *kept)
+            # Grouping by (bucket, kmer) needs no further exchange where rows are dealt by bucket.
+            part = counted(rows.join(F.broadcast(heavy), "bucket", "left_anti").repartition("bucket"))
+            table = part if table is None else table.unionByName(part)
+            rest = None
+            if not heavy.head(1):
+                break
+            rest = rows.join(F.broadcast(heavy), "bucket", "left_semi").select(F.lit(0).cast("long").alias("seq_id"), "seq", "exts", *kept)
+        if rest is not None:
+            table = table.unionByName(counted(rest.withColumn("bucket", F.lit(0))))
         text = F.col("kmer").cast("string").alias("kmer")
-        rest = [c for c in table.columns if c not in ("bucket", "kmer")]
+        others = [c for c in table.columns if c != "kmer"]
         if not report_all:
-            return written(table.filter(summarizer.valid).select(text, *rest), "kmers")
-        table = written(table.select(text, *rest), "kmers")
+            return written(table.filter(summarizer.valid).select(text, *others), "kmers")
+        table = written(table.select(text, *others), "kmers")
         return table.filter(summarizer.valid), table.select("kmer")

@@ -29,6 +29,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/kmerloom-tables/{spark.sparkContext.applicationId}"
 
 
+#: Arrow batches of the session are bounded to so many bytes.
+BATCH_BYTES = 1 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound an Arrow batch by its bytes, as Spark does by its rows; a lower bound that is set already stays.
+    It holds for the session, since operators return DataFrames that are read later."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a folder, on any Hadoop file system."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -87,6 +100,7 @@ class Temporary:
     the end of the `with` block all of them. What outlives the block is written by written() within."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.tables: list[tuple[DataFrame, str]] = []
 
