@@ -29,14 +29,16 @@ def heavy_buckets(segments: DataFrame, limit: int | None, write: Temporary) -> D
     return write(sizes.filter(F.col("bases") > limit).select("bucket"), "heavy")
 
 
-def filter_kmers(sequences: DataFrame, k: int, summarizer: Summarizer, *, p: int = 8, stranded: bool = False, report_all: bool = False, limit: int | None = None):
+def filter_kmers(sequences: DataFrame, k: int, summarizer: Summarizer, *, p: int | None = None, stranded: bool = False, report_all: bool = False, limit: int | None = None):
     """What kmers.filter_kmers gives, by way of segments.
 
     Segments of buckets that are too large are cut again by minimizers twice as long; what then still
     is in large buckets are repeats, whose k-mers add up before they are shuffled. The walk runs twice
     over the pieces of the sequences (bucket sizes, then segments), which is cheaper than to write
-    the segments. The result is written. limit: bases of a bucket in one task.
+    the segments. The result is written. limit: bases of a bucket in one task. p: bases of a minimizer,
+    by default half of k and at most 12, which makes millions of buckets of hardly shorter segments.
     """
+    p = p or min(12, max(1, k // 2))
     if not 1 <= p <= min(k, 12):
         raise ValueError("a minimizer has 1 to min(k, 12) bases")
     kept = summarizer.needs

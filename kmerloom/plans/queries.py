@@ -297,7 +297,7 @@ def kmer_count_by_segments(spark, sf_dir):
 
 
 def kmer_colors_by_segments(spark, sf_dir):
-    out = segment_counts.filter_kmers(doc_sequences(spark, sf_dir), 20, kmers.label_filter(MIN_OBS), p=6)
+    out = segment_counts.filter_kmers(doc_sequences(spark, sf_dir), 20, kmers.label_filter(MIN_OBS))
     return out.select("kmer", "exts", "n", F.array_join("data", ",").alias("colors"))
 
 
