@@ -59,6 +59,21 @@ def text_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return windows[np.repeat(starts, n) + within], n
 
 
+def distinct_grams(texts: list[bytes], order: int, *, part: int = 1 << 20) -> np.ndarray:
+    """The sorted distinct keys of running texts, found for texts of about `part` bytes at a time, so that
+    memory is bounded by a part (or by one longer text) and by the distinct keys."""
+    found, own, size = [], [], 0
+    for text in [t for t in texts if t]:
+        own.append(text)
+        size += len(text)
+        if size >= part:
+            found.append(np.unique(text_grams(own, order)[0]))
+            own, size = [], 0
+    if own:
+        found.append(np.unique(text_grams(own, order)[0]))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
 def count_grams(docs: DataFrame, *, order: int, room: int = 1_500_000) -> DataFrame:
     """lang, key, n for the documents' (lang, text): every n-gram of every text that has a word.
 
@@ -353,17 +368,19 @@ def perplexity(total: float, symbols: int) -> float | None:
 #: Stands for a null id within a block.
 NO_ID = -(2**63)
 BLOCKS = "block long, ids binary, blob binary"
+#: Text of a block. Of the n-grams of a block each is sent once, so larger blocks send fewer.
+BLOCK_BYTES = 32_000_000
 
 
-def to_blocks(docs: DataFrame, *, block_bytes: int = 12_000_000) -> DataFrame:
-    """Documents (doc_id long, lang, text, counted) packed as running text, compressed, into blocks of
-    about block_bytes."""
+def to_blocks(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Documents (doc_id long, lang, text, counted) packed as running text into blocks of about
+    block_bytes, compressed with a window of a whole block, as they are written once and shuffled once."""
     import hashlib
     import json
 
     @lean
     def pack(batches):
-        zip_ = zstandard.ZstdCompressor(level=3)
+        zip_ = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(9, window_log=25, enable_ldm=True))
         ids, langs, texts, size = [], [], [], 0
 
         def block():
@@ -430,10 +447,9 @@ def block_scores(docs: DataFrame, model: Model, *, write) -> DataFrame:
             for batch in batches:
                 for block, ids, blob in zip(*[batch.column(c).to_pylist() for c in ("block", "ids", "blob")]):
                     for lang, (_, texts, _) in texts_of(ids, blob).items():
-                        texts = [t for t in texts if t]
-                        if not texts:
+                        keys = distinct_grams(texts, order)
+                        if not len(keys):
                             continue
-                        keys = np.unique(text_grams(texts, order)[0])
                         if size < order:  # the suffixes, and the contexts
                             keys = np.unique(np.concatenate([keys & mask(size), keys >> 8]))
                         fill = pa.array(np.zeros(len(keys), np.int64))

@@ -4,8 +4,10 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
+from kmerloom.llm import kneser_ney as kn
 from kmerloom.llm import quality_classifier, quality_rules
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -127,3 +129,12 @@ def test_both_sides_of_the_band_reject(spark):
     assert sum(out[i].kept for i in range(90)) >= 86
     assert all(out[i].perplexity > out[i].high and not out[i].kept for i in range(90, 100))
     assert all(out[i].perplexity < out[i].low and not out[i].kept for i in range(100, 103))
+
+
+def test_distinct_grams_in_parts():
+    """Parts of any size give the same keys: one text each, all at once, and none without text."""
+    texts = [kn.running(t) for t in ("the cat sat", "", None, "the  cat\tsat", "a" * 5000, "été à la mer", "x")]
+    whole = np.unique(kn.text_grams([t for t in texts if t], 4)[0])
+    for part in (1, 10, 4000, 1 << 20):
+        assert kn.distinct_grams(texts, 4, part=part).tolist() == whole.tolist()
+    assert len(kn.distinct_grams([b"", b""], 4)) == 0
