@@ -23,7 +23,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,31 +43,85 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+#: Bytes of text that are hashed at a time.
+CHUNK = 1 << 16
+#: A byte's share of a word's hash, A-Z as a-z, and the base of the polynomial with its inverse modulo 2**64.
+_VALUE = _mix(np.arange(1, 257, dtype=np.uint64) * _K[1])
+_VALUE[65:91] = _VALUE[97:123]
+_BASE, _INVERSE = int(_K[0]), pow(int(_K[0]), -1, 1 << 64)
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(n - 1, base, np.uint64)))
+
+
+_UP, _DOWN = _powers(_BASE, CHUNK), _powers(_INVERSE, CHUNK)
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin, and their hashes: polynomials of their bytes modulo 2**64, from the
+    differences of one running sum."""
+    data = np.frombuffer(text, np.uint8)
+    word = np.zeros(len(data) + 2, bool)
+    word[1:-1] = ~_BLANK[data]
+    turns = np.flatnonzero(word[1:] != word[:-1])  # a word's begin, its end, the next one's begin, ...
+    upto, down = np.empty(len(turns), np.uint64), np.empty(len(turns), np.uint64)
+    so_far, mask = 0, (1 << 64) - 1
+    cuts = np.searchsorted(turns, np.arange(0, len(data) + CHUNK + 1, CHUNK))
+    for i, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        at = i * CHUNK
+        part = data[at : at + CHUNK]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUE[part] * _UP[: len(part)], out=sums[1:])
+        sums *= np.uint64(pow(_BASE, at, 1 << 64))
+        sums += np.uint64(so_far)
+        here = turns[lo:hi] - at
+        upto[lo:hi] = sums[here]
+        down[lo:hi] = _DOWN[here] * np.uint64(pow(_INVERSE, at, 1 << 64))
+        so_far = int(sums[-1]) & mask
+    return turns[::2], (upto[1::2] - upto[::2]) * down[::2]
+
+
 class Shingles:
-    """Distinct hashes of the `width`-word shingles of texts, ascending. The table of words is emptied
-    when it takes about `room` bytes."""
+    """Distinct hashes of the `width`-word shingles of texts, ascending."""
 
-    def __init__(self, width: int, room: int = 8_000_000):
-        self.width, self.room, self.words, self.held = width, room, {}, 0
+    def __init__(self, width: int):
+        self.width = width
 
     def __call__(self, text: str | None) -> np.ndarray:
-        tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z, and the six blanks
-        if not tokens:
-            return np.empty(0, np.uint64)
-        table = self.words
-        if self.held > self.room:
-            table.clear()
-            self.held = 0
-        for w in set(tokens).difference(table):
-            table[w] = xxhash.xxh3_64_intdigest(w)
-            self.held += 120 + len(w)
-        h = np.fromiter(map(table.__getitem__, tokens), np.uint64, len(tokens))
-        k = min(self.width, len(h))
+        return self.of([text])[0]
+
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The sets of several texts, hashed in one go."""
+        own = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        begins, h = word_hashes(b" ".join(own))
+        ends = np.cumsum([len(t) + 1 for t in own])
+        to = np.searchsorted(begins, ends).tolist()
+        whole = self._chain(h, self.width) if len(h) >= self.width else h[:0]
+        out, at = [], 0
+        for end in to:
+            n = end - at
+            if n >= self.width:
+                out.append(_distinct(whole[at : end - self.width + 1]))
+            else:  # the whole sequence as one, none without words
+                out.append(self._chain(h[at:end], n) if n else h[:0])
+            at = end
+        return out
+
+    @staticmethod
+    def _chain(h: np.ndarray, k: int) -> np.ndarray:
         n = len(h) - k + 1
         out = np.full(n, k, np.uint64)
         for j in range(k):
             out = _mix(out ^ h[j : n + j])
-        return np.unique(out)
+        return out
 
 
 def bands(size: int) -> list[int]:
@@ -121,11 +174,13 @@ def entries(tokens: np.ndarray, step: int) -> list[tuple[np.ndarray, np.ndarray]
         place = np.arange(m)
         if step == 1 and full >= need(len(tokens)):
             place = np.flatnonzero(count)
-        codes = [total[place] + place.astype(np.uint64) * _K[2]]
-        if step == 2:
-            codes.append(total[seg] - value + seg.astype(np.uint64) * _K[2])
-        code = _mix(np.concatenate(codes) ^ np.uint64(band * 2 + step))
-        code, at = np.unique((code & ~np.uint64(BAND)) | np.uint64(band), return_index=True)
+        named = lambda code: (_mix(code ^ np.uint64(band * 2 + step)) & ~np.uint64(BAND)) | np.uint64(band)  # noqa: B023, E731
+        code = named(total[place] + place.astype(np.uint64) * _K[2])
+        if step == 1:
+            code = _distinct(code)
+            out.append((code, np.zeros(len(code), bool)))
+            continue
+        code, at = np.unique(np.append(code, named(total[seg] - value + seg.astype(np.uint64) * _K[2])), return_index=True)
         out.append((code, at >= len(place)))
     return out
 
@@ -156,10 +211,9 @@ def set_facts(docs: DataFrame, *, text: str, width: int) -> DataFrame:
         shingles = Shingles(width)
         for batch in slices(batches):
             out: list[list] = [[], [], [], [], [], []]
-            for row, body in zip(batch.column("row_no").to_pylist(), batch.column("text").to_pylist()):
-                tokens = shingles(body)
-                full = [len(np.unique(_segment(tokens, segments(b, 1)))) for b in (bands(len(tokens)) if len(tokens) > 2 else [])]
-                for column, value in zip(out, (row, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), len(tokens), *[int(f) for f in [*full, 0, 0][:2]], parity_bitmap(tokens))):
+            for row, tokens in zip(batch.column("row_no").to_pylist(), shingles.of(batch.column("text").to_pylist())):
+                full = [int(np.count_nonzero(np.bincount(_segment(tokens, segments(b, 1))))) for b in (bands(len(tokens)) if len(tokens) > 2 else [])]
+                for column, value in zip(out, (row, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), len(tokens), *[*full, 0, 0][:2], parity_bitmap(tokens))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["row_no", "print", "n", "own_full", "next_full", "bitmap"])
 
@@ -203,8 +257,8 @@ def index(docs: DataFrame, *, text: str, width: int, step: int, parts: int, ligh
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["part", "sure", "codes", "owners"])
 
         for batch in slices(batches):
-            for row, body in zip(batch.column("row_no").to_pylist(), batch.column("text").to_pylist()):
-                for code, deletion in entries(shingles(body), step):
+            for row, tokens in zip(batch.column("row_no").to_pylist(), shingles.of(batch.column("text").to_pylist())):
+                for code, deletion in entries(tokens, step):
                     codes.append(code)
                     owners.append(2 * row + deletion.astype(np.int64))
                     held += len(code)
@@ -263,7 +317,7 @@ def verify(pairs: DataFrame, facts: DataFrame, docs: DataFrame, *, text: str, wi
     def sets(batches):
         shingles = Shingles(width)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("row_no"), pa.array([shingles(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["row_no", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_no"), pa.array([x.tobytes() for x in shingles.of(batch.column("text").to_pylist())], pa.binary())], names=["row_no", "s"])
 
     own = write(with_rows(docs.select("row_no", F.col(text).alias("text")), asked).mapInArrow(sets, "row_no long, s binary"), "join-sets")
     met = near.join(own.select(F.col("row_no").alias("b"), F.col("s").alias("bs")), "b").join(own.select(F.col("row_no").alias("a"), F.col("s").alias("as")), "a")
@@ -289,7 +343,7 @@ def close_bitmaps(docs: DataFrame, *, text: str, width: int, per_token: int = 8)
     def run(batches):
         shingles = Shingles(width)
         for batch in slices(batches):
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            sets = shingles.of(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("row_no"), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity_bitmap(x, per_token) for x in sets], pa.binary())], names=["row_no", "n", "bitmap"])
 
     return docs.select("row_no", F.col(text).alias("text")).mapInArrow(run, "row_no long, n long, bitmap binary")

@@ -307,6 +307,28 @@ def test_one_id_on_many_rows(spark):
     assert chunk_dedup.dedup_chunks(df).count() == 30
 
 
+@pytest.mark.parametrize("chunk", [7, 1 << 16])
+def test_shingles_of_many_texts(monkeypatch, chunk):
+    """Texts hashed together have the sets that each has alone, wherever the running sum is cut."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    rng = random.Random(2)
+    vocabulary = ["a", "aa", "ab", "ba", "B", "\u00e4", "\u00c4", "\u0130", "x" * 40, "\x00", "\x1f", "\u00a0", "\u2003z"]
+    texts = [None, "", " \t", "one", "One  two\nthree\x0bfour", "\ud800 a b c d e"]
+    texts += ["".join(rng.choice(vocabulary) + rng.choice(" \t\n\r\x0b\x0c") for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    tokens = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    want = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in tokens]
+    found = jaccard_join.Shingles(5).of(texts)
+    assert [len(x) for x in found] == [len(x) for x in want]
+    assert all((np.diff(x.astype(object)) > 0).all() for x in found)
+    for x, y, t in zip(found, want, texts):
+        assert (jaccard_join.Shingles(5)(t) == x).all()
+        for i in range(0, len(texts), 20):
+            assert len(np.intersect1d(x, found[i])) == len(y & want[i])
+    words = sorted({w for t in tokens for w in t})
+    _, hashes = jaccard_join.word_hashes(b" ".join(words))
+    assert len(set(hashes.tolist())) == len(words) == len(hashes)
+
+
 def test_allocation_finds_all_partners():
     rng = np.random.default_rng(5)
     for _ in range(300):
