@@ -6,13 +6,16 @@ has not seen is looked up across tasks, and that concerns the k-mers at the bord
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import msp
-from .kmers import neighbour_bits
+from ..functions import seq as S
+from . import fragments, msp, segment_counts
+from .kmers import Summarizer, neighbour_bits
 from .tables import Temporary, written
 
 #: K-mers that a task compares at a time.
@@ -107,3 +110,69 @@ def remove_censored_exts(kmers: DataFrame, k: int, *, p: int = 8, stranded: bool
         mended = mended.select("kmer", *rest, F.col("_seen").bitwiseOR(F.col("_more")).alias("exts"))
         inner = local.filter("_open = 0").select("kmer", *rest, F.col("_seen").alias("exts"))
         return written(inner.unionByName(mended).select(names), "repaired")
+
+
+def _seen(kmers: DataFrame, k: int) -> DataFrame:
+    """k-mers (kmer as bytes, exts, any other columns) as text, with exts that lead to one of the same task only, and
+    the others as _open."""
+    names = kmers.columns
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            texts = b"".join(rows.column("kmer").to_pylist())
+            exts = rows.column("exts").to_numpy().astype(np.int64)
+            seen = fragments.seen(fragments._CODE[np.frombuffer(texts, np.uint8)].reshape(-1, k), exts)
+            for name, values in (("kmer", rows.column("kmer").cast(pa.string())), ("exts", pa.array(seen, pa.int32()))):
+                rows = rows.set_column(names.index(name), name, values)
+            yield from rows.append_column("_open", pa.array(exts & ~seen, pa.int32())).to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= fragments.HELD:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    schema = ", ".join(f"`{f.name}` {'string' if f.name == 'kmer' else f.dataType.simpleString()}" for f in kmers.schema.fields)
+    return kmers.mapInArrow(run, f"{schema}, _open int")
+
+
+def counted(sequences: DataFrame, k: int, summarizer: Summarizer, *, shard: Callable[[Column], Column] | None = None) -> DataFrame:
+    """kmer, exts, n, data of the k-mers that summarizer keeps, as kmers.remove_censored_exts() leaves them, or with a
+    shard (of a k-mer's column) as kmers.remove_censored_exts_sharded() does.
+
+    Neighbours are met in the tasks that count them. An extension to another task's k-mer is looked up among those
+    that have such extensions, if it stays in its shard. The sequences hold all k-mers that their extensions lead
+    to (exts of their own are 0), so what a shard has not kept it has dropped, and the dropped k-mers need not be
+    written.
+    """
+
+    def finish(part: DataFrame) -> DataFrame:
+        rows = _seen(part, k)
+        asked = F.col("_open")
+        if shard is not None:
+            asked = F.lit(0)
+            for right in (0, 1):
+                for i, base in enumerate(S.BASES):
+                    to = S.canonical((S.extend_right if right else S.extend_left)("kmer", F.lit(base)))
+                    asked = asked.bitwiseOR(F.when(shard(F.col("kmer")) == shard(to), F.col("_open").bitwiseAND(F.lit(1 << (i + 4 * right)))).otherwise(0))
+        rows = rows.withColumn("_asked", asked)
+        return rows.withColumn("exts", F.col("exts").bitwiseOR(F.col("_open").bitwiseAND(F.bitwise_not("_asked")))).drop("_open")
+
+    spark = sequences.sparkSession
+    table = segment_counts.filter_kmers(sequences, k, summarizer, finish=finish, write=written)
+    with Temporary(spark, "repair") as write:
+        border = write(table.filter("_asked <> 0"), "border")
+        rest = [c for c in table.columns if c not in ("kmer", "exts", "_asked")]
+        probes = neighbour_bits(border.select("kmer", F.col("_asked").alias("exts"), F.col("exts").alias("_seen"), *rest), stranded=False, keep=("_seen", *rest))
+        among = border.select(F.col("kmer").alias("target"), F.lit(True).alias("_found"))
+        found = F.bit_or(F.when(F.col("_found"), F.col("bit")).otherwise(0))
+        # A k-mer's own columns go with its bits, which spares a join of the borders.
+        mended = probes.join(among, "target", "left").groupBy("kmer").agg(found.alias("_more"), *[F.first(c).alias(c) for c in ("_seen", *rest)])
+        mended = written(mended.select("kmer", F.col("_seen").bitwiseOR(F.col("_more")).alias("exts"), *rest), "mended")
+    return table.filter("_asked = 0").select("kmer", "exts", *rest).unionByName(mended)
